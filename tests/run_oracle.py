@@ -13,12 +13,12 @@ folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 wanted = sys.argv[2:]
 spark = build_session("oracle", "local[8]", **{
     "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-    "spark.log.level": "ERROR"})
+    "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
 con = connect(folder)
 failed = []
 registry = load_all()
 for name, q in registry.items():
-    if wanted and not any(name.startswith(w) or q.run.__module__.endswith(w) for w in wanted):
+    if wanted and not any(name.startswith(w) or q.section == w for w in wanted):
         continue
     start = time.time()
     try:

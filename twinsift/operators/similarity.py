@@ -148,11 +148,22 @@ def class_pairs(emb: DataFrame) -> DataFrame:
 
 def matched_scores(nn: DataFrame, pairs: DataFrame, min_side: int = fv.MIN_SIDE,
                    min_support: int = fv.MIN_SUPPORT) -> DataFrame:
-    """Organ-matched bidirectional score per pair, with support, buckets and reason."""
+    """Organ-matched scores per pair, with support, buckets and reason.
+
+    `matched_cross_knn` is the bidirectional score (both directions must hold);
+    `pooled_cross_knn` is the symmetric baseline, the share of the pooled images whose
+    neighbour is the other class.
+    """
     w = F.col("weight")
+
+    def weighted(rate):
+        return F.sum(w * rate) / F.sum(w)
+
+    pooled = (F.col("hits_ab") + F.col("hits_ba")) / (F.col("n_a") + F.col("n_b"))
     per_pair = (bucket_scores(nn, min_side).groupBy(*PAIR)
-                .agg((F.sum(w * F.col("entail_ab")) / F.sum(w)).alias("ab"),
-                     (F.sum(w * F.col("entail_ba")) / F.sum(w)).alias("ba"),
+                .agg(weighted(F.col("entail_ab")).alias("ab"),
+                     weighted(F.col("entail_ba")).alias("ba"),
+                     weighted(pooled).alias("pooled"),
                      F.sum(w).alias("matched_support"),
                      F.array_sort(F.collect_set("bucket")).alias("shared_buckets")))
     enough = F.col("matched_support") >= min_support
@@ -163,23 +174,10 @@ def matched_scores(nn: DataFrame, pairs: DataFrame, min_side: int = fv.MIN_SIDE,
                     F.round("ab", 4).alias("matched_entail_ab"),
                     F.round("ba", 4).alias("matched_entail_ba"),
                     F.round(F.least("ab", "ba"), 4).alias("matched_cross_knn"),
+                    F.round("pooled", 4).alias("pooled_cross_knn"),
                     "matched_support", "shared_buckets"))
 
 
-def pooled_scores(nn: DataFrame, pairs: DataFrame, min_side: int = fv.MIN_SIDE,
-                  min_support: int = fv.MIN_SUPPORT) -> DataFrame:
-    """Symmetric baseline: share of the pooled images whose neighbour is the other class."""
-    w = F.col("weight")
-    pooled = (F.col("hits_ab") + F.col("hits_ba")) / (F.col("n_a") + F.col("n_b"))
-    per_pair = (bucket_scores(nn, min_side).groupBy(*PAIR)
-                .agg((F.sum(w * pooled) / F.sum(w)).alias("score"),
-                     F.sum(w).alias("matched_support")))
-    return (pairs.select(*PAIR).join(per_pair, PAIR, "left")
-            .select(*PAIR, F.coalesce(F.col("matched_support") >= min_support, F.lit(False))
-                    .alias("ok"),
-                    F.round("score", 4).alias("pooled_cross_knn"), "matched_support"))
-
-
 def vector_sums(emb: DataFrame) -> DataFrame:
     """Size, sum vector and sum of squared lengths per class, by map-side combining."""
     parts = emb.select("crop", "disease", F.posexplode("embedding").alias("pos", "x"))
@@ -250,10 +248,11 @@ def separation(emb: DataFrame, pairs: DataFrame, minimum: int = fv.MIN_WHOLE) ->
                     F.round(cross, 4).alias("cross_sim"), F.round(ratio, 4).alias("sep_ratio"))
 
 
-def confusable(scores: DataFrame, score: str, gate: float) -> DataFrame:
+def confusable(scores: DataFrame, score: str, gate: float,
+               name: str = "image_confusable") -> DataFrame:
     """Flag pairs whose score is ok and reaches the gate."""
     flag = F.coalesce(F.col("ok") & (F.col(score) >= gate), F.lit(False))
-    return scores.withColumn("image_confusable", flag)
+    return scores.withColumn(name, flag)
 
 
 def class_head_sample(emb: DataFrame, cap: int) -> DataFrame:

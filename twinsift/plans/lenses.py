@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from twinsift import dims
 from twinsift.functions import geo, labels, text
 from twinsift.plans.registry import Tables
+from twinsift.session import scratch_path
 
 CROPS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 PARTS = ("leaf", "stem", "root", "fruit", "flower", "pod", "seed", "whole_plant")
@@ -89,24 +90,30 @@ def latest_evidence(t: Tables) -> DataFrame:
     return ev.verified_evidence(store)
 
 
-def journal_lines(t: Tables) -> DataFrame:
-    """Journal text: one JSON line per event; some are broken, some are not results."""
+def journal(t: Tables) -> DataFrame:
+    """Journal lines, one per event, written as text and read back as the source would be.
+
+    Some lines are broken and some are no results. Each line carries its own order.
+    """
     e = evidence(t)
     c = F.col
-    base = F.concat(F.lit('{"type":"result","result":{"pair_id":"'), c("pair_id"), F.lit('",'))
-    web = F.concat(base, F.lit('"confusable_documented":'), c("documented").cast("string"),
-                   F.lit(',"source_url":"'), c("source_url"), F.lit('","source_type":"'),
-                   c("source_type"), F.lit('"}}'))
-    graph = F.concat(base, F.lit('"forks":[],"confusable":true}}'))
-    lay = F.concat(base, F.lit('"farmer_lay_report":"seen in event '),
-                   c("event_id").cast("string"), F.lit('"}}'))
-    broken = F.concat(base, F.lit('"forks":['))
-    other = F.when(c("event_id") % 2 == 0, F.lit('{"type":"result","result":"no object"}')).otherwise(
-        F.lit('{"type":"started","result":{"pair_id":"x"}}'))
     kind = c("event_type")
-    line = (F.when(kind == "click", web).when(kind == "view", graph).when(kind == "error", lay)
-            .when(kind == "signup", broken).otherwise(other))
-    return e.select("ts", "event_id", line.alias("value"))
+    tail = (F.when(kind == "click", F.concat(
+                F.lit('"confusable_documented":'), c("documented").cast("string"),
+                F.lit(',"source_url":"'), c("source_url"), F.lit('","source_type":"'),
+                c("source_type"), F.lit('"}}')))
+            .when(kind == "view", F.lit('"forks":[],"confusable":true}}'))
+            .when(kind == "error", F.concat(F.lit('"farmer_lay_report":"seen in event '),
+                                            c("event_id").cast("string"), F.lit('"}}')))
+            .when(kind == "signup", F.lit('"forks":[')).otherwise(F.lit('"forks":[]}}')))
+    head = F.when(kind == "purchase", "started").otherwise("result")
+    line = F.concat(F.lit('{"type":"'), head, F.lit('","ts":"'), c("ts").cast("string"),
+                    F.lit('","event_id":'), c("event_id").cast("string"),
+                    F.lit(',"result":{"pair_id":"'), c("pair_id"), F.lit('",'), tail)
+    no_object = (kind == "purchase") & (c("event_id") % 2 == 0)
+    path = scratch_path(t.spark, "journal-text")
+    e.select(F.when(no_object, '{"type":"result","result":"no object"}').otherwise(line)).write.text(path)
+    return t.spark.read.text(path)
 
 
 def graph_records(t: Tables) -> DataFrame:

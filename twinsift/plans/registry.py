@@ -8,13 +8,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS = ("scalars",)
+SECTIONS = ("scalars", "filters", "mining", "similarity", "evidence")
 
 
 @dataclass(frozen=True)
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    section: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -36,7 +37,8 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(lambda spark, folder: fn(Tables(spark, folder)), sql)
+        REGISTRY[name] = Query(lambda spark, folder: fn(Tables(spark, folder)), sql,
+                               fn.__module__.rsplit(".", 1)[-1])
         return fn
     return wrap
 

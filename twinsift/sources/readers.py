@@ -86,12 +86,12 @@ def graph_store(spark: SparkSession, path: str, one_per_file: bool = False) -> D
 
 
 def journal_results(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Object-valued results of a journal; lines that are no JSON are skipped."""
-    parsed = F.try_parse_json(line)
-    typed = lines.select("*", F.try_variant_get(parsed, "$.type", "string").alias("_type"),
-                         F.try_variant_get(parsed, "$.result", "variant").alias("result"))
-    is_object = F.schema_of_variant("result").startswith("OBJECT")
-    return typed.filter((F.col("_type") == "result") & is_object).drop("_type")
+    """Object-valued results of a journal, next to the whole record; bad lines are skipped."""
+    parsed = lines.select("*", F.try_parse_json(line).alias("record"))
+    is_result = F.try_variant_get("record", "$.type", "string") == "result"
+    body = F.try_variant_get("record", "$.result", "variant")
+    return (parsed.filter(is_result & F.schema_of_variant(body).startswith("OBJECT"))
+            .withColumn("result", body))
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
@@ -106,3 +106,14 @@ def result_field(name: str, kind: str = "string") -> Column:
 def has_field(names: Sequence[str]) -> list[Column]:
     """One flag per name: does the result carry that key?"""
     return [F.try_variant_get("result", f"$.{n}", "variant").isNotNull() for n in names]
+
+
+def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
+    """File stream over a parquet table, be it a folder of files or one file."""
+    schema = spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = spark.readStream.schema(schema)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return (stream.option("pathGlobFilter", where.getName())
+            .parquet(where.getParent().toString()))
