@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS = ("scalars", "filters", "mining", "similarity", "evidence", "geo", "ranges")
+SECTIONS = ("scalars", "filters", "mining", "similarity", "evidence", "geo", "ranges", "dialogues")
 
 
 @dataclass(frozen=True)
