@@ -180,7 +180,7 @@ def decisive_fork(forks: Column) -> Column:
 def pair_disposition(pairs: DataFrame, graphs: DataFrame, confirmed: DataFrame,
                      require_evidence: bool = True) -> DataFrame:
     """Exactly one status per candidate pair, cheapest reason first."""
-    known = graphs.select("pair_id", F.col("graph"))
+    known = graphs.select("pair_id", "kind", "graph")
     evidence = confirmed.select("pair_id", F.lit(True).alias("has_evidence"),
                                 F.col("confirmed"))
     joined = pairs.join(known, "pair_id", "left").join(evidence, "pair_id", "left")

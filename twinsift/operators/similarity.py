@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
-from twinsift.functions import text
+from twinsift.functions import geo, text
 from twinsift.operators.skew import attach_group, salted_join
 
 BLOCK_ROWS = 2048
@@ -82,12 +82,11 @@ def _blocks(emb: DataFrame, block_rows: int) -> DataFrame:
                          F.col("m.disease").alias("classes"), F.col("m.embedding").alias("vecs"))
 
 
-def nn_by_class(emb: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Best similarity of every image to every class of its (crop, bucket), self excluded.
+def _block_pairs(emb: DataFrame, block_rows: int) -> DataFrame:
+    """Unordered pairs of blocks of each (crop, bucket), a block with itself included.
 
-    `emb` has crop, bucket, disease, img, embedding. The result adds `own`, the best
-    similarity to the image's own class. Similarity is symmetric, so only block pairs with
-    left <= right are formed; each of them serves both sides.
+    Similarity is symmetric, so each pair serves both of its sides. Pairs are keyed by the
+    right block, so a hot group is spread over as many keys as it has blocks.
     """
     blocks = _blocks(emb, block_rows)
     left = (blocks.withColumn("right_block", F.explode(F.sequence(
@@ -99,15 +98,69 @@ def nn_by_class(emb: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                           F.col("imgs").alias("right_imgs"),
                           F.col("classes").alias("right_classes"),
                           F.col("vecs").alias("right_vecs"))
-    pairs = left.join(right, ["crop", "bucket", "right_block"])
+    return left.join(right, ["crop", "bucket", "right_block"])
+
+
+def nn_by_class(emb: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Best similarity of every image to every class of its (crop, bucket), self excluded.
+
+    `emb` has crop, bucket, disease, img, embedding. The result adds `own`, the best
+    similarity to the image's own class.
+    """
     image = ["crop", "bucket", "img"]
-    best = (pairs.mapInArrow(_best_of_block_pairs, BEST_SCHEMA)
+    best = (_block_pairs(emb, block_rows).mapInArrow(_best_of_block_pairs, BEST_SCHEMA)
             .repartition(*image)
             .groupBy(*image, "disease", "other").agg(F.max("best").alias("best")))
     own = F.max(F.when(F.col("disease") == F.col("other"), F.col("best")))
     return best.withColumn("own", own.over(W.Window.partitionBy(*image)))
 
 
+def weighted_top_k(emb: DataFrame, k: int, image_weight: float = 0.7,
+                   climate_weight: float = 0.3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k best other images of the same (crop, bucket) by image and climate similarity.
+
+    The weighted sum of two cosines is one dot product of the joined, scaled vectors, so the
+    block machinery applies; each block pair passes on k rows per image. Ties go by image id.
+    """
+    unit_climate = F.when(geo.norm(F.col("climate")) > 0, F.transform(
+        "climate", lambda x: x / geo.norm(F.col("climate")))).otherwise(F.col("climate"))
+    a, b = float(np.sqrt(image_weight)), float(np.sqrt(climate_weight))
+    joined = F.concat(F.transform("embedding", lambda x: x.cast("double") * a),
+                      F.transform(unit_climate, lambda x: x * b))
+    pairs = _block_pairs(emb.withColumn("embedding", joined), block_rows)
+
+    def best_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(imgs, others, sims):
+            order = np.argsort(others)
+            sims, others = sims[:, order], others[order]
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            n, m = top.shape
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(imgs, m), pa.string()),
+                pa.array(others[top].ravel(), pa.string()),
+                pa.array(np.take_along_axis(sims, top, axis=1).ravel(), pa.float64()),
+            ], names=["img", "found", "score"])
+
+        for batch in batches:
+            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                same = col["left_block"][i].as_py() == col["right_block"][i].as_py()
+                sims = np.round(_matrix(col["left_vecs"][i]) @ _matrix(col["right_vecs"][i]).T,
+                                ROUND_SIM)
+                if same:
+                    np.fill_diagonal(sims, -np.inf)
+                left, right = (np.array(col[f"{side}_imgs"][i].as_py(), dtype=object)
+                               for side in ("left", "right"))
+                yield rows_of(left, right, sims)
+                if not same:
+                    yield rows_of(right, left, sims.T)
+
+    found = pairs.mapInArrow(best_found, "img string, found string, score double")
+    order = W.Window.partitionBy("img").orderBy(F.desc("score"), "found")
+    return (found.filter(F.col("score") != float("-inf"))
+            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+
+
 def _directional(nn: DataFrame, by_bucket: bool) -> DataFrame:
     """Counts and cross-class hits per unordered class pair.
 

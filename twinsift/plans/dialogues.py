@@ -244,12 +244,12 @@ def ordered_turns(t):
 rep AS (SELECT pair_id, arg_min(img, item_id) AS true_img, arg_min(true_label, item_id) AS true_label,
   arg_min(distractor, item_id) AS distractor FROM i GROUP BY ALL),
 own AS (SELECT pair_id, true_label, arg_min(img, item_id) AS img FROM i GROUP BY ALL),
-raw AS (SELECT crop, disease, arg_min(img, row_id) AS img FROM v_rows GROUP BY ALL)
+raw AS (SELECT crop, disease, arg_min(img, row_id) AS img FROM v_grows GROUP BY ALL)
 SELECT rep.pair_id, p.crop, rep.true_label, true_img, rep.distractor, coalesce(own.img, raw.img) AS distractor_img,
   CASE WHEN own.img IS NOT NULL THEN 'item' ELSE 'raw' END AS distractor_source
-FROM rep JOIN v_pairs p ON p.pair_id = rep.pair_id
+FROM rep JOIN v_gpairs p ON p.pair_id = rep.pair_id
 LEFT JOIN own ON own.pair_id = rep.pair_id AND own.true_label = rep.distractor
 LEFT JOIN raw ON raw.crop = p.crop AND raw.disease = rep.distractor"""))
 def review_sample(t):
-    rows = lenses.image_rows(t)
+    rows = pipeline.rows(t)
     return audit.review_sample(items.item_skeleton(pipeline.grounded(t)), rows, mining.mine_pairs(rows))

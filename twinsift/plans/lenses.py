@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import dims
-from twinsift.functions import geo, labels, text
+from twinsift.functions import geo, text
+from twinsift.operators import evidence as ev
+from twinsift.operators import mining
 from twinsift.plans.registry import Tables
 from twinsift.session import scratch_path
 
@@ -85,7 +87,6 @@ def evidence(t: Tables) -> DataFrame:
 
 def latest_evidence(t: Tables) -> DataFrame:
     """The evidence store: the latest record per pair, with `verified`."""
-    from twinsift.operators import evidence as ev
     store = ev.latest_per_key(evidence(t), ["pair_id"], ["ts", "event_id"])
     return ev.verified_evidence(store)
 
@@ -158,7 +159,6 @@ def graph_records(t: Tables) -> DataFrame:
 
 def graph_store(t: Tables) -> DataFrame:
     """One graph per pair: generated wins over gold, then the latest."""
-    from twinsift.operators import evidence as ev
     g = graph_records(t)
     return ev.graph_union(g.filter("source = 'gold'"), g.filter("source = 'generated'"))
 
@@ -178,8 +178,9 @@ def label_report(t: Tables) -> DataFrame:
     """Label-quality report records, one per labelled document."""
     c = F.col
     crop = _pick(CROPS, F.floor(c("doc_id") / 25) % 6)
-    verdict = F.when(c("toxic") == 1, "INCORRECT").when(c("quality") == 0, "QUESTIONABLE").otherwise(
-        "CORRECT")
+    bad, doubtful = c("toxic") == 1, c("quality") == 0
+    verdict = (F.when(bad & doubtful, "INCORRECT").when(bad | doubtful, "QUESTIONABLE")
+               .otherwise("CORRECT"))
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id").select(
         crop.alias("crop"),
         F.struct(
@@ -257,15 +258,9 @@ def cells(t: Tables) -> DataFrame:
 
 
 def candidate_pairs(t: Tables) -> DataFrame:
-    from twinsift.operators import mining
     return mining.mine_pairs(image_rows(t))
 
 
 def zones(df: DataFrame) -> DataFrame:
     return (df.withColumn("zone", geo.zone_code(F.col("lat"), F.col("lon")))
             .withColumn("climate", geo.zone_climate(F.col("lat"), F.col("lon"))))
-
-
-def organism_names(df: DataFrame) -> DataFrame:
-    return df.withColumn("genus", labels.genus(F.col("path_sci"))).withColumn(
-        "species", labels.species(F.col("path_sci")))

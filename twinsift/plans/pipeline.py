@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.operators import evidence, gates, items, similarity, splits
+from twinsift.operators import evidence, gates, items, mining, similarity, splits
 from twinsift.plans import lenses
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import Tables
@@ -28,18 +28,23 @@ def stored_evidence(t: Tables) -> DataFrame:
     return lenses.latest_evidence(t).withColumnRenamed("verified", "confirmed")
 
 
+def rows(t: Tables) -> DataFrame:
+    """Image rows that passed the label gate; everything below starts from these."""
+    return gates.label_gate(lenses.image_rows(t), lenses.label_report(t))
+
+
 def dispositions(t: Tables) -> DataFrame:
-    graphs = lenses.graph_store(t)
-    return gates.pair_disposition(lenses.candidate_pairs(t), graphs, stored_evidence(t))
+    pairs = mining.mine_pairs(rows(t))
+    return gates.pair_disposition(pairs, lenses.graph_store(t), stored_evidence(t))
 
 
 def selected(t: Tables) -> DataFrame:
     """(pair, member, image) rows of used pairs with graph, label and split."""
-    rows = splits.collapse_splits(splits.assign_splits(lenses.image_rows(t)))
+    placed = splits.collapse_splits(splits.assign_splits(rows(t)))
     disposed = dispositions(t)
-    picked = items.select_items(rows, disposed, lenses.visibility_labels(t))
+    picked = items.select_items(placed, disposed, lenses.visibility_labels(t))
     record = disposed.filter(c("status") == "used").select(
-        "pair_id", "graph", c("member_a").alias("member_a_label"),
+        "pair_id", "kind", "graph", c("member_a").alias("member_a_label"),
         c("member_b").alias("member_b_label"))
     return picked.join(record, "pair_id")
 
@@ -62,29 +67,41 @@ def said_lines(df: DataFrame) -> DataFrame:
 # -- the same pipeline in SQL ----------------------------------------------------------
 
 _MD5 = "CAST('0x' || substr(md5('20260613|' || {k}), 1, 8) AS BIGINT) / 4294967296"
-s.add_lens("v_split", f"""v_split AS (
-  SELECT *, CASE WHEN state IN (SELECT state FROM v_rows GROUP BY state
+
+
+def _split_lens(name: str, rows: str) -> str:
+    return f"""{name} AS (
+  SELECT *, CASE WHEN state IN (SELECT state FROM {rows} GROUP BY state
         HAVING count(*) BETWEEN 40 AND 250 ORDER BY md5('20260613|' || state) LIMIT 6)
       THEN 'test_heldout_region'
     WHEN crop IN (SELECT crop FROM (SELECT crop, row_number() OVER (ORDER BY md5('20260613|' || crop)) AS k,
-        count(*) OVER () AS n FROM (SELECT DISTINCT crop FROM v_rows)) WHERE k <= greatest(1, floor(n * 0.12)))
+        count(*) OVER () AS n FROM (SELECT DISTINCT crop FROM {rows})) WHERE k <= greatest(1, floor(n * 0.12)))
       THEN 'test_heldout_species'
-    WHEN {_MD5.format(k='row_id')} < 0.12 THEN 'test_random' ELSE 'train' END AS split FROM v_rows)""",
-    ("v_rows",))
+    WHEN {_MD5.format(k='row_id')} < 0.12 THEN 'test_random' ELSE 'train' END AS split FROM {rows})"""
+
+
+# Names starting with v_g stand for the rows and pairs after the label gate.
+s.add_lens("v_split", _split_lens("v_split", "v_rows"), ("v_rows",))
+s.add_lens("v_grows", """v_grows AS (SELECT * EXCLUDE (gate_status, questionable, host_common),
+  CASE gate_status WHEN 'renamed' THEN 'Small grain' ELSE host_common END AS host_common
+  FROM v_gated WHERE gate_status IN ('kept', 'renamed'))""", ("v_gated",))
+s.add_lens("v_gsplit", _split_lens("v_gsplit", "v_grows"), ("v_grows",))
+s.add_lens("v_gpairs", s.V_CLASS.replace("v_class AS", "v_gclass AS").replace("v_rows", "v_grows") + ",\n"
+           + s.V_PAIRS.replace("v_pairs AS", "v_gpairs AS").replace("v_class", "v_gclass"), ("v_grows",))
 s.add_lens("v_disp", """v_disp AS (
   SELECT p.*, g.errors, g.confusable, g.sign_a, g.sign_b, g.management_a, g.management_b, g.has_lay,
     g.farmer_lay_report, g.decisive_lay_a, g.decisive_lay_b, e.source_url, e.quote,
     CASE WHEN g.pair_id IS NULL THEN 'pending' WHEN len(g.errors) > 0 THEN 'pending_invalid_graph'
       WHEN NOT g.confusable THEN 'non_confusable' WHEN e.pair_id IS NULL THEN 'no_evidence'
       WHEN NOT e.verified THEN 'web_rejected' ELSE 'used' END AS status
-  FROM v_pairs p LEFT JOIN v_gerr g ON g.pair_id = p.pair_id LEFT JOIN v_store e ON e.pair_id = p.pair_id)""",
-    ("v_pairs", "v_gerr", "v_store"))
+  FROM v_gpairs p LEFT JOIN v_gerr g ON g.pair_id = p.pair_id LEFT JOIN v_store e ON e.pair_id = p.pair_id)""",
+    ("v_gpairs", "v_gerr", "v_store"))
 s.add_lens("v_sel", """v_sel AS (
   SELECT d.* EXCLUDE (crop), r.*, l.* EXCLUDE (img), side
-  FROM v_disp d, (VALUES ('a'), ('b')) m(side), v_split r LEFT JOIN v_label l ON l.img = r.img
+  FROM v_disp d, (VALUES ('a'), ('b')) m(side), v_gsplit r LEFT JOIN v_label l ON l.img = r.img
   WHERE d.status = 'used' AND r.crop = d.crop
     AND r.disease = CASE side WHEN 'a' THEN d.member_a ELSE d.member_b END)""",
-    ("v_disp", "v_split", "v_label"))
+    ("v_disp", "v_gsplit", "v_label"))
 _OBS = s.strip_tail("CASE WHEN lay_observation <> '' THEN lay_observation ELSE farmer_lay_report END")
 s.add_lens("v_ground", f"""v_g0 AS (
   SELECT *, CASE side WHEN 'a' THEN member_a ELSE member_b END AS true_label,

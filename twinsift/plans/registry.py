@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-SECTIONS = ("scalars", "filters", "mining", "similarity", "evidence", "geo", "ranges", "dialogues")
+SECTIONS = ("scalars", "filters", "mining", "similarity", "evidence", "geo", "ranges",
+            "dialogues", "reports", "files", "geoeval")
 
 
 @dataclass(frozen=True)

@@ -163,7 +163,8 @@ V_REPORT = f"""v_report AS (
   SELECT *, CASE crop WHEN 'STANDARD' THEN 'INVALID' WHEN 'SMALL'
     THEN 'MISSPELLED_OR_UNSTANDARDISED' ELSE 'VALID' END AS crop_verdict
   FROM (SELECT {CROPS}[(doc_id // 25) % 6 + 1] AS crop, 'Brand#' || (1 + doc_id % 25) AS disease,
-    CASE WHEN toxic = 1 THEN 'INCORRECT' WHEN quality = 0 THEN 'QUESTIONABLE' ELSE 'CORRECT' END
+    CASE WHEN toxic = 1 AND quality = 0 THEN 'INCORRECT' WHEN toxic = 1 OR quality = 0 THEN 'QUESTIONABLE'
+      ELSE 'CORRECT' END
       AS verdict FROM documents JOIN labels USING (doc_id)))"""
 
 # Gate status per image row; renamed rows carry the canonical crop name.
