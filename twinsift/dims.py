@@ -1,11 +1,13 @@
 """Small fixed dimensions as DataFrames.
 
 Each is built from the fixed tables (at most 60 rows), which is the proven bound behind the
-broadcast hints used with them.
+broadcast hints used with them. They are built once per session.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,21 @@ from twinsift import fixed_values as fv
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """An inline table: its exact size is known to the optimizer, and no job builds it."""
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("'", "\\'") + "'"
+        return f"{value}D" if isinstance(value, float) else str(value)
+
+    names, types = zip(*(field.split() for field in schema.split(", ")))
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return table.select(*[F.col(n).cast(k).alias(n) for n, k in zip(names, types)])
 
 
+@cache
 def states(spark: SparkSession) -> DataFrame:
     regions = dict(fv.table(fv.CENSUS_REGIONS))
     rows = [
@@ -27,12 +41,14 @@ def states(spark: SparkSession) -> DataFrame:
                                "state_lat double, state_lon double, division string, region string")
 
 
+@cache
 def koppen(spark: SparkSession) -> DataFrame:
     rows = [(i, code, fv.KOPPEN_MAJOR_NAMES[code[0]])
             for i, code in enumerate(fv.KOPPEN_CODES.split(), start=1)]
     return _frame(spark, rows, "class_id int, koppen_code string, koppen_name string")
 
 
+@cache
 def legend(spark: SparkSession) -> DataFrame:
     """All legends in one long table: (legend, code, label)."""
     rows = [("koppen", str(i), code)
@@ -44,12 +60,13 @@ def legend(spark: SparkSession) -> DataFrame:
     return _frame(spark, rows, "legend string, code string, label string")
 
 
+@cache
 def personas(spark: SparkSession) -> DataFrame:
     """The curated personas in id order, with their position.
 
     A neutral baseline per personality plus single-axis stressors, cut to the fixed count.
     """
-    axis = spark.createDataFrame([(p,) for p in fv.PERSONALITIES], "personality string")
+    axis = _frame(spark, [(p,) for p in fv.PERSONALITIES], "personality string")
     base = (fv.BASE_LANGUAGE, fv.BASE_RECALL, fv.BASE_CONFUSION)
     variants = [base]
     variants += [(x, base[1], base[2]) for x in fv.STRESS_LANGUAGES]

@@ -15,11 +15,13 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 NOT_SPACE = "[^" + SPACE[1:]
+SPACE_CHARS = ("\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+               + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind on both ends."""
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def present(text: Column) -> Column:
@@ -56,8 +58,7 @@ def source_prefix(stem: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """Lower case with every non-alphanumeric character as a dash, trimmed of dashes."""
-    dashed = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "-")
-    return F.regexp_replace(dashed, r"\A-+|-+\z", "")
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "-"), F.lit("-"))
 
 
 def pair_id(crop: Column, a: Column, b: Column) -> Column:
@@ -118,7 +119,7 @@ def upper_first(text: Column) -> Column:
 
 def strip_tail(text: Column) -> Column:
     """Drop trailing full stops and spaces."""
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"[. ]+\z", ""))
+    return strip(F.rtrim(F.coalesce(text, F.lit("")), F.lit(". ")))
 
 
 def head_sign(instruction: Column) -> Column:
@@ -135,7 +136,7 @@ def head_sign(instruction: Column) -> Column:
         lambda s: F.regexp_replace(s, r"(?i)\Aflip\s+the\s+lea\w+\s+over[, ]*(and\s+)?", ""),
         lambda s: F.regexp_replace(
             s, r"(?i)\A(?:look|check|examine|inspect|search)\b[^\n]*?\bfor\b\s+([^\n]*)\z", "$1"),
-        lambda s: F.regexp_replace(strip(s), r"\A,+|,+\z", ""),
+        lambda s: F.btrim(strip(s), F.lit(",")),
         lambda s: F.when(
             s.contains(",") & (F.length(F.substring_index(s, ",", 1)) >= 20),
             F.substring_index(s, ",", 1)).otherwise(s),
@@ -175,14 +176,12 @@ def leaks(text: Column, banned: Column) -> Column:
     return (strip(filled) == "") | mentions_any(filled, banned)
 
 
-def json_body(reply: Column) -> Column:
-    """The JSON object of a model reply: without code fences, else its widest {...} span."""
-    bare = strip(reply)
-    bare = F.regexp_replace(bare, r"(?i)\A```(?:json)?\s*", "")
-    bare = strip(F.regexp_replace(bare, r"\s*```\z", ""))
+def json_reply(reply: Column) -> Column:
+    """A model reply as a variant: without code fences, else its widest {...} span, else null."""
+    bare = F.regexp_replace(strip(reply), r"(?i)\A```(?:json)?\s*", "")
+    bare = strip(F.regexp_replace(bare, r"```\z", ""))
     span = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    parsed = F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.when(span != "", span)))
-    return F.to_json(parsed)
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(span))
 
 
 def orientation(view: Column, width: Column, height: Column) -> Column:

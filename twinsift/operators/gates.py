@@ -201,8 +201,7 @@ def item_failures(item: DataFrame) -> Column:
     dialogue, cot = F.col("dialogue"), F.col("cot")
     farmer = F.array_join(F.transform(
         F.filter(dialogue, lambda t: t["speaker"] == "farmer"), lambda t: F.lower(t["text"])), " ")
-    tech = F.regexp_replace(text.strip(F.lower(F.coalesce(F.col("tech_sign"), F.lit("")))),
-                            r"\.+\z", "")
+    tech = F.rtrim(text.strip(F.lower(F.coalesce(F.col("tech_sign"), F.lit("")))), F.lit("."))
     steps = F.transform(cot, lambda s: s["step"])
     concluded = F.coalesce(F.try_element_at(steps, F.lit(-1)) == "CONCLUDE", F.lit(False))
     complete = F.coalesce(F.col("web_verified"), F.lit(False)) & (

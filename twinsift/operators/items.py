@@ -13,16 +13,15 @@ from twinsift.operators.similarity import pair_members
 from twinsift.operators.skew import salted_join
 
 
-def select_items(rows: DataFrame, dispositions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Images of both members of every used pair, with split, label and graph.
+def select_items(rows: DataFrame, used_pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Images of both members of every used pair, with split and visibility label.
 
-    One image yields an item per pair it takes part in. Long texts stay in the pair record
-    until here; the join is spread so that a class with very many images uses many tasks.
+    One image yields an item per pair it takes part in. Only pair keys are fanned out here,
+    long texts stay in the pair record; the join is spread so that a class with very many
+    images uses many tasks.
     """
-    used = dispositions.filter(F.col("status") == "used")
-    members = pair_members(used)
-    picked = salted_join(rows, members, ["crop", "disease"], ["img"])
-    return picked.join(labels, "img", "left")
+    labelled = rows.join(labels, "img", "left")
+    return salted_join(labelled, pair_members(used_pairs), ["crop", "disease"], ["img"])
 
 
 def _lowered(col: Column) -> Column:
@@ -47,23 +46,20 @@ def ground_items(items: DataFrame) -> DataFrame:
         F.col("is_closeup").isNotNull(), F.col("is_closeup"), F.col("decisive_sign_visible"),
         lay.isNotNull())
     a, b = F.col("member_a_label"), F.col("member_b_label")
-    kept = (items.withColumn("visibility", status).filter(F.col("visibility") == "usable")
-            .withColumn("true_label", by_side(a, b))
-            .withColumn("distractor", by_side(b, a))
-            .withColumn("sign_true_full", by_side(lay["decisive_lay_a"], lay["decisive_lay_b"]))
-            .withColumn("sign_other_full", by_side(lay["decisive_lay_b"], lay["decisive_lay_a"])))
+    kept = items.filter(status == "usable").withColumns({
+        "true_label": by_side(a, b), "distractor": by_side(b, a),
+        "sign_true_full": by_side(lay["decisive_lay_a"], lay["decisive_lay_b"]),
+        "sign_other_full": by_side(lay["decisive_lay_b"], lay["decisive_lay_a"])})
     host = F.coalesce(F.when(F.col("host_common") != "", F.col("host_common")), F.col("crop"))
     managed = by_side(F.col("graph.management_a"), F.col("graph.management_b"))
-    return (kept.withColumn("host", host)
-            .withColumn("part", F.coalesce(F.col("anatomical_part"), F.lit("")))
-            .withColumn("observation", gates.guarded_observation(
-                F.col("lay_observation"), lay["farmer_lay_report"], signs))
-            .withColumn("sign_true", text.head_sign(F.col("sign_true_full")))
-            .withColumn("sign_other", text.head_sign(F.col("sign_other_full")))
-            .withColumn("management", text.strip_tail(
-                text.clean_management(managed, F.col("true_label"))))
-            .withColumn("tech_signs", signs)
-            .withColumn("tech_sign", by_side(fork["a_signal"], fork["b_signal"])))
+    return kept.withColumns({
+        "host": host, "part": F.coalesce(F.col("anatomical_part"), F.lit("")),
+        "observation": gates.guarded_observation(
+            F.col("lay_observation"), lay["farmer_lay_report"], signs),
+        "sign_true": text.head_sign(F.col("sign_true_full")),
+        "sign_other": text.head_sign(F.col("sign_other_full")),
+        "management": text.strip_tail(text.clean_management(managed, F.col("true_label"))),
+        "tech_signs": signs, "tech_sign": by_side(fork["a_signal"], fork["b_signal"])})
 
 
 def reasoning_chain(host: Column, part: Column, observation: Column, sign_true: Column,
@@ -85,22 +81,21 @@ def item_skeleton(grounded: DataFrame) -> DataFrame:
     c = F.col
     chain = reasoning_chain(c("host"), c("part"), c("observation"), c("sign_true"),
                             c("sign_other"), c("true_label"), c("distractor"))
-    return (grounded
-            .withColumn("item_id", F.concat(F.lit("item-"), c("img"), F.lit("-"), c("pair_id"),
-                                            F.lit("-"), c("side")))
-            .withColumn("image", F.struct(
-                c("url"), c("img").alias("image_number"), c("cite").alias("attribution"),
-                F.lit(fv.LICENSE_NOTE).alias("license_note")))
-            .withColumn("lookalike", F.struct(
-                c("pair_id"), c("crop"), c("true_label").alias("true"), c("distractor")))
-            .withColumn("grounding", F.struct(
-                c("host"), c("true_label").alias("disease"), c("part").alias("anatomical_part"),
-                c("descriptor"), c("state")))
-            .withColumn("cot", chain)
-            .withColumn("gold", F.struct(
-                c("true_label").alias("diagnosis"), c("distractor").alias("ruled_out"),
-                text.strip_tail(c("sign_true_full")).alias("evidence_from_image"),
-                c("management"), F.lit(True).alias("answerable_from_image"))))
+    return grounded.withColumns({
+        "item_id": F.concat_ws("-", F.lit("item"), c("img"), c("pair_id"), c("side")),
+        "image": F.struct(
+            c("url"), c("img").alias("image_number"), c("cite").alias("attribution"),
+            F.lit(fv.LICENSE_NOTE).alias("license_note")),
+        "lookalike": F.struct(
+            c("pair_id"), c("crop"), c("true_label").alias("true"), c("distractor")),
+        "grounding": F.struct(
+            c("host"), c("true_label").alias("disease"), c("part").alias("anatomical_part"),
+            c("descriptor"), c("state")),
+        "cot": chain,
+        "gold": F.struct(
+            c("true_label").alias("diagnosis"), c("distractor").alias("ruled_out"),
+            text.strip_tail(c("sign_true_full")).alias("evidence_from_image"),
+            c("management"), F.lit(True).alias("answerable_from_image"))})
 
 
 # -- dialogue --------------------------------------------------------------------------
@@ -168,7 +163,7 @@ def planned_turns(personality: Column) -> Column:
 def farmer_line(said: Column, fallback: Column, banned: Column) -> Column:
     """(text, repaired): the given line with an end mark, or the fallback when it leaks."""
     bare = text.strip_tail(said)
-    ended = F.regexp_replace(F.coalesce(said, F.lit("")), rf"{text.SPACE}+\z", "").rlike(r"[.?!]\z")
+    ended = F.rtrim(F.coalesce(said, F.lit("")), F.lit(text.SPACE_CHARS)).rlike(r"[.?!]\z")
     line = F.when((F.coalesce(said, F.lit("")) == "") | ended, bare).otherwise(
         F.concat(bare, F.lit(".")))
     bad = text.leaks(line, banned)
@@ -186,9 +181,9 @@ def assemble_dialogue(df: DataFrame) -> DataFrame:
     banned = F.concat(F.array(c("true_label"), c("distractor")), c("tech_signs"))
     fallbacks = {"open": opening_line(c("host"), c("part"), c("observation")),
                  **{k: F.lit(v) for k, v in fv.FALLBACK_LINES.items()}}
-    out = df
-    for kind in ("open", "react", "follow", "close"):
-        out = out.withColumn(f"_{kind}", farmer_line(c(f"said_{kind}"), fallbacks[kind], banned))
+    kinds = ("open", "react", "follow", "close")
+    out = df.withColumns({
+        f"_{k}": farmer_line(c(f"said_{k}"), fallbacks[k], banned) for k in kinds})
     p = c("personality")
     none = F.array().cast("array<struct<turn:string,speaker:string,text:string,has_image:boolean>>")
     turns = F.concat(
@@ -204,6 +199,5 @@ def assemble_dialogue(df: DataFrame) -> DataFrame:
         F.when(closes(p), F.array(_turn("F4", "farmer", c("_close.text")))).otherwise(none))
     repairs = sum((c(f"_{k}.repaired").cast("int") for k in ("open", "react", "follow")),
                   F.when(closes(p), c("_close.repaired").cast("int")).otherwise(F.lit(0)))
-    return (out.withColumn("dialogue", turns).withColumn("n_turns", F.size("dialogue"))
-            .withColumn("leak_repairs", repairs)
-            .drop("_open", "_react", "_follow", "_close"))
+    return (out.withColumns({"dialogue": turns, "leak_repairs": repairs})
+            .withColumn("n_turns", F.size("dialogue")).drop(*[f"_{k}" for k in kinds]))

@@ -144,7 +144,7 @@ _CLOSE = _said("said_close", s.quoted(fv.FALLBACK_LINES["close"]))
 s.add_lens("v_dialogue", f"""v_said AS (
   SELECT g.*, p.personality, observation || ' - can you help?' AS said_open,
     CASE WHEN {_N} % 3 = 0 THEN 'So it is ' || upper(true_label) ELSE 'What now' END AS said_react,
-    CASE WHEN {_N} % 4 = 0 THEN ' ' ELSE 'Are you sure...' END AS said_follow,
+    CASE WHEN {_N} % 4 = 0 THEN '' ELSE 'Are you sure...' END AS said_follow,
     CASE WHEN {_N} % 5 = 0 THEN 'Not ' || distractor || '!' ELSE 'Thanks!' END AS said_close
   FROM v_ground g JOIN personas p ON p.position = {_MOD}),
 v_dialogue AS (

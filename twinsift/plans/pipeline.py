@@ -9,6 +9,7 @@ from twinsift.operators import evidence, gates, items, mining, similarity, split
 from twinsift.plans import lenses
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import Tables
+from twinsift.session import materialise
 
 c = F.col
 
@@ -38,15 +39,19 @@ def dispositions(t: Tables) -> DataFrame:
     return gates.pair_disposition(pairs, lenses.graph_store(t), stored_evidence(t))
 
 
+def used_pairs(t: Tables) -> DataFrame:
+    """Records of the pairs that become items."""
+    return dispositions(t).filter(c("status") == "used").select(
+        "pair_id", "crop", "member_a", "member_b", "kind", "graph",
+        c("member_a").alias("member_a_label"), c("member_b").alias("member_b_label"))
+
+
 def selected(t: Tables) -> DataFrame:
     """(pair, member, image) rows of used pairs with graph, label and split."""
     placed = splits.collapse_splits(splits.assign_splits(rows(t)))
-    disposed = dispositions(t)
-    picked = items.select_items(placed, disposed, lenses.visibility_labels(t))
-    record = disposed.filter(c("status") == "used").select(
-        "pair_id", "kind", "graph", c("member_a").alias("member_a_label"),
-        c("member_b").alias("member_b_label"))
-    return picked.join(record, "pair_id")
+    used = materialise(used_pairs(t), "used-pairs")
+    picked = items.select_items(placed, used, lenses.visibility_labels(t))
+    return picked.join(used.drop("crop"), "pair_id")
 
 
 def grounded(t: Tables) -> DataFrame:
@@ -59,7 +64,7 @@ def said_lines(df: DataFrame) -> DataFrame:
     return (df.withColumn("said_open", F.concat("observation", F.lit(" - can you help?")))
             .withColumn("said_react", F.when(n % 3 == 0, F.concat(F.lit("So it is "), F.upper("true_label")))
                         .otherwise("What now"))
-            .withColumn("said_follow", F.when(n % 4 == 0, " ").otherwise("Are you sure..."))
+            .withColumn("said_follow", F.when(n % 4 == 0, "").otherwise("Are you sure..."))
             .withColumn("said_close", F.when(n % 5 == 0, F.concat(F.lit("Not "), "distractor", F.lit("!")))
                         .otherwise("Thanks!")))
 

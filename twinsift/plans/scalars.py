@@ -396,8 +396,8 @@ def parse_json_reply(t):
     reply = (F.when(kind == 0, F.concat(F.lit("```JSON\n"), "props", F.lit("\n```")))
              .when(kind == 1, F.concat(F.lit("The answer is\n"), "props", F.lit(" as asked.")))
              .when(kind == 2, F.concat("props", F.lit("\n"))).otherwise(F.lit("no {answer} here")))
-    body = F.from_json(text.json_body(reply), "k bigint")
-    return t.events.select("event_id", F.coalesce(body["k"], F.lit(-1)).alias("k"))
+    k = F.try_variant_get(text.json_reply(reply), "$.k", "bigint")
+    return t.events.select("event_id", F.coalesce(k, F.lit(-1)).alias("k"))
 
 
 @query("leak_flag", f"""
