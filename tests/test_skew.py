@@ -27,8 +27,26 @@ def test_salted_join(rows, how):
         (lambda d: d.select(sorted(d.columns)))(rows.join(right, "k", how)))
 
 
-def test_attach_group(rows):
-    got = skew.attach_group(rows, ["k"], [F.count("*").alias("n"), F.max("v").alias("top")], ["id"])
+@pytest.mark.parametrize("limit", [0, 1000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_checked_join(rows, how, limit):
+    right = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 'k3'")
+    got = skew.checked_join(rows, right, ["k"], ["id"], how, limit)
+    want = rows.join(right, "k", how)
+    assert bag(got.select(sorted(got.columns))) == bag(want.select(sorted(want.columns)))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (limit > 0)
+
+
+def test_lookup(rows):
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 'k3'")
+    got, want = skew.lookup(rows, table, ["k"], ["id"]), rows.join(table, "k", "left")
+    assert bag(got.select("id", "k", "n")) == bag(want.select("id", "k", "n"))
+
+
+@pytest.mark.parametrize("attach", [skew.attach_group, skew.attach_class])
+def test_attach_group(rows, attach):
+    got = attach(rows, ["k"], [F.count("*").alias("n"), F.max("v").alias("top")], ["id"])
     w = W.Window.partitionBy("k")
     want = rows.withColumn("n", F.count("*").over(w)).withColumn("top", F.max("v").over(w))
     assert bag(got.select("id", "n", "top")) == bag(want.select("id", "n", "top"))

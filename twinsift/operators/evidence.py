@@ -36,9 +36,12 @@ def result_kind(has_documented: Column, has_forks: Column, has_lay: Column) -> C
 
 
 def typed_journal(results: DataFrame, known_pairs: DataFrame) -> DataFrame:
-    """Journal results of known pairs, first one per (kind, pair_id) in journal order."""
-    known = results.join(known_pairs.select("pair_id").distinct(), "pair_id", "left_semi")
-    return first_per_key(known.filter(F.col("kind").isNotNull()), ["kind", "pair_id"], ["seq"])
+    """Journal results of known pairs, first one per (kind, pair_id) in journal order.
+
+    Repeats go first, so that the join sees each pair once per kind.
+    """
+    first = first_per_key(results.filter(F.col("kind").isNotNull()), ["kind", "pair_id"], ["seq"])
+    return first.join(known_pairs.select("pair_id").distinct(), "pair_id", "left_semi")
 
 
 def verified_evidence(evidence: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, text
-from twinsift.operators.skew import exact_median, salted_join
+from twinsift.operators.skew import checked_join, exact_median, lookup, salted_join
 
 POINT = ["lat", "lon"]
 
@@ -59,8 +59,8 @@ def geo_ladder(rows: DataFrame, counties: DataFrame) -> DataFrame:
     with_state = keyed.join(
         F.broadcast(states.select("state_key", "usps", "state_lat", "state_lon")),
         "state_key", "left")
-    found = salted_join(with_state, counties.withColumnRenamed("county", "_county"),
-                        ["usps", "_county"], ["row_id"], "left")
+    found = checked_join(with_state, counties.withColumnRenamed("county", "_county"),
+                         ["usps", "_county"], ["row_id"], "left")
     in_county = F.col("county_lat").isNotNull()
     in_state = F.col("state_lat").isNotNull()
 
@@ -116,7 +116,7 @@ def grid_sample_fallback(points: DataFrame, fine: DataFrame, fine_res: float,
 def attach_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     """Features of each distinct point back on all rows; missing where there are none."""
     keyed = rows.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
-    return salted_join(keyed, features, POINT, ["row_id"], "left")
+    return lookup(keyed, features, POINT, ["row_id"])
 
 
 def temporal_composite(samples: DataFrame, start: str, end: str, how: str,

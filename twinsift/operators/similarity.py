@@ -18,7 +18,7 @@ from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, text
-from twinsift.operators.skew import attach_group, salted_join
+from twinsift.operators.skew import attach_class, checked_join, salted_join
 
 BLOCK_ROWS = 2048
 ROUND_SIM = 9        # vectors are float32, so ties are decided on nine decimals
@@ -71,7 +71,7 @@ def _best_of_block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def _blocks(emb: DataFrame, block_rows: int) -> DataFrame:
     """Blocks of about `block_rows` vectors per (crop, bucket), each sorted by class."""
     keys = ["crop", "bucket"]
-    sized = attach_group(emb, keys, [F.ceil(F.count("*") / block_rows).alias("n_blocks")], ["img"])
+    sized = attach_class(emb, keys, [F.ceil(F.count("*") / block_rows).alias("n_blocks")], ["img"])
     member = F.struct("disease", "img", "embedding")
     packed = (sized.withColumn("block", F.pmod(F.xxhash64("img", F.lit("block")),
                                                F.col("n_blocks")).cast("int"))
@@ -316,8 +316,8 @@ def class_head_sample(emb: DataFrame, cap: int) -> DataFrame:
 
 def member_worklist(images: DataFrame, members: DataFrame) -> DataFrame:
     """Images of the classes that take part in some pair."""
-    return salted_join(images, members.select("crop", "disease").distinct(),
-                       ["crop", "disease"], ["img"], "left_semi")
+    return checked_join(images, members.select("crop", "disease").distinct(),
+                        ["crop", "disease"], ["img"], "left_semi")
 
 
 def pair_members(pairs: DataFrame) -> DataFrame:

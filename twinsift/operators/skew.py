@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from twinsift.session import materialise
+
 SALTS = 16
+BROADCAST_ROWS = 100_000     # narrow rows of keys and a few values: some ten megabytes
 SALT = "_salt"
 
 
@@ -33,6 +36,39 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by:
     return spread.join(repeated, [*on, SALT], how).drop(SALT)
 
 
+def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
+                 how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join of a large table with one that is expected to be small, like one row per class.
+
+    The right side is written out and counted first. Up to `limit` rows it is broadcast, so the
+    large side is not shuffled at all; beyond that the salted join takes over.
+    """
+    table = materialise(right, "lookup")
+    if table.count() <= limit:
+        return left.join(F.broadcast(table), list(on), how)
+    return salted_join(left, table, on, spread_by, how)
+
+
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
+           salts: int = SALTS) -> DataFrame:
+    """Left join to a table of any size with unique keys, where few keys may hold most rows.
+
+    Only the (key, salt) combinations that occur in `df` are formed, so the table is not
+    repeated for keys that are rare.
+    """
+    salted = df.withColumn(SALT, salt_of(*spread_by, salts=salts))
+    found = (salted.groupBy(*keys).agg(F.collect_set(SALT).alias("_salts"))
+             .join(table, list(keys))
+             .withColumn(SALT, F.explode("_salts")).drop("_salts"))
+    return salted.join(found, [*keys, SALT], "left").drop(SALT)
+
+
+def attach_class(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
+                 spread_by: Sequence[str]) -> DataFrame:
+    """Add per-group aggregates to every row where groups are expected to be few (classes)."""
+    return checked_join(df, df.groupBy(*keys).agg(*aggregates), keys, spread_by)
+
+
 def attach_group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
                  spread_by: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Add per-group aggregates to every row, as a window over the group would.

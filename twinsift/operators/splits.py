@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsift import fixed_values as fv
 from twinsift.functions import hashing
-from twinsift.operators.skew import attach_group, rank_by_hash, salted_join
+from twinsift.operators.skew import attach_group, checked_join, rank_by_hash
 
 
 def held_out_states(rows: DataFrame, seed, n: int = fv.HELD_OUT_STATES,
@@ -38,7 +38,7 @@ def assign_splits(rows: DataFrame, seed=fv.DEFAULT_SEED,
     region = held_out_states(rows, seed).withColumn("_region", F.lit(True))
     crops = held_out_crops(rows, seed).withColumn("_species", F.lit(True))
     joined = rows.join(F.broadcast(region), "state", "left")     # at most six rows
-    joined = salted_join(joined, crops, ["crop"], ["row_id"], "left")
+    joined = checked_join(joined, crops, ["crop"], ["row_id"], "left")
     random = hashing.seeded_uniform(seed, F.col("row_id")) < random_share
     split = (F.when(F.col("_region"), "test_heldout_region")
              .when(F.col("_species"), "test_heldout_species")

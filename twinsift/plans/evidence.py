@@ -135,8 +135,8 @@ SELECT count(*) AS n_pairs, count(*) FILTER (web_checked) AS n_checked, count(*)
   count(*) FILTER (web_verified AND lane_hint IS NULL) AS lane_unscored,
   count(*) FILTER (NOT web_checked) AS n_needs_web,
   CAST(coalesce(sum(n_imgs_total) FILTER (web_verified), 0) AS BIGINT) AS n_images,
-  round(count(*) FILTER (web_verified) / count(*) FILTER (web_checked), 4) AS pass_rate,
-  CAST(round(count(*) FILTER (web_verified) / count(*) FILTER (web_checked) * count(*)) AS BIGINT)
+  round(count(*) FILTER (web_verified) / nullif(count(*) FILTER (web_checked), 0), 4) AS pass_rate,
+  CAST(round(count(*) FILTER (web_verified) / nullif(count(*) FILTER (web_checked), 0) * count(*)) AS BIGINT)
     AS projected_confirmed FROM v_manifest"""))
 def manifest_summary(t):
     return audit.manifest_summary(manifest(t))
