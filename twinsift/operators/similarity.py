@@ -19,6 +19,7 @@ from pyspark.sql import window as W
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, text
 from twinsift.operators.skew import attach_class, checked_join, salted_join
+from twinsift.session import materialise
 
 BLOCK_ROWS = 2048
 ROUND_SIM = 9        # vectors are float32, so ties are decided on nine decimals
@@ -86,9 +87,10 @@ def _block_pairs(emb: DataFrame, block_rows: int) -> DataFrame:
     """Unordered pairs of blocks of each (crop, bucket), a block with itself included.
 
     Similarity is symmetric, so each pair serves both of its sides. Pairs are keyed by the
-    right block, so a hot group is spread over as many keys as it has blocks.
+    right block, so a hot group is spread over as many keys as it has blocks. Blocks are
+    written once and read for either side.
     """
-    blocks = _blocks(emb, block_rows)
+    blocks = materialise(_blocks(emb, block_rows), "blocks")
     left = (blocks.withColumn("right_block", F.explode(F.sequence(
                 F.col("block"), (F.col("n_blocks") - 1).cast("int"))))
             .select("crop", "bucket", F.col("block").alias("left_block"), "right_block",

@@ -49,11 +49,11 @@ def assign_splits(rows: DataFrame, seed=fv.DEFAULT_SEED,
 def collapse_splits(rows: DataFrame) -> DataFrame:
     """One split per image: that of its first row. Rows without an image keep their own."""
     named = F.coalesce(F.col("img"), F.lit("")) != ""
-    unnamed = rows.filter(~named)
+    key = F.when(named, F.concat(F.lit("i"), "img")).otherwise(
+        F.concat(F.lit("r"), F.col("row_id").cast("string")))
     first = F.min_by("split", "row_id").alias("_split")
-    collapsed = (attach_group(rows.filter(named), ["img"], [first], ["row_id"])
-                 .withColumn("split", F.col("_split")).drop("_split"))
-    return collapsed.unionByName(unnamed)
+    return (attach_group(rows.withColumn("_key", key), ["_key"], [first], ["row_id"])
+            .withColumn("split", F.col("_split")).drop("_key", "_split"))
 
 
 def split_leaks(rows: DataFrame) -> DataFrame:

@@ -35,7 +35,8 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     `spark.checkpoint.dir` names the shared folder. Only where it is unset (local tests) is
     a temporary folder used instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
