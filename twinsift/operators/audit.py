@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
+from twinsift.session import materialise
 
 
 def counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -62,18 +63,27 @@ def drop_report(statuses: DataFrame, minimum: int = fv.CLASS_THRESHOLD,
         total(usable & ~small, trimmed).alias("rows_trimmed"))
 
 
-def coverage_summary(dispositions: DataFrame, items: DataFrame, failures: DataFrame) -> DataFrame:
-    """(section, key, n): pairs by status, items by split, failed checks, overall result."""
-    pairs = counts(dispositions, "status").select(
-        F.lit("pairs").alias("section"), F.col("status").alias("key"), "n")
-    splits = counts(items, "split").select(
-        F.lit("splits").alias("section"), F.col("split").alias("key"), "n")
-    checks = counts(failures, "failure").select(
-        F.lit("failures").alias("section"), F.col("failure").alias("key"), "n")
-    failed = failures.agg(F.count("*").alias("n"))
+def coverage_summary(dispositions: DataFrame, checked: DataFrame) -> DataFrame:
+    """(section, key, n): pairs by status, items by split, failed checks, overall result.
+
+    `checked` has split and failures, an array of failed checks. Items are counted in one pass;
+    the overall result is derived from the counts.
+    """
+    def entry(section: str, key):
+        return F.struct(F.lit(section).alias("section"), key.alias("key"))
+
+    marks = F.concat(F.array(entry("splits", F.col("split"))),
+                     F.transform("failures", lambda f: entry("failures", f)))
+    of_items = materialise(
+        checked.select(F.explode(marks).alias("m")).groupBy("m.section", "m.key")
+        .agg(F.count("*").alias("n")), "coverage")
+    failed = of_items.agg(F.coalesce(F.sum(F.when(F.col("section") == "failures", F.col("n"))),
+                                     F.lit(0)).alias("n"))
     verdict = failed.select(F.lit("selfcheck").alias("section"),
                             F.when(F.col("n") == 0, "PASS").otherwise("FAIL").alias("key"), "n")
-    return pairs.unionByName(splits).unionByName(checks).unionByName(verdict)
+    pairs = counts(dispositions, "status").select(
+        F.lit("pairs").alias("section"), F.col("status").alias("key"), "n")
+    return pairs.unionByName(of_items).unionByName(verdict)
 
 
 def manifest_summary(manifest: DataFrame) -> DataFrame:

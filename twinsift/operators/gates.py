@@ -195,7 +195,7 @@ def pair_disposition(pairs: DataFrame, graphs: DataFrame, confirmed: DataFrame,
 
 # -- self-check ------------------------------------------------------------------------
 
-def item_failures(item: DataFrame) -> Column:
+def item_failures() -> Column:
     """Array of failed checks of an item row (columns as in the item schema plus tech_sign,
     has_evidence, web_verified, web_source_url)."""
     dialogue, cot = F.col("dialogue"), F.col("cot")
@@ -223,5 +223,5 @@ def item_failures(item: DataFrame) -> Column:
 
 def selfcheck(items: DataFrame) -> DataFrame:
     """(item_id, failure) for every failed check."""
-    return (items.withColumn("_failures", item_failures(items))
+    return (items.withColumn("_failures", item_failures())
             .select("item_id", F.explode("_failures").alias("failure")))

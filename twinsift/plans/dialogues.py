@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from twinsift import fixed_values as fv
 from twinsift.functions import text
 from twinsift.operators import audit, gates, items, mining, prompts
+from twinsift.operators.skew import row_number_in_group
 from twinsift.plans import lenses, pipeline
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
+from twinsift.session import materialise
 
 c = F.col
 
@@ -28,8 +31,6 @@ def _low(x: str) -> str:
     return s.lower_first(s.strip_tail(x))
 
 
-from twinsift import fixed_values as fv  # noqa: E402
-
 _TRUE, _OTHER = "true_label", "distractor"
 OPENING = sql_format(fv.OPENING_FORMAT, "host", "part", s.lower_first("observation"))
 DIAGNOSE = sql_format(fv.DIAGNOSE_FORMAT, _low("sign_true"), _TRUE, _OTHER, _low("sign_other"))
@@ -158,7 +159,8 @@ v_dialogue AS (
 
 def assembled(t):
     built = pipeline.said_lines(items.item_skeleton(pipeline.grounded(t)))
-    return items.assemble_dialogue(items.assign_persona(built, "item_id"))
+    # Grounding texts are used many times over, so they are computed and written once.
+    return items.assemble_dialogue(items.assign_persona(materialise(built, "grounded"), "item_id"))
 
 
 @query("assemble_dialogue", s.with_lenses("v_dialogue", f"""
@@ -177,15 +179,6 @@ def dialogue_stats(t):
     return audit.dialogue_stats(assembled(t))
 
 
-def checked_failures(t):
-    built = items.item_skeleton(pipeline.grounded(t))
-    with_talk = built.withColumn("dialogue", items.template_dialogue(built))
-    proof = pipeline.stored_evidence(t).select("pair_id", F.lit(True).alias("has_evidence"),
-                                               c("confirmed").alias("web_verified"),
-                                               c("source_url").alias("web_source_url"))
-    return with_talk, gates.selfcheck(with_talk.join(proof, "pair_id", "left"))
-
-
 @query("coverage_summary", s.with_lenses("v_ground", f"""
 , f AS (SELECT 1 FROM v_ground WHERE {s.strip("lower(tech_sign)")} <> '' AND contains(lower({OPENING}),
     regexp_replace({s.strip("lower(tech_sign)")}, '\\.+\\z', '')))
@@ -194,8 +187,14 @@ UNION ALL SELECT 'splits', split, count(*) FROM v_ground GROUP BY ALL
 UNION ALL SELECT 'failures', 'LEAK: technical decisive sign in farmer turn', count(*) FROM f HAVING count(*) > 0
 UNION ALL SELECT 'selfcheck', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM f"""))
 def coverage_summary(t):
-    made, failures = checked_failures(t)
-    return audit.coverage_summary(pipeline.dispositions(t), made, failures)
+    gated = pipeline.rows(t)
+    disposed = materialise(pipeline.dispositions(t, gated), "dispositions")
+    built = items.item_skeleton(pipeline.grounded(t, disposed, gated))
+    proof = pipeline.stored_evidence(t).select("pair_id", F.lit(True).alias("has_evidence"),
+                                               c("confirmed").alias("web_verified"),
+                                               c("source_url").alias("web_source_url"))
+    talked = built.withColumn("dialogue", items.template_dialogue(built)).join(proof, "pair_id", "left")
+    return audit.coverage_summary(disposed, talked.select("split", gates.item_failures().alias("failures")))
 
 
 @query("prompt_batch", s.with_lenses("v_gerr v_pairs", """
@@ -231,7 +230,6 @@ SELECT conv_id, turn, speaker, CASE speaker WHEN 'farmer' THEN 'F' ELSE 'E' END
   PARTITION BY conv_id, speaker ORDER BY turn) AS label
 FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'farmer' ELSE 'expert' END AS speaker FROM conversations)""")
 def ordered_turns(t):
-    from twinsift.operators.skew import row_number_in_group
     speaker = F.when(c("role") == "user", "farmer").otherwise("expert")
     turns = t.conversations.select("conv_id", "turn", speaker.alias("speaker"))
     numbered = row_number_in_group(turns, ["conv_id", "speaker"], F.floor(c("turn") / 1024), ["turn"], "k")
@@ -252,4 +250,6 @@ LEFT JOIN own ON own.pair_id = rep.pair_id AND own.true_label = rep.distractor
 LEFT JOIN raw ON raw.crop = p.crop AND raw.disease = rep.distractor"""))
 def review_sample(t):
     rows = pipeline.rows(t)
-    return audit.review_sample(items.item_skeleton(pipeline.grounded(t)), rows, mining.mine_pairs(rows))
+    built = items.item_skeleton(pipeline.grounded(t, gated=rows)).select(
+        "pair_id", "item_id", "img", "true_label", "distractor")
+    return audit.review_sample(materialise(built, "items"), rows, mining.mine_pairs(rows))

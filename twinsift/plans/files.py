@@ -8,6 +8,7 @@ from twinsift import schemas
 from twinsift.functions import text
 from twinsift.operators import geo, items
 from twinsift.plans import evidence as evidence_plans
+from twinsift.plans import geo as geo_plans
 from twinsift.plans import lenses, pipeline
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
@@ -37,7 +38,7 @@ SELECT CAST(row_id AS VARCHAR) AS row_id, round(lat, 6) AS lat, round(lon, 6) AS
   bio2 IS NULL AS bio2_missing FROM v_sampled"""))
 def write_enriched(t):
     rows = lenses.points(t)
-    layers = ["bio1", "bio2", "bio3"]
+    layers = geo_plans.LAYERS
     features = geo.grid_sample(geo.distinct_points(rows), lenses.cells(t), layers, 10.0)
     path = scratch_path(t.spark, "enriched")
     writers.write_enriched(geo.attach_features(rows, features), ["row_id", "lat", "lon"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinsift.functions import labels, text
-from twinsift.operators import audit, evidence, gates, items, mining, ranges, similarity, splits
+from twinsift.operators import audit, evidence, gates, mining, ranges, similarity, splits
 from twinsift.plans import lenses, pipeline
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query

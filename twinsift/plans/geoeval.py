@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import geo as gx
-from twinsift.operators import geoeval, similarity, splits
+from twinsift.operators import geoeval, items, similarity, splits
 from twinsift.plans import lenses, pipeline
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
@@ -100,7 +100,6 @@ SELECT count(*) AS n_chains, CAST(0.75 AS DOUBLE) AS cited_share,
   round(avg(CASE WHEN p.disease IS NULL THEN 0 ELSE 1 END), 4) AS backed_share
 FROM g LEFT JOIN v_prior p ON p.region = g.region AND p.disease = g.true_label"""))
 def chain_grounding(t):
-    from twinsift.operators import items
     state = dims.states(t.spark).select(c("name").alias("state"), "region")
     chains = (items.item_skeleton(pipeline.grounded(t)).join(F.broadcast(state), "state", "left")
               .select("item_id", "region", c("gold.diagnosis").alias("concluded"), "cot"))

@@ -34,28 +34,37 @@ def rows(t: Tables) -> DataFrame:
     return gates.label_gate(lenses.image_rows(t), lenses.label_report(t))
 
 
-def dispositions(t: Tables) -> DataFrame:
-    pairs = mining.mine_pairs(rows(t))
+def dispositions(t: Tables, gated: DataFrame | None = None) -> DataFrame:
+    pairs = mining.mine_pairs(rows(t) if gated is None else gated)
     return gates.pair_disposition(pairs, lenses.graph_store(t), stored_evidence(t))
 
 
-def used_pairs(t: Tables) -> DataFrame:
+def used_pairs(disposed: DataFrame) -> DataFrame:
     """Records of the pairs that become items."""
-    return dispositions(t).filter(c("status") == "used").select(
+    return disposed.filter(c("status") == "used").select(
         "pair_id", "crop", "member_a", "member_b", "kind", "graph",
         c("member_a").alias("member_a_label"), c("member_b").alias("member_b_label"))
 
 
-def selected(t: Tables) -> DataFrame:
-    """(pair, member, image) rows of used pairs with graph, label and split."""
-    placed = splits.collapse_splits(splits.assign_splits(rows(t)))
-    used = materialise(used_pairs(t), "used-pairs")
+def selected(t: Tables, disposed: DataFrame | None = None,
+             gated: DataFrame | None = None) -> DataFrame:
+    """(pair, member, image) rows of used pairs with graph, label and split.
+
+    Used pairs serve two joins, so they are written once.
+    """
+    gated = rows(t) if gated is None else gated
+    if disposed is None:
+        used = materialise(used_pairs(dispositions(t, gated)), "used-pairs")
+    else:
+        used = used_pairs(disposed)
+    placed = splits.collapse_splits(splits.assign_splits(gated))
     picked = items.select_items(placed, used, lenses.visibility_labels(t))
     return picked.join(used.drop("crop"), "pair_id")
 
 
-def grounded(t: Tables) -> DataFrame:
-    return items.ground_items(selected(t))
+def grounded(t: Tables, disposed: DataFrame | None = None,
+             gated: DataFrame | None = None) -> DataFrame:
+    return items.ground_items(selected(t, disposed, gated))
 
 
 def said_lines(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinsift.operators import audit, splits
-from twinsift.plans import lenses
+from twinsift.plans import lenses, pipeline  # noqa: F401 - pipeline states the split in SQL
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
 
@@ -17,7 +17,7 @@ def _rate(name: str, filled: str, table: str) -> str:
             f"CAST(floor(100 * {filled} / count(*)) AS BIGINT) AS percent FROM {table}")
 
 
-@query("fill_rates", s.with_lenses("v_geo v_gaz", f"""
+@query("fill_rates", s.with_lenses("v_geo", f"""
 {_rate('lat_text', "count(*) FILTER (has_point)", 'v_geo')}
 UNION ALL {_rate('county', "count(*) FILTER (row_id % 5 = 0)", 'v_geo')}
 UNION ALL {_rate('state', "count(*) FILTER (false)", 'v_geo')}

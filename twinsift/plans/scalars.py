@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, hashing, labels, metadata, text
-from twinsift.operators import mining
+from twinsift.operators import items, mining
 from twinsift.plans import lenses
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
@@ -366,19 +366,10 @@ def assign_bucket(t):
     return lenses.image_rows(t).select("img", hashing.digest_modulo(key, fv.N_PERSONAS).alias("position"))
 
 
-PERSONA_CTE = """personas AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position, personality FROM (
-  SELECT DISTINCT personality || '.' || v AS id, personality
-  FROM unnest(['plain','overanxious','distrustful','talkative','reticent','impatient']) p(personality),
-    unnest(['C1.high.none','B1.high.none','A2.high.none','C1.medium.none','C1.low.none',
-            'C1.high.mild','C1.high.high']) q(v)) QUALIFY position < 37)"""
-s.add_lens("personas", PERSONA_CTE, ())
-
-
 @query("persona_dim", s.with_lenses("personas v_rows", f"""
 SELECT id AS persona_id, personality, count(*) AS n_images FROM personas JOIN (
   SELECT {_MOD} AS position FROM (SELECT {_DIGEST} AS h FROM v_rows)) USING (position) GROUP BY ALL"""))
 def persona_dim(t):
-    from twinsift.operators import items
     return (items.assign_persona(lenses.image_rows(t).select("img"), "img")
             .groupBy("persona_id", "personality").agg(F.count("*").alias("n_images")))
 

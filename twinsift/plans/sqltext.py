@@ -263,6 +263,12 @@ V_SCORES = f"""v_scores AS (
     support AS matched_support
   FROM v_epairs p LEFT JOIN v_match m USING (crop, member_a, member_b))"""
 
+PERSONAS = """personas AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position, personality FROM (
+  SELECT DISTINCT personality || '.' || v AS id, personality
+  FROM unnest(['plain','overanxious','distrustful','talkative','reticent','impatient']) p(personality),
+    unnest(['C1.high.none','B1.high.none','A2.high.none','C1.medium.none','C1.low.none',
+            'C1.high.mild','C1.high.high']) q(v)) QUALIFY position < 37)"""
+
 _LENSES = {
     "us_states": (US_STATES, ()), "v_rows": (V_ROWS, ("us_states",)), "v_emb": (V_EMB, ()),
     "v_evid": (V_EVID, ()), "v_store": (V_STORE, ("v_evid",)), "v_graph": (V_GRAPH, ()),
@@ -271,7 +277,7 @@ _LENSES = {
     "v_gated": (V_GATED, ("v_rows", "v_report")), "v_geo": (V_GEO, ("us_states",)),
     "v_points": (V_POINTS, ()), "v_cells": (V_CELLS, ()), "v_class": (V_CLASS, ("v_rows",)),
     "v_pairs": (V_PAIRS, ("v_class",)), "v_nn": (V_NN, ("v_emb",)),
-    "v_scores": (V_SCORES, ("v_nn",)),
+    "v_scores": (V_SCORES, ("v_nn",)), "personas": (PERSONAS, ()),
 }
 
 
