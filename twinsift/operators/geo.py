@@ -40,21 +40,26 @@ def geo_ladder(rows: DataFrame, counties: DataFrame) -> DataFrame:
     `rows` has row_id, lat_text, lon_text, state, county, location; `counties` is a gazetteer.
     A coordinate of exactly zero counts as missing.
     """
-    lat = F.coalesce(F.col("lat_text"), F.lit("")).try_cast("double")
-    lon = F.coalesce(F.col("lon_text"), F.lit("")).try_cast("double")
+    lat, lon = F.col("_lat"), F.col("_lon")
     has_point = F.coalesce((lat != 0) & (lon != 0), F.lit(False))
-    parts = F.transform(F.split(F.coalesce(F.col("location"), F.lit("")), ","), text.strip)
-    candidates = F.transform(
-        F.concat(F.array(text.strip(F.coalesce(F.col("state"), F.lit("")))), parts),
-        lambda c: F.lower(c))
+    names = [r[0].lower() for r in fv.table(fv.US_STATES)]
+    # Blank text is sorted out before the cast: a failing cast is slow.
+    parted = rows.withColumns({
+        "_lat": text.present(F.col("lat_text")).try_cast("double"),
+        "_lon": text.present(F.col("lon_text")).try_cast("double"),
+        "_parts": F.transform(F.split(F.coalesce(F.col("location"), F.lit("")), ","), text.strip)})
+    lowered = F.transform("_parts", lambda p: F.lower(p))
+    own_state = F.lower(text.strip(F.coalesce(F.col("state"), F.lit(""))))
+    state_key = F.when(own_state.isin(*names), own_state).otherwise(
+        F.get(F.filter(lowered, lambda p: p.isin(*names)), F.lit(0)))
     given = F.regexp_replace(F.lower(text.strip(F.coalesce(F.col("county"), F.lit("")))),
                              r"\s+(county|parish|borough)\z", "")
-    named = F.get(F.filter(parts, lambda p: p.rlike(r"(?i)\bcounty\b")), F.lit(0))
+    named = F.get(F.filter("_parts", lambda p: F.lower(p).contains("county")
+                           & p.rlike(r"(?i)\bcounty\b")), F.lit(0))
     recovered = F.lower(F.regexp_replace(named, r"(?i)\s+county\z", ""))
-    names = [r[0].lower() for r in fv.table(fv.US_STATES)]
-    first_known = F.get(F.filter(candidates, lambda c: c.isin(*names)), F.lit(0))
-    keyed = (rows.withColumn("state_key", first_known)
-             .withColumn("_county", F.coalesce(F.when(given != "", given), recovered)))
+    keyed = parted.withColumns({
+        "state_key": state_key,
+        "_county": F.when(given != "", given).otherwise(recovered)}).drop("_parts")
     states = dims.states(rows.sparkSession)
     with_state = keyed.join(
         F.broadcast(states.select("state_key", "usps", "state_lat", "state_lon")),
@@ -67,15 +72,15 @@ def geo_ladder(rows: DataFrame, counties: DataFrame) -> DataFrame:
     def pick(point, county, state):
         return F.when(has_point, point).when(in_county, county).when(in_state, state)
 
-    return (found
-            .withColumn("geo_lat", F.round(pick(lat, F.col("county_lat"), F.col("state_lat")), 6))
-            .withColumn("geo_lon", F.round(pick(lon, F.col("county_lon"), F.col("state_lon")), 6))
-            .withColumn("geo_precision", F.coalesce(
-                pick(F.lit("point"), F.lit("county"), F.lit("state")), F.lit("none")))
-            .withColumn("geo_source", pick(F.lit("given_point"), F.lit("county_centroid"),
-                                           F.lit("state_centroid")))
-            .drop("_county", "usps", "state_key", "county_lat", "county_lon",
-                  "state_lat", "state_lon"))
+    return found.withColumns({
+        "geo_lat": F.round(pick(lat, F.col("county_lat"), F.col("state_lat")), 6),
+        "geo_lon": F.round(pick(lon, F.col("county_lon"), F.col("state_lon")), 6),
+        "geo_precision": F.coalesce(
+            pick(F.lit("point"), F.lit("county"), F.lit("state")), F.lit("none")),
+        "geo_source": pick(F.lit("given_point"), F.lit("county_centroid"),
+                           F.lit("state_centroid")),
+    }).drop("_lat", "_lon", "_county", "usps", "state_key", "county_lat", "county_lon",
+            "state_lat", "state_lon")
 
 
 def distinct_points(rows: DataFrame) -> DataFrame:

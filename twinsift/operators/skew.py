@@ -115,7 +115,7 @@ def rank_by_hash(df: DataFrame, digest: str, name: str, total: str) -> DataFrame
     ordered buckets; only their counts meet in one place.
     """
     ranked = row_number_in_group(
-        df.withColumn("_all", F.lit(0)), ["_all"], F.substring(digest, 1, 3), [digest], name,
+        df.withColumn("_all", F.substring(digest, 1, 0)), ["_all"], F.substring(digest, 1, 3), [digest], name,
         total)
     return ranked.withColumn(name, F.col(name) - 1).drop("_all")
 
