@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import linededup, mixing, packing, quality
+from twinsift.llm import jaccard, linededup, mixing, packing, quality
 from twinsift.llm.queries import tokenizer_path
 from twinsift.session import materialise
 
@@ -24,6 +24,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return linededup.drop_lines(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of similar documents."""
+    return jaccard.keep_one(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.expand(docs)
@@ -37,6 +42,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
     ("mixing sources to target weights", mixing_stage),
     ("packing", packing_stage),
 ]

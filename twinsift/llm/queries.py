@@ -52,6 +52,11 @@ def op7_site_style_tree(spark: SparkSession, sf: str) -> DataFrame:
     return extract(table(spark, sf, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from twinsift.llm.jaccard import jaccard_components
+    return jaccard_components(table(spark, sf, "documents"))
+
+
 def op9_repetition(spark: SparkSession, sf: str) -> DataFrame:
     from twinsift.llm.repetition import repetition_rules
     return repetition_rules(table(spark, sf, "documents"))
@@ -64,7 +69,7 @@ def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     found = (op1_packing, op2_mixing, op3_token_counts, op4_line_dedup, op5_quality, op6_vp_trees,
-             op7_site_style_tree, op9_repetition, op10_url_rules)
+             op7_site_style_tree, op8_jaccard_join, op9_repetition, op10_url_rules)
     return {f.__name__: f for f in found}
 
 
