@@ -38,5 +38,5 @@ def test_filter_reaches_the_scan(spark):
     from twinsift.plans.registry import Tables
     from twinsift.operators import geo
     events = Tables(spark, FOLDER).events.selectExpr("user_id as cell", "ts", "value", "event_id as sample_id")
-    plan = plan_of(geo.temporal_composite(events, "2024-01-05 00:00:00", "2024-01-06 00:00:00", "mean"))
+    plan = plan_of(geo.temporal_composite(events, "2024-01-05 00:00:00", "2024-01-06 00:00:00", ["mean"]))
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan

@@ -27,15 +27,13 @@ def test_salted_join(rows, how):
         (lambda d: d.select(sorted(d.columns)))(rows.join(right, "k", how)))
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_checked_join(rows, how, limit):
+def test_checked_join(rows, how):
     right = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 'k3'")
-    got = skew.checked_join(rows, right, ["k"], ["id"], how, limit)
+    got = skew.checked_join(rows, right, ["k"], how)
     want = rows.join(right, "k", how)
     assert bag(got.select(sorted(got.columns))) == bag(want.select(sorted(want.columns)))
-    plan = got._jdf.queryExecution().optimizedPlan().toString()
-    assert ("strategy=broadcast" in plan) == (limit > 0)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_lookup(rows):

@@ -42,17 +42,30 @@ def test_gazetteer_is_latin1_trimmed_and_skips_bad_rows(spark, tmp_path):
     text = ("USPS\tGEOID\tNAME\tINTPTLAT\tINTPTLONG  \nPR\t1\tMayagüez Municipio\t18.2\t -67.1  \n"
             "IA\t2\tPolk County\t41.6\t-93.5\nIA\t3\tshort\nIA\t4\tBad County\tx\t1\nIA\t5\tPOLK county\t41.7\t-93.6\n")
     (tmp_path / "gaz.txt").write_bytes(text.encode("latin-1"))
-    raw = readers.gazetteer_tsv(spark, str(tmp_path)).withColumn("row_id", F.col("GEOID").cast("int"))
+    raw = readers.gazetteer_tsv(spark, str(tmp_path))
     got = {(r["usps"], r["county"]): (r["county_lat"], r["county_lon"]) for r in geo.gazetteer(raw).collect()}
     assert got == {("PR", "mayagüez"): (18.2, -67.1), ("IA", "polk"): (41.7, -93.6)}
 
 
+def test_gazetteer_of_the_published_layout(spark, tmp_path):
+    head = "USPS\tGEOID\tANSICODE\tNAME\tALAND\tAWATER\tALAND_SQMI\tAWATER_SQMI\tINTPTLAT\tINTPTLONG   "
+    (tmp_path / "gaz.txt").write_text(f"{head}\nIA\t1\t2\tPolk County\t3\t4\t5\t6\t41.6\t-93.5\n")
+    got = geo.gazetteer(readers.gazetteer_tsv(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in got] == [("IA", "polk", 41.6, -93.5)]
+
+
+def test_csv_is_bound_by_header_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('County,Notes,Description, Image Number\nLake,x,"a, b",7\n')
+    row = readers.metadata_csv(spark, str(tmp_path)).first()
+    assert (row["Image Number"], row["County"], row["Description"], row["State"]) == ("7", "Lake", "a, b", "")
+
+
 def test_csv_keeps_quotes_newlines_and_empty_text(spark, tmp_path):
     rows = [("a", 'say "hi", then\nleave', None), ("b", "", "x")]
     df = spark.createDataFrame(rows, "id string, note string, extra string")
     path = str(tmp_path / "csv")
     writers.write_enriched(df, ["id", "note"], ["note", "extra"], path)
-    got = readers.metadata_csv(spark, path, "id string, note string, extra string").collect()
+    got = readers.metadata_csv(spark, path, ["id", "note", "extra"], line_breaks=True).collect()
     assert sorted(map(tuple, got)) == [("a", 'say "hi", then\nleave', ""), ("b", "", "x")]
 
 
@@ -115,6 +128,6 @@ def test_replayed_batch_is_idempotent(spark, tmp_path):
 
 
 def test_schemas_parse(spark):
-    for ddl in (schemas.IMAGE_ROWS, schemas.SCRAPED_ROWS, schemas.GRAPH_RECORDS, schemas.ITEMS,
-                schemas.LABEL_REPORT, schemas.GAZETTEER, schemas.JOURNAL):
+    for ddl in (schemas.IMAGE_ROWS, schemas.GRAPH_RECORDS, schemas.ITEMS,
+                schemas.LABEL_REPORT, schemas.JOURNAL):
         assert spark.createDataFrame([], ddl).columns

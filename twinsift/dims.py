@@ -31,32 +31,26 @@ def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 @cache
 def states(spark: SparkSession) -> DataFrame:
-    regions = dict(fv.table(fv.CENSUS_REGIONS))
-    rows = [
-        (name, name.lower(), int(fips), usps or None, float(lat), float(lon),
-         division or None, regions.get(division))
-        for name, fips, usps, lat, lon, division in fv.table(fv.US_STATES)
-    ]
+    rows = [(name, name.lower(), fips, usps, lat, lon, division, fv.CENSUS_REGIONS.get(division))
+            for name, fips, usps, lat, lon, division in fv.US_STATES]
     return _frame(spark, rows, "name string, state_key string, fips int, usps string, "
                                "state_lat double, state_lon double, division string, region string")
 
 
 @cache
 def koppen(spark: SparkSession) -> DataFrame:
-    rows = [(i, code, fv.KOPPEN_MAJOR_NAMES[code[0]])
-            for i, code in enumerate(fv.KOPPEN_CODES.split(), start=1)]
+    rows = [(i, code, fv.KOPPEN_MAJOR_NAMES[code[0]]) for i, code in fv.KOPPEN_CODES.items()]
     return _frame(spark, rows, "class_id int, koppen_code string, koppen_name string")
 
 
 @cache
 def legend(spark: SparkSession) -> DataFrame:
     """All legends in one long table: (legend, code, label)."""
-    rows = [("koppen", str(i), code)
-            for i, code in enumerate(fv.KOPPEN_CODES.split(), start=1)]
+    rows = [("koppen", str(i), code) for i, code in fv.KOPPEN_CODES.items()]
     rows += [("land_cover", str(k), v) for k, v in fv.LAND_COVER.items()]
-    rows += [("bioclim", k, v) for k, v in fv.table(fv.BIOCLIM_NAMES)]
-    rows += [("division_region", k, v) for k, v in fv.table(fv.CENSUS_REGIONS)]
-    rows += [("fips_state", r[1], r[0]) for r in fv.table(fv.US_STATES)]
+    rows += [("bioclim", k, v) for k, v in fv.BIOCLIM_NAMES.items()]
+    rows += [("division_region", k, v) for k, v in fv.CENSUS_REGIONS.items()]
+    rows += [("fips_state", str(r[1]), r[0]) for r in fv.US_STATES]
     return _frame(spark, rows, "legend string, code string, label string")
 
 

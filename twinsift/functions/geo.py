@@ -56,8 +56,8 @@ def zone_attribute(lat: Column, lon: Column, attribute: int) -> Column:
     """Attribute of the first half-open latitude band that holds the point."""
     inside_lon = (lon >= fv.ZONE_LON_MIN) & (lon < fv.ZONE_LON_MAX)
     result = F.lit(None).cast("string")
-    for band in reversed(fv.table(fv.ZONE_BANDS)):
-        hit = (lat >= float(band[0])) & (lat < float(band[1])) & inside_lon
+    for band in reversed(fv.ZONE_BANDS):
+        hit = (lat >= band[0]) & (lat < band[1]) & inside_lon
         result = F.when(hit, F.lit(band[attribute])).otherwise(result)
     return result
 

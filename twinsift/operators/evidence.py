@@ -89,10 +89,9 @@ def pair_manifest(pairs: DataFrame, evidence: DataFrame, scores: DataFrame,
                     (~checked).alias("needs_web")))
 
 
-def needs_web(manifest: DataFrame) -> DataFrame:
+def needs_web(unchecked: DataFrame) -> DataFrame:
     """Unchecked pairs with minimal context, most promising first."""
-    return (manifest.filter("needs_web")
-            .select("pair_id", "crop", "member_a", "member_b", "lookalike_prior")
+    return (unchecked.select("pair_id", "crop", "member_a", "member_b", "lookalike_prior")
             .orderBy(F.desc("lookalike_prior"), "pair_id"))
 
 

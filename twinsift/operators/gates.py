@@ -46,8 +46,8 @@ def judge_rows(rows: DataFrame, report: DataFrame, drop_questionable: bool = Fal
     flagged = (disease_verdicts(report).filter(~F.col("skip") & F.col("verdict").isin(*wanted))
                .groupBy(*CLASS)
                .agg(F.bool_or(F.col("verdict") == "INCORRECT").alias("incorrect")))
-    joined = checked_join(rows, crop_verdicts(report), ["crop"], ["img"], "left")
-    joined = checked_join(joined, flagged, CLASS, ["img"], "left")
+    joined = checked_join(rows, crop_verdicts(report), ["crop"], "left")
+    joined = checked_join(joined, flagged, CLASS, "left")
     status = (F.when(F.coalesce(F.col("bad_crop"), F.lit(False)), "bad_crop")
               .when(F.col("incorrect"), "incorrect_disease")
               .when(F.col("incorrect").isNotNull(), "questionable_disease")
@@ -87,7 +87,7 @@ def usable_status(scraped: DataFrame, aliases: DataFrame) -> DataFrame:
     `scraped` needs host_name, subject, location; `aliases` maps host_name to crop (null for
     hosts that are no crops).
     """
-    joined = checked_join(scraped, aliases, ["host_name"], ["row_id"], "left")
+    joined = checked_join(scraped, aliases, ["host_name"], "left")
     located = joined.withColumn("state_key", F.lower(text.strip(
         F.coalesce(F.col("location"), F.lit("")))))
     state = dims.states(scraped.sparkSession).select("state_key", "state_lat", "state_lon")
@@ -103,9 +103,9 @@ def usable_status(scraped: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def class_threshold(rows: DataFrame, minimum: int = fv.CLASS_THRESHOLD,
-                    keys=tuple(CLASS), spread_by=("img",)) -> DataFrame:
+                    keys=tuple(CLASS)) -> DataFrame:
     """Rows of classes with at least `minimum` rows, with the class size attached."""
-    sized = attach_class(rows, list(keys), [F.count("*").alias("class_rows")], list(spread_by))
+    sized = attach_class(rows, list(keys), [F.count("*").alias("class_rows")])
     return sized.filter(F.col("class_rows") >= minimum)
 
 

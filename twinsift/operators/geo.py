@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, text
-from twinsift.operators.skew import checked_join, exact_median, lookup, salted_join
+from twinsift.operators.skew import checked_join, exact_median, lookup
 
 POINT = ["lat", "lon"]
 
@@ -42,7 +42,7 @@ def geo_ladder(rows: DataFrame, counties: DataFrame) -> DataFrame:
     """
     lat, lon = F.col("_lat"), F.col("_lon")
     has_point = F.coalesce((lat != 0) & (lon != 0), F.lit(False))
-    names = [r[0].lower() for r in fv.table(fv.US_STATES)]
+    names = [r[0].lower() for r in fv.US_STATES]
     # Blank text is sorted out before the cast: a failing cast is slow.
     parted = rows.withColumns({
         "_lat": text.present(F.col("lat_text")).try_cast("double"),
@@ -65,7 +65,7 @@ def geo_ladder(rows: DataFrame, counties: DataFrame) -> DataFrame:
         F.broadcast(states.select("state_key", "usps", "state_lat", "state_lon")),
         "state_key", "left")
     found = checked_join(with_state, counties.withColumnRenamed("county", "_county"),
-                         ["usps", "_county"], ["row_id"], "left")
+                         ["usps", "_county"], "left")
     in_county = F.col("county_lat").isNotNull()
     in_state = F.col("state_lat").isNotNull()
 
@@ -100,12 +100,12 @@ def grid_sample(points: DataFrame, cells: DataFrame, layers: Sequence[str],
                 res: float) -> DataFrame:
     """Value of every layer in the cell under each point.
 
-    Layers of one resolution are made wide first, so each point is joined once.
+    Only cells under some point are made wide, so the raster is cut down before it moves.
     """
     keyed = (points.withColumn("row", geo.cell_row(F.col("lat"), res))
              .withColumn("col", geo.cell_col(F.col("lon"), res)))
-    return salted_join(keyed, wide_cells(cells, layers), ["row", "col"], POINT, "left").drop(
-        "row", "col")
+    met = cells.join(keyed.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    return keyed.join(wide_cells(met, layers), ["row", "col"], "left").drop("row", "col")
 
 
 def grid_sample_fallback(points: DataFrame, fine: DataFrame, fine_res: float,
@@ -124,30 +124,32 @@ def attach_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     return lookup(keyed, features, POINT, ["row_id"])
 
 
-def temporal_composite(samples: DataFrame, start: str, end: str, how: str,
+def temporal_composite(samples: DataFrame, start: str, end: str, hows: Sequence[str],
                        scale_factor: float = 1.0) -> DataFrame:
-    """Per-cell composite of a time layer (cell, ts, value) over [start, end).
+    """Per-cell composites of a time layer (cell, ts, value) over [start, end), and its n_days.
 
-    `how` is mean, median, or mosaic (the latest value, by ts then sample id).
+    Each of `hows` gives a column: mean, median, or mosaic (the latest value, by ts then sample
+    id). All but the median come from one aggregation.
     """
     span = samples.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
                           & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
-    if how == "median":
-        out = exact_median(span, ["cell"], "value", "composite")
-    elif how == "mosaic":
-        out = span.groupBy("cell").agg(
-            F.max_by("value", F.struct("ts", "sample_id")).alias("composite"))
-    else:
-        out = span.groupBy("cell").agg(F.avg("value").alias("composite"))
-    return out.withColumn("composite", F.col("composite") * scale_factor)
+    known = {"mean": F.avg("value"), "mosaic": F.max_by("value", F.struct("ts", "sample_id"))}
+    out = span.groupBy("cell").agg(
+        F.countDistinct(F.to_date("ts")).alias("n_days"),
+        *[known[how].alias(how) for how in hows if how in known])
+    if "median" in hows:
+        out = out.join(exact_median(span, ["cell"], "value", "median"), "cell", "left")
+    return out.select("cell", "n_days", *[(F.col(how) * scale_factor).alias(how) for how in hows])
 
 
 def zonal_reduce(points: DataFrame, cells: DataFrame, res: float, reach: int,
-                 reducer: str) -> DataFrame:
+                 reducers: Sequence[str], mode_step: float | None = None) -> DataFrame:
     """Reduce the cells within `reach` rows and columns of each point; nodata is left out.
 
-    A group holds at most (2 * reach + 1) squared cells. Ties of the mode go to the smallest
-    value; an unknown reducer means mean; `first` is the northernmost, then westernmost cell.
+    One join serves all reducers, each of which gives a column of its name. A group holds at most
+    (2 * reach + 1) squared cells. Ties of the mode go to the smallest value; `mode_step` floors
+    continuous values to its multiples first. An unknown reducer means mean; `first` is the
+    northernmost, then westernmost cell.
     """
     offsets = F.sequence(F.lit(-reach), F.lit(reach))
     around = (points.withColumn("row", F.explode(F.transform(
@@ -155,20 +157,23 @@ def zonal_reduce(points: DataFrame, cells: DataFrame, res: float, reach: int,
               .withColumn("col", F.explode(F.transform(
                   offsets, lambda d: geo.cell_col(F.col("lon"), res) + d))))
     valued = cells.filter(~F.col("value").eqNullSafe(F.col("nodata"))).select("row", "col", "value")
-    hits = salted_join(around, valued, ["row", "col"], POINT)
-    reduced = {
+    stepped = F.floor(F.col("value") / mode_step) * mode_step if mode_step else F.col("value")
+    known = {
         "median": F.median("value"),
-        "mode": F.mode("value", True),
+        "mode": F.mode(stepped, True),
         "first": F.min_by("value", F.struct("row", "col")),
-    }.get(reducer, F.avg("value"))
-    return hits.groupBy(*POINT).agg(F.count("*").alias("n_cells"), reduced.alias("reduced"))
+    }
+    return around.join(valued, ["row", "col"]).groupBy(*POINT).agg(
+        F.count("*").alias("n_cells"),
+        *[known.get(name, F.avg("value")).alias(name) for name in reducers])
 
 
 def zone_polygon_join(points: DataFrame, polygons: DataFrame, res: float = 10.0) -> DataFrame:
     """First polygon (by priority) that contains each point; null where there is none.
 
-    `polygons` has priority, zone and ring, an array of (lat, lon) structs. Polygons are laid
-    on a grid by their bounding box, so candidates meet by cell instead of by nested loops.
+    `polygons` has priority (unique), zone and ring, an array of (lat, lon) structs. Polygons are
+    laid on a grid by their bounding box, so candidates meet by cell instead of by nested loops;
+    rings are fetched for the candidates only.
     """
     lats, lons = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lon"])
     boxed = (polygons
@@ -178,7 +183,8 @@ def zone_polygon_join(points: DataFrame, polygons: DataFrame, res: float = 10.0)
                  geo.cell_col(F.array_min(lons), res), geo.cell_col(F.array_max(lons), res)))))
     keyed = (points.withColumn("row", geo.cell_row(F.col("lat"), res))
              .withColumn("col", geo.cell_col(F.col("lon"), res)))
-    hits = (salted_join(keyed, boxed, ["row", "col"], POINT)
+    candidates = keyed.join(boxed.select("row", "col", "priority"), ["row", "col"])
+    hits = (candidates.join(polygons, "priority")
             .filter(geo.in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
             .groupBy(*POINT).agg(F.min_by("zone", "priority").alias("zone")))
     return points.join(hits, POINT, "left")

@@ -96,8 +96,7 @@ def mine_pairs(rows: DataFrame, minimum: int = fv.MIN_ROWS_PER_CLASS) -> DataFra
 
 def with_shared_regions(pairs: DataFrame) -> DataFrame:
     """Census regions of the shared states, as a sorted array without repeats."""
-    regions = {r[0]: dict(fv.table(fv.CENSUS_REGIONS)).get(r[5])
-               for r in fv.table(fv.US_STATES) if r[5]}
+    regions = {r[0]: fv.CENSUS_REGIONS[r[5]] for r in fv.US_STATES if r[5]}
     found = F.transform("shared_states", lambda s: text.lookup(s, regions))
     return pairs.withColumn("shared_regions", F.array_sort(F.array_distinct(F.array_compact(found))))
 
@@ -161,7 +160,7 @@ def state_centroids(df: DataFrame, state_col: str) -> DataFrame:
 def decode_states(df: DataFrame, code_col: str, name: str) -> DataFrame:
     """Canonical state name from a "us_<FIPS>" token, a bare FIPS number or a known name."""
     raw = text.strip(F.coalesce(F.col(code_col), F.lit("")))
-    names = [r[0].lower() for r in fv.table(fv.US_STATES)]
+    names = [r[0].lower() for r in fv.US_STATES]
     is_name = F.lower(raw).isin(*names)
     as_given = F.when(raw == F.lower(raw), F.initcap(raw)).otherwise(raw)
     digits = F.regexp_replace(F.replace(F.lower(raw), F.lit("us_"), F.lit("")),

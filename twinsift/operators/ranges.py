@@ -29,7 +29,8 @@ def classify_ranges(names: DataFrame, country_counts: DataFrame,
                     continent_counts: DataFrame) -> DataFrame:
     """Restriction class, descriptive counts and reason per name.
 
-    `names` has name, status, match_type, rank, total. Facets come as long tables.
+    `names` has name, status, match_type, usage_key, rank, total; a name without a usage key has
+    no reliable match. Facets come as long tables.
     """
     per_country = country_counts.groupBy("name").agg(F.count("*").alias("n_countries"))
     effective = (effective_countries(country_counts, names).groupBy("name")
@@ -44,7 +45,7 @@ def classify_ranges(names: DataFrame, country_counts: DataFrame,
     n, c = F.col("eff_countries"), F.col("n_continents")
     generalist = labels.is_generalist(F.col("name")) | F.coalesce(F.col("generalist"), F.lit(False))
     unmatched = (~F.col("status").eqNullSafe("ok")) | F.col("match_type").isNull() | (
-        F.col("match_type") == "NONE")
+        F.col("match_type") == "NONE") | F.col("usage_key").isNull()
     coarse = (F.col("match_type") == "HIGHERRANK") | F.coalesce(
         (F.col("rank") != "") & ~F.col("rank").isin("SPECIES", "SUBSPECIES", "VARIETY", "FORM"),
         F.lit(False))

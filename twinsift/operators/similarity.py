@@ -72,7 +72,7 @@ def _best_of_block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def _blocks(emb: DataFrame, block_rows: int) -> DataFrame:
     """Blocks of about `block_rows` vectors per (crop, bucket), each sorted by class."""
     keys = ["crop", "bucket"]
-    sized = attach_class(emb, keys, [F.ceil(F.count("*") / block_rows).alias("n_blocks")], ["img"])
+    sized = attach_class(emb, keys, [F.ceil(F.count("*") / block_rows).alias("n_blocks")])
     member = F.struct("disease", "img", "embedding")
     packed = (sized.withColumn("block", F.pmod(F.xxhash64("img", F.lit("block")),
                                                F.col("n_blocks")).cast("int"))
@@ -111,7 +111,6 @@ def nn_by_class(emb: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """
     image = ["crop", "bucket", "img"]
     best = (_block_pairs(emb, block_rows).mapInArrow(_best_of_block_pairs, BEST_SCHEMA)
-            .repartition(*image)
             .groupBy(*image, "disease", "other").agg(F.max("best").alias("best")))
     own = F.max(F.when(F.col("disease") == F.col("other"), F.col("best")))
     return best.withColumn("own", own.over(W.Window.partitionBy(*image)))
@@ -319,7 +318,7 @@ def class_head_sample(emb: DataFrame, cap: int) -> DataFrame:
 def member_worklist(images: DataFrame, members: DataFrame) -> DataFrame:
     """Images of the classes that take part in some pair."""
     return checked_join(images, members.select("crop", "disease").distinct(),
-                        ["crop", "disease"], ["img"], "left_semi")
+                        ["crop", "disease"], "left_semi")
 
 
 def pair_members(pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import window as W
 from twinsift.session import materialise
 
 SALTS = 16
-BROADCAST_ROWS = 100_000     # narrow rows of keys and a few values: some ten megabytes
 SALT = "_salt"
 
 
@@ -36,17 +35,14 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by:
     return spread.join(repeated, [*on, SALT], how).drop(SALT)
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str],
-                 how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str],
+                 how: str = "inner") -> DataFrame:
     """Join of a large table with one that is expected to be small, like one row per class.
 
-    The right side is written out and counted first. Up to `limit` rows it is broadcast, so the
-    large side is not shuffled at all; beyond that the salted join takes over.
+    The right side is written out first, so the planner knows its bytes: below its broadcast
+    threshold the large side is not shuffled at all, beyond it adaptive execution splits hot keys.
     """
-    table = materialise(right, "lookup")
-    if table.count() <= limit:
-        return left.join(F.broadcast(table), list(on), how)
-    return salted_join(left, table, on, spread_by, how)
+    return left.join(materialise(right, "lookup"), list(on), how)
 
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
@@ -63,10 +59,10 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequ
     return salted.join(found, [*keys, SALT], "left").drop(SALT)
 
 
-def attach_class(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],
-                 spread_by: Sequence[str]) -> DataFrame:
+def attach_class(df: DataFrame, keys: Sequence[str],
+                 aggregates: Sequence[Column]) -> DataFrame:
     """Add per-group aggregates to every row where groups are expected to be few (classes)."""
-    return checked_join(df, df.groupBy(*keys).agg(*aggregates), keys, spread_by)
+    return checked_join(df, df.groupBy(*keys).agg(*aggregates), keys)
 
 
 def attach_group(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column],

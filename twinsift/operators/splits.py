@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
 from twinsift.functions import hashing
@@ -11,11 +12,18 @@ from twinsift.operators.skew import attach_group, checked_join, rank_by_hash
 
 
 def held_out_states(rows: DataFrame, seed, n: int = fv.HELD_OUT_STATES,
-                    smallest: int = fv.HELD_OUT_STATE_MIN,
-                    largest: int = fv.HELD_OUT_STATE_MAX) -> DataFrame:
-    """At most `n` states of middling size, in seeded hash order."""
-    return (rows.groupBy("state").agg(F.count("*").alias("n_rows"))
-            .filter(F.col("n_rows").between(smallest, largest))
+                    shares: tuple[float, float] = fv.HELD_OUT_STATE_SHARES,
+                    counts: tuple[int, int] | None = None) -> DataFrame:
+    """At most `n` states of middling size, in seeded hash order.
+
+    Size is meant as a share of all rows, so that it holds for tables of any size; `counts`
+    (fewest and most rows) takes its place where it is given.
+    """
+    sizes = rows.groupBy("state").agg(F.count("*").alias("n_rows"))
+    total = F.sum("n_rows").over(W.Window.partitionBy(F.lit(0)))
+    low, high = counts if counts else (F.lit(s) * total for s in shares)
+    return (sizes.withColumns({"_low": F.lit(low), "_high": F.lit(high)})
+            .filter(F.col("n_rows").between(F.col("_low"), F.col("_high")))
             .withColumn("_key", hashing.order_key(seed, F.col("state")))
             .orderBy("_key").limit(n).select("state"))
 
@@ -38,7 +46,7 @@ def assign_splits(rows: DataFrame, seed=fv.DEFAULT_SEED,
     region = held_out_states(rows, seed).withColumn("_region", F.lit(True))
     crops = held_out_crops(rows, seed).withColumn("_species", F.lit(True))
     joined = rows.join(F.broadcast(region), "state", "left")     # at most six rows
-    joined = checked_join(joined, crops, ["crop"], ["row_id"], "left")
+    joined = checked_join(joined, crops, ["crop"], "left")
     random = hashing.seeded_uniform(seed, F.col("row_id")) < random_share
     split = (F.when(F.col("_region"), "test_heldout_region")
              .when(F.col("_species"), "test_heldout_species")

@@ -197,16 +197,15 @@ def coverage_summary(t):
     return audit.coverage_summary(disposed, talked.select("split", gates.item_failures().alias("failures")))
 
 
-@query("prompt_batch", s.with_lenses("v_gerr v_pairs", """
+@query("prompt_batch", s.with_lenses("v_gerr v_pairs", f"""
 SELECT p.pair_id, 'CROP: ' || p.crop || chr(10) || 'MEMBER_A: ' || p.member_a || ' (class: ' || class_a || '; ' || n_imgs_a
     || ' images)' || chr(10) || 'MEMBER_B: ' || p.member_b || ' (class: ' || class_b || '; ' || n_imgs_b || ' images)' || chr(10)
     || 'shared image descriptors: ' || CASE WHEN len(shared_descriptors) = 0 THEN 'none'
       ELSE array_to_string(shared_descriptors, ', ') END AS context,
   array_to_string(list_transform(range(len(lines)), lambda i: '    - [' || CASE WHEN i = 1 THEN 'decisive'
       WHEN i % 2 = 0 THEN 'supporting' ELSE 'weak' END || '/' ||
-      CASE WHEN conv_id % 11 = 0 AND i = 0 THEN 'colour' ELSE ['plant_part','symptom_class','progression','sign_vector',
-        'environment','morphology','habit','growth_stage'][i % 8 + 1] END || '] ' || lines[i + 1] || ' | A(' || g.member_a
-      || '): ' || substr(lines[i + 1], 1, 12) || ' | B(' || g.member_b || '): ' || substr(lines[i + 1], 13, 12)), chr(10))
+      CASE WHEN conv_id % 11 = 0 AND i = 0 THEN 'colour' ELSE {s.AXES}[i % 8 + 1] END || '] ' || lines[i + 1] || ' | A(' || g.member_a
+      || '): ' || {s.half('lines[i + 1]', 'a')} || ' | B(' || g.member_b || '): ' || {s.half('lines[i + 1]', 'b')}), chr(10))
     AS exemplar FROM v_pairs p JOIN v_gerr g ON g.pair_id = p.pair_id"""))
 def prompt_batch(t):
     exemplars = lenses.graph_store(t).select(

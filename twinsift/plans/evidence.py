@@ -20,6 +20,8 @@ class StreamTables(Tables):
     """The same tables as file streams."""
 
     def __getattr__(self, name):
+        if name.startswith("_"):
+            raise AttributeError(name)
         return readers.parquet_stream(self.spark, f"{self.folder}/{name}.parquet")
 
 
@@ -147,9 +149,7 @@ SELECT pair_id, crop, member_a, member_b, lookalike_prior FROM v_pairs
 WHERE pair_id NOT IN (SELECT pair_id FROM v_evid WHERE event_type = 'click')"""))
 def needs_web_worklist(t):
     clicks = lenses.evidence(t).filter("event_type = 'click'")
-    store = evidence.verified_evidence(evidence.latest_per_key(clicks, ["pair_id"], ORDER))
-    made = evidence.pair_manifest(lenses.candidate_pairs(t), store, pipeline.scores(t))
-    return evidence.needs_web(made)
+    return evidence.needs_web(evidence.pending(lenses.candidate_pairs(t), clicks, ["pair_id"]))
 
 
 @query("pending_work", s.with_lenses("v_pairs v_evid", """
@@ -184,14 +184,15 @@ def graph_union(t):
 
 
 def _lay_results(t):
-    lay = evidence.typed_journal(_typed(t), lenses.evidence(t)).filter("kind = 'lay'")
+    """Every lay result of the journal: the layer is overwritten line by line."""
+    lay = _typed(t).filter("kind = 'lay'")
     return lay.select("pair_id", "seq", "farmer_lay_report", F.lit("see a").alias("decisive_lay_a"),
                       F.lit("see b").alias("decisive_lay_b"), F.lit(True).alias("decisive_micro_a"),
                       F.lit(None).cast("boolean").alias("decisive_micro_b"))
 
 
 s.add_lens("v_lay", """v_lay AS (SELECT pair_id, 'seen in event ' || event_id AS report FROM v_evid
-  WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ts, event_id) = 1)""",
+  WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY ts DESC, event_id DESC) = 1)""",
     ("v_evid",))
 
 
@@ -204,8 +205,9 @@ def lay_merge(t):
     return merged.select("pair_id", "graph.lay.farmer_lay_report", "graph.lay.decisive_lay_b")
 
 
-@query("lay_missing_graphs", s.with_lenses("v_gstore v_lay", """
-SELECT count(*) AS n_missing FROM v_lay WHERE pair_id NOT IN (SELECT pair_id FROM v_gstore)"""))
+@query("lay_missing_graphs", s.with_lenses("v_gstore v_evid", """
+SELECT count(*) AS n_missing FROM v_evid
+WHERE event_type = 'error' AND pair_id NOT IN (SELECT pair_id FROM v_gstore)"""))
 def lay_missing_graphs(t):
     missing = evidence.pending(_lay_results(t), lenses.graph_store(t), ["pair_id"])
     return missing.agg(F.count("*").alias("n_missing"))

@@ -18,19 +18,25 @@ from twinsift.sources import readers, writers
 c = F.col
 
 
-@query("read_metadata_csv", """
-SELECT CAST(p_partkey AS VARCHAR) AS image_number, p_name || ', "' || p_brand || '"' AS description,
-  CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS county FROM part""")
+_METADATA_SQL = {
+    "Image Number": "CAST(p_partkey AS VARCHAR)", "Description": "p_name || ', \"' || p_brand || '\"'",
+    "County": "CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END"}
+
+
+@query("read_metadata_csv", "SELECT " + ", ".join(
+    f"{_METADATA_SQL.get(n, f"'{n} ' || p_size")} AS {n.lower().replace(' ', '_')}"
+    for n in schemas.SCRAPED_COLUMNS) + " FROM part")
 def read_metadata_csv(t):
-    made = {"Image Number": c("p_partkey").cast("string"),
-            "Description": F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')),
-            "County": F.when(c("p_size") % 2 != 0, c("p_type"))}
+    """All columns, written in another order than they are listed, with one more that is ignored."""
+    made = {n: F.concat(F.lit(f"{n} "), c("p_size").cast("string")) for n in schemas.SCRAPED_COLUMNS}
+    made |= {"Image Number": c("p_partkey").cast("string"),
+             "Description": F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')),
+             "County": F.when(c("p_size") % 2 != 0, c("p_type"))}
     path = scratch_path(t.spark, "metadata")
-    writers.write_csv(t.part.select(*[
-        made.get(n, F.lit(None).cast("string")).alias(n) for n in schemas.SCRAPED_COLUMNS]), path)
+    writers.write_csv(t.part.select(F.lit("more").alias("Notes"), *[
+        made[n].alias(n) for n in reversed(schemas.SCRAPED_COLUMNS)]), path)
     rows = readers.metadata_csv(t.spark, path)
-    return rows.select(c("Image Number").alias("image_number"), c("Description").alias("description"),
-                       c("County").alias("county"))
+    return rows.select(*[c(f"`{n}`").alias(n.lower().replace(" ", "_")) for n in schemas.SCRAPED_COLUMNS])
 
 
 @query("write_enriched", s.with_lenses("v_sampled", """
@@ -43,8 +49,7 @@ def write_enriched(t):
     path = scratch_path(t.spark, "enriched")
     writers.write_enriched(geo.attach_features(rows, features), ["row_id", "lat", "lon"],
                            ["lon", *layers], path)
-    read = readers.metadata_csv(t.spark, path, "row_id string, lat string, lon string, bio1 string, "
-                                               "bio2 string, bio3 string")
+    read = readers.metadata_csv(t.spark, path, ["row_id", "lat", "lon", "bio1", "bio2", "bio3"])
     return read.select("row_id", c("lat").cast("double").alias("lat"), c("lon").cast("double").alias("lon"),
                        c("bio1").try_cast("double").alias("bio1_out"), (c("bio2") == "").alias("bio2_missing"))
 
@@ -85,8 +90,7 @@ def write_manifest(t):
     json_path, csv_path = scratch_path(t.spark, "manifest"), scratch_path(t.spark, "manifest-csv")
     writers.write_manifest(evidence_plans.manifest(t), json_path, csv_path,
                            ["pair_id", "n_imgs_total", "web_verified", "lane_hint"])
-    return readers.metadata_csv(t.spark, csv_path, "pair_id string, n_imgs_total string, "
-                                                   "web_verified string, lane_hint string")
+    return readers.metadata_csv(t.spark, csv_path, ["pair_id", "n_imgs_total", "web_verified", "lane_hint"])
 
 
 @query("load_image_bytes", """

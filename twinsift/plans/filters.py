@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from twinsift.functions import labels, text
@@ -106,21 +108,22 @@ def visibility_gate(t):
     return lenses.image_rows(t).join(seen, "img", "left").select("img", status.alias("visibility"))
 
 
-_SAID = s.strip_tail("""CASE WHEN turn % 2 = 0 AND sign <> '' THEN 'I see ' || upper(sign)
+_LOWER, _UPPER = string.ascii_lowercase, string.ascii_uppercase
+_SAID = s.strip_tail(f"""CASE WHEN turn % 2 = 0 AND sign <> '' THEN 'I see ' || translate(sign, '{_LOWER}', '{_UPPER}')
   WHEN turn % 3 = 0 THEN farmer_lay_report ELSE 'spots on ' || crop || '. . ' END""")
 
 
 @query("lay_leak_guard", s.with_lenses("v_graph", f"""
 SELECT conv_id, turn, CASE WHEN sign <> '' AND contains(lower(said), lower(sign))
   THEN {s.strip_tail('farmer_lay_report')} ELSE said END AS observation
-FROM (SELECT *, {_SAID} AS said FROM (SELECT *, coalesce(substr(lines[2], 1, 12), '') AS sign FROM v_graph))"""))
+FROM (SELECT *, {_SAID} AS said FROM (SELECT *, coalesce({s.half('lines[2]', 'a')}, '') AS sign FROM v_graph))"""))
 def lay_leak_guard(t):
     g = lenses.graph_records(t).select(
         "conv_id", "turn", "crop", gates.decisive_fork(c("graph.forks")).alias("fork"),
         F.concat(F.lit("Look closely for "), c("graph.narrative_a")).alias("report"))
     plain = F.when(c("turn") % 3 == 0, "").otherwise(F.concat(F.lit("spots on "), "crop", F.lit(". . ")))
     said = F.when((c("turn") % 2 == 0) & (c("fork.a_signal") != ""), F.concat(
-        F.lit("I see "), F.upper("fork.a_signal"))).otherwise(plain)
+        F.lit("I see "), F.translate("fork.a_signal", _LOWER, _UPPER))).otherwise(plain)
     signs = F.array_compact(F.array("fork.a_signal"))
     return g.select("conv_id", "turn", gates.guarded_observation(said, c("report"), signs)
                     .alias("observation"))
@@ -134,8 +137,8 @@ def validate_graph(t):
         "pair_id", F.array_join("e", "; ").alias("errors"), F.size("e").alias("n_errors"))
 
 
-@query("decisive_fork", s.with_lenses("v_graph", """
-SELECT conv_id, turn, lines[2] AS question, substr(lines[2], 1, 12) AS a_signal FROM v_graph"""))
+@query("decisive_fork", s.with_lenses("v_graph", f"""
+SELECT conv_id, turn, lines[2] AS question, {s.half('lines[2]', 'a')} AS a_signal FROM v_graph"""))
 def decisive_fork(t):
     fork = gates.decisive_fork(c("graph.forks"))
     return lenses.graph_records(t).select("conv_id", "turn", fork["question"].alias("question"),
@@ -198,8 +201,8 @@ _FAILS = """SELECT item_id, unnest(list_filter([
 
 
 @query("selfcheck", f"""
-{_FAILS} FROM (SELECT conv_id, turn, conv_id || '-' || turn AS item_id, split_part(text, '.', 1) AS f1, role AS f2,
-  CASE WHEN turn % 2 = 0 THEN lower(split_part(split_part(text, '.', 1), ' ', 2)) ELSE '' END AS tech
+{_FAILS} FROM (SELECT conv_id, turn, conv_id || '-' || turn AS item_id, text AS f1, role AS f2,
+  CASE WHEN turn % 2 = 0 THEN lower(split_part(text, ' ', 2)) ELSE '' END AS tech
   FROM conversations)""")
 def selfcheck(t):
     def step(name):
@@ -213,7 +216,7 @@ def selfcheck(t):
     cot = (F.when(kind == 1, F.array(step("CONCLUDE"), step("READ_SIGN")))
            .when(kind == 2, F.array(step("PERCEIVE"), step("CONCLUDE")))
            .otherwise(F.array(step("READ_SIGN"), step("CONCLUDE"))))
-    first = F.split_part("text", F.lit("."), F.lit(1))
+    first = c("text")
     word = F.split_part(first, F.lit(" "), F.lit(2))
     made = t.conversations.select(
         F.concat_ws("-", c("conv_id").cast("string"), c("turn").cast("string")).alias("item_id"), cot.alias("cot"),

@@ -24,11 +24,11 @@ s.add_lens("v_gaz", """v_gaz AS (
 def read_gazetteer(t):
     path = scratch_path(t.spark, "gazetteer")
     raw = lenses.gazetteer_raw(t)
-    (raw.select("USPS", F.lit("0").alias("GEOID"), "NAME", "INTPTLAT", "INTPTLONG")
+    (raw.select("USPS", F.lit("0").alias("GEOID"), F.lit("9").alias("ANSICODE"), "NAME", F.lit("1").alias("ALAND"),
+                F.lit("2").alias("AWATER"), "INTPTLAT", c("INTPTLONG").alias("INTPTLONG "))
      .write.option("sep", "\t").option("header", "true").option("encoding", "ISO-8859-1")
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
-    rows = readers.gazetteer_tsv(t.spark, path).withColumn("row_id", F.lit(0))
-    return geo.gazetteer(rows)
+    return geo.gazetteer(readers.gazetteer_tsv(t.spark, path))
 
 
 # County is found by the given "parish" county or by a "... County" part of the location.
@@ -131,14 +131,9 @@ SELECT cell, n_days, round(mean, 4) AS mean, round(median, 4) AS median, round(m
     count(DISTINCT CAST(ts AS DATE)) AS n_days
   FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY ALL)""")
 def temporal_composite(t):
-    samples, span = _samples(t), ("2024-01-05 00:00:00", "2024-01-25 00:00:00")
-    out = (samples.filter(c("ts").between(F.lit(span[0]).cast("timestamp_ntz"), F.lit("2024-01-24 23:59:59.999999")
-                                          .cast("timestamp_ntz")))
-           .groupBy("cell").agg(F.countDistinct(F.to_date("ts")).alias("n_days")))
-    for how in ("mean", "median", "mosaic"):
-        layer = geo.temporal_composite(samples, *span, how, 0.5)
-        out = out.join(layer.select("cell", F.round("composite", 4).alias(how)), "cell")
-    return out
+    hows = ("mean", "median", "mosaic")
+    out = geo.temporal_composite(_samples(t), "2024-01-05 00:00:00", "2024-01-25 00:00:00", hows, 0.5)
+    return out.select("cell", "n_days", *[F.round(how, 4).alias(how) for how in hows])
 
 
 @query("zonal_reduce", s.with_lenses("v_sampled", """
@@ -151,12 +146,7 @@ SELECT lat, lon, count(*) AS n_cells, round(avg(value), 4) AS mean, round(median
 def zonal_reduce(t):
     points = geo.distinct_points(lenses.points(t))
     cells = lenses.cells(t).filter("layer = 'bio1'")
-    stepped = cells.withColumn("value", F.when(c("value") == c("nodata"), c("value")).otherwise(
-        F.floor(c("value") / 50) * 50.0))
-    out = geo.zonal_reduce(points, cells, 10.0, 1, "average").withColumnRenamed("reduced", "mean")
-    for how, source in (("median", cells), ("first", cells), ("mode", stepped)):
-        reduced = geo.zonal_reduce(points, source, 10.0, 1, how).select("lat", "lon", c("reduced").alias(how))
-        out = out.join(reduced, ["lat", "lon"])
+    out = geo.zonal_reduce(points, cells, 10.0, 1, ["mean", "median", "first", "mode"], mode_step=50.0)
     return out.select("lat", "lon", "n_cells", *[F.round(k, 4).alias(k) for k in ("mean", "median", "first", "mode")])
 
 

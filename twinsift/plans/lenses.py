@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import dims
+from twinsift import fixed_values as fv
 from twinsift.functions import geo, text
 from twinsift.operators import evidence as ev
 from twinsift.operators import mining
@@ -17,8 +18,6 @@ from twinsift.session import scratch_path
 
 CROPS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 PARTS = ("leaf", "stem", "root", "fruit", "flower", "pod", "seed", "whole_plant")
-AXES = ("plant_part", "symptom_class", "progression", "sign_vector", "environment",
-        "morphology", "habit", "growth_stage")
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -125,14 +124,16 @@ def graph_records(t: Tables) -> DataFrame:
     b = _brand(1 + (c("conv_id") + c("turn") * 3) % 25)
 
     def fork(line: Column, i: Column) -> Column:
-        axis = F.when((c("conv_id") % 11 == 0) & (i == 0), "colour").otherwise(_pick(AXES, i % 8))
+        axis = F.when((c("conv_id") % 11 == 0) & (i == 0), "colour").otherwise(_pick(fv.FORK_AXES, i % 8))
+        middle = F.floor((F.length(line) + 1) / 2).cast("int")
         weight = F.when(i == 1, "decisive").when(i % 2 == 0, "supporting").otherwise("weak")
         return F.struct(
             axis.alias("axis"), line.alias("question"),
-            F.substring(line, 1, 12).alias("a_signal"), F.substring(line, 13, 12).alias("b_signal"),
+            F.substr(line, F.lit(1), middle).alias("a_signal"),
+            F.substr(line, middle + 1).alias("b_signal"),
             weight.alias("weight"))
 
-    first, second = F.split_part("text", F.lit("."), F.lit(1)), F.split_part("text", F.lit(","), F.lit(1))
+    first = second = c("text")
     lay = F.when(c("turn") % 5 != 4, F.struct(
         F.concat(F.lit("Look closely for "), first).alias("farmer_lay_report"),
         F.concat(F.lit("Look at the leaf: "), first).alias("decisive_lay_a"),

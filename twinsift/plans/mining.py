@@ -39,7 +39,7 @@ HAVING count(*) >= 12"""))
 def write_registry(t):
     path = scratch_path(t.spark, "registry")
     writers.write_registry(mining.class_registry(lenses.image_rows(t)), path)
-    return readers.metadata_csv(t.spark, path, "Crop string, Disease string, n_images string")
+    return readers.metadata_csv(t.spark, path, ["Crop", "Disease", "n_images"])
 
 
 @query("top_descriptors", s.with_lenses("v_rows", """

@@ -30,8 +30,12 @@ def stored_evidence(t: Tables) -> DataFrame:
 
 
 def rows(t: Tables) -> DataFrame:
-    """Image rows that passed the label gate; everything below starts from these."""
-    return gates.label_gate(lenses.image_rows(t), lenses.label_report(t))
+    """Image rows that passed the label gate; everything below starts from these.
+
+    They are written once for all parts of a plan that start from them.
+    """
+    return t.once("gated rows", lambda: materialise(
+        gates.label_gate(lenses.image_rows(t), lenses.label_report(t)), "gated"))
 
 
 def dispositions(t: Tables, gated: DataFrame | None = None) -> DataFrame:
@@ -86,7 +90,8 @@ _MD5 = "CAST('0x' || substr(md5('20260613|' || {k}), 1, 8) AS BIGINT) / 42949672
 def _split_lens(name: str, rows: str) -> str:
     return f"""{name} AS (
   SELECT *, CASE WHEN state IN (SELECT state FROM {rows} GROUP BY state
-        HAVING count(*) BETWEEN 40 AND 250 ORDER BY md5('20260613|' || state) LIMIT 6)
+        HAVING count(*) BETWEEN CAST(0.005 AS DOUBLE) * (SELECT count(*) FROM {rows})
+          AND CAST(0.035 AS DOUBLE) * (SELECT count(*) FROM {rows}) ORDER BY md5('20260613|' || state) LIMIT 6)
       THEN 'test_heldout_region'
     WHEN crop IN (SELECT crop FROM (SELECT crop, row_number() OVER (ORDER BY md5('20260613|' || crop)) AS k,
         count(*) OVER () AS n FROM (SELECT DISTINCT crop FROM {rows})) WHERE k <= greatest(1, floor(n * 0.12)))

@@ -13,15 +13,17 @@ c = F.col
 
 
 def facets(t):
-    """(name, country, continent, n): line items per part name and customer nation."""
+    """(name, country, continent, n): line items per part name and customer nation.
+
+    Nations are folded into the first few by the length of the name, so names differ in spread.
+    """
     return (t.lineitem.select("l_orderkey", "l_partkey")
             .join(t.part.select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey"))
             .join(t.orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
             .join(t.customer.select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+            .withColumn("c_nationkey", c("c_nationkey") % (1 + 4 * (F.length("p_name") % 7)))
             .join(t.nation, c("c_nationkey") == c("n_nationkey"))
             .join(t.region, c("n_regionkey") == c("r_regionkey"))
-            .filter(c("r_regionkey") <= F.length("p_name") % 5)
-            .filter(~c("p_name").startswith("hot") | (c("l_orderkey") % 50 == 0))
             .groupBy(c("p_name").alias("name"), c("n_name").alias("country"), c("r_name").alias("continent"))
             .agg(F.count("*").alias("n")))
 
@@ -33,6 +35,7 @@ def tables(t):
     names = (f.groupBy("name").agg(F.sum("n").alias("total"))
              .withColumn("status", F.when(c("name") == "blue rod", "failed").otherwise("ok"))
              .withColumn("match_type", match)
+             .withColumn("usage_key", F.when(~c("name").startswith("dim r"), F.length("name")))
              .withColumn("rank", F.when(c("name") == "blue ring", "GENUS").otherwise("SPECIES"))
              .withColumn("generalist", c("name").startswith("red ")))
     countries = f.groupBy("name", "country").agg(F.sum("n").alias("n"))
@@ -43,9 +46,8 @@ def tables(t):
 s.add_lens("v_range", """v_facet AS (
   SELECT p_name AS name, n_name AS country, r_name AS continent, count(*) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey
-  WHERE r_regionkey <= length(p_name) % 5 AND (p_name NOT LIKE 'hot%' OR l_orderkey % 50 = 0) GROUP BY ALL),
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey % (1 + 4 * (length(p_name) % 7)) = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
 v_total AS (SELECT name, CAST(sum(n) AS BIGINT) AS total FROM v_facet GROUP BY ALL),
 v_eff AS (SELECT name, country, n, round(n / total, 4) AS share FROM v_facet JOIN v_total USING (name)
   WHERE n >= 3 AND n / total >= 0.01),
@@ -54,7 +56,7 @@ v_range AS (SELECT t.name, total, (SELECT count(*) FROM v_facet f WHERE f.name =
     (SELECT count(*) FROM (SELECT continent FROM v_facet f WHERE f.name = t.name GROUP BY continent HAVING sum(n) >= 3))
       AS n_continents FROM v_total t),
 v_class2 AS (SELECT *, CASE WHEN name LIKE 'red %' THEN 'cosmopolitan'
-    WHEN name = 'blue rod' OR name LIKE 'cold g%' OR name LIKE 'cold r%' OR name = 'blue ring' OR total < 30 THEN 'data_poor'
+    WHEN name = 'blue rod' OR name LIKE 'cold g%' OR name LIKE 'dim r%' OR name LIKE 'cold r%' OR name = 'blue ring' OR total < 30 THEN 'data_poor'
     WHEN eff_countries >= 25 OR n_continents >= 4 THEN 'cosmopolitan'
     WHEN eff_countries <= 6 AND n_continents <= 2 THEN 'localized' ELSE 'regional' END AS restriction_class
   FROM v_range)""", ())
@@ -75,7 +77,7 @@ def top_countries(t):
 
 @query("range_class", s.with_lenses("v_range", """
 SELECT name, total, n_countries, eff_countries, n_continents, restriction_class, CASE
-  WHEN name LIKE 'red %' THEN 'named generalist' WHEN name = 'blue rod' OR name LIKE 'cold g%' THEN 'no reliable match'
+  WHEN name LIKE 'red %' THEN 'named generalist' WHEN name = 'blue rod' OR name LIKE 'cold g%' OR name LIKE 'dim r%' THEN 'no reliable match'
   WHEN name LIKE 'cold r%' OR name = 'blue ring' THEN 'match only at a higher rank'
   WHEN total < 30 THEN total || ' records are too few'
   ELSE CASE restriction_class WHEN 'cosmopolitan' THEN 'present in ' WHEN 'localized' THEN 'restricted to '

@@ -23,14 +23,25 @@ REGISTRY: dict[str, Query] = {}
 
 
 class Tables:
-    """Parquet tables of one folder as attributes: `Tables(spark, folder).orders`."""
+    """Parquet tables of one folder as attributes: `Tables(spark, folder).orders`.
+
+    Each table is opened once; `once` keeps what several parts of a plan share.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.once(name, lambda: self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
 
 
 def query(name: str, sql: str | None = None):

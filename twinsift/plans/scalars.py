@@ -392,20 +392,20 @@ def parse_json_reply(t):
 
 
 @query("leak_flag", f"""
-SELECT conv_id, turn, {s.strip('c.text')} = '' OR contains(lower(c.text), lower(substr(b.text, 1, 4)))
+SELECT conv_id, turn, {s.strip('c.text')} = '' OR contains(lower(c.text), lower(b.text))
   OR contains(lower(c.text), lower(split_part(b.text, ' ', 3))) AS leaks
-FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40""")
+FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)""")
 def leak_flag(t):
-    banned = F.array(F.substring("b_text", 1, 4), F.lit(""), F.split_part("b_text", F.lit(" "), F.lit(3)))
+    banned = F.array(c("b_text"), F.lit(""), F.split_part("b_text", F.lit(" "), F.lit(3)))
     b = t.benchmark.select(c("item_id").alias("_key"), c("text").alias("b_text"))
-    return (t.conversations.withColumn("_key", c("conv_id") % 40).join(b, "_key")
+    return (t.conversations.withColumn("_key", c("conv_id") % t.benchmark.count()).join(b, "_key")
             .select("conv_id", "turn", text.leaks(c("text"), banned).alias("leaks")))
 
 
 @query("format_features", s.with_lenses("v_cells", f"""
 SELECT layer, row, col, CASE WHEN value <> -9999 THEN round(value, 3) END AS value_out,
-  {s.in_list(fv.KOPPEN_CODES.split()).replace('(', '[').replace(')', ']')}[(row + col) % 31] AS koppen_code,
-  substr({s.in_list(fv.KOPPEN_CODES.split()).replace('(', '[').replace(')', ']')}[(row + col) % 31], 1, 1)
+  {s.array_of(fv.KOPPEN_CODES.values())}[(row + col) % 31] AS koppen_code,
+  substr({s.array_of(fv.KOPPEN_CODES.values())}[(row + col) % 31], 1, 1)
     AS koppen_major FROM v_cells"""))
 def format_features(t):
     code = dims.koppen(t.spark).select(c("class_id").alias("_k"), "koppen_code")
@@ -425,7 +425,7 @@ def content_key(t):
 SELECT legend, code, label, count(DISTINCT p_partkey) AS n_parts FROM (
   SELECT 'fips_state' AS legend, CAST(fips AS VARCHAR) AS code, name AS label FROM us_states
   UNION ALL SELECT 'koppen', CAST(i AS VARCHAR), k FROM (
-    SELECT unnest({s.in_list(fv.KOPPEN_CODES.split()).replace('(', '[').replace(')', ']')}) AS k,
+    SELECT unnest({s.array_of(fv.KOPPEN_CODES.values())}) AS k,
       unnest(range(1, 31)) AS i)
   UNION ALL SELECT * FROM (VALUES {', '.join(f"('land_cover', '{k}', '{v}')" for k, v in fv.LAND_COVER.items())}))
 JOIN part ON code = CAST(p_size AS VARCHAR) GROUP BY ALL"""))

@@ -49,6 +49,12 @@ def in_list(items) -> str:
     return "(" + ", ".join(quoted(i) for i in items) + ")"
 
 
+def half(x: str, side: str) -> str:
+    """First or second half of a text."""
+    middle = f"(length({x}) + 1) // 2"
+    return f"substr({x}, 1, {middle})" if side == "a" else f"substr({x}, {middle} + 1)"
+
+
 def first_rule(x: str, rules, default: str) -> str:
     whens = " ".join(f"WHEN contains(lower(coalesce({x}, '')), {quoted(h)}) THEN {quoted(v)}"
                      for h, v in rules)
@@ -72,16 +78,17 @@ def head_sign(x: str, source: str) -> str:
     FROM {source}))))))"""
 
 
-CROPS = "['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD']"
-PARTS = "['leaf','stem','root','fruit','flower','pod','seed','whole_plant']"
-AXES = ("['plant_part','symptom_class','progression','sign_vector','environment',"
-        "'morphology','habit','growth_stage']")
+def array_of(items) -> str:
+    return "[" + ", ".join(quoted(i) for i in items) + "]"
+
+
+CROPS = array_of(("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))
+PARTS = array_of(("leaf", "stem", "root", "fruit", "flower", "pod", "seed", "whole_plant"))
+AXES = array_of(fv.FORK_AXES)
 
-_regions = dict(fv.table(fv.CENSUS_REGIONS))
 US_STATES = values(
     "us_states", "name, state_key, fips, usps, state_lat, state_lon, division, region",
-    [(r[0], r[0].lower(), int(r[1]), r[2], float(r[3]), float(r[4]), r[5], _regions.get(r[5]))
-     for r in fv.table(fv.US_STATES)])
+    [(r[0], r[0].lower(), *r[1:], fv.CENSUS_REGIONS.get(r[5])) for r in fv.US_STATES])
 
 V_ROWS = """v_rows AS (
   SELECT p_partkey AS row_id, CAST(p_partkey AS VARCHAR) AS img,
@@ -124,12 +131,12 @@ V_GRAPH = f"""v_graph AS (
     conv_id * 100 + turn AS seq, conv_id % 13 <> 0 AS confusable,
     CASE WHEN conv_id % 19 = 3 THEN ' ' ELSE role END AS confusable_reason,
     string_split(text, chr(10)) AS lines,
-    least(a, b) || ': ' || split_part(text, '.', 1) AS management_a,
-    CASE WHEN conv_id % 17 <> 5 THEN split_part(text, ',', 1) END AS management_b,
+    least(a, b) || ': ' || text AS management_a,
+    CASE WHEN conv_id % 17 <> 5 THEN text END AS management_b,
     turn % 5 <> 4 AS has_lay,
-    'Look closely for ' || split_part(text, '.', 1) AS farmer_lay_report,
-    'Look at the leaf: ' || split_part(text, '.', 1) AS decisive_lay_a,
-    'Check the stem for ' || split_part(text, ',', 1) AS decisive_lay_b
+    'Look closely for ' || text AS farmer_lay_report,
+    'Look at the leaf: ' || text AS decisive_lay_a,
+    'Check the stem for ' || text AS decisive_lay_b
   FROM (SELECT *, {CROPS}[conv_id % 6 + 1] AS crop, 'Brand#' || (1 + (conv_id * 7 + turn) % 25) AS a,
       'Brand#' || (1 + (conv_id + turn * 3) % 25) AS b FROM conversations) WHERE a <> b)"""
 
@@ -146,12 +153,12 @@ V_GERR = rf"""v_gerr AS (
       CASE WHEN len(lines) BETWEEN 3 AND 7 THEN flatten(list_transform(range(len(lines)), lambda i: [
         CASE WHEN conv_id % 11 = 0 AND i = 0 THEN 'fork[0].axis invalid: ''colour''' END,
         CASE WHEN {strip('lines[i + 1]')} = '' THEN 'fork[' || i || '].question empty' END,
-        CASE WHEN {strip('substr(lines[i + 1], 1, 12)')} = '' THEN 'fork[' || i || '].a_signal empty' END,
-        CASE WHEN {strip('substr(lines[i + 1], 13, 12)')} = '' THEN 'fork[' || i || '].b_signal empty' END]))
+        CASE WHEN {strip(half('lines[i + 1]', 'a'))} = '' THEN 'fork[' || i || '].a_signal empty' END,
+        CASE WHEN {strip(half('lines[i + 1]', 'b'))} = '' THEN 'fork[' || i || '].b_signal empty' END]))
         ELSE [] END,
       [CASE WHEN confusable AND len(lines) NOT BETWEEN 3 AND 7
         THEN 'need exactly 1 decisive fork, found 0' END]), lambda e: e IS NOT NULL) END AS errors,
-    substr(lines[2], 1, 12) AS sign_a, substr(lines[2], 13, 12) AS sign_b
+    {half('lines[2]', 'a')} AS sign_a, {half('lines[2]', 'b')} AS sign_b
   FROM v_gstore)"""
 
 V_LABEL = f"""v_label AS (
@@ -203,7 +210,7 @@ V_CELLS = """v_cells AS (
   FROM part QUALIFY row_number() OVER (PARTITION BY 1 + p_partkey // 648 % 3, p_partkey % 18,
     p_partkey // 18 % 36 ORDER BY p_partkey DESC) = 1)"""
 
-_bands = fv.table(fv.ZONE_BANDS)
+_bands = fv.ZONE_BANDS
 
 
 def zone(lat: str, lon: str, attribute: int) -> str:

@@ -8,15 +8,36 @@ IMAGE_ROWS = (
     "descriptor string, koppen_major string, photographer string, org string"
 )
 
+# Columns of the scraped metadata files
 SCRAPED_COLUMNS = (
-    "Category ID|Category Name|Image Number|Scientific Name|Common Name|Subject Display Name|"
-    "Host Name|Host Scientific Name|Descriptor Name|Description|Photographer|Organization|"
-    "Orientation|Citation|Max Resolution|Image URL|Location|Country|State|County|Lat|Lon|"
-    "Date Taken|Date Acquired"
-).split("|")
-SCRAPED_ROWS = ", ".join(f"`{c}` string" for c in SCRAPED_COLUMNS)
-
-GAZETTEER = "USPS string, GEOID string, NAME string, INTPTLAT string, INTPTLONG string"
+    "Category ID",
+    "Category Name",
+    "Image Number",
+    "Scientific Name",
+    "Common Name",
+    "Subject Display Name",
+    "Host Name",
+    "Host Scientific Name",
+    "Descriptor Name",
+    "Description",
+    "Photographer",
+    "Organization",
+    "Orientation",
+    "Citation",
+    "Max Resolution",
+    "Image URL",
+    "Location",
+    "Country",
+    "State",
+    "County",
+    "Lat",
+    "Lon",
+    "Date Taken",
+    "Date Acquired",
+)
+
+# Columns of the county gazetteer that are used
+GAZETTEER = ("USPS", "GEOID", "NAME", "INTPTLAT", "INTPTLONG")
 
 FORK = ("struct<axis:string,question:string,a_signal:string,b_signal:string,weight:string>")
 LAY = ("struct<farmer_lay_report:string,decisive_lay_a:string,decisive_lay_b:string,"

@@ -53,19 +53,35 @@ def image_bytes(spark: SparkSession, locators: DataFrame, root: str) -> DataFram
     return locators.join(files, "path", "left")
 
 
-def metadata_csv(spark: SparkSession, path: str, schema: str = schemas.SCRAPED_ROWS) -> DataFrame:
-    """Header CSV with every column as text; missing values are empty strings."""
-    raw = (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-           .option("escape", '"').csv(path))
-    return raw.fillna("")
+def _by_header(raw: DataFrame, wanted: Sequence[str]) -> list[Column]:
+    """The wanted columns by trimmed header name, whatever their order; null where absent."""
+    at = {name.strip(): f"`{name}`" for name in raw.columns}
+    return [(F.col(at[w]) if w in at else F.lit(None).cast("string")).alias(w) for w in wanted]
 
 
-def gazetteer_tsv(spark: SparkSession, path: str, schema: str = schemas.GAZETTEER) -> DataFrame:
-    """Tab-separated Latin-1 gazetteer; short rows are skipped, values are trimmed."""
-    raw = (spark.read.schema(schema).option("sep", "\t").option("header", "true")
-           .option("encoding", "ISO-8859-1").option("mode", "DROPMALFORMED")
-           .option("enforceSchema", "true").csv(path))
-    return raw.select(*[text.strip(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+def metadata_csv(spark: SparkSession, path: str, columns: Sequence[str] = schemas.SCRAPED_COLUMNS,
+                 line_breaks: bool = False) -> DataFrame:
+    """Header CSV with every column as text, bound by header name.
+
+    Missing values and absent columns are empty strings, further columns are ignored. Files split
+    into many tasks unless `line_breaks` allows line ends inside quoted values.
+    """
+    raw = (spark.read.option("header", "true").option("inferSchema", "false")
+           .option("multiLine", str(line_breaks).lower()).option("escape", '"').csv(path))
+    return raw.select(*_by_header(raw, columns)).fillna("")
+
+
+def gazetteer_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated Latin-1 gazetteer with the columns GAZETTEER found by header name.
+
+    Values are trimmed, short rows have nulls. `row_id` orders rows by file and place in it.
+    """
+    raw = (spark.read.option("sep", "\t").option("header", "true").option("inferSchema", "false")
+           .option("encoding", "ISO-8859-1").csv(path))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start",
+                     F.monotonically_increasing_id().alias("row"))
+    rows = raw.select(*_by_header(raw, schemas.GAZETTEER), place.alias("row_id"))
+    return rows.withColumns({n: text.strip(F.col(n)) for n in schemas.GAZETTEER})
 
 
 def keyed_json(document: Column, value_type: str, key: str = "key",
@@ -110,10 +126,10 @@ def has_field(names: Sequence[str]) -> list[Column]:
 
 def parquet_stream(spark: SparkSession, path: str) -> DataFrame:
     """File stream over a parquet table, be it a folder of files or one file."""
-    schema = spark.read.parquet(path).schema
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = spark.readStream.schema(schema)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    first = table.select("_metadata.file_path", "_metadata.file_name").first()
+    if first is None or first["file_path"].rstrip("/").endswith(f"/{name}/{first['file_name']}"):
         return stream.parquet(path)
-    return (stream.option("pathGlobFilter", where.getName())
-            .parquet(where.getParent().toString()))
+    return stream.option("pathGlobFilter", name).parquet(folder)
