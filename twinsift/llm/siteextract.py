@@ -61,6 +61,7 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
+NUMBER = re.compile(r"[0-9]{3,}")
 
 
 class Element:
@@ -96,7 +97,9 @@ def parse(page: str) -> Element:
             stack.pop()
         known = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(marks)}
         label = " ".join(known.get(k, "") for k in ("class", "id"))
-        name = tag + ("." + SPACE.sub(".", known["class"].strip()) if known.get("class") else "")
+        # Long numbers in class names tell pages apart, not kinds of elements.
+        marks_of = NUMBER.sub("0", SPACE.sub(".", (known.get("class") or "").strip()))
+        name = f"{tag}.{marks_of}" if marks_of else tag
         noise = (tag in HIDDEN or tag in APART or bool(NOISE.search(label))
                  or known.get("role", "").lower() in
                  ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"))
@@ -255,7 +258,10 @@ def composite(paths: list[str], presentation: list[float], content: list[float])
 
 
 def low_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per host that has any: its topmost paths of low importance."""
+    """One row per host that has any: its topmost paths of low importance.
+
+    A task holds the paths of one host, of which there are as many as kinds of elements, not pages.
+    """
 
     def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         value = composite(rows["path"].tolist(), rows["presentation"].tolist(),
