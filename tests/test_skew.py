@@ -44,7 +44,8 @@ def test_lookup(rows):
 
 @pytest.mark.parametrize("attach", [skew.attach_group, skew.attach_class])
 def test_attach_group(rows, attach):
-    got = attach(rows, ["k"], [F.count("*").alias("n"), F.max("v").alias("top")], ["id"])
+    spread = [["id"]] if attach is skew.attach_group else []
+    got = attach(rows, ["k"], [F.count("*").alias("n"), F.max("v").alias("top")], *spread)
     w = W.Window.partitionBy("k")
     want = rows.withColumn("n", F.count("*").over(w)).withColumn("top", F.max("v").over(w))
     assert bag(got.select("id", "n", "top")) == bag(want.select("id", "n", "top"))
@@ -78,3 +79,13 @@ def test_exact_median(rows, cuts):
 def test_exact_median_of_equal_and_missing_values(spark):
     df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", None), ("b", 5.0), ("c", None)], "k string, v double")
     assert bag(skew.exact_median(df, ["k"], "v", "m").select("k", "m")) == [("a", 2.0), ("b", 5.0)]
+
+
+def test_exact_median_with_a_heavy_tail(spark):
+    """One outlier puts all other values of a hot group into one slice of the first level."""
+    rows = [("hot", i / 3000.0) for i in range(3001)] + [("hot", 1e12), ("hot", -1e12), ("hot", 2e12)]
+    rows += [("even", 1.0), ("even", 9e9), ("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in skew.exact_median(df, ["k"], "v", "m").collect()}
+    want = {r["k"]: r["m"] for r in df.filter("v is not null").groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == want

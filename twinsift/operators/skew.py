@@ -117,42 +117,49 @@ def rank_by_hash(df: DataFrame, digest: str, name: str, total: str) -> DataFrame
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str,
-                 cuts: int = 1024) -> DataFrame:
+                 cuts: int = 1024, levels: int = 2) -> DataFrame:
     """Exact median per group (mean of the middle two), also for a group of any size.
 
-    Three combining passes: value range per group; rows per equal-width slice of the range;
-    then the distinct values of only those slices that hold the middle ranks.
+    Distinct values are counted first. Then, `levels` times, the range that is left is cut into
+    equal slices, and only the slices that hold the middle ranks stay: what one outlier spoils on
+    the first level the next one mends. The last slice is ordered.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull())
-    spans = rows.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"),
-        F.collect_set(salt_of("_v")).alias("_salts"))
-    spread = spans.withColumn(SALT, F.explode("_salts")).drop("_salts")
+    counted = (df.select(*keys, F.col(value).cast("double").alias("_v"))
+               .filter(F.col("_v").isNotNull())
+               .groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    n = F.sum("_c")
+    ranks = counted.groupBy(*keys).agg(F.floor((n + 1) / 2).alias("_low"),
+                                       F.floor((n + 2) / 2).alias("_high"))
+    part = counted.join(ranks, list(keys))
+    for _ in range(levels):
+        part = materialise(_middle_slices(part, keys, cuts), "slices")
+    upto = F.sum("_c").over(W.Window.partitionBy(*keys).orderBy("_v").rowsBetween(
+        W.Window.unboundedPreceding, 0))
+    placed = part.withColumn("_upto", upto)
+
+    def at(rank: str) -> Column:
+        holds = (F.col("_upto") - F.col("_c") < F.col(rank)) & (F.col("_upto") >= F.col(rank))
+        return F.max(F.when(holds, F.col("_v")))
+
+    return placed.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias(name))
+
+
+def _middle_slices(part: DataFrame, keys: Sequence[str], cuts: int) -> DataFrame:
+    """Rows (keys, _v, _c, _low, _high) of the slices that hold both ranks, ranks made relative."""
+    spans = part.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(cuts))
     cut = F.when(width > 0, F.least(
         F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cuts - 1))).otherwise(F.lit(0))
-    counted = (rows.withColumn(SALT, salt_of("_v"))
-               .groupBy(*keys, SALT, "_v").agg(F.count("*").alias("_c"))
-               .join(spread, [*keys, SALT])
-               .select(*keys, "_v", "_c", "_n", cut.cast("int").alias("_cut")))
+    sliced = part.join(spans, list(keys)).withColumn("_cut", cut.cast("int")).drop("_lo", "_hi")
     up_to_cut = W.Window.partitionBy(*keys).orderBy("_cut").rowsBetween(
         W.Window.unboundedPreceding, 0)
-    low_rank = F.floor((F.col("_n") + 1) / 2)
-    high_rank = F.floor((F.col("_n") + 2) / 2)
-    cuts_hit = (counted.groupBy(*keys, "_cut")
-                .agg(F.sum("_c").alias("_k"), F.first("_n").alias("_n"))
-                .withColumn("_to", F.sum("_k").over(up_to_cut))
-                .withColumn("_from", F.col("_to") - F.col("_k"))
-                .filter((F.col("_to") >= low_rank) & (F.col("_from") < high_rank))
-                .select(*keys, "_cut", "_from"))
-    in_cut = W.Window.partitionBy(*keys, "_cut").orderBy("_v").rowsBetween(
-        W.Window.unboundedPreceding, 0)
-    middle = (counted.join(cuts_hit, [*keys, "_cut"], "inner")
-              .withColumn("_upto", F.col("_from") + F.sum("_c").over(in_cut))
-              .withColumn("_after", F.col("_upto") - F.col("_c")))
-    holds_low = (F.col("_after") < low_rank) & (F.col("_upto") >= low_rank)
-    holds_high = (F.col("_after") < high_rank) & (F.col("_upto") >= high_rank)
-    return (middle.groupBy(*keys)
-            .agg(((F.max(F.when(holds_low, F.col("_v")))
-                   + F.max(F.when(holds_high, F.col("_v")))) / 2).alias(name)))
+    hit = (sliced.groupBy(*keys, "_cut")
+           .agg(F.sum("_c").alias("_k"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
+           .withColumn("_to", F.sum("_k").over(up_to_cut))
+           .withColumn("_from", F.col("_to") - F.col("_k"))
+           .filter((F.col("_to") >= F.col("_low")) & (F.col("_from") < F.col("_high")))
+           .groupBy(*keys).agg(F.min("_cut").alias("_first"), F.max("_cut").alias("_last"),
+                               F.min("_from").alias("_before")))
+    return (sliced.join(hit, list(keys)).filter(F.col("_cut").between(F.col("_first"), F.col("_last")))
+            .select(*keys, "_v", "_c", (F.col("_low") - F.col("_before")).alias("_low"),
+                    (F.col("_high") - F.col("_before")).alias("_high")))
