@@ -29,7 +29,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_WINDOW_PERCENT = 20
 MIN_REPEAT = 10           # words of a repeat that counts for the covered fraction
-MAX_COVERED = 0.1         # of the words
+MAX_COVERED = 0.15        # of the words
 MAX_REPEAT = 50           # words of the longest repeat
 BLOCK_WORDS = 300_000
 
