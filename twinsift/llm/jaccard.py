@@ -1,16 +1,20 @@
 """Exact Jaccard self-join on word shingles with a token-group matrix.
 
 1. Equal shingle sets fall into one class, known by the hash of the set.
-2. Similar classes are put into groups: classes that share the smallest hash of some token
+2. Put all tokens in one order. Two sets that link share the first k of their common tokens
+   among the first n - ceil(0.8 n) + k tokens of either, for any k; here k = 1 + n // 10. Only
+   those tokens are shuffled, and classes with fewer than k tokens in common with classes of
+   a fitting size are out. The order puts tokens of many documents last, so that what is
+   shuffled seldom meets much.
+3. Similar classes are put into groups: classes that share the smallest hash of some token
    permutation meet the first of them, and join its group if their similarity reaches the
    threshold. A group is one component already.
-3. The token-group matrix has a row (token, group part) for every token that a part's members
-   may need for a link: two sets with overlap of 80 % of their union share one of the first
-   n - ceil(0.8 n) + 1 tokens of either, in any common order. The order puts tokens of many
-   documents last, so rows of frequent tokens are rare.
-4. A class looks up its tokens in the matrix. For each part of another group that it hits, the
-   overlap with the part's token union bounds its similarity to every member; only parts
-   that reach the bound are opened, and their members are compared exactly.
+4. The token-group matrix has a row (token, group part, size, place) for the tokens of a part's
+   members. A class looks up its tokens in it. Of two sets that link, neither has more tokens
+   before the first common one than it may have outside the other, which their sizes bound:
+   other meetings do not count. For each part of another group that is hit, the overlap with the
+   part's token union bounds the similarity to every member; only parts that reach the
+   bound are opened, and their members are compared exactly.
 5. Components of all links found give each document its class id.
 
 No link between different groups is lost, and links inside a group do not change components.
@@ -46,6 +50,8 @@ NEEDED, OF = 80, 100          # a link: OF * overlap >= NEEDED * union
 FREQUENT = 24                 # documents (copies in one task counted once) of a frequent token
 FREQUENT_TABLE = 200_000      # at most so many frequent tokens are known to the tasks: 1.6 MB
 ROUNDS = 3
+FILTER_BITS = 16              # bits of the filter of wanted texts for each of them,
+FILTER_LIMIT = 1 << 30        # and its most bits: 128 MB. Beyond it more sets are written in vain.
 PART = 64
 LOOKUPS = 512
 BLOCK_TOKENS = 2_000_000
@@ -77,8 +83,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(out))
 
 
+def least_shared(n: int) -> int:
+    """So many of the tokens that are looked up must be shared, by either set's size."""
+    return 1 + n // 10
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-NEEDED * n // OF) + 1
+    return n - -(-NEEDED * n // OF) + least_shared(n)
 
 
 def linked(overlap: int, n: int, m: int) -> bool:
@@ -89,15 +100,14 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """Tokens in the common order (as numbers), and how many of them are not frequent."""
+def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Tokens, as numbers, in the common order: by hash, frequent ones last."""
     keys = tokens >> np.uint64(1)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = frequent[at] == tokens
-        keys = np.where(often, keys | np.uint64(1 << 63), keys)
-        return np.sort(keys), int(len(tokens) - often.sum())
-    return keys, len(tokens)
+        keys = np.sort(np.where(often, keys | np.uint64(1 << 63), keys))
+    return keys
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
@@ -130,7 +140,7 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def profiles(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n, sid (hash of its set), th (hash of its text) and group keys.
 
     Only the first row of a set in a task has group keys.
@@ -153,9 +163,7 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     keys.append([])
                     continue
                 seen.add(sids[-1])
-                order, rare = ordered(tokens, frequent)
-                base = order[:rare] if rare else order
-                keys.append([int(mixed(base ^ s).min().astype(np.int64)) for s in salts])
+                keys.append([int(mixed(tokens ^ s).min().astype(np.int64)) for s in salts])
             yield {"doc_id": batch["doc_id"], "n": sizes, "sid": sids, "th": batch["th"],
                    "keys": keys}
 
@@ -163,46 +171,73 @@ def profiles(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, sid) for the first tokens of every set."""
+    """(token, sid, n, pos) for the first tokens of every set, in their order."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         seen: set[int] = set()
         for batch in batches:
-            tokens_out, sids_out = [], []
+            tokens_out, sids_out, sizes_out, places_out = [], [], [], []
             for text in batch["text"]:
                 tokens = shingles(text)
                 if not len(tokens) or (sid := set_hash(tokens)) in seen:
                     continue
                 seen.add(sid)
-                order, _ = ordered(tokens, frequent)
+                order = ordered(tokens, frequent)
                 first = order[:prefix_length(len(order))]
                 tokens_out.append(first)
                 sids_out.append(np.full(len(first), sid, dtype=np.int64))
+                sizes_out.append(np.full(len(first), len(order), dtype=np.int32))
+                places_out.append(np.arange(len(first), dtype=np.int32))
             if tokens_out:
                 yield {"token": np.concatenate(tokens_out).view(np.int64),
-                       "sid": np.concatenate(sids_out)}
+                       "sid": np.concatenate(sids_out), "n": np.concatenate(sizes_out),
+                       "pos": np.concatenate(places_out)}
+
+    return map_batches(docs.select("text"), run, "token long, sid long, n int, pos int")
+
 
-    return map_batches(docs.select("text"), run, "token long, sid long")
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """Bits set at the text hashes (th) of the wanted rows: one-sided, of bounded size."""
+    bits = 1 << 16
+    count = wanted.count()
+    while bits < min(FILTER_BITS * count, FILTER_LIMIT):
+        bits *= 2
+    at = F.pmod(F.col("th"), F.lit(bits))
+    words = (wanted.select(F.shiftright(at, 6).alias("word"),
+                           F.expr(f"shiftleft(1L, cast(pmod(th, {bits}) % 64 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bit")).collect())
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[[w["word"] for w in words]] = [w["bit"] for w in words]
+    return out.view(np.uint64)
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n and tokens (sorted 64-bit numbers) of the wanted texts (th). May repeat a sid."""
+    """sid and tokens (sorted 64-bit numbers) of the wanted texts (th), and of a few more.
+
+    May repeat a sid.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        seen: set[int] = set()
+        words, seen = shared.value, set()
+        bits = len(words) * 64
         for batch in batches:
-            out = {"sid": [], "n": [], "tokens": []}
-            for sid, text in zip(batch["sid"], batch["text"]):
-                if sid not in seen:
-                    seen.add(sid)
+            out = {"sid": [], "tokens": []}
+            for th, text in zip(batch["th"], batch["text"]):
+                at = th % bits
+                if int(words[at >> 6]) >> (at & 63) & 1 and th not in seen:
+                    seen.add(th)
                     tokens = shingles(text)
-                    for name, v in zip(out, (sid, len(tokens), tokens.tobytes())):
-                        out[name].append(v)
+                    if len(tokens):
+                        out["sid"].append(set_hash(tokens))
+                        out["tokens"].append(tokens.tobytes())
+                if len(out["sid"]) >= 1000:
+                    yield out
+                    out = {"sid": [], "tokens": []}
             yield out
 
     texts = docs.select(F.xxhash64("text").alias("th"), "text")
-    return map_batches(texts.join(wanted, "th").select("sid", "text"), run,
-                       "sid long, n long, tokens binary")
+    return map_batches(texts, run, "sid long, tokens binary")
 
 
 def by_group(rows: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
@@ -242,42 +277,52 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _meet_leader(rows: Iterator[tuple]) -> list[tuple]:
-    """Rows (key, salt, kind, sid, group, tokens): members that link with the first row."""
-    out, leader, last = [], None, None
-    for _, _, _, sid, group, blob in rows:
-        if leader is None:
-            leader, root, tokens = sid, group, _as_set(blob)
-        elif sid != leader and sid != last:
-            mine = _as_set(blob)
-            if linked(overlap(tokens, mine), len(tokens), len(mine)):
-                out.append((sid, leader, root))
-        last = sid
+    """Rows (leader, salt, kind, sid, tokens): the leader (kind 0), then members (kind 1).
+
+    A member joins the first leader that it links with, else it leads those that come after it.
+    """
+    out, leaders, last = [], [], None
+    for _, _, kind, sid, blob in rows:
+        if (kind, sid) == last:
+            continue
+        last, mine = (kind, sid), _as_set(blob)
+        for other, tokens in leaders:
+            if (OF * min(len(tokens), len(mine)) >= NEEDED * max(len(tokens), len(mine))
+                    and linked(overlap(tokens, mine), len(tokens), len(mine))):
+                out.append((sid, other))
+                break
+        else:
+            leaders.append((sid, mine))
     return out
 
 
-def group_round(keys: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (sid, leader) and the group that each newly joined class gets.
+def leader_links(keyed: DataFrame, sized: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (sid, leader) between classes that share a key.
 
-    `keys` has key and sid; `groups` has sid and grp of the classes grouped so far. The leader of a
-    key is its first class that has a group, else its first.
+    The leader of a key is the class with the largest share of tokens met elsewhere: of
+    near copies, that is the text they stem from or the one least changed. What it does not
+    reach is grouped among itself, in batches of bounded size.
     """
-    known = keys.join(groups, "sid", "left").withColumn("free", F.col("grp").isNull())
-    leaders = (known.groupBy("key").agg(
-        F.min(F.struct("free", "sid", "grp")).alias("lead"), F.count("*").alias("size"))
-        .filter(F.col("size") > 1)
-        .select("key", F.col("lead.sid").alias("leader"),
-                F.coalesce("lead.grp", "lead.sid").alias("root"),
-                F.ceil(F.col("size") / F.lit(LOOKUPS * 2)).cast("int").alias("salts")))
-    members = (known.filter("free").join(leaders, "key").filter(F.col("sid") != F.col("leader"))
-               .select("key", F.pmod(F.hash("sid"), F.col("salts")).alias("salt"),
-                       F.lit(1).alias("kind"), "sid", F.lit(None).cast("bigint").alias("grp")))
-    heads = members.select("key", "salt").distinct().join(leaders, "key").select(
-        "key", "salt", F.lit(0).alias("kind"), F.col("leader").alias("sid"),
-        F.col("root").alias("grp"))
-    rows = (members.unionByName(heads).join(sets.select("sid", "tokens"), "sid")
-            .select("key", "salt", "kind", "sid", "grp", "tokens"))
-    return by_group(rows, ["key", "salt"], ["kind", "sid"], _meet_leader,
-                    "sid long, leader long, grp long")
+    share = F.struct(F.col("met") / F.col("n"), "sid")
+    first = (keyed.join(sized, "sid").groupBy("round", "key")
+             .agg(F.max_by("sid", share).alias("leader")))
+    pairs = (keyed.join(first, ["round", "key"]).filter("sid != leader")
+             .select("sid", "leader").distinct().join(sized.select("sid", "n"), "sid")
+             .join(sized.select(F.col("sid").alias("leader"), F.col("n").alias("m")), "leader")
+             .filter(OF * F.least("n", "m") >= NEEDED * F.greatest("n", "m"))
+             .select("sid", "leader"))
+    pairs = materialise(pairs, "pairs")
+    salts = materialise(pairs.groupBy("leader").agg(
+        F.ceil(F.count("*") / F.lit(2 * LOOKUPS)).cast("int").alias("salts")), "leaders")
+    members = pairs.join(salts, "leader").select(
+        "leader", F.pmod(F.hash("sid"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"), "sid")
+    heads = salts.select(
+        "leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(0).alias("kind"), F.col("leader").alias("sid"))
+    rows = members.unionByName(heads).join(sets, "sid").select(
+        "leader", "salt", "kind", "sid", "tokens")
+    return by_group(rows, ["leader", "salt"], ["kind", "sid"], _meet_leader,
+                    "sid long, leader long")
 
 
 def _open_part(rows: Iterator[tuple]) -> list[tuple]:
@@ -299,24 +344,32 @@ def _open_part(rows: Iterator[tuple]) -> list[tuple]:
     return out
 
 
-def matrix_links(shared: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (sid, leader) between classes of different groups."""
-    sized = sets.select("sid", "n").dropDuplicates(["sid"]).join(groups, "sid", "left").select(
+def matrix_links(shared: DataFrame, sized: DataFrame, sets: DataFrame,
+                 groups: DataFrame) -> DataFrame:
+    """Links (sid, leader) between classes of different groups.
+
+    `shared` has token, sid and pos, `sized` sid and n, `groups` sid and grp where that is another
+    class.
+    """
+    grouped = sized.select("sid", "n").join(groups, "sid", "left").select(
         "sid", "n", F.coalesce("grp", "sid").alias("grp"))
-    counts = sized.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
-    placed = materialise(sized.join(counts, "grp").select(
+    counts = grouped.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
+    placed = materialise(grouped.join(counts, "grp").select(
         "sid", "n", "grp", F.when(F.col("parts") == 1, F.col("grp")).otherwise(F.xxhash64(
             "grp", F.pmod(F.hash("sid"), F.col("parts")))).alias("part")), "parts")
-    rows = shared.join(placed, "sid")
-    matrix = rows.groupBy("token", "grp", "part").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"))
-    asked = rows.select("token", "sid", "n", F.col("grp").alias("own"))
-    hits = (asked.join(matrix, "token")
-            .filter((F.col("own") < F.col("grp"))
-                    & (OF * F.col("most") >= NEEDED * F.col("n"))
-                    & (NEEDED * F.col("least") <= OF * F.col("n")))
-            .select("sid", "part").distinct())
-    hits = materialise(hits, "hits")
+    rows = (shared.filter(OF * (F.col("n") - F.col("pos")) >= NEEDED * F.col("n"))
+            .select("token", "sid", "pos").join(placed, "sid"))
+    matrix = rows.groupBy("token", "grp", "part", F.col("n").alias("m")).agg(
+        F.min("pos").alias("place"))
+    asked = rows.select("token", "sid", "n", "pos", F.col("grp").alias("own"))
+    # 180 overlap >= 80 (n + m): what either set can have outside the other.
+    both_sizes, one = NEEDED * (F.col("n") + F.col("m")), OF + NEEDED
+    hits = materialise(
+        asked.join(matrix, "token")
+        .filter((F.col("own") < F.col("grp"))
+                & (one * (F.col("n") - F.col("pos")) >= both_sizes)
+                & (one * (F.col("m") - F.col("place")) >= both_sizes))
+        .select("sid", "part").distinct(), "hits")
     copies = hits.groupBy("part").agg(
         F.ceil(F.count("*") / F.lit(LOOKUPS)).cast("int").alias("salts"))
     lookups = hits.join(copies, "part").select(
@@ -324,7 +377,7 @@ def matrix_links(shared: DataFrame, sets: DataFrame, groups: DataFrame) -> DataF
     held = placed.select("sid", "part").join(copies, "part").select(
         "part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         F.lit(0).alias("kind"), "sid")
-    both = lookups.unionByName(held).join(sets.select("sid", "tokens"), "sid").select(
+    both = lookups.unionByName(held).join(sets, "sid").select(
         "part", "salt", "kind", "sid", "tokens")
     return by_group(both, ["part", "salt"], ["kind", "sid"], _open_part,
                     "sid long, leader long")
@@ -355,35 +408,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def repeated_tokens(rows: DataFrame) -> DataFrame:
+    """The rows (token, sid, n, pos) whose token also stands in a set of a fitting size."""
+    w = W.Window.partitionBy("token").orderBy("n", "sid")
+    return (rows.withColumns({"before": F.lag("n").over(w), "after": F.lead("n").over(w)})
+            .filter((OF * F.col("before") >= NEEDED * F.col("n"))
+                    | (NEEDED * F.col("after") <= OF * F.col("n")))
+            .select("token", "sid", "n", "pos"))
+
+
 def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles of all rows, and links (a, b) between classes: enough for all components."""
     frequent = frequent_tokens(docs)
-    profile = materialise(profiles(docs, frequent), "profiles")
-    shared = postings(docs, frequent).repartition("token")
-    token = W.Window.partitionBy("token")
-    shared = materialise(
-        shared.withColumns({"lo": F.min("sid").over(token), "hi": F.max("sid").over(token)})
-        .filter(F.col("lo") != F.col("hi")).select("token", "sid").distinct(), "postings")
-    keyed = (profile.filter(F.size("keys") > 0)
-             .select("sid", F.posexplode("keys").alias("round", "key")).distinct())
-    several = keyed.groupBy("round", "key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")
-                                                ).filter("lo != hi").select("round", "key")
-    keyed = materialise(keyed.join(several, ["round", "key"]), "keys")
-    wanted = keyed.select("sid").unionByName(shared.select("sid")).distinct()
-    texts = materialise(profile.filter("n > 0").groupBy("sid").agg(F.min("th").alias("th"))
-                        .join(wanted, "sid").select("th", "sid"), "wanted")
-    sets = materialise(token_sets(docs, texts), "sets")
-    spark = docs.sparkSession
-    groups = spark.createDataFrame([], "sid long, grp long")
-    links = spark.createDataFrame([], "sid long, leader long")
-    for r in range(ROUNDS):
-        met = materialise(group_round(
-            keyed.filter(F.col("round") == r).select("key", "sid"), sets, groups), "round")
-        links = links.unionByName(met.select("sid", "leader"))
-        joined = met.select("sid", "grp").unionByName(
-            met.select(F.col("grp").alias("sid"), "grp"))
-        groups = materialise(groups.unionByName(joined).distinct(), "groups")
-    links = links.unionByName(matrix_links(shared, sets, groups))
+    profile = materialise(profiles(docs), "profiles")
+    rows = postings(docs, frequent).repartition("token").dropDuplicates(["token", "sid"])
+    shared = materialise(repeated_tokens(rows), "postings")
+    # A set that links shares at least so many tokens, even with the smallest set it can link to.
+    least = 1 + F.floor(F.col("n") * NEEDED / (OF * 10))
+    for _ in range(2):
+        enough = (shared.groupBy("sid").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+                  .filter(F.col("met") >= least).select("sid"))
+        shared = materialise(repeated_tokens(shared.join(enough, "sid", "left_semi")), "postings")
+    sized = (shared.groupBy("sid").agg(F.count("*").alias("met"), F.first("n").alias("n"))
+             .filter(F.col("met") >= least))
+    sized = materialise(sized, "sized")
+    keyed = materialise(profile.filter(F.size("keys") > 0).join(sized, "sid", "left_semi")
+                        .select("sid", F.posexplode("keys").alias("round", "key")).distinct(), "keys")
+    wanted = profile.filter("n > 0").groupBy("sid").agg(F.min("th").alias("th")).join(
+        sized, "sid", "left_semi")
+    sets = materialise(token_sets(docs, wanted), "sets")
+    met = materialise(leader_links(keyed, sized, sets), "met")
+    groups = components(met.select(F.col("sid").alias("a"), F.col("leader").alias("b"))).select(
+        F.col("node").alias("sid"), F.col("root").alias("grp"))
+    links = met.unionByName(matrix_links(shared, sized, sets, groups))
     return profile, links.select(F.col("sid").alias("a"), F.col("leader").alias("b"))
 
 
