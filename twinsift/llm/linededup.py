@@ -7,7 +7,8 @@ estimate well above the threshold decides; near it the sites of just those lines
 exactly. All but the first occurrence (smallest doc_id, then line) of a line on at least
 `min_sites` sites are removed. Lines of fewer than `min_words` words stay: they recur by chance.
 
-All steps are DataFrame operations. Texts move once, when the line numbers to drop meet them.
+All steps are DataFrame operations. In joins on line hashes the rows of hot lines stay where they
+are: there are at most `HOT` hot lines, so those are broadcast. Texts move once, when the line numbers to drop meet them.
 
 Defined cases: null text has no lines and stays null; a null source counts as the empty one;
 null doc_ids come last and, like repeated rows, are alike: if one of them holds the first
@@ -26,6 +27,7 @@ from twinsift.session import materialise
 MIN_SITES = 3
 MIN_WORDS = 5
 SKETCH_BITS = 9      # 512 registers, a standard error of 4.6 %
+HOT = 1000           # a line in one of so many rows is hot; there can be no more such lines
 NEAR = 0.2           # exact counts for estimates within so much of the threshold
 
 
@@ -50,27 +52,35 @@ def long_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     F.unhex(F.md5(line.cast("binary"))).alias("__key")))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Key and first occurrence of the lines on at least `min_sites` sites."""
+def _meet(lines: DataFrame, hot: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Join lines with facts of some keys; the rows of the `hot` keys are not shuffled."""
+    cold = lines.join(F.broadcast(hot), "__key", "left_anti")
+    found_hot = F.broadcast(found.join(F.broadcast(hot), "__key", "left_semi"))
+    return lines.join(found_hot, "__key", how).unionByName(cold.join(found, "__key", how))
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
+    """Key and first occurrence of the lines on at least `min_sites` sites; keys of hot lines."""
     spread = materialise(
         lines.groupBy("__key").agg(
             F.count("*").alias("rows"), F.min(_first()).alias("first"),
             F.hll_sketch_estimate(F.hll_sketch_agg("__site", SKETCH_BITS)).alias("sites"))
         .filter(F.col("rows") >= min_sites), "spread")
-    sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR)).select("__key", "first")
+    hot = spread.filter(F.col("rows") * HOT >= lines.count()).select("__key")
+    sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR))
     near = spread.filter(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR)))
-    counted = (lines.join(near.select("__key"), "__key", "left_semi")
+    counted = (_meet(lines, hot, near.select("__key"), "left_semi")
                .groupBy("__key", "__site").count().groupBy("__key").count()
                .filter(F.col("count") >= min_sites).select("__key"))
-    return materialise(sure.unionByName(
-        near.join(counted, "__key").select("__key", "first")), "boilerplate")
+    return materialise(sure.unionByName(near.join(counted, "__key", "left_semi"))
+                       .select("__key", "first"), "boilerplate"), hot
 
 
 def _dropped(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
     """Per document the numbers of the lines to drop."""
     lines = materialise(long_lines(docs, min_words), "lines")
-    found = boilerplate(lines, min_sites)
-    return (lines.join(found, "__key")
+    found, hot = boilerplate(lines, min_sites)
+    return (_meet(lines, hot, found)
             .filter(~_first().eqNullSafe(F.col("first")))
             .groupBy("__id", "__hash").agg(F.collect_set("__pos").alias("__drop")))
 
