@@ -39,6 +39,7 @@ PAIRS = 10
 RATE = 0.15
 LEAST = 10           # rows in a leaf
 CUT = 0.7
+PLACES = 1 << 30
 FEATURES = ("log_words", "word_length", "distinct_words", "symbols", "pipes", "upper", "digits",
             "non_ascii", "same_as_next", "ends_exclaimed", "ends_sentence", "lone_signs",
             "same_lines", "log_lines", "top_word", "distinct_pairs")
@@ -200,8 +201,11 @@ def sample(rows: DataFrame, labels: DataFrame, max_sample: int) -> tuple[np.ndar
     """Features and labels of at most `max_sample` labelled rows, the first in hash order."""
     known = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("__label")))
-    found = (rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES)
-             .limit(max_sample).select("__label", *FEATURES).toPandas())
+    both = rows.join(known, "doc_id").withColumn("__place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)))
+    # Cut by hash first, with room to spare, so that tasks do not each send a whole sample.
+    share = min(1.0, (1.2 * max_sample + 1000) / max(both.count(), 1))
+    found = (both.filter(F.col("__place") < int(share * PLACES))
+             .orderBy("__place", "doc_id", *FEATURES).limit(max_sample).select("__label", *FEATURES).toPandas())
     return (found[list(FEATURES)].to_numpy(dtype=np.float32).reshape(len(found), len(FEATURES)),
             found["__label"].to_numpy(dtype=np.float64))
 
