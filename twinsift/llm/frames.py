@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from twinsift.session import materialise
 
+PIECE_ROWS = 1000
 #: White space of the word rule `[^\x20\x09-\x0D]+`, the characters that bytes.split() cuts at.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -23,14 +22,6 @@ def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def process_state(name: str, make: Callable[[], object]) -> object:
-    """State kept once per Python worker process and used again by its later tasks."""
-    box = sys.modules.setdefault("_twinsift_process_state", types.ModuleType("state")).__dict__
-    if name not in box:
-        box[name] = make()
-    return box[name]
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]],
                 schema: StructType | str) -> DataFrame:
     """Map batches of columns (dicts of lists) to batches of columns.
@@ -42,12 +33,15 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]],
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-                 for b in batches)
+        # A few rows at a time become Python objects: a task needs little beside its Arrow batch.
+        pieces = (b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS))
+        plain = ({n: p.column(i).to_pylist() for i, n in enumerate(p.schema.names)}
+                 for p in pieces)
         for out in fn(plain):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[f.name], type=f.type, from_pandas=False) for f in target],
                 schema=target)
+        pa.default_memory_pool().release_unused()      # the worker lives on after the task
 
     return df.mapInArrow(run, schema)
 

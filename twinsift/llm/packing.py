@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import (ArrayType, IntegerType, LongType, StructField, StructType)
 
-from twinsift.llm.frames import map_batches, process_state
+from twinsift.llm.frames import map_batches
 from twinsift.llm.lexer import WORD_PIECES, is_plain, slices, spelled
 
 TIERS = (2048, 1024, 512, 256)
@@ -30,7 +30,7 @@ STEP_TOKENS = 65_536
 END_ID = 1
 BLOCK_TOKENS = 2_000_000
 SLICE_CHARS = 1_000_000
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 400_000
 ENCODE_ROWS = 500
 SEQUENCES_PER_TASK = 1 << 33
 
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS,
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         task = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
-        encoder = process_state(f"words {tokenizer_path}", lambda: WordTable(tokenizer_path))
+        encoder = WordTable(tokenizer_path)
         documents: dict[int, tuple] = {}     # number -> (doc_id, ids)
         pool: list[tuple] = []
         counter, tokens, sequences, groups = 0, 0, 0, 0

@@ -24,11 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from twinsift.llm.frames import map_batches, process_state
+from twinsift.llm.frames import map_batches
 from twinsift.llm.lexer import CONTRACTIONS, RUNS, SYMBOLS, is_plain, slices, spelled
 
 CHUNK_CHARS = 32_768
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 400_000
 ROWS = 500
 NONE, PENDING = 0, 1
 BLANK_SET = frozenset("\t\n\x0b\x0c\r \x85\xa0")
@@ -186,8 +186,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
         StructField("n_tokens", LongType()), StructField("over_limit", BooleanType())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        machine = process_state(f"transducer {tokenizer_path}",
-                                lambda: Transducer(tokenizer_path))
+        machine = Transducer(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             counts = np.concatenate([
