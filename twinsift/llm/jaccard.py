@@ -6,18 +6,18 @@
    those tokens are shuffled, and classes with fewer than k tokens in common with classes of
    a fitting size are out. The order puts tokens of many documents last, so that what is
    shuffled seldom meets much.
-3. Similar classes are put into groups: classes that share the smallest hash of some token
-   permutation meet the first of them, and join its group if their similarity reaches the
-   threshold. A group is one component already.
-4. The token-group matrix has a row (token, group part, size, place) for the tokens of a part's
-   members. A class looks up its tokens in it. Of two sets that link, neither has more tokens
-   before the first common one than it may have outside the other, which their sizes bound:
-   other meetings do not count. For each part of another group that is hit, the overlap with the
-   part's token union bounds the similarity to every member; only parts that reach the
-   bound are opened, and their members are compared exactly.
+3. Classes that share the smallest hash of some token permutation meet a leader, and are linked to
+   it if their similarity reaches the threshold. Similar classes are then put into groups: those
+   linked already, which need not meet again, and those left with the same leader.
+4. The token-group matrix has a row for each token of a group part, with the range of sizes and the
+   first place of the token in its members. A class looks up its tokens in it. Of two sets that
+   link, neither has more tokens before the first common one than it may have outside the
+   other, which their sizes bound: other meetings do not count. For each part that is hit, the
+   overlap with the part's token union bounds the similarity to every member; only parts that
+   reach the bound are opened, and their members are compared exactly.
 5. Components of all links found give each document its class id.
 
-No link between different groups is lost, and links inside a group do not change components.
+No link is lost but those inside what is linked already, which do not change components.
 Copies are never paired: they carry their class's hash. Parts hold about PART members, and a
 part with many lookups is copied for each batch of them, so no task meets a whole large group.
 
@@ -53,6 +53,7 @@ ROUNDS = 3
 FILTER_BITS = 16              # bits of the filter of wanted texts for each of them,
 FILTER_LIMIT = 1 << 30        # and its most bits: 128 MB. Beyond it more sets are written in vain.
 PART = 64
+STEPS = 64
 LOOKUPS = 512
 BLOCK_TOKENS = 2_000_000
 
@@ -171,12 +172,15 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, sid, n, pos) for the first tokens of every set, in their order."""
+    """(token, sid, place) for the first tokens of every set.
+
+    `place` packs the set's size and how far up the order the token stands, in 64ths of the size.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         seen: set[int] = set()
         for batch in batches:
-            tokens_out, sids_out, sizes_out, places_out = [], [], [], []
+            tokens_out, sids_out, places_out = [], [], []
             for text in batch["text"]:
                 tokens = shingles(text)
                 if not len(tokens) or (sid := set_hash(tokens)) in seen:
@@ -186,14 +190,13 @@ def postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 first = order[:prefix_length(len(order))]
                 tokens_out.append(first)
                 sids_out.append(np.full(len(first), sid, dtype=np.int64))
-                sizes_out.append(np.full(len(first), len(order), dtype=np.int32))
-                places_out.append(np.arange(len(first), dtype=np.int32))
+                n = len(order)
+                places_out.append(n * STEPS + np.arange(len(first)) * STEPS // n)
             if tokens_out:
                 yield {"token": np.concatenate(tokens_out).view(np.int64),
-                       "sid": np.concatenate(sids_out), "n": np.concatenate(sizes_out),
-                       "pos": np.concatenate(places_out)}
+                       "sid": np.concatenate(sids_out), "place": np.concatenate(places_out)}
 
-    return map_batches(docs.select("text"), run, "token long, sid long, n int, pos int")
+    return map_batches(docs.select("text"), run, "token long, sid long, place long")
 
 
 def wanted_filter(wanted: DataFrame) -> np.ndarray:
@@ -296,8 +299,9 @@ def _meet_leader(rows: Iterator[tuple]) -> list[tuple]:
     return out
 
 
-def leader_links(keyed: DataFrame, sized: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (sid, leader) between classes that share a key.
+def leader_links(keyed: DataFrame, sized: DataFrame,
+                 sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (sid, leader) between classes that share a key, and the pairs that met.
 
     The leader of a key is the class with the largest share of tokens met elsewhere: of
     near copies, that is the text they stem from or the one least changed. What it does not
@@ -322,7 +326,7 @@ def leader_links(keyed: DataFrame, sized: DataFrame, sets: DataFrame) -> DataFra
     rows = members.unionByName(heads).join(sets, "sid").select(
         "leader", "salt", "kind", "sid", "tokens")
     return by_group(rows, ["leader", "salt"], ["kind", "sid"], _meet_leader,
-                    "sid long, leader long")
+                    "sid long, leader long"), pairs
 
 
 def _open_part(rows: Iterator[tuple]) -> list[tuple]:
@@ -338,38 +342,42 @@ def _open_part(rows: Iterator[tuple]) -> list[tuple]:
                 union = members[0][1] if len(members) == 1 else np.unique(
                     np.concatenate([m[1] for m in members]))
             if OF * overlap(tokens, union) >= NEEDED * len(tokens):
-                out += [(sid, other) for other, theirs in members
-                        if linked(overlap(tokens, theirs), len(tokens), len(theirs))]
+                out += [(sid, other) for other, theirs in members if other != sid
+                        and OF * min(len(tokens), len(theirs)) >= NEEDED * max(len(tokens), len(theirs))
+                        and linked(overlap(tokens, theirs), len(tokens), len(theirs))]
         last = (kind, sid) if kind else sid
     return out
 
 
-def matrix_links(shared: DataFrame, sized: DataFrame, sets: DataFrame,
-                 groups: DataFrame) -> DataFrame:
-    """Links (sid, leader) between classes of different groups.
+def matrix_links(shared: DataFrame, sized: DataFrame, sets: DataFrame, groups: DataFrame,
+                 pairs: DataFrame) -> DataFrame:
+    """Links (sid, leader) between classes that are not linked yet.
 
-    `shared` has token, sid and pos, `sized` sid and n, `groups` sid and grp where that is another
-    class.
+    `shared` has token, sid and pos, `sized` sid and n, `groups` sid and grp of what is linked,
+    `pairs` sid and leader of what has met.
     """
-    grouped = sized.select("sid", "n").join(groups, "sid", "left").select(
-        "sid", "n", F.coalesce("grp", "sid").alias("grp"))
-    counts = grouped.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
-    placed = materialise(grouped.join(counts, "grp").select(
-        "sid", "n", "grp", F.when(F.col("parts") == 1, F.col("grp")).otherwise(F.xxhash64(
-            "grp", F.pmod(F.hash("sid"), F.col("parts")))).alias("part")), "parts")
+    families = pairs.groupBy("sid").agg(F.min("leader").alias("family"))
+    grouped = (sized.select("sid", "n").join(groups, "sid", "left").join(families, "sid", "left")
+               .select("sid", "n", F.coalesce("grp", "sid").alias("own"),
+                       F.coalesce("grp", "family", "sid").alias("pack")))
+    counts = grouped.groupBy("pack").agg(F.ceil(F.count("*") / F.lit(PART)).alias("parts"))
+    placed = materialise(grouped.join(counts, "pack").select(
+        "sid", "n", "own", F.when(F.col("parts") == 1, F.col("pack")).otherwise(F.xxhash64(
+            "pack", F.pmod(F.hash("sid"), F.col("parts")))).alias("part")), "parts")
     rows = (shared.filter(OF * (F.col("n") - F.col("pos")) >= NEEDED * F.col("n"))
             .select("token", "sid", "pos").join(placed, "sid"))
-    matrix = rows.groupBy("token", "grp", "part", F.col("n").alias("m")).agg(
-        F.min("pos").alias("place"))
-    asked = rows.select("token", "sid", "n", "pos", F.col("grp").alias("own"))
+    matrix = rows.groupBy("token", F.col("part").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("place"),
+        F.min("own").alias("lo"), F.max("own").alias("hi"))
     # 180 overlap >= 80 (n + m): what either set can have outside the other.
-    both_sizes, one = NEEDED * (F.col("n") + F.col("m")), OF + NEEDED
+    n, least, most, one = F.col("n"), F.col("least"), F.col("most"), OF + NEEDED
+    linked_already = (F.col("lo") == F.col("own")) & (F.col("hi") == F.col("own"))
     hits = materialise(
-        asked.join(matrix, "token")
-        .filter((F.col("own") < F.col("grp"))
-                & (one * (F.col("n") - F.col("pos")) >= both_sizes)
-                & (one * (F.col("m") - F.col("place")) >= both_sizes))
-        .select("sid", "part").distinct(), "hits")
+        rows.join(matrix, "token")
+        .filter((F.col("part") <= F.col("other")) & ~linked_already
+                & (one * (n - F.col("pos")) >= NEEDED * (n + least))
+                & (one * (most - F.col("place")) >= NEEDED * (n + most)))
+        .select("sid", F.col("other").alias("part")).distinct(), "hits")
     copies = hits.groupBy("part").agg(
         F.ceil(F.count("*") / F.lit(LOOKUPS)).cast("int").alias("salts"))
     lookups = hits.join(copies, "part").select(
@@ -421,7 +429,10 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Profiles of all rows, and links (a, b) between classes: enough for all components."""
     frequent = frequent_tokens(docs)
     profile = materialise(profiles(docs), "profiles")
-    rows = postings(docs, frequent).repartition("token").dropDuplicates(["token", "sid"])
+    # A token stands at least at `pos`: its place is known to a 64th of the size.
+    size, step = F.floor(F.col("place") / STEPS), F.col("place") % STEPS
+    rows = (postings(docs, frequent).repartition("token").dropDuplicates(["token", "sid"])
+            .select("token", "sid", size.alias("n"), F.ceil(step * size / STEPS).alias("pos")))
     shared = materialise(repeated_tokens(rows), "postings")
     # A set that links shares at least so many tokens, even with the smallest set it can link to.
     least = 1 + F.floor(F.col("n") * NEEDED / (OF * 10))
@@ -437,10 +448,11 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = profile.filter("n > 0").groupBy("sid").agg(F.min("th").alias("th")).join(
         sized, "sid", "left_semi")
     sets = materialise(token_sets(docs, wanted), "sets")
-    met = materialise(leader_links(keyed, sized, sets), "met")
+    met, pairs = leader_links(keyed, sized, sets)
+    met = materialise(met, "met")
     groups = components(met.select(F.col("sid").alias("a"), F.col("leader").alias("b"))).select(
         F.col("node").alias("sid"), F.col("root").alias("grp"))
-    links = met.unionByName(matrix_links(shared, sized, sets, groups))
+    links = met.unionByName(matrix_links(shared, sized, sets, groups, pairs))
     return profile, links.select(F.col("sid").alias("a"), F.col("leader").alias("b"))
 
 
