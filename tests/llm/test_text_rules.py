@@ -98,6 +98,15 @@ def test_line_dedup_rows(spark):
     assert linededup.line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("empty", [None, ""])
+def test_line_on_three_sites_one_without_name(spark, empty):
+    line = "this line stands on three sites"
+    docs = spark.createDataFrame([(i, f"{line}\n{i}", s) for i, s in enumerate([empty, "a", "b"])],
+                                 "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.line_dedup(docs).collect()}
+    assert got == {0: (f"{line}\n0", 0), 1: ("1", 1), 2: ("2", 1)}
+
+
 def test_drop_lines_keeps_columns(spark):
     docs = line_docs(spark)
     out = linededup.drop_lines(docs)

@@ -64,7 +64,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame
     spread = materialise(
         lines.groupBy("__key").agg(
             F.count("*").alias("rows"), F.min(_first()).alias("first"),
-            F.hll_sketch_estimate(F.hll_sketch_agg("__site", SKETCH_BITS)).alias("sites"))
+            # Hashes, since the sketch passes over empty strings.
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("__site"), SKETCH_BITS)).alias("sites"))
         .filter(F.col("rows") >= min_sites), "spread")
     hot = spread.filter(F.col("rows") * HOT >= lines.count()).select("__key")
     sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR))
