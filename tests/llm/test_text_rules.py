@@ -116,6 +116,20 @@ def test_drop_lines_keeps_columns(spark):
     assert rows[7]["n_chars"] == len(rows[7]["text"]) and rows[101]["n_chars"] == 1
 
 
+def test_short_lines_need_more_sites(spark):
+    """Of ten sites a line of three words needs three, of two words three, of one word four."""
+    sites = [f"s{i}" for i in range(10)]
+    rows = [(i, "\n".join([f"own words of document number {i}", "All rights reserved."]
+                          + ["Menu"] * (i < 4) + ["Yes."] * (i < 3) + ["  "]), sites[i]) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for out in (linededup.drop_lines(docs), linededup.line_dedup(docs, short_percent=10)):
+        got = {r["doc_id"]: r["text"].split("\n")[1:] for r in out.collect()}
+        assert got[0] == ["All rights reserved.", "Menu", "Yes.", "  "]
+        assert got[2] == ["Yes.", "  "] and got[3] == ["  "] and got[9] == ["  "]
+    kept = {r["doc_id"]: r["n_removed"] for r in linededup.line_dedup(docs).collect()}
+    assert set(kept.values()) == {0}        # the registered query's SQL leaves short lines out
+
+
 def slow_targets(sizes: dict) -> dict:
     names = sorted((k for k in sizes if k is not None)) + ([None] if None in sizes else [])
     weights = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}

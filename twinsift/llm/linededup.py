@@ -5,15 +5,18 @@ the first occurrence; sketches merge on the map side, so a line that stands in a
 rows is one small row per task. A line in fewer rows than the threshold cannot reach it. An
 estimate well above the threshold decides; near it the sites of just those lines are counted
 exactly. All but the first occurrence (smallest doc_id, then line) of a line on at least
-`min_sites` sites are removed. Lines of fewer than `min_words` words stay: they recur by chance.
+`min_sites` sites are removed. Lines of fewer than `min_words` words recur by chance more often: for
+each word that one lacks it must stand on `short_percent` percent of all sites (and on `min_sites`).
+`drop_lines` counts them so; in `line_dedup`, whose SQL leaves them out, they stay unless a
+`short_percent` is given.
 
 All steps are DataFrame operations. In joins on line hashes the rows of hot lines stay where they
 are: there are at most `HOT` hot lines, so those are broadcast. Texts move once, when the line numbers to drop meet them.
 
 Defined cases: null text has no lines and stays null; a null source counts as the empty one;
 null doc_ids come last and, like repeated rows, are alike: if one of them holds the first
-occurrence, all keep it; white space around a line does not matter; an empty table gives no
-rows; other columns are kept by `drop_lines` and not read by `line_dedup`.
+occurrence, all keep it; white space around a line does not matter, and a line without a word is
+no line; an empty table gives no rows; other columns are kept by `drop_lines` and not read by `line_dedup`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from twinsift.session import materialise
 
 MIN_SITES = 3
 MIN_WORDS = 5
+SHORT_PERCENT = 10   # of all sites, for each word that a line has less than MIN_WORDS
 SKETCH_BITS = 9      # 512 registers, a standard error of 4.6 %
 HOT = 1000           # a line in one of so many rows is hot; there can be no more such lines
 NEAR = 0.2           # exact counts for estimates within so much of the threshold
@@ -39,16 +43,21 @@ def _first() -> Column:
     return F.struct(F.col("__id").isNull().alias("last"), F.col("__id"), F.col("__pos"))
 
 
-def long_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Key, site and place of every line of at least `min_words` words; the lines stay behind."""
+def counted_lines(docs: DataFrame, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+    """Key, site, place and words (at most `min_words`) of every line; the lines stay behind.
+
+    Lines of fewer than `min_words` words are among them if `short` is set.
+    """
     line = F.btrim(F.col("__line"), F.lit(SPACES))
     enough = line.rlike(r"^[^\x20\x09-\x0D]+([\x20\x09-\x0D]+[^\x20\x09-\x0D]+){%d}"
                         % max(min_words - 1, 0))
+    words = F.when(enough, F.lit(min_words)).otherwise(F.size(F.split(line, r"[\x20\x09-\x0D]+")))
     return (docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"),
                         F.coalesce("source", F.lit("")).alias("__site"),
                         F.posexplode(_lines(F.col("text"))).alias("__pos", "__line"))
-            .filter(enough)
+            .filter((line != "") if short else enough)
             .select("__id", "__hash", "__site", "__pos",
+                    (words if short else F.lit(min_words)).cast("int").alias("__words"),
                     F.unhex(F.md5(line.cast("binary"))).alias("__key")))
 
 
@@ -59,36 +68,49 @@ def _meet(lines: DataFrame, hot: DataFrame, found: DataFrame, how: str = "inner"
     return lines.join(found_hot, "__key", how).unionByName(cold.join(found, "__key", how))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
-    """Key and first occurrence of the lines on at least `min_sites` sites; keys of hot lines."""
+def needed_sites(words: Column, all_sites: int, min_sites: int, min_words: int,
+                 short_percent: int) -> Column:
+    """On so many sites a line of so many words is boilerplate."""
+    by_words = [max(min_sites, -(-short_percent * (min_words - w) * all_sites // 100))
+                for w in range(1, min_words)]
+    return F.coalesce(F.get(F.array(*[F.lit(n) for n in by_words]), words - 1),
+                      F.lit(min_sites)) if by_words else F.lit(min_sites)
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
+                short_percent: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Key and first occurrence of the lines on as many sites as they need; keys of hot lines."""
+    need = F.lit(min_sites)
+    if short_percent is not None:
+        all_sites = lines.select("__site").distinct().count()
+        need = needed_sites(F.col("words"), all_sites, min_sites, min_words, short_percent)
     spread = materialise(
         lines.groupBy("__key").agg(
-            F.count("*").alias("rows"), F.min(_first()).alias("first"),
+            F.min("__words").alias("words"), F.count("*").alias("rows"), F.min(_first()).alias("first"),
             # Hashes, since the sketch passes over empty strings.
             F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64("__site"), SKETCH_BITS)).alias("sites"))
-        .filter(F.col("rows") >= min_sites), "spread")
+        .withColumn("need", need).filter(F.col("rows") >= F.col("need")), "spread")
     hot = spread.filter(F.col("rows") * HOT >= lines.count()).select("__key")
-    sure = spread.filter(F.col("sites") > min_sites * (1 + NEAR))
-    near = spread.filter(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR)))
+    sure = spread.filter(F.col("sites") > F.col("need") * (1 + NEAR))
+    near = spread.filter(F.col("sites").between(F.col("need") * (1 - NEAR), F.col("need") * (1 + NEAR)))
     counted = (_meet(lines, hot, near.select("__key"), "left_semi")
-               .groupBy("__key", "__site").count().groupBy("__key").count()
-               .filter(F.col("count") >= min_sites).select("__key"))
-    return materialise(sure.unionByName(near.join(counted, "__key", "left_semi"))
-                       .select("__key", "first"), "boilerplate"), hot
+               .groupBy("__key", "__site").count().groupBy("__key").count())
+    enough = near.join(counted, "__key").filter(F.col("count") >= F.col("need")).drop("count")
+    return materialise(sure.unionByName(enough).select("__key", "first"), "boilerplate"), hot
 
 
-def _dropped(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
+def _dropped(docs: DataFrame, min_sites: int, min_words: int, short_percent: int | None) -> DataFrame:
     """Per document the numbers of the lines to drop."""
-    lines = materialise(long_lines(docs, min_words), "lines")
-    found, hot = boilerplate(lines, min_sites)
+    lines = materialise(counted_lines(docs, min_words, short_percent is not None), "lines")
+    found, hot = boilerplate(lines, min_sites, min_words, short_percent)
     return (_meet(lines, hot, found)
             .filter(~_first().eqNullSafe(F.col("first")))
             .groupBy("__id", "__hash").agg(F.collect_set("__pos").alias("__drop")))
 
 
-def _cleaned(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
+def _cleaned(docs: DataFrame, min_sites: int, min_words: int, short_percent: int | None) -> DataFrame:
     """`docs` with __text (cleaned), __total and __removed (numbers of lines)."""
-    dropped = _dropped(docs.select("doc_id", "text", "source"), min_sites, min_words)
+    dropped = _dropped(docs.select("doc_id", "text", "source"), min_sites, min_words, short_percent)
     joined = docs.withColumn("__h", F.xxhash64("text")).join(
         dropped, F.col("doc_id").eqNullSafe(F.col("__id"))
         & (F.col("__h") == F.col("__hash")), "left")
@@ -102,19 +124,20 @@ def _cleaned(docs: DataFrame, min_sites: int, min_words: int) -> DataFrame:
         "__removed": F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(removed).cast("bigint")})
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES,
-               min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
+               short_percent: int | None = None) -> DataFrame:
     """doc_id, text without repeated boilerplate, n_lines and n_removed of every row."""
-    return _cleaned(docs.select("doc_id", "text", "source"), min_sites, min_words).select(
+    rows = _cleaned(docs.select("doc_id", "text", "source"), min_sites, min_words, short_percent)
+    return rows.select(
         "doc_id", F.col("__text").alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("__total")).cast("bigint").alias("n_lines"),
         F.col("__removed").alias("n_removed"))
 
 
-def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES,
-               min_words: int = MIN_WORDS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
+               short_percent: int | None = SHORT_PERCENT) -> DataFrame:
     """`docs` with cleaned texts and n_chars; rows that lost lines and have no word left go."""
-    rows = _cleaned(docs, min_sites, min_words)
+    rows = _cleaned(docs, min_sites, min_words, short_percent)
     gone = (F.col("__removed") > 0) & (F.btrim("__text", F.lit(SPACES)) == "")
     changed = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
