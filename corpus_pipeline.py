@@ -25,8 +25,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of similar documents."""
-    return jaccard.keep_one(docs)
+    """One row, that of the smallest doc_id, of each group of similar documents."""
+    return jaccard.keep_one_row(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,6 +80,24 @@ def test_keep_one(spark):
     assert jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_row(spark):
+    """Repeated and null ids leave one row of a group as well."""
+    text, near = " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(1, 40))
+    rows = ([(1, text, "k")] * 5 + [(1, near, "k"), (1, "another text of the same id", "k"), (2, text, "k")]
+            + [(None, text, "k")] * 5 + [(None, "only null ids say this", "k")] * 4
+            + [(3, "one of two", "a"), (3, "one of two", "b"), (4, None, "k"), (None, "", "k")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(4)
+    out = jaccard.keep_one_row(docs)
+    assert out.columns == docs.columns and out.schema == docs.schema
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    group, rest = [g for g in got if g[1] in (text, near)], [g for g in got if g[1] not in (text, near)]
+    assert len(group) == 1 and group[0][0] == 1
+    assert [r[:2] for r in rest] == sorted([
+        (1, "another text of the same id"), (3, "one of two"), (4, None), (None, ""),
+        (None, "only null ids say this")], key=str)
+    assert jaccard.keep_one_row(docs.limit(0)).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     rows = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()

@@ -470,6 +470,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
+def keep_one_row(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns: null and repeated doc_ids are told apart too.
+
+    The row of the smallest doc_id stays (nulls last), then of the smallest text hash; of rows
+    alike in both, one. Rows without words are not like any other, and all stay.
+    """
+    profile, links = jaccard_links(docs)
+    roots = materialise(components(links), "roots")
+    rows = (profile.filter(F.col("sid").isNotNull()).select("doc_id", "th", "sid")
+            .join(roots, F.col("sid") == F.col("node"), "left")
+            .select("doc_id", "th", F.coalesce("root", "sid").alias("root"))
+            # Repeated rows are one row with a count from here on, so a hot one is no hot key.
+            .groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")))
+    rows = materialise(rows, "members")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    best = rows.groupBy(F.col("root").alias("__root")).agg(F.min(order).alias("best"))
+    ranked = rows.join(best, F.col("root") == F.col("__root")).withColumn(
+        "first", order.eqNullSafe(F.col("best")))
+    # Rows to leave out; of the first ones that are repeated, one comes back.
+    out = materialise(ranked.filter(~F.col("first") | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "first"), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    kept = docs.join(out, same, "left_anti")
+    repeated = out.filter("first")
+    if repeated.isEmpty():
+        return kept
+    one = (docs.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("__th"))
+           .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row")))
+    return kept.unionByName(one.select("__row.*"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` but those whose component has a smaller doc_id, with all columns.
 
