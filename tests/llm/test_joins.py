@@ -220,6 +220,31 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_tokens_of_the_whole_url(spark):
+    urls = ["http://a.b.org/x/y1/deep/view.PHP/page-12.html?id=3&utm_source=f;k#z?no=1", "http://b.org/.x/v1.2?", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    url = df["url"]
+    got = [r[0] for r in df.select(urlrules.url_tokens(
+        urlrules.host_of(url), urlrules.path_of(url), urlrules.query_of(url))).collect()]
+    assert set(got[0]) == {
+        "domain=org", "domain=b.org", "label=a", "label=b", "label=org", "path1=x", "path2=y0", "path3=deep",
+        "path4=view.PHP", "path5=page-0.html", "ending=php", "ending=html", "query=id", "query=utm_source", "query=k"}
+    assert set(got[1]) == {"domain=org", "domain=b.org", "label=b", "label=org", "path1=.x", "path2=v0.0"}
+    assert got[2] == []
+
+
+@pytest.mark.parametrize("tail", ["a/b/spam/{i}", "a/b{i}.spam", "a/{i}?spam={i}"])
+def test_url_rules_beyond_the_second_segment(spark, tail):
+    """Only a deeper segment, an ending or a query key tells blocked urls from allowed ones."""
+    good = tail.replace("spam", "fine")
+    urls = [f"http://{h}.com/{t}".format(i=i) for i in range(40) for h, t in (("bad", tail), ("good", good))]
+    asked = ["http://new.net/" + tail.format(i=7), "http://new.net/" + good.format(i=7)]
+    df = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    rules = (("block", "bad.com", "/"), ("allow", "good.com", "/"))
+    verdict = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(df, rules=rules).collect()}
+    assert verdict[len(urls)] == "block" and verdict[len(urls) + 1] == "allow"
+
+
 def slow_rules(transactions, support, confidence):
     counts = defaultdict(int)
     for items in transactions:

@@ -43,6 +43,10 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^?#]*\?([^#]*)", 1)
+
+
 def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     """The number of the fitting rule with the longest host, then path; null if none fits."""
     order = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]) - len(rules[i][2]), i))
@@ -54,17 +58,23 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: the host's domains, its labels, path segments by depth, ending."""
+def url_tokens(host: Column, path: Column, query: Column) -> Column:
+    """Distinct tokens: the host's domains, its labels, path segments by depth, endings, query keys."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     tail = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(2))), lambda i: F.concat(
         F.lit("domain="), F.array_join(F.slice(labels, -i, i), ".")))
     words = F.transform(labels, lambda x: F.concat(F.lit("label="), x))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    head = F.transform(F.slice(parts, 1, 2), lambda x, i: F.concat(
+    segments = F.transform(parts, lambda x, i: F.concat(
         F.lit("path"), (i + 1).cast("string"), F.lit("="), F.regexp_replace(x, "[0-9]+", "0")))
-    tokens = F.array_distinct(F.concat(tail, words, head))
+    endings = F.transform(parts, lambda x: F.lower(F.regexp_extract(x, r".\.([A-Za-z][A-Za-z0-9]*)$", 1)))
+    keys = F.transform(F.split(query, "[&;]"), lambda x: F.regexp_replace(
+        F.substring_index(x, "=", 1), "[0-9]+", "0"))
+    endings, keys = (F.filter(found, lambda x: x != "") for found in (endings, keys))
+    named = (F.transform(endings, lambda x: F.concat(F.lit("ending="), x)),
+             F.transform(keys, lambda x: F.concat(F.lit("query="), x)))
+    tokens = F.array_distinct(F.concat(tail, words, segments, *named))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
@@ -116,11 +126,11 @@ def judge_urls(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule and verdict of every row."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"),
-                        path_of(F.col("url")).alias("path"))
+                        path_of(F.col("url")).alias("path"), query_of(F.col("url")).alias("__query"))
     rows = rows.withColumn("__rule", longest_rule(F.col("host"), F.col("path"), rules))
     names = F.array(*[F.lit(h + p) for _, h, p in rules])
     verdicts = F.array(*[F.lit(v) for v, _, _ in rules])
-    tokens = url_tokens(F.col("host"), F.col("path"))
+    tokens = url_tokens(F.col("host"), F.col("path"), F.col("__query"))
     given = F.get(verdicts, F.col("__rule"))
     labelled = rows.filter(F.col("__rule").isNotNull()).select(F.array_append(
         tokens, F.concat(F.lit(VERDICT_ITEM), given)).alias("items"))
