@@ -189,6 +189,39 @@ def test_style_tree_removes_what_repeats(spark):
     assert tree["a.org", "/body/div.x1/p"]["content"] < 0.2 < tree["a.org", "/body/div.x2/p"]["content"]
 
 
+MAIN = " ".join(f"main{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("page,want", [
+    # text outside of <article> is not lost
+    (f"<div><p>{MAIN}</p></div><article>teaser</article>", MAIN + "\nteaser"),
+    (f"<main><article>a</article></main><div>{MAIN}</div>", "a\n" + MAIN),
+    # a part of a class name is no name
+    *[(f"<div class='{c}'><p>{MAIN}</p></div><p>x</p>", MAIN + "\nx") for c in (
+        "container no-sidebar", "page has-sidebar", "article-header", "post comments-open")],
+    # a wrapper stays with its article, other noise goes
+    *[(f"<{w}><article>{MAIN}</article><div class=ad>y</div></{w.split()[0]}><p>x</p>", MAIN + "\nx")
+      for w in ("div class=widget", "form", "div role=search", "div class=menu id=sidebar")],
+    (f"<div class=widget><div class=search><article>{MAIN}</article></div></div>", MAIN),
+    (f"<div class=widget><p>{MAIN}</p></div><p>x</p>", MAIN + "\nx"),
+    (f"<p>{MAIN}</p><aside><article>teaser</article></aside><div class=related><article>t</article></div>", MAIN),
+    (f"<p>{MAIN}</p><div id=comments>{MAIN} {MAIN}</div>", MAIN),
+    *[(f"<p>{MAIN}</p><div class='{c}'>y</div>", MAIN) for c in (
+        "nav-menu", "site_footer", "ad ad-0", "sidebar-left", "post-comments", "related-posts", "side-bar")],
+])
+def test_names_are_evidence(page, want):
+    assert siteextract.main_text(page) == want
+
+
+def test_importance_decides_over_the_whole_page(spark):
+    """Text beside an article goes where it repeats and stays where it does not."""
+    page = "<div class=x1><p>Same words here</p></div><article>Teaser {i}</article><div class=x2><p>Own text {i}</p></div>"
+    df = spark.createDataFrame([(i, "http://a.org/1", page.format(i=i)) for i in range(30)],
+                               "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in siteextract.extract(df).collect()}
+    assert got[5] == "Teaser 5\nOwn text 5"
+
+
 def test_extraction_of_given_pages(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     pages = {r["page_id"]: r["html"] for r in df.collect()}

@@ -5,8 +5,9 @@ and classes. Two measures are taken per host and path: presentation importance (
 the ways its children are laid out) and content importance (one minus the mean entropy of its
 texts over the pages; a text on every page has entropy 1, one on a single page 0). They are
 combined level by level as a weighted sum, and branches below a threshold are removed from
-each page, after the parts that their tag or class calls navigation, advert, form and the
-like, which no entropy is needed for.
+the whole page, inside and outside of `<article>`. Names are evidence: of what is left, branches
+that their tag or class calls navigation, advert, form and the like go too, unless what they hold
+outweighs their name (`free_main`), as a wrapper around the article does.
 
 The first pass maps pages to counted features; both aggregations combine before the shuffle,
 so a hot host is no hot task. The second pass meets each page with its host's removed
@@ -38,6 +39,8 @@ DECAY = 0.9           # weight of what is below against an element's own present
 THRESHOLD = 0.2       # branches of less importance are removed
 LEAST_PAGES = 4       # below that a host says nothing about what repeats
 FLUSH = 200_000
+OUTWEIGHS = 4         # a branch with a noise name needs so many times the text of the unnamed ones,
+PROSE = 200           # and so many characters; one with an article only more than the unnamed ones
 
 #: Parts of a page that hold no main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,11 +52,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote div section article "
                        "header footer nav aside form figure main hr address".split())
 NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|"
     r"side-?bar|footer|header|masthead|cookie\w*|consent|notice\w*|popup|modal|newsletter|"
     r"subscribe|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|reply|"
-    r"replies|respond|login|signup|search|widget|pagination|pager|copyright|legal|gdpr)"
-    r"(?:$|[-_\s])", re.I)
+    r"replies|respond|login|signup|search|widgets?|pagination|pager|copyright|legal|gdpr)")
+#: Parts of a class name that leave open what the rest says; those of OF_PAGE also name a headline's header.
+NEUTRAL = frozenset("site top bottom left right primary secondary global main inner outer wrap wrapper container "
+                    "area section box bar block list item items links link post posts 0 1 2 3 4".split())
+OF_PAGE = frozenset("page article entry post main".split())
+#: Noise by tag that no content outweighs.
+STRICT = HIDDEN | frozenset("nav footer aside menu dialog button select textarea".split())
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -72,6 +80,18 @@ class Element:
         self.children: list = []      # elements and strings
 
 
+def noise_name(label: str) -> bool:
+    """Does a whole class or id say noise? Each part of it must, or leave it open."""
+    for token in label.lower().replace("side-bar", "sidebar").split():
+        parts = [p for p in re.split("[-_]+", token) if p]
+        said = [p for p in parts if NOISE.fullmatch(p)]
+        rest = [p for p in parts if p not in said]
+        if said and all(p in NEUTRAL or p in OF_PAGE or p.isdigit() for p in rest) and not (
+                "header" in said and OF_PAGE.intersection(rest)):
+            return True
+    return False
+
+
 def parse(page: str) -> Element:
     """A tolerant tree of the page. Character references stay as they are."""
     root = Element("", "", False, "")
@@ -100,7 +120,7 @@ def parse(page: str) -> Element:
         # Long numbers in class names tell pages apart, not kinds of elements.
         marks_of = NUMBER.sub("0", SPACE.sub(".", (known.get("class") or "").strip()))
         name = f"{tag}.{marks_of}" if marks_of else tag
-        noise = (tag in HIDDEN or tag in APART or bool(NOISE.search(label))
+        noise = (tag in HIDDEN or tag in APART or noise_name(label)
                  or known.get("role", "").lower() in
                  ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"))
         if tag in ("html", "body", "article", "main"):
@@ -152,27 +172,58 @@ def _close(out: list[str], open_: list[str]) -> None:
 
 
 def main_text(page: str, removed: frozenset = frozenset()) -> str:
-    """Text of the page without noise and removed branches; of its articles, if it has any."""
+    """Text of the page without removed branches and noise."""
     root = parse(page)
-    articles: list[Element] = []
-    _find(root, ("article",), articles)
-    if not articles:
-        _find(root, ("main",), articles)
+    free_main(root, removed)
     out: list[str] = []
-    for part in articles or [root]:
-        open_: list[str] = []
-        blocks(part, removed, out, open_)
-        _close(out, open_)
+    open_: list[str] = []
+    blocks(root, removed, out, open_)
+    _close(out, open_)
     return "\n".join(out)
 
 
-def _find(element: Element, tags: tuple, out: list[Element]) -> None:
-    for child in element.children:
-        if isinstance(child, Element) and not child.noise:
-            if child.tag in tags:
-                out.append(child)
-            else:
-                _find(child, tags, out)
+def free_main(root: Element, removed: frozenset) -> None:
+    """Clear the noise mark of branches whose content outweighs their name, largest first."""
+    kept, named = _plain_size(root, removed)
+    while named:
+        weighed = [(*_whole_size(e, removed), i) for i, e in enumerate(named)]
+        article, size, i = max(weighed)
+        if not article > kept:
+            size, article, i = max((s, a, i) for a, s, i in weighed)
+            if size < PROSE or size <= OUTWEIGHS * kept:
+                return
+        branch = named.pop(i)
+        branch.noise = False
+        more, inside = _plain_size(branch, removed)
+        kept, named = kept + more, named + inside
+
+
+def _plain_size(top: Element, removed: frozenset) -> tuple[int, list[Element]]:
+    """Characters outside of noise and removed branches, and the noise that may be outweighed."""
+    size, named, stack = 0, [], [top]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                size += len(child.strip())
+            elif child.path not in removed and child.tag not in STRICT:
+                (named if child.noise else stack).append(child)
+    return size, named
+
+
+def _whole_size(top: Element, removed: frozenset) -> tuple[int, int]:
+    """Characters in the largest article (or main) of a branch, and in all of it."""
+    size, largest, stack = 0, 0, [top]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, str):
+                size += len(child.strip())
+            elif child.path not in removed and child.tag not in STRICT:
+                if child.tag in ("article", "main"):
+                    inside = _whole_size(child, removed)
+                    size, largest = size + inside[1], max(largest, inside[1])
+                else:
+                    stack.append(child)
+    return largest, size
 
 
 def page_features(page: str) -> Iterator[tuple[str, str, str]]:
