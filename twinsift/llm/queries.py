@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm import linededup, mixing
+from twinsift.llm import linededup, mixing, prefixtrie
 from twinsift.llm.frames import table
 
 HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
@@ -67,11 +67,28 @@ def op10_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(table(spark, sf, "pages"))
 
 
+def op11_norm_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    from twinsift.llm.normbuckets import top_products
+    return top_products(table(spark, sf, "embeddings"))
+
+
+def op12_vp_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    from twinsift.llm.vpclusters import cluster
+    return cluster(table(spark, sf, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf, "conversations"))
+
+
 def queries() -> dict:
     found = (op1_packing, op2_mixing, op3_token_counts, op4_line_dedup, op5_quality, op6_vp_trees,
-             op7_site_style_tree, op8_jaccard_join, op9_repetition, op10_url_rules)
+             op7_site_style_tree, op8_jaccard_join, op9_repetition, op10_url_rules, op11_norm_buckets,
+             op12_vp_clusters, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op4_line_dedup": linededup.SQL}
+    from twinsift.llm import normbuckets, vpclusters
+    return {"op2_mixing": mixing.SQL, "op4_line_dedup": linededup.SQL, "op11_norm_buckets": normbuckets.SQL,
+            "op12_vp_clusters": vpclusters.SQL, "op13_prefix_trie": prefixtrie.SQL}
