@@ -40,3 +40,13 @@ def test_filter_reaches_the_scan(spark):
     events = Tables(spark, FOLDER).events.selectExpr("user_id as cell", "ts", "value", "event_id as sample_id")
     plan = plan_of(geo.temporal_composite(events, "2024-01-05 00:00:00", "2024-01-06 00:00:00", ["mean"]))
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
+def test_vector_sums_make_no_row_per_dimension(spark):
+    for name in ("separation_ratio", "whole_confusability"):
+        plan = plan_of(REGISTRY[name].run(spark, FOLDER))
+        assert "Generate" not in plan.split("MapInArrow")[0], name
+    from twinsift.operators import similarity
+    from twinsift.plans import lenses
+    from twinsift.plans.registry import Tables
+    assert "Generate" not in plan_of(similarity.vector_sums(lenses.embeddings(Tables(spark, FOLDER))))

@@ -1,10 +1,11 @@
 """Blocked nearest-neighbour scores against the direct matrix computation."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.operators import similarity
+from twinsift.operators import similarity, tiles
 
 
 def directional(a, b):
@@ -110,3 +111,68 @@ def test_top_k(data, block_rows):
 
     best = sorted((o for o in vec if o != img), key=lambda o: (-score(o), o))[:3]
     assert [f for _, f in sorted(got[img])] == best
+
+
+def made_block(v, codes, number, segment_rows):
+    imgs = pa.array([f"{number}-{i}" for i in range(len(v))])
+    return tiles.Block(imgs, [f"c{i}" for i in range(codes.max() + 1)], codes.astype(np.int32), v, number, segment_rows)
+
+
+def test_bounds_skip_segments_of_clustered_vectors():
+    """Most segments of a class in many clusters are never opened, and the maxima are exact."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(40, 16))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    v = np.repeat(centers, 40, axis=0) + 0.01 * rng.normal(size=(1600, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    codes = np.repeat([0, 1], 800)
+    x, y = (made_block(v, codes, number, 40) for number in (1, 2))
+    for a, b in ((x, y), (x, x)):
+        sims = a.v @ b.v.T
+        if a is b:
+            np.fill_diagonal(sims, -1.0)
+        counts = {"opened": 0, "all": 0}
+        got = tiles.class_maxima(a, b, {}, counts)
+        for c in (0, 1):
+            assert np.allclose(got[f"c{c}"], sims[:, codes == c].max(axis=1), atol=1e-12)
+        assert counts["opened"] < 0.25 * counts["all"]
+        # With the maxima already held, nothing is opened again.
+        again = {"opened": 0, "all": 0}
+        tiles.class_maxima(a, b, {k: m + 1e-6 for k, m in got.items()}, again)
+        assert again["opened"] < 0.25 * again["all"]
+
+
+def test_tiles_equal_brute_force(spark):
+    """Several partitions, blocks and segments per class, repeated images, and a class with one image."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(12, 8))
+    rows = []
+    for i in range(700):
+        v = centers[i % 12] + 0.1 * rng.normal(size=8)
+        rows.append(("k", f"b{i % 2}", f"d{i % 3}" if i else "alone", f"i{i}", (v / np.linalg.norm(v)).tolist()))
+    rows.append(rows[5])                                    # a repeated row
+    df = spark.createDataFrame(rows, "crop string, bucket string, disease string, img string, embedding array<double>")
+    want = {}
+    for bucket in ("b0", "b1"):
+        part = [r for r in rows if r[1] == bucket]
+        v = np.array([r[4] for r in part])
+        sims = np.round(v @ v.T, 9)
+        np.fill_diagonal(sims, -1.0)
+        for i, r in enumerate(part):
+            for j, o in enumerate(part):
+                key = (bucket, r[3], o[2])
+                want[key] = max(want.get(key, -9), sims[i, j])
+    for sizes in ({"block_rows": 16, "segment_rows": 4}, {"block_rows": 64, "segment_rows": 16}, {}):
+        got = {(r["bucket"], r["img"], r["other"]): r["best"]
+               for r in tiles.best_by_class(df.repartition(5), 9, **sizes).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[key] - best) < 2e-9 for key, best in want.items())
+
+
+def test_copies_grow_with_the_square_root_of_the_blocks(spark):
+    for n in (1, 16, 100):
+        blocks = spark.range(n).selectExpr("'k' AS crop", "'b' AS bucket", "id AS number")
+        copies = tiles.tiles(blocks).groupBy("number").count().collect()
+        assert len(copies) == n and {r["count"] for r in copies} == {int(n ** 0.5)}
+    held = tiles.tiles(spark.range(100).selectExpr("'k' AS crop", "'b' AS bucket", "id AS number"))
+    assert held.groupBy("a", "b").count().agg(F.max("count")).first()[0] == 20

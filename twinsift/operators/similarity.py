@@ -1,106 +1,26 @@
 """Nearest-neighbour confusability from embeddings.
 
 All scores need one thing per image: its best similarity to each class it is compared with.
-Images of a (crop, bucket) are packed into blocks of bounded size, block pairs are joined, and
-each block pair is multiplied with numpy inside a task, which emits only per-image, per-class
-maxima. No pair of images leaves a task.
+`tiles` multiplies blocks of a (crop, bucket) inside tasks, leaves out what a bound rules out, and
+returns per-image, per-class maxima. No pair of images leaves a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, text
-from twinsift.operators.skew import attach_class, checked_join, salted_join
-from twinsift.session import materialise
+from twinsift.operators import tiles
+from twinsift.operators.skew import checked_join, salted_join
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = tiles.BLOCK_ROWS
 ROUND_SIM = 9        # vectors are float32, so ties are decided on nine decimals
-SELF = -1.0          # similarity given to an image and itself
-BEST_SCHEMA = "crop string, bucket string, img string, disease string, other string, best double"
-
-
-def _matrix(vectors: pa.ListScalar) -> np.ndarray:
-    rows = vectors.values
-    flat = rows.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(rows), -1).astype(np.float64)
-
-
-def _class_maxima(sims: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise maxima per run of equal classes (columns are sorted by class)."""
-    starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-    return np.maximum.reduceat(sims, starts, axis=1), classes[starts]
-
-
-def _best_of_block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows_of(crop, bucket, imgs, own, best, others):
-        n, k = best.shape
-        return pa.RecordBatch.from_arrays([
-            pa.array([crop] * (n * k), pa.string()), pa.array([bucket] * (n * k), pa.string()),
-            pa.array(np.repeat(imgs, k), pa.string()), pa.array(np.repeat(own, k), pa.string()),
-            pa.array(np.tile(others, n), pa.string()), pa.array(best.ravel(), pa.float64()),
-        ], names=["crop", "bucket", "img", "disease", "other", "best"])
-
-    for batch in batches:
-        col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        for i in range(batch.num_rows):
-            crop, bucket = col["crop"][i].as_py(), col["bucket"][i].as_py()
-            same = col["left_block"][i].as_py() == col["right_block"][i].as_py()
-            left, right = _matrix(col["left_vecs"][i]), _matrix(col["right_vecs"][i])
-            sims = np.round(left @ right.T, ROUND_SIM)
-            if same:
-                np.fill_diagonal(sims, SELF)
-            side = {}
-            for name in ("left", "right"):
-                side[name] = tuple(np.array(col[f"{name}_{part}"][i].as_py(), dtype=object)
-                                   for part in ("imgs", "classes"))
-            (l_img, l_cls), (r_img, r_cls) = side["left"], side["right"]
-            best, others = _class_maxima(sims, r_cls)
-            yield rows_of(crop, bucket, l_img, l_cls, best, others)
-            if not same:
-                best, others = _class_maxima(sims.T, l_cls)
-                yield rows_of(crop, bucket, r_img, r_cls, best, others)
-
-
-def _blocks(emb: DataFrame, block_rows: int) -> DataFrame:
-    """Blocks of about `block_rows` vectors per (crop, bucket), each sorted by class."""
-    keys = ["crop", "bucket"]
-    sized = attach_class(emb, keys, [F.ceil(F.count("*") / block_rows).alias("n_blocks")])
-    member = F.struct("disease", "img", "embedding")
-    packed = (sized.withColumn("block", F.pmod(F.xxhash64("img", F.lit("block")),
-                                               F.col("n_blocks")).cast("int"))
-              .groupBy(*keys, "block")
-              .agg(F.sort_array(F.collect_list(member)).alias("m"),
-                   F.first("n_blocks").alias("n_blocks")))
-    return packed.select(*keys, "block", "n_blocks", F.col("m.img").alias("imgs"),
-                         F.col("m.disease").alias("classes"), F.col("m.embedding").alias("vecs"))
-
-
-def _block_pairs(emb: DataFrame, block_rows: int) -> DataFrame:
-    """Unordered pairs of blocks of each (crop, bucket), a block with itself included.
-
-    Similarity is symmetric, so each pair serves both of its sides. Pairs are keyed by the
-    right block, so a hot group is spread over as many keys as it has blocks. Blocks are
-    written once and read for either side.
-    """
-    blocks = materialise(_blocks(emb, block_rows), "blocks")
-    left = (blocks.withColumn("right_block", F.explode(F.sequence(
-                F.col("block"), (F.col("n_blocks") - 1).cast("int"))))
-            .select("crop", "bucket", F.col("block").alias("left_block"), "right_block",
-                    F.col("imgs").alias("left_imgs"), F.col("classes").alias("left_classes"),
-                    F.col("vecs").alias("left_vecs")))
-    right = blocks.select("crop", "bucket", F.col("block").alias("right_block"),
-                          F.col("imgs").alias("right_imgs"),
-                          F.col("classes").alias("right_classes"),
-                          F.col("vecs").alias("right_vecs"))
-    return left.join(right, ["crop", "bucket", "right_block"])
 
 
 def nn_by_class(emb: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -110,8 +30,7 @@ def nn_by_class(emb: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     similarity to the image's own class.
     """
     image = ["crop", "bucket", "img"]
-    best = (_block_pairs(emb, block_rows).mapInArrow(_best_of_block_pairs, BEST_SCHEMA)
-            .groupBy(*image, "disease", "other").agg(F.max("best").alias("best")))
+    best = tiles.best_by_class(emb, ROUND_SIM, block_rows)
     own = F.max(F.when(F.col("disease") == F.col("other"), F.col("best")))
     return best.withColumn("own", own.over(W.Window.partitionBy(*image)))
 
@@ -121,45 +40,16 @@ def weighted_top_k(emb: DataFrame, k: int, image_weight: float = 0.7,
     """The k best other images of the same (crop, bucket) by image and climate similarity.
 
     The weighted sum of two cosines is one dot product of the joined, scaled vectors, so the
-    block machinery applies; each block pair passes on k rows per image. Ties go by image id.
+    tiles apply; each tile passes on k rows per image. Ties go by image id.
     """
     unit_climate = F.when(geo.norm(F.col("climate")) > 0, F.transform(
         "climate", lambda x: x / geo.norm(F.col("climate")))).otherwise(F.col("climate"))
     a, b = float(np.sqrt(image_weight)), float(np.sqrt(climate_weight))
     joined = F.concat(F.transform("embedding", lambda x: x.cast("double") * a),
                       F.transform(unit_climate, lambda x: x * b))
-    pairs = _block_pairs(emb.withColumn("embedding", joined), block_rows)
-
-    def best_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(imgs, others, sims):
-            order = np.argsort(others)
-            sims, others = sims[:, order], others[order]
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            n, m = top.shape
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(imgs, m), pa.string()),
-                pa.array(others[top].ravel(), pa.string()),
-                pa.array(np.take_along_axis(sims, top, axis=1).ravel(), pa.float64()),
-            ], names=["img", "found", "score"])
-
-        for batch in batches:
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                same = col["left_block"][i].as_py() == col["right_block"][i].as_py()
-                sims = np.round(_matrix(col["left_vecs"][i]) @ _matrix(col["right_vecs"][i]).T,
-                                ROUND_SIM)
-                if same:
-                    np.fill_diagonal(sims, -np.inf)
-                left, right = (np.array(col[f"{side}_imgs"][i].as_py(), dtype=object)
-                               for side in ("left", "right"))
-                yield rows_of(left, right, sims)
-                if not same:
-                    yield rows_of(right, left, sims.T)
-
-    found = pairs.mapInArrow(best_found, "img string, found string, score double")
+    found = tiles.best_others(emb.withColumn("embedding", joined), k, ROUND_SIM, block_rows)
     order = W.Window.partitionBy("img").orderBy(F.desc("score"), "found")
-    return (found.filter(F.col("score") != float("-inf"))
-            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def _directional(nn: DataFrame, by_bucket: bool) -> DataFrame:
@@ -233,15 +123,12 @@ def matched_scores(nn: DataFrame, pairs: DataFrame, min_side: int = fv.MIN_SIDE,
 
 
 def vector_sums(emb: DataFrame) -> DataFrame:
-    """Size, sum vector and sum of squared lengths per class, by map-side combining."""
-    parts = emb.select("crop", "disease", F.posexplode("embedding").alias("pos", "x"))
-    x = F.col("x").cast("double")
-    per_dim = parts.groupBy("crop", "disease", "pos").agg(
-        F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count("*").alias("n"))
-    return (per_dim.groupBy("crop", "disease")
-            .agg(F.max("n").alias("n"), F.sum("q").alias("squares"),
-                 F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_s"))
-            .withColumn("total", F.col("_s.s")).drop("_s"))
+    """Size, sum vector and sum of squared lengths per class: dense sums, combined on the map side."""
+    vec = F.col("embedding").cast("array<double>")
+    return (emb.select("crop", "disease", array_to_vector(vec).alias("_v"), _dot(vec, vec).alias("_q"))
+            .groupBy("crop", "disease")
+            .agg(F.count("*").alias("n"), F.sum("_q").alias("squares"), Summarizer.sum(F.col("_v")).alias("_s"))
+            .withColumn("total", vector_to_array("_s")).drop("_s"))
 
 
 def _with_sums(pairs: DataFrame, sums: DataFrame) -> DataFrame:
@@ -254,7 +141,7 @@ def _with_sums(pairs: DataFrame, sums: DataFrame) -> DataFrame:
     return out
 
 
-def _dot(a: str, b: str):
+def _dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
