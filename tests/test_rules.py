@@ -1,6 +1,7 @@
 """Hand-computed cases of the rules and of the known contradictions."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +228,39 @@ def test_pairs_are_unordered_and_missing_states_count_as_one(spark):
         "descriptor string")
     got = {(r["member_a"], r["member_b"]): r["lookalike_prior"] for r in mining.mine_pairs(rows, 3).collect()}
     assert got == {("a", "b"): 1.1, ("a", "c"): 3.1, ("b", "c"): 1.1}
+
+
+WHOLE = {"confusable": True, "confusable_reason": "r", "shared_presentation": "s", "forks": [
+    {"axis": "habit", "question": "q", "a_signal": "a", "b_signal": "b", "weight": w}
+    for w in ("weak", "decisive", "supporting")], "narrative_a": "a", "narrative_b": "b", "management_a": "a",
+    "management_b": "b", "geo_localizable_a": True, "geo_localizable_b": False}
+
+
+def first_fork(**changes):
+    return {**WHOLE, "forks": [{**WHOLE["forks"][0], **changes}, *WHOLE["forks"][1:]]}
+
+
+@pytest.mark.parametrize("doc,problems", [
+    (WHOLE, []),
+    ([WHOLE], ["graph is not an object"]), ("graph", ["graph is not an object"]), (None, ["graph is not an object"]),
+    ({k: v for k, v in WHOLE.items() if k not in ("forks", "management_b")},
+     ["missing key: forks", "missing key: management_b"]),
+    ({**WHOLE, "confusable": "yes"}, ["confusable must be bool"]),
+    ({**WHOLE, "confusable": None, "forks": WHOLE["forks"][:1] * 3}, ["confusable must be bool"]),
+    ({**WHOLE, "confusable": 1, "forks": WHOLE["forks"][:1] * 3},
+     ["confusable must be bool", "need exactly 1 decisive fork, found 0"]),
+    ({**WHOLE, "confusable": 0, "forks": WHOLE["forks"][:1] * 3}, ["confusable must be bool"]),
+    ({**WHOLE, "confusable_reason": None}, []), ({**WHOLE, "confusable_reason": 3}, []),
+    ({**WHOLE, "confusable_reason": " "}, ["confusable_reason empty"]),
+    ({**WHOLE, "forks": {"axis": 1}}, ["forks must be a list of 3..7 items", "need exactly 1 decisive fork, found 0"]),
+    ({**WHOLE, "forks": None}, ["forks must be a list of 3..7 items", "need exactly 1 decisive fork, found 0"]),
+    ({**WHOLE, "forks": ["x", 3, *WHOLE["forks"][1:]]}, ["fork[0] not an object", "fork[1] not an object"]),
+    (first_fork(axis=None), ["fork[0].axis invalid: None"]), (first_fork(axis=True), ["fork[0].axis invalid: True"]),
+    (first_fork(weight=3), ["fork[0].weight invalid: 3"]), (first_fork(axis="it's"), ['fork[0].axis invalid: "it\'s"']),
+    (first_fork(question=None), []), (first_fork(question="\n"), ["fork[0].question empty"]),
+    ({**WHOLE, "geo_localizable_b": "no", "geo_localizable_a": None},
+     ["geo_localizable_a must be bool", "geo_localizable_b must be bool"]),
+])
+def test_document_errors(spark, doc, problems):
+    df = spark.createDataFrame([(json.dumps(doc),)], "doc string").select(F.parse_json("doc").alias("doc"))
+    assert df.select(gates.document_errors(F.col("doc")).alias("e")).first()["e"] == problems

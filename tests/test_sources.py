@@ -100,31 +100,43 @@ def _stream(spark, folder):
 
 def test_stream_equals_batch_and_a_rerun_adds_nothing(spark, tmp_path):
     source, store, marks = (str(tmp_path / n) for n in ("in", "store", "marks"))
-    first = [("e", "p1", 5), ("e", "p1", 2), ("g", "p1", 3), ("e", "p2", 1)]
-    second = [("e", "p1", 6), ("e", "p3", 8), ("g", "p1", 9), ("e", "p3", 7)]
+    parts = [[("e", "p1", 5), ("e", "p1", 2), ("g", "p1", 3), ("e", "p2", 1)],
+             [("e", "p1", 6), ("e", "p3", 8), ("g", "p1", 9), ("e", "p3", 7)],
+             [("e", "p3", 10), ("g", "p2", 11), ("e", "p2", 12)], [("e", "p1", 13), ("x", "p1", 14)]]
     schema = "kind string, pair_id string, seq long"
     keys = ["kind", "pair_id"]
-    for rows in (first, second):
+    for rows in parts:          # every micro-batch restarts the query from its checkpoint
         spark.createDataFrame(rows, schema).write.mode("append").json(source)
         journal.ingest(_stream(spark, source), store, marks, keys, ["seq"]).awaitTermination()
-    everything = spark.createDataFrame(first + second, schema)
+    everything = spark.createDataFrame(sum(parts, []), schema)
     want = sorted(map(tuple, evidence.first_per_key(everything, keys, ["seq"]).collect()))
     got = spark.read.parquet(store).select("kind", "pair_id", "seq")
     assert sorted(map(tuple, got.collect())) == want
     journal.ingest(_stream(spark, source), store, marks, keys, ["seq"]).awaitTermination()
     assert sorted(map(tuple, got.collect())) == want
+    # All parts in one run, each a micro-batch of its own.
+    again = journal.ingest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source),
+                           f"{store}-2", f"{marks}-2", keys, ["seq"])
+    again.awaitTermination()
+    assert len([p for p in again.recentProgress if p["numInputRows"]]) > 2
+
+
+def test_known_keys_are_state_and_not_read_from_the_store(spark, tmp_path):
+    source, store, other, marks = (str(tmp_path / n) for n in ("in", "store", "other", "marks"))
+    schema = "kind string, pair_id string, seq long"
+    spark.createDataFrame([("e", "p1", 5), ("e", "p2", 1)], schema).write.mode("append").json(source)
+    journal.ingest(_stream(spark, source), store, marks, ["kind", "pair_id"], ["seq"]).awaitTermination()
+    spark.createDataFrame([("e", "p1", 0), ("e", "p9", 1)], schema).write.mode("append").json(source)
+    journal.ingest(_stream(spark, source), other, marks, ["kind", "pair_id"], ["seq"]).awaitTermination()
+    assert [(r["pair_id"], r["seq"]) for r in spark.read.parquet(other).collect()] == [("p9", 1)]
 
 
 def test_replayed_batch_is_idempotent(spark, tmp_path):
     store = str(tmp_path / "store")
     batch = spark.createDataFrame([("e", "p1", 5), ("e", "p2", 1)], "kind string, pair_id string, seq long")
     for _ in range(2):
-        journal.append_first_wins(batch, 0, store, ["kind", "pair_id"], ["seq"])
-    later = spark.createDataFrame([("e", "p1", 0), ("e", "p9", 1)], "kind string, pair_id string, seq long")
-    for _ in range(2):
-        journal.append_first_wins(later, 1, store, ["kind", "pair_id"], ["seq"])
-    got = sorted((r["pair_id"], r["seq"]) for r in spark.read.parquet(store).collect())
-    assert got == [("p1", 5), ("p2", 1), ("p9", 1)]
+        journal.append(batch, 0, store)
+    assert spark.read.parquet(store).count() == 2
 
 
 def test_schemas_parse(spark):

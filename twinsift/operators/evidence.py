@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
 from twinsift.functions import labels
+from twinsift.operators import gates
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -44,6 +45,34 @@ def typed_journal(results: DataFrame, known_pairs: DataFrame) -> DataFrame:
     return first.join(known_pairs.select("pair_id").distinct(), "pair_id", "left_semi")
 
 
+def checked_journal(typed: DataFrame, graph: str = "result") -> DataFrame:
+    """Add `status` and `reasons` to first-wins journal results.
+
+    A graph result is kept if it has no faults and says that its pair is confusable; else it is
+    set aside with the reasons. Evidence and lay results are kept.
+    """
+    errors = gates.document_errors(F.col(graph))
+    confusable = F.try_variant_get(graph, "$.confusable", "boolean")
+    reasons = F.when(F.col("kind") == "graph", F.when(F.size(errors) > 0, errors).when(
+        ~F.coalesce(confusable, F.lit(False)), F.array(F.lit("not confusable"))))
+    reasons = F.coalesce(reasons, F.array().cast("array<string>"))
+    return (typed.withColumn("reasons", reasons)
+            .withColumn("status", F.when(F.size("reasons") > 0, "rejected").otherwise("kept")))
+
+
+def persist_journal(checked: DataFrame, path: str) -> dict[str, int]:
+    """Write kept and rejected results to folders of their own, and count them in the same pass."""
+    counts = Observation("journal")
+    evidence, graph = F.col("kind") == "evidence", F.col("kind") == "graph"
+    kept = F.col("status") == "kept"
+    verified = labels.credible(F.col("documented"), F.col("quote"),
+                               F.coalesce(F.col("source_type"), F.lit(fv.SOURCE_TYPE_DEFAULT)))
+    (checked.observe(counts, F.count_if(evidence).alias("n_web"), F.count_if(evidence & verified).alias("n_web_ok"),
+                     F.count_if(graph & kept).alias("n_graph"), F.count_if(graph & ~kept).alias("n_graph_bad"))
+     .write.partitionBy("status").parquet(path))
+    return counts.get
+
+
 def verified_evidence(evidence: DataFrame) -> DataFrame:
     """Add `verified`: documented, quoted, credible type; untyped sources count as other."""
     kind = F.coalesce(F.col("source_type"), F.lit(fv.SOURCE_TYPE_DEFAULT))

@@ -172,6 +172,83 @@ def graph_errors(graph: Column) -> Column:
     return F.when(F.size(missing) > 0, missing).otherwise(found)
 
 
+def _kind(value: Column) -> Column:
+    """Type name of a variant without its element types: BOOLEAN, STRING, ARRAY, OBJECT, VOID, ..."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+
+def _said(value: Column) -> Column:
+    """Text of a variant: a string as it is, anything else as JSON."""
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+
+
+def _shown(value: Column) -> Column:
+    """A variant as messages show it; a missing one as None."""
+    said = _said(value)
+    quote = F.when(F.contains(said, F.lit("'")) & ~F.contains(said, F.lit('"')), '"').otherwise("'")
+    return (F.when(value.isNull() | (_kind(value) == "VOID"), "None")
+            .when(_kind(value) == "BOOLEAN", F.initcap(said))
+            .when(_kind(value) == "STRING", F.concat(quote, said, quote)).otherwise(said))
+
+
+def _holds(value: Column) -> Column:
+    """Does the variant count as true: true, a number but zero, anything that is not empty?"""
+    said = _said(value)
+    return (F.when(_kind(value) == "VOID", False).when(_kind(value) == "BOOLEAN", said == "true")
+            .when(_kind(value) == "STRING", said != "").when(_kind(value).isin("ARRAY", "OBJECT"), ~said.isin("[]", "{}"))
+            .otherwise(F.try_variant_get(value, "$", "double") != 0))
+
+
+def document_errors(doc: Column) -> Column:
+    """Array of problems of a decision graph as parsed JSON (a variant); empty when it is valid.
+
+    Types are read from the values, so an ill-typed field differs from a missing one. Missing
+    keys end the check; a JSON null is a value.
+    """
+    def field(name: str, of: Column = doc) -> Column:
+        return F.try_variant_get(of, f"$.{name}", "variant")
+
+    def bad(condition: Column, *message: Column | str) -> Column:
+        return F.when(F.coalesce(condition, F.lit(True)),
+                      F.concat(*[m if isinstance(m, Column) else F.lit(m) for m in message]))
+
+    def found(*problems: Column) -> Column:
+        return F.filter(F.array(*problems), lambda e: e.isNotNull())
+
+    missing = found(*[F.when(field(f).isNull(), F.lit(f"missing key: {f}")) for f in fv.GRAPH_FIELDS])
+    forks = F.try_variant_get(doc, "$.forks", "array<variant>")
+    sized = F.coalesce(F.size(forks).between(fv.MIN_FORKS, fv.MAX_FORKS), F.lit(False))
+    checked = F.when(sized, forks).otherwise(F.array().cast("array<variant>"))
+
+    def fork_errors(fork: Column, i: Column) -> Column:
+        at = F.concat(F.lit("fork["), i.cast("string"), F.lit("]"))
+
+        def outside(name: str, values: tuple[str, ...]) -> Column:
+            value = field(name, fork)
+            return bad((_kind(value) != "STRING") | ~_said(value).isin(*values),
+                       at, f".{name} invalid: ", _shown(value))
+
+        def blank(name: str) -> Column:
+            return bad(text.strip(F.coalesce(_said(field(name, fork)), F.lit(""))) == "", at, f".{name} empty")
+
+        return F.when(_kind(fork) != "OBJECT", F.array(F.concat(at, F.lit(" not an object")))).otherwise(
+            found(outside("axis", fv.FORK_AXES), outside("weight", fv.FORK_WEIGHTS),
+                  *[blank(n) for n in ("question", "a_signal", "b_signal")]))
+
+    decisive = F.size(F.filter(checked, lambda f: F.try_variant_get(f, "$.weight", "string") == "decisive"))
+    own = found(
+        bad(_kind(field("confusable")) != "BOOLEAN", "confusable must be bool"),
+        bad(text.strip(_said(field("confusable_reason"))) == "", "confusable_reason empty"),
+        bad(~sized, f"forks must be a list of {fv.MIN_FORKS}..{fv.MAX_FORKS} items"))
+    last = found(
+        bad(_holds(field("confusable")) & (decisive != 1), "need exactly 1 decisive fork, found ",
+            decisive.cast("string")),
+        *[bad(_kind(field(f)) != "BOOLEAN", f"{f} must be bool") for f in ("geo_localizable_a", "geo_localizable_b")])
+    return (F.when(F.coalesce(_kind(doc) != "OBJECT", F.lit(True)), F.array(F.lit("graph is not an object")))
+            .when(F.size(missing) > 0, missing)
+            .otherwise(F.concat(own, F.flatten(F.transform(checked, fork_errors)), last)))
+
+
 def decisive_fork(forks: Column) -> Column:
     """First fork of decisive weight, else null."""
     return F.get(F.filter(forks, lambda f: f["weight"] == "decisive"), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from twinsift.operators import audit, evidence, gates
 from twinsift.plans import lenses, pipeline
 from twinsift.plans import sqltext as s
-from twinsift.plans.registry import Tables, query
+from twinsift.plans.registry import query
 from twinsift.session import scratch_path
 from twinsift.sources import readers
 from twinsift.streaming import journal
@@ -16,29 +16,25 @@ c = F.col
 ORDER = ["ts", "event_id"]
 
 
-class StreamTables(Tables):
-    """The same tables as file streams."""
-
-    def __getattr__(self, name):
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return readers.parquet_stream(self.spark, f"{self.folder}/{name}.parquet")
-
-
-def _typed(t):
-    """Parsed journal: kind, pair and payload of every result line, in journal order."""
-    results = readers.journal_results(lenses.journal(t))
+def _results(lines):
+    """Parsed journal: kind, pair and payload of every result line, with its place in the journal."""
+    results = readers.journal_results(lines)
     event = F.try_variant_get("record", "$.event_id", "bigint")
     flags = readers.has_field(["confusable_documented", "forks", "farmer_lay_report"])
     return results.select(
         F.struct(F.try_variant_get("record", "$.ts", "string").alias("ts"), event.alias("event_id")).alias("seq"),
         event.alias("event_id"), evidence.result_kind(*flags).alias("kind"),
         readers.result_field("pair_id").alias("pair_id"),
-        readers.result_field("source_type").alias("source_type"),
+        readers.result_field("source_type").alias("source_type"), readers.result_field("quote").alias("quote"),
+        "result",
         readers.result_field("farmer_lay_report").alias("farmer_lay_report"),
         readers.result_field("confusable_documented", "boolean").alias("documented"))
 
 
+def _typed(t):
+    return _results(lenses.journal(t))
+
+
 @query("ingest_journal", s.with_lenses("v_evid", """
 SELECT event_id, pair_id, CASE event_type WHEN 'click' THEN 'evidence' WHEN 'view' THEN 'graph' ELSE 'lay' END AS kind
 FROM v_evid WHERE event_type IN ('click', 'view', 'error')"""))
@@ -50,13 +46,45 @@ _KINDS = """(SELECT *, CASE event_type WHEN 'click' THEN 'evidence' WHEN 'view'
   AS kind FROM v_evid WHERE event_type IN ('click', 'view', 'error'))"""
 
 
-@query("journal_typed", s.with_lenses("v_evid v_pairs", f"""
-SELECT kind, pair_id, event_id, CASE kind WHEN 'evidence' THEN source_type END AS source_type FROM {_KINDS}
-WHERE pair_id IN (SELECT pair_id FROM v_pairs)
-QUALIFY row_number() OVER (PARTITION BY kind, pair_id ORDER BY ts, event_id) = 1"""))
+_FIRST = f"""v_first AS (
+  SELECT *, event_id % 4 AS form FROM {_KINDS} WHERE pair_id IN (SELECT pair_id FROM v_pairs)
+  QUALIFY row_number() OVER (PARTITION BY kind, pair_id ORDER BY ts, event_id) = 1),
+v_checked AS (SELECT *, CASE WHEN kind = 'graph' AND form > 0 THEN 'rejected' ELSE 'kept' END AS status,
+  CASE WHEN kind <> 'graph' OR form = 0 THEN '' WHEN form = 1 THEN 'not confusable'
+    WHEN form = 2 THEN 'confusable must be bool'
+    ELSE 'missing key: confusable_reason; missing key: shared_presentation; missing key: narrative_a; '
+      || 'missing key: narrative_b; missing key: management_a; missing key: management_b; '
+      || 'missing key: geo_localizable_a; missing key: geo_localizable_b' END AS reasons FROM v_first)"""
+
+
+def _checked(t):
+    return evidence.checked_journal(evidence.typed_journal(_typed(t), lenses.candidate_pairs(t)))
+
+
+@query("journal_typed", s.with_lenses("v_evid v_pairs", f""", {_FIRST}
+SELECT kind, pair_id, event_id, CASE kind WHEN 'evidence' THEN source_type END AS source_type, status, reasons
+FROM v_checked"""))
 def journal_typed(t):
-    return evidence.typed_journal(_typed(t), lenses.candidate_pairs(t)).select(
-        "kind", "pair_id", "event_id", "source_type")
+    return _checked(t).select("kind", "pair_id", "event_id", "source_type", "status",
+                              F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("journal_kept", s.with_lenses("v_evid v_pairs", f""", {_FIRST}
+SELECT pair_id, event_id, kind FROM v_checked WHERE status = 'kept'"""))
+def journal_kept(t):
+    path = scratch_path(t.spark, "journal-store")
+    evidence.persist_journal(_checked(t).drop("result"), path)
+    return t.spark.read.parquet(f"{path}/status=kept").select("pair_id", "event_id", "kind")
+
+
+@query("journal_counts", s.with_lenses("v_evid v_pairs", f""", {_FIRST}
+SELECT count_if(kind = 'evidence') AS n_web,
+  count_if(kind = 'evidence' AND documented AND quote <> '' AND source_type <> 'other') AS n_web_ok,
+  count_if(kind = 'graph' AND status = 'kept') AS n_graph, count_if(kind = 'graph' AND status = 'rejected') AS n_graph_bad
+FROM v_checked"""))
+def journal_counts(t):
+    counts = evidence.persist_journal(_checked(t).drop("result"), scratch_path(t.spark, "journal-store"))
+    return t.spark.createDataFrame([counts], "n_web long, n_web_ok long, n_graph long, n_graph_bad long")
 
 
 @query("dedupe_first", s.with_lenses("v_evid", """
@@ -67,14 +95,28 @@ def dedupe_first(t):
         c("event_type").alias("kind"), "pair_id", "event_id")
 
 
-@query("journal_stream", s.with_lenses("v_evid", """
-SELECT event_type AS kind, pair_id, event_id FROM v_evid
-QUALIFY row_number() OVER (PARTITION BY event_type, pair_id ORDER BY ts, event_id) = 1"""))
+PARTS = 3           # journal parts of the stream, a micro-batch each
+PART_FILES = 2
+
+
+@query("journal_stream", s.with_lenses("v_evid", f"""
+SELECT kind, pair_id, event_id FROM {_KINDS}
+QUALIFY row_number() OVER (PARTITION BY kind, pair_id ORDER BY ts, event_id) = 1"""))
 def journal_stream(t):
-    store, marks = scratch_path(t.spark, "journal"), scratch_path(t.spark, "journal-checkpoint")
-    stream = lenses.evidence(StreamTables(t.spark, t.folder)).select("event_type", "pair_id", *ORDER)
-    journal.ingest(stream, store, marks, ["event_type", "pair_id"], ORDER).awaitTermination()
-    return t.spark.read.parquet(store).select(c("event_type").alias("kind"), "pair_id", "event_id")
+    """The journal grows by ranges of time; each is a micro-batch of a stream over its folder."""
+    lines = lenses.journal_lines(t)
+    folder, store, marks = (scratch_path(t.spark, f"journal-{n}") for n in ("lines", "store", "checkpoint"))
+    at = F.unix_micros(c("ts").cast("timestamp"))
+    cuts = lines.agg(F.approx_percentile(at, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = lines if low is None else lines.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.select("value").repartition(PART_FILES).write.mode("append").text(folder)
+    stream = t.spark.readStream.option("maxFilesPerTrigger", PART_FILES).text(folder)
+    results = _results(stream).filter("kind is not null").select("kind", "pair_id", "seq", "event_id")
+    journal.ingest(results, store, marks, ["kind", "pair_id"], ["seq"]).awaitTermination()
+    return t.spark.read.parquet(store).select("kind", "pair_id", "event_id")
 
 
 @query("upsert_store", s.with_lenses("v_evid", """

@@ -129,11 +129,26 @@ def lay_leak_guard(t):
                     .alias("observation"))
 
 
-@query("validate_graph", s.with_lenses("v_gerr", """
-SELECT pair_id, array_to_string(errors, '; ') AS errors, len(errors) AS n_errors FROM v_gerr"""))
+@query("validate_graph", s.with_lenses("v_gstore", f"""
+, v_bent AS (SELECT *, conv_id % 23 = 1 AS said_yes, conv_id % 31 = 3 AS bent_fork FROM v_gstore),
+v_docerr AS (SELECT pair_id, CASE WHEN conv_id % 37 = 4 THEN ['graph is not an object']
+  WHEN management_b IS NULL THEN ['missing key: management_b'] ELSE list_filter(list_concat(
+    [CASE WHEN said_yes THEN 'confusable must be bool' END,
+     CASE WHEN confusable_reason = ' ' THEN 'confusable_reason empty' END,
+     CASE WHEN len(lines) NOT BETWEEN 3 AND 7 THEN 'forks must be a list of 3..7 items' END],
+    CASE WHEN len(lines) BETWEEN 3 AND 7 THEN flatten(list_transform(range(len(lines)), lambda i:
+      CASE WHEN bent_fork AND i = 0 THEN ['fork[0] not an object'] ELSE [
+        CASE WHEN conv_id % 11 = 0 AND i = 0 THEN 'fork[0].axis invalid: ''colour''' END,
+        CASE WHEN {s.strip('lines[i + 1]')} = '' THEN 'fork[' || i || '].question empty' END,
+        CASE WHEN {s.strip(s.half('lines[i + 1]', 'a'))} = '' THEN 'fork[' || i || '].a_signal empty' END,
+        CASE WHEN {s.strip(s.half('lines[i + 1]', 'b'))} = '' THEN 'fork[' || i || '].b_signal empty' END] END)) ELSE [] END,
+    [CASE WHEN (confusable OR said_yes) AND len(lines) NOT BETWEEN 3 AND 7
+       THEN 'need exactly 1 decisive fork, found 0' END,
+     CASE WHEN conv_id % 29 = 2 THEN 'geo_localizable_a must be bool' END]), lambda e: e IS NOT NULL) END AS errors
+  FROM v_bent)
+SELECT pair_id, array_to_string(errors, '; ') AS errors, len(errors) AS n_errors FROM v_docerr"""))
 def validate_graph(t):
-    errors = gates.graph_errors(c("graph"))
-    return lenses.graph_store(t).select("pair_id", errors.alias("e")).select(
+    return lenses.graph_documents(t).select("pair_id", gates.document_errors(c("doc")).alias("e")).select(
         "pair_id", F.array_join("e", "; ").alias("errors"), F.size("e").alias("n_errors"))
 
 

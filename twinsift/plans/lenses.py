@@ -90,19 +90,34 @@ def latest_evidence(t: Tables) -> DataFrame:
     return ev.verified_evidence(store)
 
 
-def journal(t: Tables) -> DataFrame:
-    """Journal lines, one per event, written as text and read back as the source would be.
+#: A decision graph without faults, as it stands in a journal line.
+_FORKS = ",".join(
+    f'{{"axis":"{axis}","question":"q","a_signal":"x","b_signal":"y","weight":"{weight}"}}'
+    for axis, weight in zip(fv.FORK_AXES, ("supporting", "decisive", "weak")))
+_GRAPH_REST = ('"confusable_reason":"alike","shared_presentation":"both","forks":[' + _FORKS + '],"narrative_a":"a",'
+               '"narrative_b":"b","management_a":"a","management_b":"b","geo_localizable_a":true,'
+               '"geo_localizable_b":false}}')
+
+
+def journal_lines(t: Tables) -> DataFrame:
+    """One journal line per event (`value`), with ts and event_id.
 
-    Some lines are broken and some are no results. Each line carries its own order.
+    Some lines are broken and some are no results. Of the graphs some are valid, some not
+    confusable, some ill-typed and some lack most keys. Each line carries its own order.
     """
     e = evidence(t)
     c = F.col
-    kind = c("event_type")
+    kind, turn = c("event_type"), c("event_id") % 4
+    graph = (F.when(turn == 0, F.lit('"confusable":true,' + _GRAPH_REST))
+             .when(turn == 1, F.lit('"confusable":false,' + _GRAPH_REST))
+             .when(turn == 2, F.lit('"confusable":"maybe",' + _GRAPH_REST))
+             .otherwise(F.lit('"forks":[],"confusable":true}}')))
     tail = (F.when(kind == "click", F.concat(
                 F.lit('"confusable_documented":'), c("documented").cast("string"),
+                F.lit(","), F.btrim(F.to_json(F.struct(F.coalesce("quote", F.lit("")).alias("quote"))), F.lit("{}")),
                 F.lit(',"source_url":"'), c("source_url"), F.lit('","source_type":"'),
                 c("source_type"), F.lit('"}}')))
-            .when(kind == "view", F.lit('"forks":[],"confusable":true}}'))
+            .when(kind == "view", graph)
             .when(kind == "error", F.concat(F.lit('"farmer_lay_report":"seen in event '),
                                             c("event_id").cast("string"), F.lit('"}}')))
             .when(kind == "signup", F.lit('"forks":[')).otherwise(F.lit('"forks":[]}}')))
@@ -111,11 +126,33 @@ def journal(t: Tables) -> DataFrame:
                     F.lit('","event_id":'), c("event_id").cast("string"),
                     F.lit(',"result":{"pair_id":"'), c("pair_id"), F.lit('",'), tail)
     no_object = (kind == "purchase") & (c("event_id") % 2 == 0)
+    return e.select(F.when(no_object, '{"type":"result","result":"no object"}').otherwise(line).alias("value"),
+                    "ts", "event_id")
+
+
+def journal(t: Tables) -> DataFrame:
+    """Journal lines written as text and read back as the source would be."""
     path = scratch_path(t.spark, "journal-text")
-    e.select(F.when(no_object, '{"type":"result","result":"no object"}').otherwise(line)).write.text(path)
+    journal_lines(t).select("value").write.text(path)
     return t.spark.read.text(path)
 
 
+def graph_documents(t: Tables) -> DataFrame:
+    """The stored graphs as parsed JSON (`doc`), some with values of a wrong type."""
+    c = F.col
+
+    def bent(condition: Column, value: str, plain: Column) -> Column:
+        return F.when(condition, F.lit(value)).otherwise(plain)
+
+    fork = F.transform("graph.forks", lambda f, i: bent((c("conv_id") % 31 == 3) & (i == 0), '"fork"', F.to_json(f)))
+    body = F.to_json(c("graph").dropFields("confusable", "geo_localizable_a", "forks"))
+    made = F.concat(
+        F.lit('{"confusable":'), bent(c("conv_id") % 23 == 1, '"yes"', c("graph.confusable").cast("string")),
+        F.lit(',"geo_localizable_a":'), bent(c("conv_id") % 29 == 2, "0", c("graph.geo_localizable_a").cast("string")),
+        F.lit(',"forks":['), F.array_join(fork, ","), F.lit("],"), F.substr(body, F.lit(2)))
+    return graph_store(t).select("pair_id", F.parse_json(bent(c("conv_id") % 37 == 4, "[1]", made)).alias("doc"))
+
+
 def graph_records(t: Tables) -> DataFrame:
     """Decision graph records: each conversation text gives one graph, each line one fork."""
     c = F.col

@@ -4,40 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from twinsift.operators.evidence import first_per_key
 
+def first_arrivals(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of keys that arrive for the first time, in update mode: the first of their micro-batch.
 
-def _existing_keys(spark: SparkSession, store: str, keys: Sequence[str], batch_id: int) -> DataFrame | None:
-    """Keys stored by earlier batches, or None before the first one has been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not fs.listStatus(path):
-        return None
-    return spark.read.parquet(store).filter(F.col("batch_id") < batch_id).select(*keys)
-
+    The state store keeps, per key, the first row and the times of its first and last
+    micro-batch. All rows of a micro-batch carry the same time, which is kept with the batch and
+    stays the same when it is run again; a key is new where both times are equal.
+    """
+    now = F.current_timestamp()
+    whole = F.struct(*stream.columns)
+    state = stream.withColumn("_now", now).groupBy(*keys).agg(
+        F.min_by(whole, F.struct(*order)).alias("_row"),
+        F.min("_now").alias("_first"), F.max("_now").alias("_last"))
+    return state.filter(F.col("_first") == F.col("_last")).select("_row.*")
 
-def append_first_wins(batch: DataFrame, batch_id: int, store: str, keys: Sequence[str],
-                      order: Sequence[str]) -> None:
-    """Add the keys of this micro-batch that no earlier batch has stored.
 
-    Each batch owns one partition of the store and overwrites it, so a replayed batch gives
-    the same store. The store is the only state.
-    """
-    fresh = first_per_key(batch, keys, order)
-    known = _existing_keys(batch.sparkSession, store, keys, batch_id)
-    if known is not None:
-        fresh = fresh.join(known, list(keys), "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+def append(batch: DataFrame, batch_id: int, store: str) -> None:
+    """Each batch owns one partition of the store and overwrites it, so a replayed batch gives the same store."""
+    batch.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
 
 def ingest(stream: DataFrame, store: str, checkpoint: str, keys: Sequence[str],
            order: Sequence[str]) -> StreamingQuery:
-    """Start ingestion of everything that is available now; the query ends by itself."""
-    return (stream.writeStream
-            .foreachBatch(lambda df, i: append_first_wins(df, i, store, keys, order))
+    """Start ingestion of everything that is available now; the query ends by itself.
+
+    Which keys are known is state of the query: the store is written and never read.
+    """
+    return (first_arrivals(stream, keys, order).writeStream.outputMode("update")
+            .foreachBatch(lambda df, i: append(df, i, store))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
