@@ -185,15 +185,11 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, dim: int = 64, sca
     for _ in range(rounds):
         centroids = moved(rows, centroids)
     found = materialise(assigned(rows, centroids), "clusters")
-    digests = spark.createDataFrame(
-        [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids)],
-        "cluster int, centroid_sha256 string")
-    per_cluster = found.groupBy("cluster").agg(
-        F.sum(F.col("distance").cast("decimal(38,0)")).alias("cluster_inertia"))
-    over_all = per_cluster.agg(F.sum("cluster_inertia").alias("inertia")).withColumn("one", F.lit(1))
-    facts = (per_cluster.withColumn("one", F.lit(1)).join(F.broadcast(over_all), "one").join(digests, "cluster")
-             .select("cluster", F.col("cluster_inertia").cast("bigint").alias("cluster_inertia"),
-                     F.col("inertia").cast("bigint").alias("inertia"), "centroid_sha256"))
+    per = {r["cluster"]: int(r["d"]) for r in found.groupBy("cluster").agg(
+        F.sum(F.col("distance").cast("decimal(38,0)")).alias("d")).collect()}        # at most k rows
+    facts = spark.createDataFrame(
+        [(i, per[i], sum(per.values()), hashlib.sha256(",".join(map(str, centroids[i])).encode()).hexdigest())
+         for i in per], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     # One row per centroid, so at most k rows are broadcast.
     return found.join(F.broadcast(facts), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
