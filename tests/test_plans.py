@@ -50,3 +50,9 @@ def test_vector_sums_make_no_row_per_dimension(spark):
     from twinsift.plans import lenses
     from twinsift.plans.registry import Tables
     assert "Generate" not in plan_of(similarity.vector_sums(lenses.embeddings(Tables(spark, FOLDER))))
+
+
+def test_ranges_scan_their_table_once(spark):
+    for name in ("effective_countries", "top_countries", "range_class"):
+        plan = REGISTRY[name].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1, name

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinsift import dims
 from twinsift.functions import geo, hashing, labels, text
-from twinsift.operators import evidence, gates, geo as geo_ops, items, mining, splits
+from twinsift.operators import evidence, gates, geo as geo_ops, items, mining, ranges, splits
 
 c = F.col
 
@@ -264,3 +264,21 @@ def first_fork(**changes):
 def test_document_errors(spark, doc, problems):
     df = spark.createDataFrame([(json.dumps(doc),)], "doc string").select(F.parse_json("doc").alias("doc"))
     assert df.select(gates.document_errors(F.col("doc")).alias("e")).first()["e"] == problems
+
+
+def test_range_facets_and_verdict(spark):
+    rows = ([("x", "A", "e", None)] * 40 + [("x", "US", "n", "Ohio")] * 30 + [("x", "US", "n", "n/a")] * 2
+            + [("x", "B", "n", None)] * 2 + [("x", None, "", " ")] + [("y", "A", "e", "")])
+    df = spark.createDataFrame(rows, "name string, country string, continent string, us_state string")
+    facets = {(r["name"], r["facet"], r["value"]): r["n"] for r in ranges.facet_counts(df).collect()}
+    assert facets == {("x", "total", ""): 75, ("x", "country", "A"): 40, ("x", "country", "US"): 32, ("x", "country", "B"): 2,
+                      ("x", "continent", "e"): 40, ("x", "continent", "n"): 34, ("x", "us_state", "Ohio"): 30,
+                      ("x", "us_state", " "): 1, ("y", "total", ""): 1, ("y", "country", "A"): 1, ("y", "continent", "e"): 1}
+    profiles = ranges.range_profiles(ranges.facet_counts(df)).selectExpr(
+        "*", "'ok' AS status", "'EXACT' AS match_type", "1 AS usage_key", "'SPECIES' AS rank", "false AS generalist")
+    got = {r["name"]: r for r in ranges.classify_ranges(profiles, top=2).collect()}
+    x = got["x"]
+    assert (x["n_countries"], x["eff_countries"], x["n_continents"], x["restriction_class"]) == (3, 2, 2, "localized")
+    assert [tuple(c) for c in x["top_countries"]] == [("A", 40), ("US", 32)]
+    assert got["y"]["restriction_class"] == "data_poor" and got["y"]["n_us_states"] == 0
+    assert ranges.range_profiles(ranges.facet_counts(df.limit(0))).count() == 0

@@ -10,38 +10,69 @@ from twinsift import fixed_values as fv
 from twinsift.functions import labels
 
 
-def effective_countries(country_counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Country facets with enough records and share. Input: (name, country, n), (name, total)."""
-    share = F.col("n") / F.greatest(F.lit(1), F.col("total"))
-    return (country_counts.join(totals.select("name", "total"), "name")
-            .withColumn("share", F.round(share, 4))
-            .filter((F.col("n") >= fv.MIN_COUNTRY_RECORDS) & (share >= fv.MIN_COUNTRY_SHARE)))
+FACETS = ("country", "continent", "us_state")
 
 
-def top_countries(country_counts: DataFrame, k: int = 8) -> DataFrame:
-    """The k largest country facets of each name; ties by country."""
-    order = W.Window.partitionBy("name").orderBy(F.desc("n"), "country")
-    return (country_counts.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= k))
+def facet_counts(records: DataFrame) -> DataFrame:
+    """(name, facet, value, n): records per name, and per country, continent and US state of a name.
+
+    Records have name, country, continent and us_state. They are read once: grouping sets count
+    all facets from the distinct combinations. Blank and `n/a` values make no facet.
+    """
+    known = records.select("name", *[F.when(~F.lower(F.coalesce(f, F.lit(""))).isin("", "n/a"), F.col(f)).alias(f)
+                                     for f in FACETS])
+    combined = known.groupBy("name", *FACETS).agg(F.count("*").alias("n"))
+    sets = combined.groupingSets([["name"], *[["name", f] for f in FACETS]], "name", *FACETS).agg(
+        F.sum("n").alias("n"), *[F.grouping(f).alias(f"_{f}") for f in FACETS])
+    facet, value = F.lit("total"), F.lit("")
+    for f in FACETS:
+        facet = F.when(F.col(f"_{f}") == 0, f).otherwise(facet)
+        value = F.when(F.col(f"_{f}") == 0, F.col(f)).otherwise(value)
+    return sets.select("name", facet.alias("facet"), value.alias("value"), "n").filter("value is not null")
 
 
-def classify_ranges(names: DataFrame, country_counts: DataFrame,
-                    continent_counts: DataFrame) -> DataFrame:
-    """Restriction class, descriptive counts and reason per name.
+def range_profiles(facets: DataFrame) -> DataFrame:
+    """One row per name: total, countries (largest first), effective countries, continents and US states.
 
-    `names` has name, status, match_type, usage_key, rank, total; a name without a usage key has
-    no reliable match. Facets come as long tables.
+    The array holds one entry per country of the world at most.
     """
-    per_country = country_counts.groupBy("name").agg(F.count("*").alias("n_countries"))
-    effective = (effective_countries(country_counts, names).groupBy("name")
-                 .agg(F.count("*").alias("eff_countries")))
-    continents = (continent_counts.filter(F.col("n") >= fv.MIN_COUNTRY_RECORDS)
-                  .groupBy("name").agg(F.count("*").alias("n_continents")))
-    joined = names
-    for part in (per_country, effective, continents):
-        joined = joined.join(part, "name", "left")
-    joined = joined.fillna(0, ["n_countries", "eff_countries", "n_continents", "total"])
+    def per(facet: str, value):
+        return F.when(F.col("facet") == facet, value)
+
+    share = F.greatest(F.lit(1), F.col("total"))
+    return (facets.groupBy("name")
+            .agg(F.coalesce(F.max(per("total", F.col("n"))), F.lit(0)).alias("total"),
+                 F.collect_list(per("country", F.struct((-F.col("n")).alias("k"), F.col("value").alias("country")))).alias("_c"),
+                 F.count_if((F.col("facet") == "continent") & (F.col("n") >= fv.MIN_COUNTRY_RECORDS)).alias("n_continents"),
+                 F.count_if(F.col("facet") == "us_state").alias("n_us_states"))
+            .withColumn("countries", F.transform(F.array_sort("_c"), lambda x: F.struct(
+                x["country"].alias("country"), (-x["k"]).alias("n"), (-x["k"] / share).alias("share"))))
+            .withColumn("effective", F.filter("countries", lambda x: (x["n"] >= fv.MIN_COUNTRY_RECORDS)
+                                              & (x["share"] >= fv.MIN_COUNTRY_SHARE)))
+            .withColumn("n_countries", F.size("countries")).withColumn("eff_countries", F.size("effective"))
+            .drop("_c"))
+
+
+def effective_countries(profiles: DataFrame) -> DataFrame:
+    """Country facets with enough records and share."""
+    return profiles.select("name", F.explode("effective").alias("e")).select(
+        "name", "e.country", "e.n", F.round("e.share", 4).alias("share"))
 
+
+def top_countries(profiles: DataFrame, k: int = 8) -> DataFrame:
+    """The k largest country facets of each name; ties by country."""
+    return profiles.select("name", F.posexplode(F.slice("countries", 1, k)).alias("rank", "e")).select(
+        "name", "e.country", "e.n", (F.col("rank") + 1).alias("rank"))
+
+
+def classify_ranges(names: DataFrame, top: int = 8) -> DataFrame:
+    """Restriction class, descriptive counts, nested top countries and reason per name.
+
+    `names` are profiles with status, match_type, usage_key, rank and generalist; a name
+    without a usage key has no reliable match.
+    """
+    joined = names.withColumn("top_countries", F.transform(
+        F.slice("countries", 1, top), lambda x: F.struct(x["country"].alias("country"), x["n"].alias("n"))))
     n, c = F.col("eff_countries"), F.col("n_continents")
     generalist = labels.is_generalist(F.col("name")) | F.coalesce(F.col("generalist"), F.lit(False))
     unmatched = (~F.col("status").eqNullSafe("ok")) | F.col("match_type").isNull() | (

@@ -12,11 +12,13 @@ from twinsift.functions import labels
 c = F.col
 
 
-def facets(t):
-    """(name, country, continent, n): line items per part name and customer nation.
+def records(t):
+    """(name, country, continent, us_state): a line item's part name and its customer's nation.
 
     Nations are folded into the first few by the length of the name, so names differ in spread.
     """
+    state = F.when(c("n_name") == "UNITED STATES", F.when(c("c_custkey") % 60 == 0, "n/a").when(
+        c("c_custkey") % 60 == 1, "").otherwise(F.concat(F.lit("state "), (c("c_custkey") % 60).cast("string"))))
     return (t.lineitem.select("l_orderkey", "l_partkey")
             .join(t.part.select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey"))
             .join(t.orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
@@ -24,23 +26,19 @@ def facets(t):
             .withColumn("c_nationkey", c("c_nationkey") % (1 + 4 * (F.length("p_name") % 7)))
             .join(t.nation, c("c_nationkey") == c("n_nationkey"))
             .join(t.region, c("n_regionkey") == c("r_regionkey"))
-            .groupBy(c("p_name").alias("name"), c("n_name").alias("country"), c("r_name").alias("continent"))
-            .agg(F.count("*").alias("n")))
+            .select(c("p_name").alias("name"), c("n_name").alias("country"), c("r_name").alias("continent"),
+                    state.alias("us_state")))
 
 
-def tables(t):
-    f = facets(t)
+def profiles(t):
     match = (F.when(c("name").startswith("cold g"), "NONE").when(c("name").startswith("cold r"), "HIGHERRANK")
              .otherwise("EXACT"))
-    names = (f.groupBy("name").agg(F.sum("n").alias("total"))
-             .withColumn("status", F.when(c("name") == "blue rod", "failed").otherwise("ok"))
-             .withColumn("match_type", match)
-             .withColumn("usage_key", F.when(~c("name").startswith("dim r"), F.length("name")))
-             .withColumn("rank", F.when(c("name") == "blue ring", "GENUS").otherwise("SPECIES"))
-             .withColumn("generalist", c("name").startswith("red ")))
-    countries = f.groupBy("name", "country").agg(F.sum("n").alias("n"))
-    continents = f.groupBy("name", "continent").agg(F.sum("n").alias("n"))
-    return names, countries, continents
+    return (ranges.range_profiles(ranges.facet_counts(records(t)))
+            .withColumn("status", F.when(c("name") == "blue rod", "failed").otherwise("ok"))
+            .withColumn("match_type", match)
+            .withColumn("usage_key", F.when(~c("name").startswith("dim r"), F.length("name")))
+            .withColumn("rank", F.when(c("name") == "blue ring", "GENUS").otherwise("SPECIES"))
+            .withColumn("generalist", c("name").startswith("red ")))
 
 
 s.add_lens("v_range", """v_facet AS (
@@ -55,6 +53,12 @@ v_range AS (SELECT t.name, total, (SELECT count(*) FROM v_facet f WHERE f.name =
     (SELECT count(*) FROM v_eff e WHERE e.name = t.name) AS eff_countries,
     (SELECT count(*) FROM (SELECT continent FROM v_facet f WHERE f.name = t.name GROUP BY continent HAVING sum(n) >= 3))
       AS n_continents FROM v_total t),
+v_us AS (SELECT p_name AS name, count(DISTINCT c_custkey % 60) AS n_us_states
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey % (1 + 4 * (length(p_name) % 7)) = n_nationkey
+  WHERE n_name = 'UNITED STATES' AND c_custkey % 60 > 1 GROUP BY ALL),
+v_top AS (SELECT name, string_agg(country || ':' || n, ', ' ORDER BY n DESC, country) AS top_countries
+  FROM (SELECT * FROM v_facet QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, country) <= 8) GROUP BY ALL),
 v_class2 AS (SELECT *, CASE WHEN name LIKE 'red %' THEN 'cosmopolitan'
     WHEN name = 'blue rod' OR name LIKE 'cold g%' OR name LIKE 'dim r%' OR name LIKE 'cold r%' OR name = 'blue ring' OR total < 30 THEN 'data_poor'
     WHEN eff_countries >= 25 OR n_continents >= 4 THEN 'cosmopolitan'
@@ -64,40 +68,42 @@ v_class2 AS (SELECT *, CASE WHEN name LIKE 'red %' THEN 'cosmopolitan'
 
 @query("effective_countries", s.with_lenses("v_range", "SELECT name, country, n, share FROM v_eff"))
 def effective_countries(t):
-    names, countries, _ = tables(t)
-    return ranges.effective_countries(countries, names).select("name", "country", "n", "share")
+    return ranges.effective_countries(profiles(t))
 
 
 @query("top_countries", s.with_lenses("v_range", """
 SELECT name, country, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, country) AS rank
   FROM v_facet) WHERE rank <= 8"""))
 def top_countries(t):
-    return ranges.top_countries(tables(t)[1])
+    return ranges.top_countries(profiles(t))
 
 
 @query("range_class", s.with_lenses("v_range", """
-SELECT name, total, n_countries, eff_countries, n_continents, restriction_class, CASE
+SELECT name, total, n_countries, eff_countries, n_continents, coalesce(n_us_states, 0) AS n_us_states, top_countries,
+  restriction_class, CASE
   WHEN name LIKE 'red %' THEN 'named generalist' WHEN name = 'blue rod' OR name LIKE 'cold g%' OR name LIKE 'dim r%' THEN 'no reliable match'
   WHEN name LIKE 'cold r%' OR name = 'blue ring' THEN 'match only at a higher rank'
   WHEN total < 30 THEN total || ' records are too few'
   ELSE CASE restriction_class WHEN 'cosmopolitan' THEN 'present in ' WHEN 'localized' THEN 'restricted to '
     ELSE 'intermediate spread: ' END || eff_countries || ' countries / ' || n_continents || ' continents' END AS reason
-FROM v_class2"""))
+FROM v_class2 LEFT JOIN v_us USING (name) JOIN v_top USING (name)"""))
 def range_class(t):
-    return ranges.classify_ranges(*tables(t)).select(
-        "name", "total", "n_countries", "eff_countries", "n_continents", "restriction_class", "reason")
+    shown = F.transform("top_countries", lambda x: F.concat_ws(":", x["country"], x["n"].cast("string")))
+    return ranges.classify_ranges(profiles(t)).select(
+        "name", "total", "n_countries", "eff_countries", "n_continents", "n_us_states",
+        F.array_join(shown, ", ").alias("top_countries"), "restriction_class", "reason")
 
 
 @query("range_distribution", s.with_lenses("v_range", """
 SELECT restriction_class, count(*) AS n_names, array_to_string(list_sort(list(name))[1:4], ', ') AS examples
 FROM v_class2 GROUP BY ALL"""))
 def range_distribution(t):
-    return ranges.range_distribution(ranges.classify_ranges(*tables(t)))
+    return ranges.range_distribution(ranges.classify_ranges(profiles(t)))
 
 
 @query("localizable_names", s.with_lenses("v_range", """
 SELECT name, split_part(name, ' ', 1) AS genus FROM v_class2 WHERE restriction_class IN ('localized', 'regional')"""))
 def localizable_names(t):
-    verdicts = ranges.classify_ranges(*tables(t))
+    verdicts = ranges.classify_ranges(profiles(t))
     return verdicts.filter(ranges.is_localizable(c("restriction_class"))).select(
         "name", labels.genus(c("name")).alias("genus"))
