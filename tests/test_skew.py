@@ -67,9 +67,9 @@ def test_rank_by_hash(rows):
     assert {r["n"] for r in got} == {3000}
 
 
-@pytest.mark.parametrize("cuts", [1, 7, 1024])
-def test_exact_median(rows, cuts):
-    got = dict(map(tuple, skew.exact_median(rows, ["k"], "v", "m", cuts).select("k", "m").collect()))
+@pytest.mark.parametrize("sketch", [8, 100, 4000])
+def test_exact_median(rows, sketch):
+    got = dict(map(tuple, skew.exact_median(rows, ["k"], "v", "m", sketch).select("k", "m").collect()))
     groups = {}
     for r in rows.collect():
         groups.setdefault(r["k"], []).append(r["v"])
@@ -89,3 +89,15 @@ def test_exact_median_with_a_heavy_tail(spark):
     got = {r["k"]: r["m"] for r in skew.exact_median(df, ["k"], "v", "m").collect()}
     want = {r["k"]: r["m"] for r in df.filter("v is not null").groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert got == want
+
+
+def test_exact_median_orders_the_bracket_only(spark):
+    """A hot key over several partitions: the plan is built without a job, and the bracket is small."""
+    df = spark.range(0, 200_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 > 0 THEN 'hot' ELSE concat('k', id % 50) END AS k",
+        "CASE WHEN id % 7 = 0 THEN 1.5 ELSE pow(10, (hash(id) % 1000) / 100.0) END AS v")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    out = skew.exact_median(df, ["k"], "v", "m", sketch=500)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert {r["k"]: r["m"] for r in out.collect()} == pytest.approx(want)

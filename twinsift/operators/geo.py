@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import dims
@@ -142,6 +145,56 @@ def temporal_composite(samples: DataFrame, start: str, end: str, hows: Sequence[
     return out.select("cell", "n_days", *[(F.col(how) * scale_factor).alias(how) for how in hows])
 
 
+@dataclass(frozen=True)
+class LayerSpec:
+    """Bands of one layer with their output names, and how its samples become one image.
+
+    `how` is mean, median, mosaic (the latest sample by ts, then sample id) or "" for an image
+    without times; start and end (exclusive) may be left out.
+    """
+
+    layer: str
+    bands: dict[str, str]
+    how: str = ""
+    start: str | None = None
+    end: str | None = None
+    scale_factor: float = 1.0
+
+
+def composite_layers(samples: DataFrame, specs: Sequence[LayerSpec]) -> DataFrame:
+    """One row per cell with a column for every band of every spec, renamed and scaled.
+
+    Samples are (layer, band, cell, ts, sample_id, value). Bands that no spec names are left out
+    before anything moves; all but the medians come from one aggregation.
+    """
+    def chosen(spec: LayerSpec) -> Column:
+        rule = (F.col("layer") == spec.layer) & F.col("band").isin(*spec.bands)
+        for edge, bound in ((spec.start, F.col("ts").__ge__), (spec.end, F.col("ts").__lt__)):
+            if edge:
+                rule = rule & bound(F.lit(edge).cast("timestamp_ntz"))
+        return rule
+
+    used = samples.filter(reduce(or_, map(chosen, specs)))
+    plain, medians, order = [], [], []
+    for spec in specs:
+        for band, out in spec.bands.items():
+            order.append((out, spec.scale_factor))
+            hit = chosen(spec) & (F.col("band") == band)
+            value, latest = F.when(hit, F.col("value")), F.when(hit, F.struct("ts", "sample_id"))
+            if spec.how == "median":
+                medians.append(F.when(hit, F.struct(F.lit(out).alias("out"), F.col("value").alias("v"))))
+            else:
+                plain.append((F.avg(value) if spec.how == "mean" else F.max_by("value", latest)).alias(out))
+    wide = used.groupBy("cell").agg(F.count("*").alias("n_samples"), *plain)
+    if medians:
+        long = used.select("cell", F.explode(F.array_compact(F.array(*medians))).alias("m")).select("cell", "m.out", "m.v")
+        found = exact_median(long, ["cell", "out"], "v", "v").groupBy("cell").agg(
+            *[F.max(F.when(F.col("out") == out, F.col("v"))).alias(out)
+              for spec in specs if spec.how == "median" for out in spec.bands.values()])
+        wide = wide.join(found, "cell", "left")
+    return wide.select("cell", *[(F.col(out) * factor).alias(out) for out, factor in order])
+
+
 def zonal_reduce(points: DataFrame, cells: DataFrame, res: float, reach: int,
                  reducers: Sequence[str], mode_step: float | None = None) -> DataFrame:
     """Reduce the cells within `reach` rows and columns of each point; nodata is left out.

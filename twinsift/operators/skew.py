@@ -116,50 +116,33 @@ def rank_by_hash(df: DataFrame, digest: str, name: str, total: str) -> DataFrame
     return ranked.withColumn(name, F.col(name) - 1).drop("_all")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str,
-                 cuts: int = 1024, levels: int = 2) -> DataFrame:
-    """Exact median per group (mean of the middle two), also for a group of any size.
+#: Entries that the quantile sketch of a group keeps, about; ranks are off by n / SKETCH at most.
+SKETCH = 4000
 
-    Distinct values are counted first. Then, `levels` times, the range that is left is cut into
-    equal slices, and only the slices that hold the middle ranks stay: what one outlier spoils on
-    the first level the next one mends. The last slice is ordered.
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, sketch: int = SKETCH) -> DataFrame:
+    """Exact median per group (mean of the middle two), also for a group of any size, in two passes.
+
+    The first pass merges quantile sketches into a bracket around the middle of every group. The
+    second counts the rows below the bracket and, by distinct value, those inside it; only these,
+    some thousandths of a group, are ordered. That the bracket holds the middle is checked.
     """
-    counted = (df.select(*keys, F.col(value).cast("double").alias("_v"))
-               .filter(F.col("_v").isNotNull())
-               .groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
-    n = F.sum("_c")
-    ranks = counted.groupBy(*keys).agg(F.floor((n + 1) / 2).alias("_low"),
-                                       F.floor((n + 2) / 2).alias("_high"))
-    part = counted.join(ranks, list(keys))
-    for _ in range(levels):
-        part = materialise(_middle_slices(part, keys, cuts), "slices")
-    upto = F.sum("_c").over(W.Window.partitionBy(*keys).orderBy("_v").rowsBetween(
-        W.Window.unboundedPreceding, 0))
-    placed = part.withColumn("_upto", upto)
-
-    def at(rank: str) -> Column:
-        holds = (F.col("_upto") - F.col("_c") < F.col(rank)) & (F.col("_upto") >= F.col(rank))
-        return F.max(F.when(holds, F.col("_v")))
-
-    return placed.groupBy(*keys).agg(((at("_low") + at("_high")) / 2).alias(name))
-
-
-def _middle_slices(part: DataFrame, keys: Sequence[str], cuts: int) -> DataFrame:
-    """Rows (keys, _v, _c, _low, _high) of the slices that hold both ranks, ranks made relative."""
-    spans = part.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(cuts))
-    cut = F.when(width > 0, F.least(
-        F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(cuts - 1))).otherwise(F.lit(0))
-    sliced = part.join(spans, list(keys)).withColumn("_cut", cut.cast("int")).drop("_lo", "_hi")
-    up_to_cut = W.Window.partitionBy(*keys).orderBy("_cut").rowsBetween(
-        W.Window.unboundedPreceding, 0)
-    hit = (sliced.groupBy(*keys, "_cut")
-           .agg(F.sum("_c").alias("_k"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
-           .withColumn("_to", F.sum("_k").over(up_to_cut))
-           .withColumn("_from", F.col("_to") - F.col("_k"))
-           .filter((F.col("_to") >= F.col("_low")) & (F.col("_from") < F.col("_high")))
-           .groupBy(*keys).agg(F.min("_cut").alias("_first"), F.max("_cut").alias("_last"),
-                               F.min("_from").alias("_before")))
-    return (sliced.join(hit, list(keys)).filter(F.col("_cut").between(F.col("_first"), F.col("_last")))
-            .select(*keys, "_v", "_c", (F.col("_low") - F.col("_before")).alias("_low"),
-                    (F.col("_high") - F.col("_before")).alias("_high")))
+    rows = (df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull()))
+    margin = 4 / sketch
+    sides = F.percentile_approx("_v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], sketch)
+    brackets = rows.groupBy(*keys).agg(F.count("*").alias("_n"), sides.alias("_b"))
+    # Rows below the bracket fall together under null, so a map task passes on one row for them.
+    inside = F.when(F.col("_v") >= F.col("_b")[0], F.col("_v"))
+    counted = (rows.join(brackets, list(keys)).filter(F.col("_v") <= F.col("_b")[1])
+               .groupBy(*keys, inside.alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n")))
+    order = W.Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    upto = F.sum("_c").over(order.rowsBetween(W.Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_c") < rank) & (F.col("_upto") >= rank), F.col("_v")))
+
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    missed = F.raise_error(F.lit("the bracket misses the middle; take a larger sketch")).cast("double")
+    return (placed.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+            .withColumn(name, F.coalesce(name, missed)))

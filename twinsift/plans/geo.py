@@ -119,7 +119,7 @@ def grid_sample_fallback(t):
 
 
 def _samples(t):
-    return t.events.select(c("event_id").alias("sample_id"), "ts", "value",
+    return t.events.select(c("event_id").alias("sample_id"), "ts", "value", c("event_type").alias("band"),
                            F.when(c("event_id") % 3 == 0, "hot").otherwise(
                                F.concat(F.lit("cell"), (c("user_id") % 40).cast("string"))).alias("cell"))
 
@@ -136,6 +136,27 @@ def temporal_composite(t):
     return out.select("cell", "n_days", *[F.round(how, 4).alias(how) for how in hows])
 
 
+SPECS = (
+    geo.LayerSpec("events", {"click": "click_mean", "view": "view_mean"}, "mean", "2024-01-05", "2024-01-25", 0.5),
+    geo.LayerSpec("events", {"view": "view_median", "error": "error_median"}, "median", "2024-01-05", "2024-01-25"),
+    geo.LayerSpec("events", {"purchase": "last_purchase"}, "mosaic", scale_factor=0.1),
+)
+
+
+@query("composite_layers", """
+WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'cell' || (user_id % 40) END AS cell,
+    ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AS inside FROM events)
+SELECT cell, round(0.5 * avg(value) FILTER (inside AND event_type = 'click'), 4) AS click_mean,
+  round(0.5 * avg(value) FILTER (inside AND event_type = 'view'), 4) AS view_mean,
+  round(median(value) FILTER (inside AND event_type = 'view'), 4) AS view_median,
+  round(median(value) FILTER (inside AND event_type = 'error'), 4) AS error_median,
+  round(0.1 * arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase'), 4) AS last_purchase
+FROM e WHERE (inside AND event_type IN ('click', 'view', 'error')) OR event_type = 'purchase' GROUP BY ALL""")
+def composite_layers(t):
+    out = geo.composite_layers(_samples(t).withColumn("layer", F.lit("events")), SPECS)
+    return out.select("cell", *[F.round(n, 4).alias(n) for n in out.columns if n != "cell"])
+
+
 @query("zonal_reduce", s.with_lenses("v_sampled", """
 , hits AS (SELECT DISTINCT p.lat, p.lon, x.row, x.col, x.value FROM v_keyed p JOIN v_cells x ON layer = 'bio1'
   AND x.row BETWEEN r - 1 AND r + 1 AND x.col BETWEEN k - 1 AND k + 1 WHERE value <> -9999),
