@@ -23,9 +23,39 @@ def test_image_folder(spark, tmp_path):
     assert (corn["crop"], corn["disease"], corn["photographer"]) == ("Sweet Corn", "Common Rust", "src1")
     assert readers.scan_image_folder(spark, str(tmp_path), "sweet corn").count() == 1
     assert readers.scan_image_folder(spark, str(tmp_path), "SWEET_CORN").count() == 1
-    located = spark.createDataFrame([(corn["url"],), ("file:/nowhere/x.jpg",)], "path string")
-    content = {r["path"]: r["content"] for r in readers.image_bytes(spark, located, str(tmp_path)).collect()}
-    assert bytes(content[corn["url"]]) == b"xyz" and content["file:/nowhere/x.jpg"] is None
+
+
+def test_only_located_files_are_opened(spark, tmp_path, monkeypatch):
+    """No root is listed: files beside the located ones are not looked at, and what cannot be read is null."""
+    (tmp_path / "a.jpg").write_bytes(b"xyz")
+    (tmp_path / "big.jpg").write_bytes(bytes(1000))
+    os.mkfifo(tmp_path / "poison.jpg")                # opening it would wait for ever
+    os.mkdir(tmp_path / "folder.jpg")
+    at = [f"file:{tmp_path}/a.jpg", f"{tmp_path}/a.jpg", f"file:{tmp_path}/folder.jpg", "file:/nowhere/x.jpg", "odd://x/y", None,
+          f"file://{tmp_path}/big.jpg", f"{tmp_path}/with space.jpg"]
+    located = spark.createDataFrame([(i, p) for i, p in enumerate(at)], "row int, path string")
+    monkeypatch.setattr(readers, "FETCHED_BYTES", 4)
+    got = {r["row"]: r["content"] for r in readers.image_bytes(located).collect()}
+    assert {i: bytes(c) if c is not None else None for i, c in got.items()} == {
+        0: b"xyz", 1: b"xyz", 2: None, 3: None, 4: None, 5: None, 6: bytes(1000), 7: None}
+
+
+def test_image_tree_lists_only_the_crop(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    rows = [(crop, f"d_{i % 3}", f"{crop}{i}") for crop in ("Sweet Corn", "Oak", "Oakley") for i in range(6)]
+    spark.createDataFrame(rows, "crop string, disease string, url string").write.partitionBy(
+        "crop", "disease").option("maxRecordsPerFile", 1).text(root)
+    everything = readers.scan_image_tree(spark, root, extensions=[".txt"])
+    assert everything.count() == 18 and len(everything.inputFiles()) == 18
+    assert {(r["crop"], r["disease"]) for r in everything.collect()} == {(c, d.replace("_", " ")) for c, d, _ in rows}
+    for name in ("sweet corn", " SWEET_CORN "):
+        one = readers.scan_image_tree(spark, root, name, [".txt"])
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert one.count() == 6 and len(one.inputFiles()) == 6
+        assert "PartitionFilters: [" in plan and "crop" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert readers.scan_image_tree(spark, root, "oak", [".txt"]).count() == 6
+    pruned = everything.filter("disease = 'd 1'")._jdf.queryExecution().executedPlan().toString()
+    assert "disease" in pruned.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_graph_store_one_record_per_file(spark, tmp_path):

@@ -17,19 +17,29 @@ DETAIL = (
 )
 
 
-def flatten_detail(df: DataFrame, detail: Column, base_url: str) -> DataFrame:
-    """Columns of the detail records; alternatives are tried in order, missing stays null.
+def flatten_detail(df: DataFrame, detail: Column, base_url: str, category_id: Column | None = None,
+                   category_name: Column | None = None) -> DataFrame:
+    """All columns of the detail records; alternatives are tried in order, missing stays null.
 
-    The record is parsed once, in a projection of its own.
+    The record is parsed once, in a projection of its own. A location may be text or an object
+    with a name; the category is that of the listing the record was found in.
     """
     d = F.col("_detail")
     number = text.first_present(d["imgnum"], d["imagenumber"])
-    place = text.first_present(d["location"], d["locationtext"])
+    # An object is read as its JSON text.
+    named = F.from_json(d["location"], "name string, locationname string")
+    given = F.when(F.startswith(F.ltrim(d["location"]), F.lit("{")),
+                   text.first_present(named["name"], named["locationname"])).otherwise(d["location"])
+    place = text.first_present(given, d["locationtext"])
+    no = F.lit(None).cast("string")
 
     def same(column: str, field: str) -> Column:
         return text.present(d[field]).alias(column)
 
-    return df.select(F.from_json(detail, DETAIL).alias("_detail")).select(
+    return df.select(F.from_json(detail, DETAIL).alias("_detail"),
+                     (no if category_id is None else category_id.cast("string")).alias("category_id"),
+                     (no if category_name is None else category_name).alias("category_name")).select(
+        "category_id", "category_name",
         number.alias("image_number"),
         text.first_present(d["subjectscientificname"], d["scientificname"]).alias("scientific_name"),
         same("common_name", "subjectname"), same("subject", "subjectdisplayname"),

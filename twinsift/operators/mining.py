@@ -9,7 +9,8 @@ from pyspark.sql import window as W
 from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import labels, text
-from twinsift.operators.skew import salted_join
+from twinsift.operators.skew import row_number_in_group, salted_join
+from twinsift.session import materialise
 
 CLASS = ["crop", "disease"]
 
@@ -107,6 +108,18 @@ def rank_pairs(pairs: DataFrame, top: int | None = None) -> DataFrame:
     return ordered.limit(top) if top else ordered
 
 
+def placed_pairs(pairs: DataFrame) -> DataFrame:
+    """All pairs with their `place` in the order of rank_pairs.
+
+    Places come from ranges of the order: each is numbered on its own and the sizes of the ranges
+    before it are added.
+    """
+    order = [F.desc("lookalike_prior"), F.col("pair_id")]
+    ranged = materialise(pairs.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranked")
+    return row_number_in_group(ranged.withColumn("_all", F.lit(0)), ["_all"], F.col("_range"), order, "place").drop(
+        "_all", "_range")
+
+
 def nested_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pair records in their nested form, members with their top descriptors."""
     top = (top_descriptors(rows).groupBy(*CLASS)

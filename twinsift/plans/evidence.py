@@ -96,7 +96,7 @@ def dedupe_first(t):
 
 
 PARTS = 3           # journal parts of the stream, a micro-batch each
-PART_FILES = 2
+PART_FILES = 8
 
 
 @query("journal_stream", s.with_lenses("v_evid", f"""
@@ -107,7 +107,7 @@ def journal_stream(t):
     lines = lenses.journal_lines(t)
     folder, store, marks = (scratch_path(t.spark, f"journal-{n}") for n in ("lines", "store", "checkpoint"))
     at = F.unix_micros(c("ts").cast("timestamp"))
-    cuts = lines.agg(F.approx_percentile(at, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    cuts = t.events.agg(F.approx_percentile(at, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:]):
         part = lines if low is None else lines.filter(at > low)

@@ -104,7 +104,7 @@ def load_image_bytes(t):
     wanted = listed.withColumn("item_id", item)
     missing = t.benchmark.select(F.concat(F.lit(root), F.lit("/none/"), c("item_id").cast("string")).alias("path"),
                                  (-1 - c("item_id")).alias("item_id"))
-    return readers.image_bytes(t.spark, wanted.unionByName(missing), root).select(
+    return readers.image_bytes(wanted.unionByName(missing)).select(
         "item_id", F.octet_length("content").cast("bigint").alias("n_bytes"))
 
 

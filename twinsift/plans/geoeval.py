@@ -94,14 +94,22 @@ def split_gap(t):
     return geoeval.split_gap(placed(t))
 
 
+def _unclear(step, i):
+    """Some steps cite something unknown, by the lengths of the image and pair ids."""
+    lost = ((i == 0) & (F.length("img") % 3 == 0)) | ((i == 2) & (F.length("pair_id") % 2 == 0))
+    return step.withField("cites", F.when(lost, "hearsay").otherwise(step["cites"]))
+
+
 @query("chain_grounding", s.with_lenses("v_ground v_prior", """
 , g AS (SELECT v_ground.*, s.region FROM v_ground LEFT JOIN us_states s ON s.name = v_ground.state)
-SELECT count(*) AS n_chains, CAST(0.75 AS DOUBLE) AS cited_share,
+SELECT count(*) AS n_chains, round((3 * count(*) - count(*) FILTER (length(img) % 3 = 0)
+    - count(*) FILTER (length(pair_id) % 2 = 0)) / (4 * count(*)), 4) AS cited_share,
   round(avg(CASE WHEN p.disease IS NULL THEN 0 ELSE 1 END), 4) AS backed_share
 FROM g LEFT JOIN v_prior p ON p.region = g.region AND p.disease = g.true_label"""))
 def chain_grounding(t):
     state = dims.states(t.spark).select(c("name").alias("state"), "region")
     chains = (items.item_skeleton(pipeline.grounded(t)).join(F.broadcast(state), "state", "left")
+              .withColumn("_cot", F.transform("cot", _unclear)).withColumn("cot", c("_cot"))
               .select("item_id", "region", c("gold.diagnosis").alias("concluded"), "cot"))
     return geoeval.chain_grounding(chains, prior(t), ["image", "decision graph", "image (VLM lay observation)"])
 

@@ -112,3 +112,9 @@ def nested_pairs(t):
 SELECT pair_id, lookalike_prior FROM v_pairs ORDER BY lookalike_prior DESC, pair_id LIMIT 40"""))
 def rank_pairs(t):
     return mining.rank_pairs(lenses.candidate_pairs(t), top=40).select("pair_id", "lookalike_prior")
+
+
+@query("rank_all_pairs", s.with_lenses("v_pairs", """
+SELECT pair_id, lookalike_prior, row_number() OVER (ORDER BY lookalike_prior DESC, pair_id) AS place FROM v_pairs"""))
+def rank_all_pairs(t):
+    return mining.placed_pairs(lenses.candidate_pairs(t)).select("pair_id", "lookalike_prior", "place")

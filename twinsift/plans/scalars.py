@@ -11,26 +11,43 @@ from twinsift.operators import items, mining
 from twinsift.plans import lenses
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
+from twinsift.session import scratch_path
 from twinsift.sources import readers
 
 c = F.col
 BASE_URL = "https://images.example.org/images"
 
 
+def _image_tree(t):
+    """A folder crop=<type>/disease=<brand> with one file per class, which holds the urls of its images."""
+    root = scratch_path(t.spark, "image-tree")
+    (lenses.image_rows(t).select("crop", F.replace("disease", F.lit("#"), F.lit("_")).alias("disease"), "url")
+     .repartition("crop", "disease").write.partitionBy("crop", "disease").text(root))
+    return root
+
+
 @query("scan_image_folder", s.with_lenses("v_rows", """
-SELECT crop || '__' || replace(disease, '#', '_') || '__s' || contributor || '_' || row_id AS img,
-  url, crop, replace(disease, '#', ' ') AS disease, 's' || contributor AS photographer FROM v_rows"""))
+SELECT crop, replace(disease, '#', ' ') AS disease, CAST(sum(octet_length(encode(url)) + 1) AS BIGINT) AS n_bytes
+FROM v_rows GROUP BY ALL"""))
 def scan_image_folder(t):
-    return readers.image_rows(lenses.image_rows(t).select("url"), "url").select(
-        "img", "url", "crop", "disease", "photographer")
+    return readers.scan_image_tree(t.spark, _image_tree(t), extensions=[".txt"]).select(
+        "crop", "disease", c("length").alias("n_bytes"))
 
 
 @query("scan_crop_pruned", s.with_lenses("v_rows", """
-SELECT crop || '__' || replace(disease, '#', '_') || '__s' || contributor || '_' || row_id AS img,
-  crop FROM v_rows WHERE crop = 'PROMO'"""))
+SELECT crop, replace(disease, '#', ' ') AS disease, CAST(sum(octet_length(encode(url)) + 1) AS BIGINT) AS n_bytes
+FROM v_rows WHERE crop = 'PROMO' GROUP BY ALL"""))
 def scan_crop_pruned(t):
-    rows = readers.image_rows(lenses.image_rows(t).select("url"), "url")
-    return readers.only_crop(rows, " Promo ").select("img", "crop")
+    return readers.scan_image_tree(t.spark, _image_tree(t), " Promo ", [".txt"]).select(
+        "crop", "disease", c("length").alias("n_bytes"))
+
+
+@query("image_paths", s.with_lenses("v_rows", """
+SELECT crop || '__' || replace(disease, '#', '_') || '__s' || contributor || '_' || row_id AS img,
+  url, crop, replace(disease, '#', ' ') AS disease, 's' || contributor AS photographer FROM v_rows"""))
+def image_paths(t):
+    return readers.image_rows(lenses.image_rows(t).select("url"), "url").select(
+        "img", "url", "crop", "disease", "photographer")
 
 
 @query("display_name", "SELECT p_partkey, trim(replace(p_brand, '#', ' ')) || ' ' || p_type AS shown FROM part")
@@ -103,10 +120,17 @@ SELECT CAST(event_id AS VARCHAR) AS image_number, CASE WHEN event_id % 3 = 0 THE
   CASE WHEN event_id % 2 = 0 THEN 'portrait' ELSE 'landscape' END AS orientation,
   '{BASE_URL}/1536x1024/' || event_id || '.jpg' AS image_url, 'Country ' || user_id AS country,
   event_type AS state, CASE WHEN event_id % 5 = 0 THEN 'Lake' END AS county,
+  'Country ' || user_id || ', ' || event_type || CASE WHEN event_id % 5 = 0 THEN ', Lake county' ELSE '' END AS location,
+  CAST(user_id % 7 AS VARCHAR) AS category_id, 'About ' || event_type AS category_name,
   CASE WHEN value <> 0 THEN round(value, 6) END AS lat, CAST(ts AS DATE)::VARCHAR AS date_taken FROM events""")
 def flatten_detail(t):
     third = c("event_id") % 3 == 0
+    place = F.concat(F.lit("Country "), c("user_id").cast("string"), F.lit(", "), "event_type",
+                     F.when(c("event_id") % 5 == 0, ", Lake county").otherwise(""))
+    turn = c("event_id") % 4         # the place as an object with a name, or as text
     detail = F.to_json(F.struct(
+        F.when(turn == 0, F.struct(place.alias("name"))).when(
+            turn == 1, F.struct(F.lit(" ").alias("name"))).alias("location"),
         F.when(c("event_id") % 2 == 0, " ").otherwise(c("event_id").cast("string")).alias("imgnum"),
         c("event_id").alias("imagenumber"),
         F.when(third, "").otherwise(F.concat(F.lit(" Main "), "event_type")).alias("subjectscientificname"),
@@ -115,12 +139,12 @@ def flatten_detail(t):
         F.concat(F.lit("<p>See&nbsp;"), "props", F.lit("</p>\n")).alias("description"),
         F.when(c("event_id") % 2 == 0, "Portrait").otherwise("").alias("view"),
         F.lit("640").alias("width"), F.lit(480).alias("height"), F.lit(4).alias("maxresolution"),
-        F.concat(F.lit("Country "), c("user_id").cast("string"), F.lit(", "), "event_type",
-                 F.when(c("event_id") % 5 == 0, ", Lake county").otherwise("")).alias("locationtext"),
+        F.when(turn != 0, place).alias("locationtext"),
         c("value").cast("string").alias("lat"),
         F.date_format("ts", "yyyy-MM-dd").alias("datetaken")))
-    flat = metadata.flatten_detail(t.events, detail, BASE_URL)
-    return flat.select("image_number", "scientific_name", "common_name", "description",
+    flat = metadata.flatten_detail(t.events, detail, BASE_URL, c("user_id") % 7,
+                                   F.concat(F.lit("About "), "event_type"))
+    return flat.select("category_id", "category_name", "location", "image_number", "scientific_name", "common_name", "description",
                        "orientation", "image_url", "country", "state", "county", "lat", "date_taken")
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+import urllib.request
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from twinsift import fixed_values as fv
 from twinsift import schemas
@@ -31,26 +37,85 @@ def image_rows(paths: DataFrame, path: str = "path") -> DataFrame:
                     F.lit("Symptoms").alias("descriptor"), host.alias("host_folder")))
 
 
+def _any_case(name: str) -> str:
+    """Glob pattern for a folder name or its display form, ignoring case."""
+    def one(ch: str) -> str:
+        if ch in " _":
+            return "[ _]"
+        return f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ("\\" + ch if ch in "*?[]{}\\" else ch)
+    return "".join(map(one, name.strip()))
+
+
 def scan_image_folder(spark: SparkSession, root: str, crop: str | None = None) -> DataFrame:
-    """List an image folder as rows; file contents are never selected, so never read."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-               .load(root).select("path"))
+    """List an image folder <crop>/<disease>/<file> as rows; file contents are never selected, so never read.
+
+    With a crop, only the folders of that name are listed.
+    """
+    listing = (spark.read.format("binaryFile").load(f"{root}/{_any_case(crop) if crop else '*'}/*").select("path"))
     rows = image_rows(listing)
     return only_crop(rows, crop) if crop else rows
 
 
+def scan_image_tree(spark: SparkSession, root: str, crop: str | None = None,
+                    extensions: Sequence[str] = fv.IMAGE_EXTENSIONS) -> DataFrame:
+    """The same for a tree with partition folders crop=<crop>/disease=<disease>, without contents.
+
+    crop and disease are partition columns, so conditions on them prune folders; a crop given here
+    also keeps other folders from being listed. Columns: path, length, crop, disease.
+    """
+    files = (spark.read.option("basePath", root).format("binaryFile")
+             .load(f"{root}/crop={_any_case(crop) if crop else '*'}/*").select("path", "length", "crop", "disease"))
+    if crop:
+        files = files.filter(F.translate(F.lower("crop"), "_", " ") == crop.strip().lower().replace("_", " "))
+    return (files.filter(text.file_extension(F.element_at(F.split("path", "/"), -1)).isin(*extensions))
+            .withColumns({n: text.display_name(F.col(n)) for n in ("crop", "disease")}))
+
+
 def only_crop(rows: DataFrame, crop: str) -> DataFrame:
     """Rows of one crop, by folder or display name, ignoring case."""
     wanted = crop.strip().lower()
     return rows.filter((F.lower("host_folder") == wanted) | (F.lower("crop") == wanted))
 
 
-def image_bytes(spark: SparkSession, locators: DataFrame, root: str) -> DataFrame:
-    """Content of each located file, null where it cannot be read. `locators` has path."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-             .load(root).select("path", "content"))
-    return locators.join(files, "path", "left")
+FETCH_SECONDS = 15
+FETCHED_BYTES = 32 << 20        # contents handed on at a time
+
+
+def _content(path: str) -> bytes | None:
+    try:
+        if path.startswith(("http://", "https://")):
+            return urllib.request.urlopen(path, timeout=FETCH_SECONDS).read()
+        if "://" not in path and not path.startswith("file:"):
+            path = "file://" + os.path.abspath(path)
+        store, inside = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        with store.open_input_stream(inside) as f:
+            return f.read()
+    except Exception:               # whatever keeps a file from being read, its content is missing
+        return None
+
+
+def image_bytes(locators: DataFrame) -> DataFrame:
+    """Content of each located file, null where it cannot be read. `locators` has path.
+
+    The located paths are dealt out by hash and only they are opened: nothing is listed. A
+    task holds its current contents only.
+    """
+    rest = [c for c in locators.columns if c != "path"]
+    schema = StructType([*locators.select("path", *rest).schema.fields, StructField("content", BinaryType())])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, at = [], 0, 0
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                held.append(_content(path) if path else None)
+                size += len(held[-1] or b"")
+                if size >= FETCHED_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(at, len(held))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())],
+                                                     names=[*part.schema.names, "content"])
+                    held, size, at = [], 0, i + 1
+
+    return locators.select("path", *rest).repartition("path").mapInArrow(fetch, schema)
 
 
 def _by_header(raw: DataFrame, wanted: Sequence[str]) -> list[Column]:
