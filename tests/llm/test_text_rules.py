@@ -80,22 +80,47 @@ def line_docs(spark):
              (101, "only on two sites this one\nx", "s1"), (102, "only on two sites this one\ny", "s2"),
              (103, None, "s1"), (104, "", None), (None, shared, None), (105, "a" * 5000, "s9"),
              (0, rows[0][1], "s0")]
-    return spark.createDataFrame([(*r, 1, "v") for r in rows],
+    return rows
+
+
+def line_frame(spark):
+    return spark.createDataFrame([(*r, 1, "v") for r in line_docs(spark)],
                                  "doc_id long, text string, source string, n_chars int, rows string")
 
 
+def slow_lines(rows, min_sites=3, min_words=5, short_percent=10):
+    """(doc_id, text, lines, removed) by the rule, line by line."""
+    sites, first = defaultdict(set), {}
+    for doc_id, text, source in rows:
+        for pos, line in enumerate((text or "").split("\n") if text is not None else []):
+            if WORD.search(line):
+                key, place = line.strip(" \t\n\x0b\x0c\r"), (doc_id is None, doc_id or 0, pos)
+                sites[key].add(source or "")
+                first[key] = min(first.get(key, place), place)
+    every = len(set().union(*sites.values()))
+    need = {k: max(min_sites, -(-short_percent * max(0, min_words - len(WORD.findall(k))) * every // 100)) for k in sites}
+    out = []
+    for doc_id, text, _ in rows:
+        lines = text.split("\n") if text is not None else []
+        kept = []
+        for pos, line in enumerate(lines):
+            key = line.strip(" \t\n\x0b\x0c\r")
+            if key not in sites or len(sites[key]) < need[key] or first[key] == (doc_id is None, doc_id or 0, pos):
+                kept.append(line)
+        out.append((doc_id, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
 def test_line_dedup_rows(spark):
-    docs = line_docs(spark)
-    got = defaultdict(list)
-    for r in linededup.line_dedup(docs).collect():
-        got[r["doc_id"]].append((r["text"], r["n_lines"], r["n_removed"]))
-    first = "own words of document number 0\nthis line stands on very many sites\nshort one"
-    assert got[0] == [(first, 3, 0)] * 2
-    assert got[7] == [("own words of document number 7\nshort one", 3, 1)]
-    assert got[100] == [("", 4, 3)]
-    assert got[101] == [("only on two sites this one\nx", 2, 0)]
-    assert got[103] == [(None, 0, 0)] and got[104] == [("", 1, 0)] and got[None] == [("", 1, 1)]
+    docs = line_frame(spark)
+    got = sorted(map(tuple, linededup.line_dedup(docs).collect()), key=str)
+    assert got == slow_lines(line_docs(spark))
+    by_id = {r[0]: r for r in got}
+    assert by_id[7] == (7, "own words of document number 7", 3, 2)         # the short line is on five sites of seven
+    assert by_id[100] == (100, "", 4, 3) and by_id[101][3] == 0 and by_id[103] == (103, None, 0, 0)
     assert linededup.line_dedup(docs.limit(0)).count() == 0
+    long_only = {r["doc_id"]: r["n_removed"] for r in linededup.line_dedup(docs, short_percent=None).collect()}
+    assert long_only[7] == 1
 
 
 @pytest.mark.parametrize("empty", [None, ""])
@@ -108,7 +133,7 @@ def test_line_on_three_sites_one_without_name(spark, empty):
 
 
 def test_drop_lines_keeps_columns(spark):
-    docs = line_docs(spark)
+    docs = line_frame(spark)
     out = linededup.drop_lines(docs)
     assert out.columns == docs.columns and out.schema["n_chars"] == docs.schema["n_chars"]
     rows = {r["doc_id"]: r for r in out.collect()}
@@ -122,12 +147,10 @@ def test_short_lines_need_more_sites(spark):
     rows = [(i, "\n".join([f"own words of document number {i}", "All rights reserved."]
                           + ["Menu"] * (i < 4) + ["Yes."] * (i < 3) + ["  "]), sites[i]) for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    for out in (linededup.drop_lines(docs), linededup.line_dedup(docs, short_percent=10)):
+    for out in (linededup.drop_lines(docs), linededup.line_dedup(docs)):
         got = {r["doc_id"]: r["text"].split("\n")[1:] for r in out.collect()}
         assert got[0] == ["All rights reserved.", "Menu", "Yes.", "  "]
         assert got[2] == ["Yes.", "  "] and got[3] == ["  "] and got[9] == ["  "]
-    kept = {r["doc_id"]: r["n_removed"] for r in linededup.line_dedup(docs).collect()}
-    assert set(kept.values()) == {0}        # the registered query's SQL leaves short lines out
 
 
 def slow_targets(sizes: dict) -> dict:
@@ -173,6 +196,25 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [[(7, "w " * 10, "s")] * 500, [(None, "w " * 10, "s")] * 500,
+                                      [(None, f"w{i} " * 10, "s") for i in range(500)],
+                                      [(7, "w " * 10, "s")] * 300 + [(i, "w " * 7, "s") for i in range(50, 90)]])
+def test_mixing_splits_repeated_rows(spark, repeated):
+    """Rows that share a draw are taken by count, so the target is met within one document."""
+    rows = repeated + [(1000 + i, "w " * 9, "t") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for source in ("s", "t"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    again = mixing.mix(docs.repartition(2)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.expand(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
+
+
 def test_quality_learns_held_out(spark):
     rows = [r.asDict() for r in registered.op5_quality(spark, "/root/testdata/sf0.1").collect()]
     label = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}

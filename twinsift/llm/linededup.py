@@ -7,8 +7,7 @@ estimate well above the threshold decides; near it the sites of just those lines
 exactly. All but the first occurrence (smallest doc_id, then line) of a line on at least
 `min_sites` sites are removed. Lines of fewer than `min_words` words recur by chance more often: for
 each word that one lacks it must stand on `short_percent` percent of all sites (and on `min_sites`).
-`drop_lines` counts them so; in `line_dedup`, whose SQL leaves them out, they stay unless a
-`short_percent` is given.
+With `short_percent=None` short lines stay.
 
 All steps are DataFrame operations. In joins on line hashes the rows of hot lines stay where they
 are: there are at most `HOT` hot lines, so those are broadcast. Texts move once, when the line numbers to drop meet them.
@@ -125,7 +124,7 @@ def _cleaned(docs: DataFrame, min_sites: int, min_words: int, short_percent: int
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS,
-               short_percent: int | None = None) -> DataFrame:
+               short_percent: int | None = SHORT_PERCENT) -> DataFrame:
     """doc_id, text without repeated boilerplate, n_lines and n_removed of every row."""
     rows = _cleaned(docs.select("doc_id", "text", "source"), min_sites, min_words, short_percent)
     return rows.select(
@@ -152,14 +151,16 @@ WITH lines AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
   FROM documents),
-long AS (
-  SELECT doc_id, coalesce(source, '') AS site, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line
-  FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5),
+worded AS (
+  SELECT doc_id, coalesce(source, '') AS site, pos, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line,
+    least(5, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words
+  FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 0),
 spread AS (
   SELECT line, min(struct_pack(last := doc_id IS NULL, id := doc_id, pos := pos)) AS first
-  FROM long GROUP BY line HAVING count(DISTINCT site) >= 3),
+  FROM worded GROUP BY line
+  HAVING count(DISTINCT site) >= greatest(3, (10 * (5 - min(words)) * (SELECT count(DISTINCT site) FROM worded) + 99) // 100)),
 dropped AS (
-  SELECT l.doc_id, l.pos FROM long l JOIN spread s USING (line)
+  SELECT l.doc_id, l.pos FROM worded l JOIN spread s USING (line)
   WHERE struct_pack(last := l.doc_id IS NULL, id := l.doc_id, pos := l.pos) IS DISTINCT FROM s.first)
 SELECT l.doc_id,
        coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE d.doc_id IS NULL), '') AS text,

@@ -4,10 +4,12 @@ Words are summed per source, targets are filled up by weight (none above twice i
 and a source's repetition rate is its target over its size. Every document is emitted
 floor(rate) times, and once more by a hash-seeded draw of the rate's fraction. The draws of a
 source are calibrated: the threshold is moved from the fraction to the place in draw order
-where the words taken come nearest to the target, so small sources meet it too.
+where the words taken come nearest to the target, so small sources meet it too. Rows that share
+a draw are alike; of those at the threshold so many are taken as come nearest to the target.
 
 Hot sources: sums combine before the shuffle; the threshold is found by two passes over 1,024
-buckets of draws, and only the rows of one bucket of a bucket are ordered.
+buckets of draws, and only the draws of one bucket of a bucket are ordered. Rows that share the
+draw at the threshold are counted per partition and numbered there.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last; a source
 without words has target 0; rows with equal doc_id and text share their draw; an empty table
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from twinsift.llm.frames import running_sums, word_count
+from twinsift.operators.skew import row_number_in_group
 from twinsift.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -31,10 +34,10 @@ DRAW_BITS = 52
 SOURCE = "__source"
 
 
-def draw(doc_id: Column, size: Column) -> Column:
+def draw(doc_id: Column, text: Column) -> Column:
     """A whole number below 2**52 seeded by the document."""
     digest = F.md5(F.concat_ws("|", F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit("")),
-                               size.cast("string")).cast("binary"))
+                               F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     return F.conv(F.substring(digest, 1, DRAW_BITS // 4), 16, 10).cast("bigint")
 
 
@@ -94,7 +97,8 @@ def _add(plan: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def rates(sizes: DataFrame) -> DataFrame:
-    """Per source: source_size, target, base copies and the last draw that gives one more.
+    """Per source: source_size, target, base copies, the last draw all of whose rows give one more,
+    and the draw of which only the first `tie_take` rows do (null where there is none).
 
     `sizes` has source, size and draw of every row.
     """
@@ -111,55 +115,71 @@ def rates(sizes: DataFrame) -> DataFrame:
     plan = materialise(_add(plan, _last_open(inside, "b2", "b1_done")), "cut")
     draws = (_with_source(rows, plan)
              .filter((F.col("b1") == F.col("b1_cut")) & (F.col("b2") == F.col("b2_cut")))
-             .groupBy(SOURCE, "need", "b2_done", "draw").agg(F.sum("size").alias("words")))
+             .groupBy(SOURCE, "need", "b2_done", "draw")
+             .agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("size").alias("each")))
     upto = F.sum("words").over(W.Window.partitionBy(SOURCE).orderBy("draw"))
-    last = (draws.withColumn("upto", F.col("b2_done") + upto)
-            .filter(2 * F.col("upto") - F.col("words") <= 2 * F.col("need"))
-            .groupBy(F.col(SOURCE).alias("__s")).agg(F.max("draw").alias("last_draw")))
+    # A row is taken if that brings the words nearer to the need: the middle of row m of a draw,
+    # earlier + each * (m - 1/2), may not pass it.
+    left = F.col("need") - (F.col("b2_done") + upto - F.col("words"))
+    most = F.when(F.col("each") > 0, F.floor((2 * left / F.col("each") + 1) / 2)).otherwise(
+        F.when(left >= 0, F.col("n")).otherwise(0))
+    taken = draws.withColumn("m", F.greatest(F.lit(0), F.least(most, F.col("n"))).cast("bigint"))
+    last = taken.groupBy(F.col(SOURCE).alias("__s")).agg(
+        F.max(F.when(F.col("m") == F.col("n"), F.col("draw"))).alias("last_draw"),
+        F.min(F.when((F.col("m") > 0) & (F.col("m") < F.col("n")), F.struct("draw", "m"))).alias("tie"))
     start = (F.shiftleft("b1_cut", DRAW_BITS - 10) + F.shiftleft("b2_cut", DRAW_BITS - 20))
     return materialise(_add(plan, last).select(
-        SOURCE, "source_size", "target", "base",
-        F.coalesce("last_draw", start - 1, F.lit(-1)).alias("last_draw")), "rates")
+        SOURCE, "source_size", "target", "base", F.coalesce("last_draw", start - 1, F.lit(-1)).alias("last_draw"),
+        F.col("tie.draw").alias("tie_draw"), F.col("tie.m").alias("tie_take")), "rates")
 
 
-def _copies() -> Column:
-    more = (F.col("base") < LIMIT) & (F.col("draw") <= F.col("last_draw"))
-    return F.col("base") + more.cast("bigint")
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """`rows` (joined with the renamed rates, their draw as __draw) with how often each is taken."""
+    more = F.col("__base") < LIMIT
+    plain = rows.withColumn("__copies", F.col("__base") + (more & (F.col("__draw") <= F.col("__last_draw"))).cast("bigint"))
+    if plan.filter("__tie_draw IS NOT NULL").isEmpty():
+        return plain
+    tied = F.coalesce(F.col("__draw") == F.col("__tie_draw"), F.lit(False))
+    ties = materialise(plain.filter(tied).withColumns({
+        "__part": F.spark_partition_id(), "__key": F.coalesce(F.concat(F.lit("s"), F.col(SOURCE)), F.lit(""))}), "ties")
+    numbered = row_number_in_group(ties, ["__key"], F.col("__part"), [F.lit(0)], "__n")
+    some = numbered.withColumn("__copies", F.col("__base") + (more & (F.col("__n") <= F.col("__tie_take"))).cast("bigint"))
+    return plain.filter(~tied).unionByName(some.drop("__n", "__part", "__key"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (copies x size) of all rows."""
-    size = word_count(F.col("text"))
-    sizes = materialise(
-        docs.select("doc_id", "source", size.alias("size"))
-        .withColumn("draw", draw(F.col("doc_id"), F.col("size"))), "sizes")
-    return _with_source(sizes, rates(sizes)).select(
-        "doc_id", "source", "size", "source_size", "target", _copies().alias("copies"),
-        (_copies() * F.col("size")).alias("taken"))
+    sizes = materialise(docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text")).alias("draw")), "sizes")
+    plan = _renamed(rates(sizes))
+    rows = _taken(_with_source(sizes.withColumnRenamed("draw", "__draw"), plan), plan)
+    return rows.select(
+        "doc_id", "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+        F.col("__copies").alias("copies"), (F.col("__copies") * F.col("size")).alias("taken"))
+
+
+def _renamed(plan: DataFrame) -> DataFrame:
+    return plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns if c != SOURCE})
 
 
 def expand(docs: DataFrame) -> DataFrame:
     """The mix itself: every row of `docs` as often as the mix takes it, with its columns."""
-    size = word_count(F.col("text"))
-    sizes = materialise(docs.select("doc_id", "source", size.alias("size")).select(
-        "source", "size", draw(F.col("doc_id"), F.col("size")).alias("draw")), "sizes")
-    plan = rates(sizes).withColumnsRenamed({
-        c: f"__{c}" for c in ("source_size", "target", "base", "last_draw")})
-    more = (F.col("__base") < LIMIT) & (draw(F.col("doc_id"), size) <= F.col("__last_draw"))
-    copies = (F.col("__base") + more.cast("bigint")).cast("int")
-    rows = docs.join(plan, docs["source"].eqNullSafe(plan[SOURCE]))
-    return (rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    drawn = draw(F.col("doc_id"), F.col("text"))
+    sizes = materialise(docs.select("source", word_count(F.col("text")).alias("size"), drawn.alias("draw")), "sizes")
+    plan = _renamed(rates(sizes))
+    rows = _taken(docs.withColumn("__draw", drawn).join(plan, docs["source"].eqNullSafe(plan[SOURCE])), plan)
+    return (rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))))
             .select(*docs.columns))
 
 
 SQL = """
 WITH sized AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_hash,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 drawn AS (
   SELECT *, CAST('0x' || substr(md5(concat('mix-1|', coalesce(CAST(doc_id AS VARCHAR), ''), '|',
-         CAST(size AS VARCHAR))), 1, 13) AS BIGINT) AS draw FROM sized),
+         text_hash)), 1, 13) AS BIGINT) AS draw, row_number() OVER () AS n FROM sized),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
@@ -181,11 +201,10 @@ rates AS (
             AS base FROM targets),
 placed AS (
   SELECT d.*, r.source_size, r.target, r.base, r.target - r.base * r.source_size AS need,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.draw) AS words
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.n ROWS UNBOUNDED PRECEDING) AS upto
   FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 copied AS (
-  SELECT *, base + CASE WHEN base < 2 AND 2 * upto - words <= 2 * need THEN 1 ELSE 0 END AS copies
+  SELECT *, base + CASE WHEN base < 2 AND 2 * upto - size <= 2 * need THEN 1 ELSE 0 END AS copies
   FROM placed)
 SELECT doc_id, source, size, source_size, target, CAST(copies AS BIGINT) AS copies,
        CAST(copies * size AS BIGINT) AS taken FROM copied
