@@ -189,6 +189,76 @@ def test_style_tree_removes_what_repeats(spark):
     assert tree["a.org", "/body/div.x1/p"]["content"] < 0.2 < tree["a.org", "/body/div.x2/p"]["content"]
 
 
+@pytest.mark.parametrize("tag", ["div", "b", "article", "ul", "p"])
+def test_deep_nesting(tag):
+    deep = f"<{tag}>" * 10_000 + "core" + f"</{tag}>" * 10_000
+    assert siteextract.main_text(f"<p>a</p>{deep}<p>b</p>").replace("\n", " ").split() == ["a", "core", "b"]
+    assert siteextract.main_text("<div class=widget>" * 5_000 + "core " * 300).split() == ["core"] * 300
+    assert siteextract.main_text("</i>" * 5_000 + "x" + "<div>" * 5_000 + "</i>" * 5_000 + "y") == "x\ny"
+    paths = {known[0] for known in siteextract.page_features(deep)}
+    assert max(map(len, paths)) <= 2 * siteextract.LONG_PATH + 40
+
+
+def slow_tree(pages):
+    """Entropies of one host's paths, from the texts and layouts of each page."""
+    shapes, texts = defaultdict(list), defaultdict(list)
+    for page in pages:
+        found = defaultdict(set)
+        for path, _, _, kind, feature in siteextract.page_features(page):
+            found[path, kind].add(feature)
+        for (path, kind), values in found.items():
+            (shapes if kind == "shape" else texts)[path] += values
+    out = {}
+    for path, seen in shapes.items():
+        m = len(seen)
+        p = [seen.count(x) / m for x in set(seen)]
+        presentation = -sum(x * math.log(x, m) for x in p) if m >= 4 else 1.0
+        said = texts[path]
+        content = None
+        if said:
+            content = 1 - sum(math.log(said.count(x)) / math.log(m) for x in said) / len(said) if m >= 4 else 1.0
+        out[path] = (m, presentation, content, sum(map(len, said)))
+    return out
+
+
+def test_entropies_equal_plain_ones(spark):
+    rng = random.Random(2)
+    pages = ["<body>" + "".join(f"<div class=c{rng.randint(0, 3)}><p>t{rng.randint(0, 9)}</p>x</div>" * rng.randint(0, 2)
+                                for _ in range(4)) + f"<i>{rng.randint(0, 1)}</i></body>" for _ in range(40)]
+    df = spark.createDataFrame([(i, "http://a.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["path"]: (r["pages"], r["presentation"], r["content"], r["chars"]) for r in siteextract.style_tree(df).collect()}
+    want = slow_tree(pages)
+    assert got.keys() == want.keys()
+    for path, (m, presentation, content, chars) in want.items():
+        assert got[path][0] == m and got[path][3] == chars
+        assert got[path][1] == pytest.approx(presentation, abs=1e-9)
+        assert (got[path][2] is None) == (content is None) and (content is None or got[path][2] == pytest.approx(content))
+
+
+def test_tree_alone_finds_the_article_of_the_given_pages(spark):
+    """Without names, menus, adverts and footers of all hosts fall below their threshold."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    low = {r["host"]: r["removed"] for r in siteextract.low_branches(siteextract.style_tree(df)).collect()}
+    rows = df.withColumn("host", siteextract.host_of(df.url)).collect()
+    for host in {r["host"] for r in rows}:
+        assert {"/html/body/nav", "/html/body/div.ad", "/html/body/footer"} <= set(low[host])
+    for r in rows[::25]:
+        removed = frozenset(low[r["host"]])
+        assert siteextract.main_text(r["html"], removed, names=False) == siteextract.main_text(r["html"])
+
+
+def test_rare_elements_keep_their_containers(spark):
+    """Page-specific classes are summed up under their parents and do not make a host's rows grow."""
+    page = "<body><div class=m><div class=id-{c}><p>Own text {i} of this page</p></div></div><div class=n>Menu one two</div></body>"
+    rows = [(i, "http://a.org/", page.format(i=i, c=chr(97 + i // 26) + chr(97 + i % 26))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tree = siteextract.style_tree(df)
+    kept = siteextract.frequent_tree(tree)
+    assert tree.count() > 100 and sorted(r["path"] for r in kept.collect()) == ["/body", "/body/div.m", "/body/div.n"]
+    got = {r["page_id"]: r["text"] for r in siteextract.extract(df).collect()}
+    assert got == {i: f"Own text {i} of this page" for i in range(60)}
+
+
 MAIN = " ".join(f"main{i}" for i in range(60))
 
 

@@ -5,18 +5,27 @@ and classes. Two measures are taken per host and path: presentation importance (
 the ways its children are laid out) and content importance (one minus the mean entropy of its
 texts over the pages; a text on every page has entropy 1, one on a single page 0). They are
 combined level by level as a weighted sum, and branches below a threshold are removed from
-the whole page, inside and outside of `<article>`. Names are evidence: of what is left, branches
-that their tag or class calls navigation, advert, form and the like go too, unless what they hold
-outweighs their name (`free_main`), as a wrapper around the article does.
+the whole page, inside and outside of `<article>`.
+
+The threshold of what stands beside the main text comes from the host itself: from the root, the
+tree follows the container that holds most of the weighted text (importance times characters
+outside of links); a branch beside it goes when its importance, scaled by its share of text, is
+below `BESIDE` of that of the container. Names are evidence: of what is left, branches that their
+tag or class calls navigation, advert, form and the like go too, unless what they hold outweighs
+their name (`free_main`), as a wrapper around the article does.
 
 The first pass maps pages to counted features; both aggregations combine before the shuffle,
-so a hot host is no hot task. The second pass meets each page with its host's removed
+so a hot host is no hot task. Elements on fewer than `LEAST_PAGES` pages of their host are summed
+up under their parents, so that the rows of a host which one task judges are as many as the kinds
+of elements that recur, not as its pages. The second pass meets each page with its host's removed
 paths. Page texts are never shuffled unless the table of removed paths is too large to
 broadcast, which the planner decides from the written size.
 
 Defined cases: null or empty html gives an empty text; a url without a host belongs to the
-host ""; broken or unclosed markup ends open elements at the end of their parent; null or
-repeated page_id rows are kept; an empty table gives no rows; other columns are not read.
+host ""; on a host of fewer than `LEAST_PAGES` pages nothing can recur, so names alone decide there;
+broken or unclosed markup ends open elements at the end of their parent; elements may be nested
+to any depth; null or repeated page_id rows are kept; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +47,9 @@ from twinsift.session import materialise
 DECAY = 0.9           # weight of what is below against an element's own presentation
 THRESHOLD = 0.2       # branches of less importance are removed
 LEAST_PAGES = 4       # below that a host says nothing about what repeats
+BESIDE = 0.5          # of the main container's importance; what stands beside it needs so much
+LEADS = 0.5           # the main container holds so much of the weighted text of its parent
+LONG_PATH = 200       # longer paths are shortened to a digest of their parent's and the name
 FLUSH = 200_000
 OUTWEIGHS = 4         # a branch with a noise name needs so many times the text of the unnamed ones,
 PROSE = 200           # and so many characters; one with an article only more than the unnamed ones
@@ -60,6 +72,9 @@ NOISE = re.compile(
 NEUTRAL = frozenset("site top bottom left right primary secondary global main inner outer wrap wrapper container "
                     "area section box bar block list item items links link post posts 0 1 2 3 4".split())
 OF_PAGE = frozenset("page article entry post main".split())
+#: Containers that the way to the main text leads through.
+CONTAINERS = frozenset("html body div main section article center table tbody tr td form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Noise by tag that no content outweighs.
 STRICT = HIDDEN | frozenset("nav footer aside menu dialog button select textarea".split())
 
@@ -73,11 +88,16 @@ NUMBER = re.compile(r"[0-9]{3,}")
 
 
 class Element:
-    __slots__ = ("tag", "name", "children", "noise", "path")
+    __slots__ = ("tag", "name", "children", "noise", "path", "parent", "link")
 
-    def __init__(self, tag: str, name: str, noise: bool, path: str):
-        self.tag, self.name, self.noise, self.path = tag, name, noise, path
+    def __init__(self, tag: str, name: str, noise: bool, parent: "Element | None"):
+        self.tag, self.name, self.noise = tag, name, noise
         self.children: list = []      # elements and strings
+        self.parent = parent.path if parent else ""
+        self.path = f"{self.parent}/{name}" if parent else ""
+        if len(self.path) > LONG_PATH:
+            self.path = f"~{hashlib.blake2b(self.parent.encode(), digest_size=12).hexdigest()}/{name[:LONG_PATH]}"
+        self.link = tag == "a" or bool(parent and parent.link)
 
 
 def noise_name(label: str) -> bool:
@@ -94,8 +114,9 @@ def noise_name(label: str) -> bool:
 
 def parse(page: str) -> Element:
     """A tolerant tree of the page. Character references stay as they are."""
-    root = Element("", "", False, "")
+    root = Element("", "", False, None)
     stack, at = [root], 0
+    opened: Counter = Counter()       # how often a tag is open
     while True:
         m = MARKUP.search(page, at)
         text = page[at:m.start() if m else len(page)]
@@ -109,12 +130,14 @@ def parse(page: str) -> Element:
             continue
         tag = tag.lower()
         if ends:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+            while opened[tag]:
+                last = stack.pop().tag
+                opened[last] -= 1
+                if last == tag:
+                    break
             continue
         while len(stack) > 1 and _ends(stack[-1].tag, tag):
-            stack.pop()
+            opened[stack.pop().tag] -= 1
         known = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(marks)}
         label = " ".join(known.get(k, "") for k in ("class", "id"))
         # Long numbers in class names tell pages apart, not kinds of elements.
@@ -125,13 +148,14 @@ def parse(page: str) -> Element:
                  ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"))
         if tag in ("html", "body", "article", "main"):
             noise = False
-        element = Element(tag, name, noise, f"{stack[-1].path}/{name}")
+        element = Element(tag, name, noise, stack[-1])
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not marks.endswith("/"):
             stack.append(element)
+            opened[tag] += 1
 
 
 def _ends(opened: str, tag: str) -> bool:
@@ -147,21 +171,27 @@ def plain(text: str) -> str:
     return SPACE.sub(" ", entities.unescape(text)).strip()
 
 
-def blocks(element: Element, removed: frozenset, out: list[str], open_: list[str]) -> None:
+def blocks(root: Element, removed: frozenset, out: list[str], open_: list[str]) -> None:
     """Texts of the blocks in page order; `open_` collects the block that is not ended."""
-    for child in element.children:
-        if isinstance(child, str):
+    stack = [(iter(root.children), False)]
+    while stack:
+        children, is_block = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            if is_block:
+                _close(out, open_)
+        elif isinstance(child, str):
             open_.append(child)
         elif child.noise or child.path in removed:
             if child.tag not in INLINE:
                 _close(out, open_)
         elif child.tag in INLINE:
             open_.append(" " if child.tag == "br" else "")
-            blocks(child, removed, out, open_)
+            stack.append((iter(child.children), False))
         else:
             _close(out, open_)
-            blocks(child, removed, out, open_)
-            _close(out, open_)
+            stack.append((iter(child.children), True))
 
 
 def _close(out: list[str], open_: list[str]) -> None:
@@ -171,10 +201,17 @@ def _close(out: list[str], open_: list[str]) -> None:
         out.append(text)
 
 
-def main_text(page: str, removed: frozenset = frozenset()) -> str:
-    """Text of the page without removed branches and noise."""
+def main_text(page: str, removed: frozenset = frozenset(), names: bool = True) -> str:
+    """Text of the page without removed branches and, if names count, without noise."""
     root = parse(page)
-    free_main(root, removed)
+    if names:
+        free_main(root, removed)
+    else:
+        stack = [root]
+        while stack:
+            element = stack.pop()
+            element.noise = element.tag in HIDDEN
+            stack += [c for c in element.children if isinstance(c, Element)]
     out: list[str] = []
     open_: list[str] = []
     blocks(root, removed, out, open_)
@@ -212,34 +249,36 @@ def _plain_size(top: Element, removed: frozenset) -> tuple[int, list[Element]]:
 
 def _whole_size(top: Element, removed: frozenset) -> tuple[int, int]:
     """Characters in the largest article (or main) of a branch, and in all of it."""
-    size, largest, stack = 0, 0, [top]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, str):
-                size += len(child.strip())
-            elif child.path not in removed and child.tag not in STRICT:
-                if child.tag in ("article", "main"):
-                    inside = _whole_size(child, removed)
-                    size, largest = size + inside[1], max(largest, inside[1])
-                else:
-                    stack.append(child)
-    return largest, size
-
-
-def page_features(page: str) -> Iterator[tuple[str, str, str]]:
-    """(path, kind, feature) of a page: how an element lays out its children, and its text."""
+    found, above, size = [top], [-1], []
+    for i, element in enumerate(found):          # grows as it goes: children follow their parents
+        size.append(sum(len(c.strip()) for c in element.children if isinstance(c, str)))
+        inside = [c for c in element.children if isinstance(c, Element)
+                  and c.path not in removed and c.tag not in STRICT]
+        found += inside
+        above += [i] * len(inside)
+    largest = 0
+    for i in range(len(found) - 1, 0, -1):
+        if found[i].tag in ("article", "main"):
+            largest = max(largest, size[i])
+        size[above[i]] += size[i]
+    return largest, size[0]
+
+
+def page_features(page: str) -> set[tuple[str, str, bool, str, str]]:
+    """(path, parent, link, kind, feature) of a page: how an element lays out its children, and its text."""
     seen = set()
     stack = [parse(page)]
     while stack:
         element = stack.pop()
         below = [c for c in element.children if isinstance(c, Element) and c.tag not in HIDDEN]
         if element.path:
+            known = (element.path, element.parent, element.link)
             shape = "".join(
                 f"{c.name}>" for i, c in enumerate(below) if i == 0 or below[i - 1].name != c.name)
-            seen.add((element.path, "shape", shape))
+            seen.add((*known, "shape", shape))
             text = plain("".join(c for c in element.children if isinstance(c, str)))
             if text:
-                seen.add((element.path, "text", text))
+                seen.add((*known, "text", text))
         stack += below
     return seen
 
@@ -248,81 +287,131 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://([^/?#]*)", 1))
 
 
+KEYS = ("host", "path", "parent", "link", "kind", "feature")
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, pages, presentation and content importance of every element of a host."""
+    """Every element of a host: host, path, parent, link, pages, chars (of its own texts), and its importances."""
 
     def run(batches):
         counts: Counter = Counter()
+        chars: Counter = Counter()
 
         def flush():
             keys = list(counts)
-            out = {n: [k[i] for k in keys] for i, n in enumerate(("host", "path", "kind", "feature"))}
-            return out | {"n": [counts[k] for k in keys]}
+            out = {n: [k[i] for k in keys] for i, n in enumerate(KEYS)}
+            out |= {"n": [counts[k] for k in keys], "chars": [chars[k] for k in keys]}
+            counts.clear()
+            chars.clear()
+            return out
 
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"]):
-                for path, kind, feature in page_features(page or ""):
+                for *known, kind, feature in page_features(page or ""):
                     digest = hashlib.blake2b(feature.encode("utf-8", "replace"), digest_size=12)
-                    counts[host, path, kind, digest.digest()] += 1
+                    key = (host, *known, kind, digest.digest())
+                    counts[key] += 1
+                    if kind == "text":
+                        chars[key] += len(feature)
                 if len(counts) > FLUSH:
                     yield flush()
-                    counts.clear()
         yield flush()
 
     features = map_batches(pages.select(host_of(F.col("url")).alias("host"), "html"), run,
-                           "host string, path string, kind string, feature binary, n long")
-    summed = features.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+                           "host string, path string, parent string, link boolean, kind string, feature binary, "
+                           "n long, chars long")
+    summed = features.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
     shape, text = F.col("kind") == "shape", F.col("kind") == "text"
     nlogn = F.col("n") * F.log("n")
-    tree = summed.groupBy("host", "path").agg(
+    tree = summed.groupBy("host", "path", "parent", "link").agg(
         F.sum(F.when(shape, F.col("n"))).alias("pages"),
         F.sum(F.when(shape, nlogn)).alias("shape_nlogn"),
         F.count(F.when(text, 1)).alias("texts"),
-        F.sum(F.when(text, F.log("n"))).alias("text_logs"),
         F.sum(F.when(text, F.col("n"))).alias("text_pages"),
-        F.sum(F.when(text, nlogn)).alias("text_nlogn"))
+        F.sum(F.when(text, nlogn)).alias("text_nlogn"),
+        F.sum("chars").alias("chars"))
     m = F.log(F.col("pages").cast("double"))
     many = F.col("pages") >= LEAST_PAGES
     # Entropy over layouts to base m; entropy of a text on n of m pages is log n / log m.
     presentation = F.when(many, (m - F.col("shape_nlogn") / F.col("pages")) / m).otherwise(1.0)
     content = F.when(F.col("texts") == 0, F.lit(None)).when(
         many, 1 - F.col("text_nlogn") / F.col("text_pages") / m).otherwise(1.0)
-    return tree.select("host", "path", "pages", presentation.alias("presentation"),
+    return tree.select("host", "path", "parent", "link", "pages", "chars", presentation.alias("presentation"),
                        content.alias("content"))
 
 
-def composite(paths: list[str], presentation: list[float], content: list[float]) -> dict:
-    """Importance of each path of one host: its own presentation and what is below it."""
-    below: dict[str, list[float]] = {}
-    own = dict(zip(paths, zip(presentation, content)))
-    value: dict[str, float] = {}
-    for path in sorted(own, key=lambda p: (-p.count("/"), p)):
-        shape, text = own[path]
-        parts = below.get(path, [])
-        if text is not None and not math.isnan(text):
-            parts = [*parts, text]
+def frequent_tree(tree: DataFrame) -> DataFrame:
+    """The elements on LEAST_PAGES pages or more; what rarer ones hold is in `rare_chars` of their parents.
+
+    `rare` says that there are such children.
+    """
+    rare = (tree.filter(F.col("pages") < LEAST_PAGES).groupBy("host", F.col("parent").alias("path"))
+            .agg(F.sum("chars").alias("rare_chars")))
+    return (tree.filter(F.col("pages") >= LEAST_PAGES).join(rare, ["host", "path"], "left")
+            .withColumn("rare", F.col("rare_chars").isNotNull()).fillna(0, ["rare_chars"]))
+
+
+def low_paths(rows: list[dict], threshold: float = THRESHOLD) -> list[str]:
+    """Topmost paths of low importance among the recurring elements of one host."""
+    by_path = {r["path"]: r for r in rows}
+    kids: dict[str, list[str]] = {}
+    for r in rows:
+        kids.setdefault(r["parent"] if r["parent"] in by_path else "", []).append(r["path"])
+    order = list(kids.get("", []))
+    for path in order:                           # parents first
+        order += kids.get(path, [])
+    value, weight, size = {}, {}, {}
+    for path in reversed(order):
+        r, below = by_path[path], kids.get(path, [])
+        parts = [value[k] for k in below] + [1.0] * r["rare"]
+        has_text = r["content"] is not None and not math.isnan(r["content"])
+        if has_text:
+            parts.append(r["content"])
         # The best part counts, so that a container lives as long as anything in it does.
-        value[path] = (1 - DECAY) * shape + DECAY * max(parts) if parts else (
-            1.0 if math.isnan(shape) else max(shape, THRESHOLD))
-        below.setdefault(path.rpartition("/")[0], []).append(value[path])
-    return value
+        value[path] = (1 - DECAY) * r["presentation"] + DECAY * max(parts) if parts else max(r["presentation"], threshold)
+        # Characters of the branch on a page, and how much of them counts: not links, not what recurs.
+        own = r["chars"] / r["pages"]
+        size[path] = own + r["rare_chars"] / r["pages"] + sum(
+            size[k] * by_path[k]["pages"] / r["pages"] for k in below)
+        counted = (own * r["content"] if has_text and not r["link"] else 0.0) + r["rare_chars"] / r["pages"]
+        weight[path] = counted + sum(weight[k] * by_path[k]["pages"] / r["pages"] for k in below)
+    low = {p for p in order if value[p] < threshold}
+
+    def importance(path: str, main: str) -> float:
+        """Share of the branch's text that counts, scaled by its size against the main container's."""
+        if not size[path]:
+            return 0.0
+        return weight[path] / size[path] * math.sqrt(min(1.0, size[path] / max(size[main], 1e-9)))
+
+    def tag(path: str) -> str:
+        return path.rpartition("/")[2].partition(".")[0]
+
+    at = ""
+    while True:
+        below = [k for k in kids.get(at, []) if k not in low]
+        boxes = [k for k in below if tag(k) in CONTAINERS]
+        total = sum(weight[k] for k in below)
+        lead = max(boxes, key=lambda k: (weight[k], k), default=None)
+        if lead is None or not total or weight[lead] < LEADS * total:
+            break
+        low |= {k for k in below if k != lead and tag(k) not in HEADINGS | INLINE
+                and importance(k, lead) < BESIDE * importance(lead, lead)}
+        at = lead
+    return sorted(p for p in low if by_path[p]["parent"] not in low)
 
 
 def low_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per host that has any: its topmost paths of low importance.
 
-    A task holds the paths of one host, of which there are as many as kinds of elements, not pages.
+    A task holds the recurring elements of one host, of which there are as many as kinds of
+    elements, not pages.
     """
 
     def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        value = composite(rows["path"].tolist(), rows["presentation"].tolist(),
-                          rows["content"].tolist())
-        low = {p for p, v in value.items() if v < threshold}
-        top = sorted(p for p in low if p.rpartition("/")[0] not in low)
-        found = [(key[0], top)] if top else []
-        return pd.DataFrame(found, columns=["host", "removed"], dtype=object)
-
-    return tree.groupBy("host").applyInPandas(judge, "host string, removed array<string>")
+        top = low_paths(rows.to_dict("records"), threshold)
+        return pd.DataFrame([(key[0], top)] if top else [], columns=["host", "removed"], dtype=object)
+
+    return frequent_tree(tree).groupBy("host").applyInPandas(judge, "host string, removed array<string>")
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
