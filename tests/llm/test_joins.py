@@ -368,9 +368,30 @@ def test_mining_equals_brute_force(spark):
     rows = [sorted({f"t{rng.randint(0, 7)}" for _ in range(5)}) for _ in range(300)]
     rows = [r + [urlrules.VERDICT_ITEM + ("block" if {"t1", "t2"} <= set(r) or "t5" in r and rng.random() < .95
                                           else "allow")] for r in rows]
+    # t8 and t9 stand in the same rows as t1 and t5.
+    rows = [r + ["t8"] * ("t1" in r) + ["t9"] * ("t5" in r) for r in rows]
     mined = urlrules.mine(spark.createDataFrame([(r,) for r in rows], "items array<string>"), 0.05, 0.9)
-    assert {frozenset(r[0]) for r in mined.rules} == slow_rules(rows, 0.05, 0.9)
-    tokens = spark.createDataFrame([(r[:-1],) for r in rows], "tokens array<string>")
-    from pyspark.sql import functions as F
-    for r in tokens.select("tokens", urlrules.matches(F.col("tokens"), mined).alias("hit")).collect():
-        assert r["hit"] == any(set(rule[0]) <= set(r["tokens"]) for rule in mined.rules)
+    rules, sizes = defaultdict(lambda: defaultdict(set)), {}
+    for r in mined.collect():
+        rules[r["rule"]][r["item"]].add(r["token"])
+        sizes[r["rule"]] = r["items"]
+    assert all(len(items) == sizes[rule] for rule, items in rules.items())
+    found = {frozenset(c) for items in rules.values() for c in itertools.product(*items.values())}
+    assert {r for r in found if not any(o < r for o in found)} == slow_rules(rows, 0.05, 0.9)
+    plain = [[x for x in r if not x.startswith(urlrules.VERDICT_ITEM)] for r in rows]
+    lists = spark.createDataFrame([(i, -i, r) for i, r in enumerate(plain)], "k1 long, k2 long, tokens array<string>")
+    hit = {r["k1"] for r in urlrules.matched(lists, mined).collect()}
+    assert hit == {i for i, r in enumerate(plain) if any(rule <= set(r) for rule in found)}
+
+
+@pytest.mark.parametrize("shapes", [1, 12])
+def test_long_paths_are_mined_quickly(spark, shapes):
+    """Half of the labelled urls share a path of 30 segments, and some only its first ones."""
+    long = [f"s{i}" for i in range(30)]
+    urls = [f"http://h{i % 7}.bad.com/{'/'.join(long[:30 - i % shapes])}/p{i}" for i in range(300)]
+    urls += [f"http://h{i % 7}.good.com/a/{i}" for i in range(300)]
+    asked = ["http://new.net/" + "/".join(long), "http://new.net/a/1", "http://new.net/s0/q"]
+    df = spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")
+    rules = (("block", "bad.com", "/"), ("allow", "good.com", "/"))
+    verdict = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(df, rules=rules).collect()}
+    assert [verdict[600 + i] for i in range(3)] == ["block", "allow", "block"]

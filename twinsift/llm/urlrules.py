@@ -2,10 +2,15 @@
 
 Hand-made rules (host, path) judge the urls they fit; the most specific one wins. Those urls
 are the labelled transactions for Spark's FP-growth: items are tokens of the url and its
-verdict. Rules from tokens to `block` that reach the least support and confidence, and that no
-shorter rule covers, judge the urls without a hand-made rule. They are matched by an inverted
-index from token to rules: a rule matches when as many of a url's tokens point to it as it
-has. Everything is JVM-side; rows are never shuffled but for FP-growth's own item counts.
+verdict. Rules from tokens to `block` that reach the least support and confidence judge the urls
+without a hand-made rule.
+
+Long urls would make FP-growth list all subsets of the tokens that always stand together. So tokens
+that stand in the same labelled urls are one item, tokens that are too rare among blocked urls are
+left out, and a token that makes a rule by itself is kept as a rule and not mined further: its
+supersets say nothing more. The rules are a table, matched by an inverted index from token to
+rules: a rule matches when a token of each of its items is there. Distinct token lists are
+matched, not urls. Everything is JVM-side.
 
 Defined cases: a null url or one without `://` has empty host and path, no tokens, and is
 allowed; null or repeated page_id rows are kept; with no labelled url there are no mined rules;
@@ -14,12 +19,14 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.session import materialise
+
 #: Verdict, host, path.
 RULES = (
     ("allow", "org", "/"),
@@ -78,48 +85,61 @@ def url_tokens(host: Column, path: Column, query: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
-@dataclass(frozen=True)
-class Mined:
-    """Rules kept after pruning: tokens, confidence, support."""
+INDEX = "rule string, items int, item string, token string"
 
-    rules: tuple[tuple[tuple[str, ...], float, float], ...]
 
+def merged_tokens(labelled: DataFrame) -> DataFrame:
+    """item, tokens, n, n_block: tokens that stand in the same labelled urls are one item.
 
-def mine(transactions: DataFrame, min_support: float = MIN_SUPPORT,
-         min_confidence: float = MIN_CONFIDENCE) -> Mined:
-    """Rules tokens -> block from labelled urls (column `items`).
-
-    How many there can be is bounded by the least support, not by the number of urls, so they
-    come to the driver. A rule goes when a part of its tokens is a rule as well.
+    Two sums over hashes of the urls' token lists tell the sets of urls apart. The tokens of an
+    item stand together in one url, so there are no more of them than a url has.
     """
-    model = FPGrowth(itemsCol="items", minSupport=min_support,
-                     minConfidence=min_confidence).fit(transactions)
-    found = (model.associationRules
-             .filter(F.col("consequent") == F.array(F.lit(VERDICT_ITEM + BLOCK)))
-             .select("antecedent", "confidence", "support").collect())
-    kept: list[tuple[tuple[str, ...], float, float]] = []
-    for row in sorted(found, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"]))):
-        tokens = set(row["antecedent"])
-        if not any(tokens.issuperset(k[0]) for k in kept):
-            kept.append((tuple(sorted(tokens)), row["confidence"], row["support"]))
-    return Mined(tuple(kept))
-
-
-def matches(tokens: Column, mined: Mined) -> Column:
-    """Does any mined rule have all its tokens among these? Looked up by inverted index."""
-    if not mined.rules:
-        return F.lit(False)
-    index: dict[str, list[int]] = {}
-    for i, (rule, _, _) in enumerate(mined.rules):
-        for token in rule:
-            index.setdefault(token, []).append(i)
-    lookup = F.create_map(*[x for token in sorted(index) for x in (
-        F.lit(token), F.array(*[F.lit(i) for i in index[token]]))])
-    sizes = F.array(*[F.lit(len(rule)) for rule, _, _ in mined.rules])
-    hits = F.flatten(F.transform(tokens, lambda t: F.coalesce(
-        F.try_element_at(lookup, t), F.array().cast("array<int>"))))
-    return F.exists(F.array_distinct(hits), lambda r: F.size(F.filter(
-        hits, lambda x: x == r)) == F.element_at(sizes, r + 1))
+    whole = [F.xxhash64("tokens", "block", F.lit(seed)).cast("decimal(38,0)") for seed in (1, 2)]
+    each = labelled.select("block", *[w.alias(f"h{i}") for i, w in enumerate(whole)], F.explode("tokens").alias("token"))
+    per_token = each.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if("block").alias("n_block"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
+    return (per_token.groupBy("n", "n_block", "h0", "h1")
+            .agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).drop("h0", "h1"))
+
+
+def mine(transactions: DataFrame, min_support: float = MIN_SUPPORT,
+         min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Inverted index (columns of INDEX) of the rules tokens -> block from labelled urls (column `items`)."""
+    spark = transactions.sparkSession
+    block = F.array_contains("items", VERDICT_ITEM + BLOCK)
+    labelled = materialise(transactions.select(
+        F.filter("items", lambda x: ~x.startswith(VERDICT_ITEM)).alias("tokens"), block.alias("block")), "labelled")
+    least = max(1, math.ceil(min_support * labelled.count()))
+    items = materialise(merged_tokens(labelled).filter(F.col("n_block") >= least), "items")
+    alone = F.col("n_block") / F.col("n") >= min_confidence
+    singles = items.filter(alone).select(F.col("item").alias("rule"), F.lit(1).alias("items"), "item", "tokens")
+    # An item stands in so many urls: at most (tokens of a url) / min_support of them come to the driver.
+    names = {r["item"] for r in items.filter(~alone).select("item").collect()}
+    if not names:
+        return materialise(singles.select("rule", "items", "item", F.explode("tokens").alias("token")), "rules")
+    known = F.array(*[F.lit(x) for x in sorted(names)])
+    reduced = labelled.select(F.array_append(
+        F.array_intersect("tokens", known), F.concat(F.lit(VERDICT_ITEM), F.when(F.col("block"), BLOCK).otherwise(ALLOW)))
+        .alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(reduced)
+    found = (model.associationRules.filter(F.col("consequent") == F.array(F.lit(VERDICT_ITEM + BLOCK)))
+             .select(F.array_sort("antecedent").alias("a")))
+    # A rule goes when it is another one and a further item.
+    less = found.filter(F.size("a") > 1).select("a", F.explode(F.transform(
+        "a", lambda x: F.array_except("a", F.array(x)))).alias("part"))
+    covered = less.join(found.select(F.col("a").alias("part")), "part", "left_semi").select("a").distinct()
+    several = (found.join(covered, "a", "left_anti")
+               .select(F.concat_ws("\n", "a").alias("rule"), F.size("a").alias("items"), F.explode("a").alias("item"))
+               .join(items.select("item", "tokens"), "item"))
+    both = singles.unionByName(several).select("rule", "items", "item", F.explode("tokens").alias("token"))
+    return materialise(both, "rules")
+
+
+def matched(lists: DataFrame, index: DataFrame) -> DataFrame:
+    """Keys (k1, k2) of the token lists that hold a token of each item of some rule; `lists` has distinct keys."""
+    return (lists.select("k1", "k2", F.explode("tokens").alias("token")).join(index, "token")
+            .groupBy("k1", "k2", "rule", "items").agg(F.count_distinct("item").alias("held"))
+            .filter(F.col("held") == F.col("items")).select("k1", "k2").distinct())
 
 
 def judge_urls(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT,
@@ -134,8 +154,14 @@ def judge_urls(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT,
     given = F.get(verdicts, F.col("__rule"))
     labelled = rows.filter(F.col("__rule").isNotNull()).select(F.array_append(
         tokens, F.concat(F.lit(VERDICT_ITEM), given)).alias("items"))
-    mined = mine(labelled, min_support, min_confidence)
-    ruled = F.when(matches(tokens, mined), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    return rows.select(
+    index = mine(labelled, min_support, min_confidence)
+    open_ = F.when(F.col("__rule").isNull() & (F.size("__tokens") > 0), F.col("__tokens"))
+    keyed = rows.withColumn("__tokens", tokens).withColumns({
+        "k1": F.xxhash64(open_, F.lit(1)), "k2": F.xxhash64(open_, F.lit(2)), "__tokens": open_})
+    lists = keyed.filter(F.col("__tokens").isNotNull()).groupBy("k1", "k2").agg(
+        F.first("__tokens").alias("tokens"))
+    hits = materialise(matched(lists, index), "matched").withColumn("__hit", F.lit(True))
+    ruled = F.when(F.col("__hit"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    return keyed.drop("__tokens", "__query").join(hits, ["k1", "k2"], "left").select(
         "page_id", "host", "path", F.get(names, F.col("__rule")).alias("rule"),
         F.coalesce(given, ruled).alias("verdict"))
