@@ -43,9 +43,6 @@ def test_filter_reaches_the_scan(spark):
 
 
 def test_vector_sums_make_no_row_per_dimension(spark):
-    for name in ("separation_ratio", "whole_confusability"):
-        plan = plan_of(REGISTRY[name].run(spark, FOLDER))
-        assert "Generate" not in plan.split("MapInArrow")[0], name
     from twinsift.operators import similarity
     from twinsift.plans import lenses
     from twinsift.plans.registry import Tables
