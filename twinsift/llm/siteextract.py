@@ -416,7 +416,8 @@ def low_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    low = materialise(low_branches(style_tree(pages), threshold), "branches").withColumnRenamed(
+    tree = materialise(style_tree(pages), "style-tree")      # read twice: rare and recurring elements
+    low = materialise(low_branches(tree, threshold), "branches").withColumnRenamed(
         "host", "__host")
     rows = pages.select("page_id", "url", "html").join(
         low, host_of(F.col("url")) == F.col("__host"), "left").drop("__host")
