@@ -101,3 +101,10 @@ def test_exact_median_orders_the_bracket_only(spark):
     assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert {r["k"]: r["m"] for r in out.collect()} == pytest.approx(want)
+
+
+def test_spread_join(rows):
+    table = rows.select("k").distinct().filter("k <> 'k3'").withColumn(
+        "w", F.explode(F.array(F.lit("x" * 100), F.lit("y"))))
+    got, want = skew.spread_join(rows, table, ["k"], ["id"]), rows.join(table, "k")
+    assert bag(got.select("id", "k", "w")) == bag(want.select("id", "k", "w"))

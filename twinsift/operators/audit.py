@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
-from twinsift.session import materialise
 
 
 def counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -74,16 +73,19 @@ def coverage_summary(dispositions: DataFrame, checked: DataFrame) -> DataFrame:
 
     marks = F.concat(F.array(entry("splits", F.col("split"))),
                      F.transform("failures", lambda f: entry("failures", f)))
-    of_items = materialise(
-        checked.select(F.explode(marks).alias("m")).groupBy("m.section", "m.key")
-        .agg(F.count("*").alias("n")), "coverage")
-    failed = of_items.agg(F.coalesce(F.sum(F.when(F.col("section") == "failures", F.col("n"))),
-                                     F.lit(0)).alias("n"))
-    verdict = failed.select(F.lit("selfcheck").alias("section"),
-                            F.when(F.col("n") == 0, "PASS").otherwise("FAIL").alias("key"), "n")
+    counted = (checked.select(F.explode(marks).alias("m")).groupBy("m.section", "m.key")
+               .agg(F.count("*").alias("n")))
+    # A row per split and per kind of failure; their list is as short as these vocabularies.
+    listed = counted.agg(
+        F.collect_list(F.struct("section", "key", "n")).alias("_all"),
+        F.coalesce(F.sum(F.when(F.col("section") == "failures", F.col("n"))), F.lit(0)).alias("_failed"))
+    verdict = F.struct(F.lit("selfcheck").alias("section"),
+                       F.when(F.col("_failed") == 0, "PASS").otherwise("FAIL").alias("key"),
+                       F.col("_failed").alias("n"))
+    of_items = listed.select(F.inline(F.concat("_all", F.array(verdict))))
     pairs = counts(dispositions, "status").select(
         F.lit("pairs").alias("section"), F.col("status").alias("key"), "n")
-    return pairs.unionByName(of_items).unionByName(verdict)
+    return pairs.unionByName(of_items)
 
 
 def manifest_summary(manifest: DataFrame) -> DataFrame:
@@ -142,14 +144,15 @@ def review_sample(items: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFr
     The representative is the first item of the pair. The other member is shown by its own
     first item, else by its first raw image.
     """
-    first = F.min_by(F.struct("img", "true_label", "distractor"), "item_id")
-    rep = items.groupBy("pair_id").agg(first.alias("r")).select("pair_id", "r.*")
-    by_label = (items.groupBy("pair_id", F.col("true_label").alias("distractor"))
-                .agg(F.min_by("img", "item_id").alias("item_img")))
+    # A pair has two labels, so its list of first items has two entries.
+    entry = F.struct("item_id", "img", "true_label", "distractor")
+    firsts = (items.groupBy("pair_id", "true_label").agg(F.min(entry).alias("e"))
+              .groupBy("pair_id").agg(F.min("e").alias("r"), F.collect_list("e").alias("_by_label")))
+    own = F.get(F.filter("_by_label", lambda e: e["true_label"] == F.col("r.distractor")), F.lit(0))
+    rep = firsts.select("pair_id", "r.*", own["img"].alias("item_img"))
     raw = (rows.groupBy("crop", F.col("disease").alias("distractor"))
            .agg(F.min_by("img", "row_id").alias("raw_img")))
-    return (rep.join(by_label, ["pair_id", "distractor"], "left")
-            .join(pairs.select("pair_id", "crop"), "pair_id", "left")
+    return (rep.join(pairs.select("pair_id", "crop"), "pair_id", "left")
             .join(raw, ["crop", "distractor"], "left")
             .select("pair_id", "crop", "true_label", F.col("img").alias("true_img"), "distractor",
                     F.coalesce("item_img", "raw_img").alias("distractor_img"),

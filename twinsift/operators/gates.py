@@ -9,31 +9,31 @@ from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import geo, labels, text
 from twinsift.operators.skew import attach_class, checked_join
+from twinsift.session import materialise
 
 CLASS = ["crop", "disease"]
 
 
 # -- label gate ------------------------------------------------------------------------
 
-def crop_verdicts(report: DataFrame) -> DataFrame:
-    """One row per crop of the label report: bad or not, and its canonical name."""
+def verdict_table(report: DataFrame, drop_questionable: bool = False) -> DataFrame:
+    """Verdicts of the label report per crop (of_crop = 1) and per judged (crop, disease).
+
+    Crops have bad_crop and canonical_crop; `incorrect` is null for what is not flagged. Records of
+    bad crops judge no diseases. One pass over the report gives both levels.
+    """
+    wanted = ["INCORRECT"] + (["QUESTIONABLE"] if drop_questionable else [])
     verdict = F.col("crop_validation.verdict")
     canonical = text.present(F.col("crop_validation.canonical_name"))
-    return (report.groupBy("crop")
-            .agg(F.bool_or(F.coalesce(verdict.isin(*fv.BAD_CROP_VERDICTS), F.lit(False)))
-                 .alias("bad_crop"),
-                 F.max(F.when(verdict == fv.RENAME_VERDICT, canonical)).alias("canonical_crop")))
-
-
-def disease_verdicts(report: DataFrame) -> DataFrame:
-    """Long form of the report: one row per judged (crop, disease)."""
-    return (report.select("crop", "crop_validation", F.explode_outer(
-                "disease_check.disease_verdicts").alias("v"))
-            .filter(F.col("v").isNotNull())
-            .select("crop", F.col("v.disease").alias("disease"),
-                    F.col("v.verdict").alias("verdict"),
-                    F.coalesce(F.col("crop_validation.verdict").isin(*fv.BAD_CROP_VERDICTS),
-                               F.lit(False)).alias("skip")))
+    judged = report.select(
+        "crop", F.coalesce(verdict.isin(*fv.BAD_CROP_VERDICTS), F.lit(False)).alias("_bad"),
+        F.when(verdict == fv.RENAME_VERDICT, canonical).alias("_canonical"),
+        F.explode_outer("disease_check.disease_verdicts").alias("_v"))
+    flagged = F.when(~F.col("_bad") & F.col("_v.verdict").isin(*wanted), F.col("_v.verdict") == "INCORRECT")
+    return (judged.select("crop", "_bad", "_canonical", F.col("_v.disease").alias("disease"), flagged.alias("_flag"))
+            .groupingSets([["crop"], CLASS], *CLASS)
+            .agg(F.grouping("disease").alias("of_crop"), F.bool_or("_bad").alias("bad_crop"),
+                 F.max("_canonical").alias("canonical_crop"), F.bool_or("_flag").alias("incorrect")))
 
 
 def judge_rows(rows: DataFrame, report: DataFrame, drop_questionable: bool = False) -> DataFrame:
@@ -42,12 +42,11 @@ def judge_rows(rows: DataFrame, report: DataFrame, drop_questionable: bool = Fal
     Statuses: bad_crop, incorrect_disease, questionable_disease (only if asked for), renamed,
     kept. Disease verdicts are looked up under the crop name before renaming.
     """
-    wanted = ["INCORRECT"] + (["QUESTIONABLE"] if drop_questionable else [])
-    flagged = (disease_verdicts(report).filter(~F.col("skip") & F.col("verdict").isin(*wanted))
-               .groupBy(*CLASS)
-               .agg(F.bool_or(F.col("verdict") == "INCORRECT").alias("incorrect")))
-    joined = checked_join(rows, crop_verdicts(report), ["crop"], "left")
-    joined = checked_join(joined, flagged, CLASS, "left")
+    # The table is one row per class, written once, so the planner knows its bytes.
+    verdicts = materialise(verdict_table(report, drop_questionable), "verdicts")
+    crops = verdicts.filter("of_crop = 1").select("crop", "bad_crop", "canonical_crop")
+    flagged = verdicts.filter("of_crop = 0 AND incorrect IS NOT NULL").select(*CLASS, "incorrect")
+    joined = rows.join(crops, "crop", "left").join(flagged, CLASS, "left")
     status = (F.when(F.coalesce(F.col("bad_crop"), F.lit(False)), "bad_crop")
               .when(F.col("incorrect"), "incorrect_disease")
               .when(F.col("incorrect").isNotNull(), "questionable_disease")

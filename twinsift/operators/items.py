@@ -9,19 +9,23 @@ from twinsift import dims
 from twinsift import fixed_values as fv
 from twinsift.functions import hashing, text
 from twinsift.operators import gates
-from twinsift.operators.similarity import pair_members
-from twinsift.operators.skew import salted_join
+from twinsift.operators.skew import spread_join
 
 
-def select_items(rows: DataFrame, used_pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Images of both members of every used pair, with split and visibility label.
+def select_items(rows: DataFrame, used_pairs: DataFrame, labels: DataFrame,
+                 seen: DataFrame | None = None) -> DataFrame:
+    """Images of both members of every used pair, with split, visibility label and pair record.
 
-    One image yields an item per pair it takes part in. Only pair keys are fanned out here,
-    long texts stay in the pair record; the join is spread so that a class with very many
-    images uses many tasks.
+    One image yields an item per pair it takes part in. Pair records meet the images of their
+    classes in one join, spread so that a class with very many images uses many tasks. `seen` is
+    as in `spread_join`.
     """
     labelled = rows.join(labels, "img", "left")
-    return salted_join(labelled, pair_members(used_pairs), ["crop", "disease"], ["img"])
+    side = F.explode(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("member_a").alias("disease")),
+        F.struct(F.lit("b").alias("side"), F.col("member_b").alias("disease"))))
+    members = used_pairs.withColumn("_m", side).select("*", "_m.*").drop("_m")
+    return spread_join(labelled, members, ["crop", "disease"], ["img"], seen)
 
 
 def _lowered(col: Column) -> Column:

@@ -59,6 +59,19 @@ def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequ
     return salted.join(found, [*keys, SALT], "left").drop(SALT)
 
 
+def spread_join(df: DataFrame, table: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
+                seen: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
+    """Inner join of rows with hot keys to records of any width, several per key.
+
+    A record is repeated only for the (key, salt) combinations that occur, so no more of it is
+    shuffled than the result holds. `seen` has the keys of `df` where it is cheaper to read.
+    """
+    salt = salt_of(*spread_by, salts=salts)
+    found = ((df if seen is None else seen).groupBy(*keys).agg(F.collect_set(salt).alias("_salts"))
+             .join(table, list(keys)).withColumn(SALT, F.explode("_salts")).drop("_salts"))
+    return df.withColumn(SALT, salt).join(found, [*keys, SALT]).drop(SALT)
+
+
 def attach_class(df: DataFrame, keys: Sequence[str],
                  aggregates: Sequence[Column]) -> DataFrame:
     """Add per-group aggregates to every row where groups are expected to be few (classes)."""

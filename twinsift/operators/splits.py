@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from twinsift import fixed_values as fv
 from twinsift.functions import hashing
-from twinsift.operators.skew import attach_group, checked_join, rank_by_hash
+from twinsift.operators.skew import attach_group, rank_by_hash
 
 
 def held_out_states(rows: DataFrame, seed, n: int = fv.HELD_OUT_STATES,
@@ -29,12 +29,12 @@ def held_out_states(rows: DataFrame, seed, n: int = fv.HELD_OUT_STATES,
 
 
 def held_out_crops(rows: DataFrame, seed, share: float = fv.HELD_OUT_CROP_SHARE) -> DataFrame:
-    """The first max(1, floor(share * crops)) crops in seeded hash order."""
+    """The first max(1, floor(share * crops)) crops in seeded hash order, with their hash `_key`."""
     crops = (rows.select("crop").distinct()
              .withColumn("_key", hashing.order_key(seed, F.col("crop"))))
     ranked = rank_by_hash(crops, "_key", "_rank", "_n")
     quota = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
-    return ranked.filter(F.col("_rank") < quota).select("crop")
+    return ranked.filter(F.col("_rank") < quota).select("crop", "_key")
 
 
 def assign_splits(rows: DataFrame, seed=fv.DEFAULT_SEED,
@@ -44,14 +44,15 @@ def assign_splits(rows: DataFrame, seed=fv.DEFAULT_SEED,
     Membership comes from seeded hashes, so it does not depend on row order or partitioning.
     """
     region = held_out_states(rows, seed).withColumn("_region", F.lit(True))
-    crops = held_out_crops(rows, seed).withColumn("_species", F.lit(True))
     joined = rows.join(F.broadcast(region), "state", "left")     # at most six rows
-    joined = checked_join(joined, crops, ["crop"], "left")
+    # Held-out crops come first in hash order, so the last of their keys is all that rows need.
+    last = held_out_crops(rows, seed).agg(F.max("_key")).scalar()
+    species = F.col("crop").isNotNull() & (hashing.order_key(seed, F.col("crop")) <= last)
     random = hashing.seeded_uniform(seed, F.col("row_id")) < random_share
     split = (F.when(F.col("_region"), "test_heldout_region")
-             .when(F.col("_species"), "test_heldout_species")
+             .when(species, "test_heldout_species")
              .when(random, "test_random").otherwise("train"))
-    return joined.withColumn("split", split).drop("_region", "_species")
+    return joined.withColumn("split", split).drop("_region")
 
 
 def collapse_splits(rows: DataFrame) -> DataFrame:

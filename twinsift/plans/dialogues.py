@@ -159,8 +159,7 @@ v_dialogue AS (
 
 def assembled(t):
     built = pipeline.said_lines(items.item_skeleton(pipeline.grounded(t)))
-    # Grounding texts are used many times over, so they are computed and written once.
-    return items.assemble_dialogue(items.assign_persona(materialise(built, "grounded"), "item_id"))
+    return items.assemble_dialogue(items.assign_persona(built, "item_id"))
 
 
 @query("assemble_dialogue", s.with_lenses("v_dialogue", f"""
@@ -251,4 +250,4 @@ def review_sample(t):
     rows = pipeline.rows(t)
     built = items.item_skeleton(pipeline.grounded(t, gated=rows)).select(
         "pair_id", "item_id", "img", "true_label", "distractor")
-    return audit.review_sample(materialise(built, "items"), rows, mining.mine_pairs(rows))
+    return audit.review_sample(built, rows, mining.mine_pairs(rows))

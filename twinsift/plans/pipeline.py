@@ -52,18 +52,11 @@ def used_pairs(disposed: DataFrame) -> DataFrame:
 
 def selected(t: Tables, disposed: DataFrame | None = None,
              gated: DataFrame | None = None) -> DataFrame:
-    """(pair, member, image) rows of used pairs with graph, label and split.
-
-    Used pairs serve two joins, so they are written once.
-    """
+    """(pair, member, image) rows of used pairs with graph, label and split."""
     gated = rows(t) if gated is None else gated
-    if disposed is None:
-        used = materialise(used_pairs(dispositions(t, gated)), "used-pairs")
-    else:
-        used = used_pairs(disposed)
+    used = used_pairs(dispositions(t, gated) if disposed is None else disposed)
     placed = splits.collapse_splits(splits.assign_splits(gated))
-    picked = items.select_items(placed, used, lenses.visibility_labels(t))
-    return picked.join(used.drop("crop"), "pair_id")
+    return items.select_items(placed, used, lenses.visibility_labels(t), gated)
 
 
 def grounded(t: Tables, disposed: DataFrame | None = None,
