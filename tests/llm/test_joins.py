@@ -395,3 +395,22 @@ def test_long_paths_are_mined_quickly(spark, shapes):
     rules = (("block", "bad.com", "/"), ("allow", "good.com", "/"))
     verdict = {r["page_id"]: r["verdict"] for r in urlrules.judge_urls(df, rules=rules).collect()}
     assert [verdict[600 + i] for i in range(3)] == ["block", "allow", "block"]
+
+
+def test_shards_bound_each_other(spark):
+    """A query passes through every shard once, and far shards send only what is near enough."""
+    rng = np.random.default_rng(5)
+    vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1500, 6)).round(1))]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.search(df, every=50, k=7, shard_rows=100).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = np.array([v for _, v in vectors])
+    for q in range(0, 1500, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        want = sorted((d[i], i) for i in range(1500) if i != q)[:7]
+        assert [(r, v) for r, v, _ in sorted(got[q])] == [(r + 1, i) for r, (_, i) in enumerate(want)]
+        assert np.allclose([s for *_, s in sorted(got[q])], [w for w, _ in want], rtol=0, atol=1e-12)
+    tree = vptree.Tree(x)
+    near = tree.nearest(np.arange(1500), x[0], 0, 7, 1.0)
+    assert tree.nearest(np.arange(1500), x[0], 0, 7, 1.0, near[2][0]) == [n for n in near if n[0] <= near[2][0]]

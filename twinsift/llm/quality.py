@@ -6,9 +6,9 @@ feature's lookup table. Then the pairs with the largest gain on the residuals ge
 two-dimensional tables the same way. A score is the logistic of the intercept and one table
 entry per feature and pair, added up by vectorised look-ups.
 
-The features of all texts are written once, narrow; the model is fitted on the driver on at
-most `MAX_SAMPLE` labelled rows (those first in hash order), and scores are read off the
-written features. Only the model travels to the tasks, and its size is fixed.
+The model is fitted on the driver on at most `MAX_SAMPLE` labelled rows (those first in hash
+order; only their features are made for it). One pass over the texts then makes features and
+scores. Only the model travels to the tasks, and its size is fixed.
 
 Defined cases: null or empty text has all features 0 and gets the score of that; labels that
 are null or belong to no document are not used, of several labels of a doc_id the smallest
@@ -19,7 +19,7 @@ repeated doc_id rows are kept; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,6 +72,12 @@ def features(text: str) -> list[float]:
         math.log1p(len(lines)), max(distinct.values()) / n, pairs / max(n - 1, 1)]
 
 
+def feature_rows(texts: Iterable[str | None]) -> np.ndarray:
+    """Features of the texts, a row each."""
+    rows = np.array([features(t or "") for t in texts], dtype=np.float32)
+    return rows.reshape(-1, len(FEATURES))
+
+
 def feature_table(docs: DataFrame) -> DataFrame:
     """doc_id and one float column per feature, for every row."""
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType)]
@@ -79,8 +85,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            rows = np.array([features(t or "") for t in batch["text"]], dtype=np.float32)
-            rows = rows.reshape(len(batch["doc_id"]), len(FEATURES))
+            rows = feature_rows(batch["text"])
             yield {"doc_id": batch["doc_id"]} | {n: rows[:, i] for i, n in enumerate(FEATURES)}
 
     return map_batches(docs.select("doc_id", "text"), run, schema)
@@ -197,14 +202,18 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def sample(rows: DataFrame, labels: DataFrame, max_sample: int) -> tuple[np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, max_sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most `max_sample` labelled rows, the first in hash order."""
     known = (labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
              .groupBy("doc_id").agg(F.min("quality").cast("int").alias("__label")))
-    both = rows.join(known, "doc_id").withColumn("__place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    met = docs.select("doc_id").join(known, "doc_id")
     # Cut by hash first, with room to spare, so that tasks do not each send a whole sample.
-    share = min(1.0, (1.2 * max_sample + 1000) / max(both.count(), 1))
-    found = (both.filter(F.col("__place") < int(share * PLACES))
+    share = min(1.0, (1.2 * max_sample + 1000) / max(met.count(), 1))
+    near = materialise(met.filter(place < int(share * PLACES)).distinct(), "sampled")
+    # About 1.2 * max_sample ids at most: features are made of their rows alone.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(near), "doc_id", "left_semi")
+    found = (feature_table(chosen).join(F.broadcast(near), "doc_id").withColumn("__place", place)
              .orderBy("__place", "doc_id", *FEATURES).limit(max_sample).select("__label", *FEATURES).toPandas())
     return (found[list(FEATURES)].to_numpy(dtype=np.float32).reshape(len(found), len(FEATURES)),
             found["__label"].to_numpy(dtype=np.float64))
@@ -216,32 +225,27 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train: str | None = None,
 
     `train` is a condition on doc_id that says which labelled rows may be learnt from.
     """
-    rows = materialise(feature_table(docs), "features")
     learnt = labels.select("doc_id", "quality")
-    model = fit(*sample(rows, learnt.filter(train) if train else learnt, max_sample))
+    model = fit(*sample(docs, learnt.filter(train) if train else learnt, max_sample))
     schema = StructType([docs.schema["doc_id"], StructField("score", DoubleType()),
                          StructField("predicted", IntegerType())])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            x = np.array([batch[n] for n in FEATURES], dtype=np.float32).T
-            scores = model.score(x.reshape(len(batch["doc_id"]), len(FEATURES)))
+            scores = model.score(feature_rows(batch["text"]))
             yield {"doc_id": batch["doc_id"], "score": scores,
                    "predicted": (scores >= cut).astype(np.int32)}
 
-    return map_batches(rows, run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE,
               cut: float = CUT) -> DataFrame:
     """The rows of `docs` whose score reaches the cut, with all their columns."""
-    learnt = labels.select("doc_id", "quality")
-    rows = materialise(feature_table(docs), "features")
-    model = fit(*sample(rows, learnt, max_sample))
+    model = fit(*sample(docs, labels.select("doc_id", "quality"), max_sample))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t or "") for t in texts], dtype=np.float32)
-        return pd.Series(model.score(x.reshape(len(texts), len(FEATURES))))
+        return pd.Series(model.score(feature_rows(texts)))
 
     return docs.filter(score(docs["text"]) >= F.lit(cut))
