@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinsift import dims
 from twinsift.functions import geo, hashing, labels, text
-from twinsift.operators import evidence, gates, geo as geo_ops, items, mining, ranges, splits
+from twinsift.operators import evidence, gates, geo as geo_ops, items, mining, prompts, ranges, splits
 
 c = F.col
 
@@ -282,3 +282,43 @@ def test_range_facets_and_verdict(spark):
     assert [tuple(c) for c in x["top_countries"]] == [("A", 40), ("US", 32)]
     assert got["y"]["restriction_class"] == "data_poor" and got["y"]["n_us_states"] == 0
     assert ranges.range_profiles(ranges.facet_counts(df.limit(0))).count() == 0
+
+
+def test_prompt_rows(spark):
+    """Prompts from joined columns: missing names, empty lists, the caller's wording."""
+    member = ("struct<disease:string,n_imgs:bigint,pathogen_class:string,"
+              "descriptors:array<struct<name:string,n:bigint>>,sci_name:string>")
+    rows = spark.createDataFrame(
+        [("corn", ("rust", 3, "fungal", [("leaf", 2), ("spots", 1)], None), ("smut", 4, "fungal", None, "Ustilago"),
+          [], ["South"])],
+        f"crop string, member_a {member}, member_b {member}, shared_descriptors array<string>, "
+        "shared_regions array<string>")
+    assert rows.select(prompts.graph_context(rows)).first()[0] == (
+        "CROP: corn\nMEMBER_A: rust (scientific: n/a; class: fungal; 3 images; descriptors: leaf, spots)\n"
+        "MEMBER_B: smut (scientific: Ustilago; class: fungal; 4 images; descriptors: )\n"
+        "regions of both: South\nshared image descriptors: none")
+    people = spark.createDataFrame([("plain", "B1", "low", "none")],
+                                   "personality string, language_proficiency string, recall string, confusion string")
+    assert people.select(prompts.persona_behaviour({"recall": {"low": "You forget dates."}})).first()[0] == (
+        "personality: plain\nlanguage_proficiency: B1\nYou forget dates.\nconfusion: none")
+    images = spark.createDataFrame([("corn", "rust"), ("corn", "blight"), ("corn", "rust")], "crop string, disease string")
+    assert [tuple(r) for r in prompts.label_question(images).collect()] == [
+        ("corn", "Crop: corn\n\nDiseases:\n- blight\n- rust")]
+    assert prompts.label_question(images.limit(0)).count() == 0
+
+
+def test_one_verdict_table_for_both_levels(spark):
+    """Bad crops judge no diseases, a null disease is no class, rows of other crops stay."""
+    verdict = "struct<disease:string,verdict:string,reason:string>"
+    report = spark.createDataFrame(
+        [("a", ("VALID", "a"), (False, [("x", "INCORRECT", ""), (None, "INCORRECT", "")])),
+         ("b", ("INVALID", "b"), (False, [("x", "INCORRECT", "")])), (None, ("INVALID", None), None),
+         ("c", ("VALID", "c"), (True, None))],
+        f"crop string, crop_validation struct<verdict:string,canonical_name:string>, "
+        f"disease_check struct<skipped:boolean,disease_verdicts:array<{verdict}>>")
+    rows = spark.createDataFrame([(c, d, c) for c in ("a", "b", "c", "d", None) for d in ("x", None)],
+                                 "crop string, disease string, host_common string")
+    got = {(r["crop"], r["disease"]): r["gate_status"] for r in gates.judge_rows(rows, report).collect()}
+    want = {(c, d): "kept" for c in ("a", "b", "c", "d", None) for d in ("x", None)}
+    want |= {("a", "x"): "incorrect_disease", ("b", "x"): "bad_crop", ("b", None): "bad_crop"}
+    assert got == want

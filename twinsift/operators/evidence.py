@@ -109,9 +109,9 @@ def pair_manifest(pairs: DataFrame, evidence: DataFrame, scores: DataFrame,
     checked = F.coalesce(F.col("_checked"), F.lit(False))
     verified = F.coalesce(F.col("verified"), F.lit(False))
     return (pairs.join(e, "pair_id", "left").join(s, "pair_id", "left")
-            .select("pair_id", "crop", "member_a", "member_b",
+            .select("pair_id", "crop", "member_a", "member_b", "n_imgs_a", "n_imgs_b",
                     (F.col("n_imgs_a") + F.col("n_imgs_b")).alias("n_imgs_total"),
-                    "lookalike_prior", "same_pathogen_class", checked.alias("web_checked"),
+                    "lookalike_prior", "same_pathogen_class", "shared_descriptors", checked.alias("web_checked"),
                     verified.alias("web_verified"), verified.alias("confirmed"), "source_url",
                     F.col("matched_cross_knn").isNotNull().alias("scored"), "matched_cross_knn",
                     labels.lane_hint(F.col("matched_cross_knn"), gate).alias("lane_hint"),

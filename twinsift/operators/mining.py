@@ -120,16 +120,24 @@ def placed_pairs(pairs: DataFrame) -> DataFrame:
         "_all", "_range")
 
 
-def nested_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pair records in their nested form, members with their top descriptors."""
+def nested_pairs(pairs: DataFrame, rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Pair records in their nested form, members with their top descriptors.
+
+    With `names` (crop, disease, sci_name) members have their scientific name, too.
+    """
     top = (top_descriptors(rows).groupBy(*CLASS)
            .agg(F.array_sort(F.collect_list(F.struct("rank", "descriptor", "n"))).alias("_t"))
            .select(*CLASS, F.transform("_t", lambda t: F.struct(
                t["descriptor"].alias("name"), t["n"].alias("n"))).alias("descriptors")))
 
+    extra = [] if names is None else ["sci_name"]
+    if extra:
+        top = top.join(names.select(*CLASS, *extra), CLASS, "left")
+
     def member(side: str) -> DataFrame:
         return top.select("crop", F.col("disease").alias(f"member_{side}"),
-                          F.col("descriptors").alias(f"_desc_{side}"))
+                          F.col("descriptors").alias(f"_desc_{side}"),
+                          *[F.col(n).alias(f"_{n}_{side}") for n in extra])
 
     out = with_shared_regions(pairs)
     for side in ("a", "b"):
@@ -137,7 +145,8 @@ def nested_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         out = out.withColumn(f"_m_{side}", F.struct(
             F.col(f"member_{side}").alias("disease"), F.col(f"n_imgs_{side}").alias("n_imgs"),
             F.col(f"class_{side}").alias("pathogen_class"),
-            F.col(f"_desc_{side}").alias("descriptors")))
+            F.col(f"_desc_{side}").alias("descriptors"),
+            *[F.col(f"_{n}_{side}").alias(n) for n in extra]))
     return out.select("pair_id", "crop", F.col("_m_a").alias("member_a"),
                       F.col("_m_b").alias("member_b"), "shared_descriptors",
                       "same_pathogen_class", "shared_states", "shared_regions",

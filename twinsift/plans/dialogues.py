@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from twinsift import fixed_values as fv
 from twinsift.functions import text
 from twinsift.operators import audit, gates, items, mining, prompts
-from twinsift.operators.skew import row_number_in_group
+from twinsift.operators.skew import checked_join, row_number_in_group
+from twinsift.plans import evidence as evidence_plans
 from twinsift.plans import lenses, pipeline
 from twinsift.plans import sqltext as s
 from twinsift.plans.registry import query
@@ -223,6 +224,85 @@ def farmer_prompts(t):
         c("host"), c("part"), c("observation")).alias("prompt"))
 
 
+@query("graph_prompts", s.with_lenses("v_pairs", """
+, d AS (SELECT crop, disease, string_agg(descriptor, ', ' ORDER BY n DESC, f) AS top FROM (
+    SELECT * FROM (SELECT crop, disease, descriptor, count(*) AS n, min(row_id) AS f FROM v_rows GROUP BY ALL)
+    WHERE true QUALIFY row_number() OVER (PARTITION BY crop, disease ORDER BY n DESC, f) <= 4) GROUP BY crop, disease),
+nm AS (SELECT crop, disease, sci FROM (SELECT crop, disease, CASE WHEN path_sci <> '' THEN path_sci ELSE path_common END
+    AS sci, count(*) AS n, min(row_id) AS f FROM v_rows GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY crop, disease ORDER BY n DESC, f) = 1),
+rg AS (SELECT pair_id, string_agg(DISTINCT region, ', ' ORDER BY region) AS regions FROM (
+    SELECT pair_id, unnest(shared_states) AS state FROM v_pairs) JOIN us_states u ON u.name = state GROUP BY pair_id)
+SELECT p.pair_id, 'CROP: ' || p.crop || chr(10)
+  || 'MEMBER_A: ' || member_a || ' (scientific: ' || na.sci || '; class: ' || class_a || '; ' || n_imgs_a
+  || ' images; descriptors: ' || da.top || ')' || chr(10)
+  || 'MEMBER_B: ' || member_b || ' (scientific: ' || nb.sci || '; class: ' || class_b || '; ' || n_imgs_b
+  || ' images; descriptors: ' || db.top || ')' || chr(10) || 'regions of both: ' || coalesce(regions, 'little overlap')
+  || chr(10) || 'shared image descriptors: ' || CASE WHEN len(shared_descriptors) = 0 THEN 'none'
+    ELSE array_to_string(shared_descriptors, ', ') END AS context
+FROM v_pairs p JOIN d da ON da.crop = p.crop AND da.disease = member_a JOIN d db ON db.crop = p.crop AND db.disease = member_b
+JOIN nm na ON na.crop = p.crop AND na.disease = member_a JOIN nm nb ON nb.crop = p.crop AND nb.disease = member_b
+LEFT JOIN rg ON rg.pair_id = p.pair_id"""))
+def graph_prompts(t):
+    rows = lenses.image_rows(t)
+    nested = mining.nested_pairs(mining.mine_pairs(rows), rows, mining.dominant_name(rows))
+    return nested.select("pair_id", prompts.graph_context(nested).alias("context"))
+
+
+@query("graph_exemplars", s.with_lenses("v_gstore", f"""
+SELECT pair_id, 'EXAMPLE (disease): ' || member_a || ' (A) and ' || member_b || ' (B), crop ' || crop || chr(10)
+  || 'shared look: ' || v.role || chr(10) || 'forks:' || chr(10)
+  || array_to_string(list_transform(range(len(lines)), lambda i: '    - [' || CASE WHEN i = 1 THEN 'decisive'
+      WHEN i % 2 = 0 THEN 'supporting' ELSE 'weak' END || '/' ||
+      CASE WHEN g.conv_id % 11 = 0 AND i = 0 THEN 'colour' ELSE {s.AXES}[i % 8 + 1] END || '] ' || lines[i + 1] || ' | A(' || member_a
+      || '): ' || {s.half('lines[i + 1]', 'a')} || ' | B(' || member_b || '): ' || {s.half('lines[i + 1]', 'b')}), chr(10))
+  || chr(10) || 'narrative A: ' || v.text AS exemplar
+FROM v_gstore g JOIN conversations v ON v.conv_id = g.conv_id AND v.turn = g.turn"""))
+def graph_exemplars(t):
+    records = lenses.graph_store(t)
+    return records.select("pair_id", prompts.exemplar(records).alias("exemplar"))
+
+
+@query("photo_prompts", s.with_lenses("v_rows v_store v_gerr", """
+, m AS (SELECT crop, disease, arg_max(sign, pair_id) AS sign FROM (
+  SELECT e.crop, e.member_a AS disease, g.sign_a AS sign, e.pair_id FROM v_store e JOIN v_gerr g ON g.pair_id = e.pair_id
+    WHERE verified AND sign_a IS NOT NULL
+  UNION ALL SELECT e.crop, e.member_b, g.sign_b, e.pair_id FROM v_store e JOIN v_gerr g ON g.pair_id = e.pair_id
+    WHERE verified AND sign_a IS NOT NULL) GROUP BY ALL)
+SELECT img, 'This photo is filed under ' || r.disease || ' on ' || r.crop || '.' || chr(10)
+  || 'anatomical_part: the part shown (leaf, stem, root, fruit, flower, pod, seed, whole_plant)' || chr(10)
+  || 'is_closeup: whether plant tissue fills the view' || chr(10)
+  || 'decisive_sign_visible: whether this can be seen here: ' || sign || chr(10)
+  || 'lay_observation: one plain sentence about what looks wrong' AS prompt
+FROM v_rows r JOIN m ON m.crop = r.crop AND m.disease = r.disease"""))
+def photo_prompts(t):
+    rows = lenses.image_rows(t).select("img", "crop", "disease")
+    asked = checked_join(rows, evidence_plans.member_signs(t), ["crop", "disease"])
+    return asked.select("img", prompts.photo_question(c("crop"), c("disease"), c("sign")).alias("prompt"))
+
+
+@query("label_prompts", s.with_lenses("v_rows", """
+SELECT crop, 'Crop: ' || crop || chr(10) || chr(10) || 'Diseases:' || chr(10)
+  || string_agg('- ' || disease, chr(10) ORDER BY disease) AS prompt
+FROM (SELECT DISTINCT crop, disease FROM v_rows) GROUP BY crop"""))
+def label_prompts(t):
+    return prompts.label_question(lenses.image_rows(t))
+
+
+@query("persona_prompts", s.with_lenses("v_ground personas", f"""
+SELECT pair_id, img, 'Your crop: ' || host || '. Affected part: ' || part || '.' || chr(10)
+  || 'What you can see (in your own words): ' || observation || chr(10) || 'personality: ' || personality || chr(10)
+  || 'language_proficiency: ' || split_part(id, '.', 2) || chr(10) || 'recall: ' || split_part(id, '.', 3) || chr(10)
+  || CASE split_part(id, '.', 4) WHEN 'none' THEN 'You follow what you are told.'
+    ELSE 'confusion: ' || split_part(id, '.', 4) END AS prompt
+FROM v_ground JOIN personas ON position = {_MOD}"""))
+def persona_prompts(t):
+    built = items.assign_persona(items.item_skeleton(pipeline.grounded(t)), "item_id")
+    known = prompts.farmer_grounding(c("host"), c("part"), c("observation"))
+    spoken = prompts.persona_behaviour({"confusion": {"none": "You follow what you are told."}})
+    return built.select("pair_id", "img", F.concat_ws("\n", known, spoken).alias("prompt"))
+
+
 @query("ordered_turns", """
 SELECT conv_id, turn, speaker, CASE speaker WHEN 'farmer' THEN 'F' ELSE 'E' END || row_number() OVER (
   PARTITION BY conv_id, speaker ORDER BY turn) AS label

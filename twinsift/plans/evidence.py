@@ -151,7 +151,8 @@ def evidence_merge(t):
 
 
 s.add_lens("v_manifest", """v_manifest AS (
-  SELECT p.pair_id, p.crop, p.member_a, p.member_b, n_imgs_a + n_imgs_b AS n_imgs_total, lookalike_prior,
+  SELECT p.pair_id, p.crop, p.member_a, p.member_b, n_imgs_a, n_imgs_b, n_imgs_a + n_imgs_b AS n_imgs_total, lookalike_prior,
+    array_to_string(shared_descriptors, ',') AS descriptors,
     e.pair_id IS NOT NULL AS web_checked, coalesce(verified, false) AS web_verified, source_url,
     matched_cross_knn, CASE WHEN matched_cross_knn >= 0.2 THEN 'image_ambiguous'
       WHEN matched_cross_knn < 0.2 THEN 'image_decisive' END AS lane_hint
@@ -164,10 +165,11 @@ def manifest(t):
 
 
 @query("pair_manifest", s.with_lenses("v_manifest", """
-SELECT pair_id, crop, member_a, member_b, n_imgs_total, lookalike_prior, web_checked, web_verified, source_url,
-  matched_cross_knn, lane_hint, NOT web_checked AS needs_web FROM v_manifest"""))
+SELECT pair_id, crop, member_a, member_b, n_imgs_a, n_imgs_b, n_imgs_total, lookalike_prior, descriptors, web_checked,
+  web_verified, source_url, matched_cross_knn, lane_hint, NOT web_checked AS needs_web FROM v_manifest"""))
 def pair_manifest(t):
-    return manifest(t).select("pair_id", "crop", "member_a", "member_b", "n_imgs_total", "lookalike_prior",
+    return manifest(t).select("pair_id", "crop", "member_a", "member_b", "n_imgs_a", "n_imgs_b", "n_imgs_total",
+                              "lookalike_prior", F.array_join("shared_descriptors", ",").alias("descriptors"),
                               "web_checked", "web_verified", "source_url", "matched_cross_knn", "lane_hint",
                               "needs_web")
 

@@ -17,7 +17,7 @@ from twinsift.plans.registry import Tables
 from twinsift.session import scratch_path
 
 CROPS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-PARTS = ("leaf", "stem", "root", "fruit", "flower", "pod", "seed", "whole_plant")
+PARTS = fv.ANATOMICAL_PARTS
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
