@@ -32,11 +32,13 @@ def _lowered(col: Column) -> Column:
     return text.lower_first(text.strip_tail(col))
 
 
-def ground_items(items: DataFrame) -> DataFrame:
+def ground_items(items: DataFrame, observations: DataFrame | None = None) -> DataFrame:
     """Signs, labels, management and lay observation per item; only usable images remain.
 
     Needs side, graph, member_a_label, member_b_label, crop, host_common and the visibility
-    columns anatomical_part, is_closeup, decisive_sign_visible, lay_observation.
+    columns anatomical_part, is_closeup, decisive_sign_visible. lay_observation is a column too,
+    or comes from `observations` (img, lay_observation; one row per image): then texts move once,
+    and only after images are chosen and records are cut down to what an item keeps of them.
     """
     is_a = F.col("side") == "a"
     lay = F.col("graph.lay")
@@ -53,17 +55,21 @@ def ground_items(items: DataFrame) -> DataFrame:
     kept = items.filter(status == "usable").withColumns({
         "true_label": by_side(a, b), "distractor": by_side(b, a),
         "sign_true_full": by_side(lay["decisive_lay_a"], lay["decisive_lay_b"]),
-        "sign_other_full": by_side(lay["decisive_lay_b"], lay["decisive_lay_a"])})
+        "sign_other_full": by_side(lay["decisive_lay_b"], lay["decisive_lay_a"]),
+        "tech_signs": signs, "tech_sign": by_side(fork["a_signal"], fork["b_signal"]),
+        "_managed": by_side(F.col("graph.management_a"), F.col("graph.management_b")),
+        "_report": lay["farmer_lay_report"]})
+    if observations is not None:
+        kept = kept.join(observations, "img", "left")
     host = F.coalesce(F.when(F.col("host_common") != "", F.col("host_common")), F.col("crop"))
-    managed = by_side(F.col("graph.management_a"), F.col("graph.management_b"))
     return kept.withColumns({
         "host": host, "part": F.coalesce(F.col("anatomical_part"), F.lit("")),
         "observation": gates.guarded_observation(
-            F.col("lay_observation"), lay["farmer_lay_report"], signs),
+            F.col("lay_observation"), F.col("_report"), F.col("tech_signs")),
         "sign_true": text.head_sign(F.col("sign_true_full")),
         "sign_other": text.head_sign(F.col("sign_other_full")),
-        "management": text.strip_tail(text.clean_management(managed, F.col("true_label"))),
-        "tech_signs": signs, "tech_sign": by_side(fork["a_signal"], fork["b_signal"])})
+        "management": text.strip_tail(text.clean_management(F.col("_managed"), F.col("true_label"))),
+    }).drop("_managed", "_report")
 
 
 def reasoning_chain(host: Column, part: Column, observation: Column, sign_true: Column,

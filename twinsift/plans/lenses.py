@@ -202,14 +202,18 @@ def graph_store(t: Tables) -> DataFrame:
 
 
 def visibility_labels(t: Tables) -> DataFrame:
-    """Visibility labels for the labelled documents, keyed by image."""
+    """Visibility labels for the labelled documents, keyed by image, without their texts."""
     c = F.col
-    return (t.documents.join(t.labels, "doc_id")
+    return (t.documents.select("doc_id").join(t.labels, "doc_id")
             .select(c("doc_id").cast("string").alias("img"),
                     _pick(PARTS, c("doc_id") % 8).alias("anatomical_part"),
                     (c("quality") == 1).alias("is_closeup"),
-                    (c("toxic") == 0).alias("decisive_sign_visible"),
-                    c("text").alias("lay_observation")))
+                    (c("toxic") == 0).alias("decisive_sign_visible")))
+
+
+def lay_observations(t: Tables) -> DataFrame:
+    """What a lay person sees on each image."""
+    return t.documents.select(F.col("doc_id").cast("string").alias("img"), F.col("text").alias("lay_observation"))
 
 
 def label_report(t: Tables) -> DataFrame:

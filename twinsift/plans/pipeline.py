@@ -61,7 +61,7 @@ def selected(t: Tables, disposed: DataFrame | None = None,
 
 def grounded(t: Tables, disposed: DataFrame | None = None,
              gated: DataFrame | None = None) -> DataFrame:
-    return items.ground_items(selected(t, disposed, gated))
+    return items.ground_items(selected(t, disposed, gated), lenses.lay_observations(t))
 
 
 def said_lines(df: DataFrame) -> DataFrame:
