@@ -45,6 +45,35 @@ def test_counts_equal_the_library(machine, chunk):
     assert tokencount.count_texts(machine, texts, chunk).tolist() == want
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 32_768])
+def test_odd_words_and_special_strings_stay_in_the_transducer(machine, chunk):
+    rng = random.Random(5)
+    kinds = [" ", "  ", "\n", "\u3000", "\u2003", "\u2028", "\u1680", "\x1c", "\u200b", "\u180e", "漢字", "かな",
+             "λόγος", "мир", "שלום", "👩\u200d💻", "e\u0301", "\u0301", "١٢", "Ⅷ", "'s", "'ll", "ab", "7", "!", "_",
+             "<|endoftext|>", "<|endoftext", "|>"]
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    want = [len(machine.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    asked, whole = [], machine.size
+    machine.reset()
+    machine.size = lambda part: asked.append(part) or whole(part)
+    try:
+        assert tokencount.count_texts(machine, texts, chunk).tolist() == want
+    finally:
+        del machine.size
+    assert not any("<|endoftext|>" in part for part in asked)
+    assert all(len(part.split()) <= 1 for part in asked if not part.isspace() and "\x1c" not in part)
+
+
+def test_portions_bound_rows_and_characters(monkeypatch):
+    monkeypatch.setattr(tokencount, "ROWS", 3)
+    monkeypatch.setattr(tokencount, "ROWS_CHARS", 10)
+    texts = ["a" * n for n in (1, 2, 3, 4, 25, 0, 0, 9, 9)]
+    cut = list(tokencount.portions(texts))
+    assert [t for p in cut for t in p] == texts
+    assert all(len(p) == 1 or len(p) <= 3 and sum(map(len, p)) <= 10 for p in cut)
+    assert list(tokencount.portions([])) == []
+
+
 def test_full_tables_are_emptied(monkeypatch, words, machine):
     monkeypatch.setattr(packing, "TABLE_ENTRIES", 10)
     monkeypatch.setattr(tokencount, "TABLE_ENTRIES", 10)

@@ -1,8 +1,7 @@
 """Cuts texts into the pieces that the byte-level tokenizers treat on their own.
 
-The patterns hold for texts made of `PLAIN` characters (Latin letters, digits, common
-punctuation), where letters and digits are simple ranges. Other texts, and texts with the
-string of a special token, go to the tokenizer library whole.
+`SYMBOLS` holds for every text. `WORD_PIECES` and `RUNS` hold where all characters are plain
+(Latin letters, digits, common punctuation), since letters and digits are simple ranges there.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ from collections.abc import Iterator
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 DIGITS = "0-9²³¹¼-¾"
 BLANKS = "\t-\r \x85\xa0"
+#: All characters with the Unicode property White_Space.
+SPACES = BLANKS + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_PLAIN = re.compile("[^\x00-\x1b\x20-ɏ‐-‧]")
 CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
 
@@ -25,7 +26,8 @@ RUNS = re.compile(
     f"{CONTRACTIONS}[{LETTERS}]*|[{LETTERS}]+|[{DIGITS}]+|[^{BLANKS}{LETTERS}{DIGITS}]+")
 
 #: Words, each with the space behind it if just one stands there; or runs of white space.
-SYMBOLS = re.compile(f"[^{BLANKS}]+(?: (?![{BLANKS}]|\\Z))?|[{BLANKS}]+")
+SYMBOLS = re.compile(f"[^{SPACES}]+(?: (?![{SPACES}]|\\Z))?|[{SPACES}]+")
+BLANK = re.compile(f"[{SPACES}]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,7 +59,7 @@ def slices(text: str, limit: int) -> Iterator[str]:
     start, n = 0, len(text)
     while n - start > limit:
         at = text.find(" ", start + limit)
-        while at > 0 and (text[at - 1].isspace() or text[at - 1] in BLANKS):
+        while at > 0 and text[at - 1].isspace():
             at = text.find(" ", at + 1)
         if at < 0:
             break

@@ -1,14 +1,17 @@
 """Token counts by a compiled finite-state transducer.
 
-States: N (nothing pending) and P (one space pending, which joins the next run). Symbols are
-runs of one kind of character, compiled on first sight: each transition from N or P emits a
+States: N (nothing pending) and P (one space pending, which joins the next word). Symbols are
+words and runs of white space, compiled on first sight: each transition from N or P emits a
 number of tokens and leads to a state that depends on the symbol alone. White space emits
 all but its last character; a final output settles what a text ends with. A text is cut into
 chunks; each chunk becomes a state map (end state and count for either start state), and the
 maps of a text are composed by a parallel prefix scan (doubling).
 
-Texts with characters outside the compiled alphabet, or with the string of a special token,
-are counted by the tokenizer library. Tasks only map rows, so there is no shuffle.
+The count of a word of plain characters is the sum over its runs; that of any other word (a
+script beyond Latin, an emoji) is asked of the library, for that word alone. The string of a
+special token settles what is pending, emits one token and leads back to N, so what stands
+between such strings is composed on its own. Tables are bounded by entries and characters, and
+are emptied when full. Tasks only map rows, so there is no shuffle.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); null or repeated doc_id rows are
 kept as they are; an empty table gives no rows; other columns are not read.
@@ -25,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from twinsift.llm.frames import map_batches
-from twinsift.llm.lexer import CONTRACTIONS, RUNS, SYMBOLS, is_plain, slices, spelled
+from twinsift.llm.lexer import BLANK, CONTRACTIONS, NOT_PLAIN, RUNS, SYMBOLS, slices, spelled
 
 CHUNK_CHARS = 32_768
 TABLE_ENTRIES = 400_000
+TABLE_CHARS = 16_000_000
 ROWS = 500
+ROWS_CHARS = 8_000_000
 NONE, PENDING = 0, 1
-BLANK_SET = frozenset("\t\n\x0b\x0c\r \x85\xa0")
 CONTRACTED = re.compile(CONTRACTIONS)
 
 
@@ -47,13 +51,18 @@ class Transducer(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.specials = tuple(
-            t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if self.tokenizer.normalizer is not None or any(
+                t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("the transducer needs a tokenizer that takes texts as they are")
+        longest = sorted((t.content for t in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, longest)) or r"(?!)")
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.symbols: list[str] = []
+        self.chars = 0
         self.runs: dict[str, int] = {}
         self.emits = np.zeros((0, 2), dtype=np.int32)
         self.ends = np.zeros(0, dtype=np.int8)
@@ -61,6 +70,7 @@ class Transducer(dict):
     def __missing__(self, symbol: str) -> int:
         self[symbol] = number = len(self)
         self.symbols.append(symbol)
+        self.chars += 2 * len(symbol)
         return number
 
     def size(self, text: str) -> int:
@@ -73,12 +83,15 @@ class Transducer(dict):
         return count
 
     def _emitted(self, symbol: str, state: int) -> int:
-        if symbol[0] in BLANK_SET:
+        if BLANK.match(symbol):
             # Followed by a run, white space gives up its last character: to the run if it
             # is a space, else as a piece of its own. A pending space cannot stand before it.
             return (self.size(symbol[:-1]) if len(symbol) > 1 else 0) + (
                 0 if symbol[-1] == " " else self.size(symbol[-1]))
-        runs = RUNS.findall(symbol[:-1] if symbol[-1] == " " else symbol)
+        word = symbol[:-1] if symbol[-1] == " " else symbol
+        if NOT_PLAIN.search(word):
+            return self.size(" " + word if state == PENDING else word)
+        runs = RUNS.findall(word)
         flat: list[str] = []
         for i, run in enumerate(runs):
             cut = 0
@@ -110,7 +123,7 @@ class Transducer(dict):
 
     def state_maps(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """End states and counts (chunks x start states) and the final output of each chunk."""
-        if len(self) > TABLE_ENTRIES:
+        if len(self) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
             self.reset()
         found = [SYMBOLS.findall(c) for c in chunks]
         sizes = np.array([len(f) for f in found])
@@ -135,7 +148,7 @@ class Transducer(dict):
         ends[full] = self.ends[numbers[last]][:, None]
         for i, number in zip(full, numbers[last]):
             symbol = self.symbols[number]
-            if symbol[0] in BLANK_SET:
+            if BLANK.match(symbol):
                 final[i] = self.size(symbol) - self._emitted(symbol, NONE)
         return ends, counts, final
 
@@ -162,23 +175,36 @@ def scan_maps(ends: np.ndarray, counts: np.ndarray, text: np.ndarray) -> tuple:
 def count_texts(machine: Transducer, texts: list[str], chunk_chars: int = CHUNK_CHARS) -> list:
     """Tokens of each text."""
     totals = np.zeros(len(texts), dtype=np.int64)
-    chunks, owner = [], []
+    chunks, owner, text_of = [], [], []
     for i, text in enumerate(texts):
-        if is_plain(text, machine.specials):
-            for chunk in slices(text, chunk_chars):
+        parts = machine.special.split(text)
+        totals[i] = len(parts) - 1
+        for part in filter(None, parts):
+            for chunk in slices(part, chunk_chars):
                 chunks.append(chunk)
-                owner.append(i)
-        else:
-            totals[i] = machine.size(text)
+                owner.append(len(text_of))
+            text_of.append(i)
     if owner:
         owner = np.array(owner)
         ends, counts, final = machine.state_maps(chunks)
         _, counts = scan_maps(ends, counts, owner)
         last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-        totals[owner[last]] = counts[last, NONE] + final[last]
+        np.add.at(totals, np.array(text_of), counts[last, NONE] + final[last])
     return totals
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in portions of bounded rows and characters; a longer text is one of its own."""
+    start, chars = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and (i - start >= ROWS or chars + len(text) > ROWS_CHARS):
+            yield texts[start:i]
+            start, chars = i, 0
+        chars += len(text)
+    if texts:
+        yield texts[start:]
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every text."""
     schema = StructType([
@@ -189,9 +215,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
         machine = Transducer(tokenizer_path)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            counts = np.concatenate([
-                count_texts(machine, texts[i:i + ROWS]) for i in range(0, len(texts), ROWS)]
-                or [np.zeros(0, dtype=np.int64)])
+            counts = np.concatenate([count_texts(machine, p) for p in portions(texts)]
+                                    or [np.zeros(0, dtype=np.int64)])
             yield {"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in texts],
                    "n_tokens": counts, "over_limit": counts > limit}
 
