@@ -245,3 +245,67 @@ def test_pairs_learn_what_single_features_cannot():
     model = quality.fit(x, y)
     assert model.pairs[0] == (0, 1)
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def plain_cut(rows, low, high):
+    """The cut of the bins low..high of (bin, residual, weight) rows with the largest gain, or None."""
+    def part(keep):
+        kept = [r for r in rows if keep(r[0])]
+        return sum(r[1] for r in kept) ** 2 / (sum(r[2] for r in kept) + 1), len(kept)
+
+    best = (1e-9, None)
+    for cut in range(low + 1, high):
+        (left, n), (right, m) = part(lambda b: low <= b < cut), part(lambda b: cut <= b < high)
+        gain = left + right - part(lambda b: low <= b < high)[0]
+        if min(n, m) >= quality.LEAST and gain > best[0]:
+            best = (gain, cut)
+    return best[1]
+
+
+def plain_leaves(rows, low, high, depth):
+    cut = plain_cut(rows, low, high) if depth else None
+    if cut is None:
+        kept = [r for r in rows if low <= r[0] < high]
+        return [sum(r[1] for r in kept) / (sum(r[2] for r in kept) + 1)] * (high - low)
+    return plain_leaves(rows, low, cut, depth - 1) + plain_leaves(rows, cut, high, depth - 1)
+
+
+def small_model(monkeypatch, rounds, pairs):
+    for name, number in (("ROUNDS", rounds), ("BINS", 8), ("PAIR_BINS", 4), ("PAIRS", pairs)):
+        monkeypatch.setattr(quality, name, number)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=300) > 0.2).astype(float)
+    return x, y, quality.fit(x, y)
+
+
+def test_boosting_equals_plain_rounds(monkeypatch):
+    x, y, model = small_model(monkeypatch, 2, 0)
+    bins = [[sum(e <= v for e in model.edges[j]) for v in x[:, j]] for j in range(3)]
+    tables = [[0.0] * (len(e) + 1) for e in model.edges]
+    start = float(np.log(y.mean() / (1 - y.mean())))
+    for _ in range(2):
+        for j in range(3):
+            totals = [start + sum(tables[k][bins[k][i]] for k in range(3)) for i in range(len(y))]
+            chance = [1 / (1 + np.exp(-t)) for t in totals]
+            rows = [(b, want - p, p * (1 - p)) for b, want, p in zip(bins[j], y, chance)]
+            for b, step in enumerate(plain_leaves(rows, 0, len(tables[j]), 2)):
+                tables[j][b] += quality.RATE * step
+    assert model.intercept == pytest.approx(start)
+    for got, want in zip(model.tables, tables):
+        assert got.tolist() == pytest.approx(want)
+
+
+def test_scores_are_sums_of_table_entries(monkeypatch):
+    x, _, model = small_model(monkeypatch, 6, 3)
+    assert len(model.pairs) == 3 and all(np.abs(t).max() > 0 for t in model.pair_tables)
+    x = np.vstack([x[:50], [[-99, 0, 99]], [[e[0] for e in model.edges]]]).astype(np.float32)
+    want = []
+    for row in x:
+        total = model.intercept
+        for edges, values, v in zip(model.edges, model.tables, row):
+            total += values[sum(e <= v for e in edges)]
+        for (a, b), values in zip(model.pairs, model.pair_tables):
+            total += values[sum(e <= row[a] for e in model.pair_edges[a]), sum(e <= row[b] for e in model.pair_edges[b])]
+        want.append(1 / (1 + np.exp(-total)))
+    assert model.score(x).tolist() == pytest.approx(want)
