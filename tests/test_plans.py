@@ -53,3 +53,12 @@ def test_ranges_scan_their_table_once(spark):
     for name in ("effective_countries", "top_countries", "range_class"):
         plan = REGISTRY[name].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
         assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 1, name
+
+
+def test_items_read_texts_once_after_images_are_chosen(spark):
+    def texts_joined(name):
+        plan = REGISTRY[name].run(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count(" AS lay_observation#")
+
+    assert texts_joined("assemble_dialogue") == 1
+    assert texts_joined("select_items") == 0
